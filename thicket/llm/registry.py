@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import tokens
+from thicket.llm import substring, tokens
 from thicket.llm.shared import table
 
 
@@ -15,8 +15,12 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simple8b,)}
+    return {f.__name__: f for f in (op2_simple8b, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
