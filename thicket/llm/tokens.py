@@ -213,17 +213,14 @@ class Encoder:
         """White-space-separated words in lower case, where they encode one by one."""
         if not self.by_word or "|>" in text and any(x in text for x in self.special):
             return None
-        if text.isascii():
-            low = text.lower()
-            if not any(c in low for c in "\x1c\x1d\x1e\x1f"):
-                return low.split()
-        else:
+        if not text.isascii():
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 return None
-            low = text.lower()
-        return [w for w in low.translate(_BLANKS).split(" ") if w]
+        low = text.lower()
+        # split() also cuts at \x1c to \x1f, which aren't white space to the tokenizer
+        return [w for w in low.translate(_BLANKS).split(" ") if w] if any(c in low for c in "\x1c\x1d\x1e\x1f") else low.split()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``END_ID``, and how many each has."""
@@ -273,7 +270,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str) -> None:
         from pyspark import TaskContext
 
         coder, doc_ids, counts, parts = encoder(tokenizer), [], [], []
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 6 << 20):
             doc_ids += batch.column(0).to_pylist()
             ids, n = coder.encode([t or "" for t in batch.column(1).to_pylist()])
             counts.append(n)
