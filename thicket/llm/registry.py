@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import decontaminate, substring, tokens
+from thicket.llm import decontaminate, neardup, substring, tokens
 from thicket.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -25,7 +29,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simple8b, op8_winnowing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_simple8b, op4_order_minhash, op8_winnowing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
