@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import decontaminate, neardup, substring, tokens
+from thicket.llm import decontaminate, neardup, substring, tokens, warc
 from thicket.llm.shared import table
 
 
+SQL = {
+    "op7_warc_revisits": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        h AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+        o AS (SELECT digest, max(page_id) AS original FROM h WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1)
+        SELECT h.page_id, CAST(h.n AS BIGINT) AS payload_bytes, h.digest AS payload_digest,
+               CASE WHEN o.original <> h.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN o.original <> h.page_id THEN o.original END AS refers_to
+        FROM h LEFT JOIN o ON h.digest = o.digest AND h.n >= 1000
+    """,
+}
+
+
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -19,6 +32,10 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -29,8 +46,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simple8b, op4_order_minhash, op8_winnowing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_simple8b, op4_order_minhash, op7_warc_revisits, op8_winnowing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
