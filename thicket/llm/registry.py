@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import decontaminate, neardup, substring, tokens, warc
+from thicket.llm import decontaminate, neardup, secrets, substring, tokens, warc
 from thicket.llm.shared import table
 
 
@@ -32,6 +32,24 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_copies(table(spark, sf_dir, "documents"))
 
 
+def _digest(spans: str, kinds: tuple[str, ...] | None = None) -> Column:
+    """kind:start:end of all spans (or those of some kinds), joined by commas."""
+    column = F.col(spans)
+    if kinds:
+        column = F.filter(column, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = secrets.KINDS[:3]
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(_count("spans", k) for k in base), F.sha2(_digest("spans", base), 256).alias("base_sha256"), _digest("spans").alias("spans"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -46,7 +64,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simple8b, op4_order_minhash, op7_warc_revisits, op8_winnowing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_simple8b, op4_order_minhash, op5_markov_secrets, op7_warc_revisits, op8_winnowing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
