@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import decontaminate, neardup, secrets, substring, tokens, warc
+from thicket.llm import decontaminate, neardup, pii, secrets, substring, tokens, warc
 from thicket.llm.shared import table
 
 
@@ -24,14 +24,6 @@ SQL = {
 }
 
 
-def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_documents(table(spark, sf_dir, "documents"))
-
-
-def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_copies(table(spark, sf_dir, "documents"))
-
-
 def _digest(spans: str, kinds: tuple[str, ...] | None = None) -> Column:
     """kind:start:end of all spans (or those of some kinds), joined by commas."""
     column = F.col(spans)
@@ -44,6 +36,19 @@ def _count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(_count("base", k) for k in pii.BASE), F.sha2(_digest("base"), 256).alias("base_sha256"), _digest("spans").alias("spans"))
+
+
+def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = secrets.KINDS[:3]
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -64,7 +69,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simple8b, op4_order_minhash, op5_markov_secrets, op7_warc_revisits, op8_winnowing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_weak_supervision_pii, op2_simple8b, op4_order_minhash, op5_markov_secrets, op7_warc_revisits, op8_winnowing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
