@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import decontaminate, neardup, pii, secrets, substring, tokens, warc
+from thicket.llm import decontaminate, mixing, neardup, pii, secrets, substring, tokens, warc
 from thicket.llm.shared import table
 
 
 SQL = {
+    "op6_hierarchical_mixing": mixing.sql(),
     "op7_warc_revisits": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         h AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
@@ -55,6 +56,12 @@ def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(_count("spans", k) for k in base), F.sha2(_digest("spans", base), 256).alias("base_sha256"), _digest("spans").alias("spans"))
 
 
+def op6_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.mix(table(spark, sf_dir, "documents"))
+    words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORDS)), F.lit(0)).cast("long")
+    return chosen.select("doc_id", "epoch", F.col("_mix_domain").alias("domain"), "lang", "source", words.alias("n_tokens"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -69,7 +76,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weak_supervision_pii, op2_simple8b, op4_order_minhash, op5_markov_secrets, op7_warc_revisits, op8_winnowing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_weak_supervision_pii, op2_simple8b, op4_order_minhash, op5_markov_secrets, op6_hierarchical_mixing, op7_warc_revisits, op8_winnowing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
