@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import decontaminate, mixing, neardup, pii, secrets, substring, tokens, warc
+from thicket.llm import decontaminate, mixing, neardup, pii, quality, secrets, substring, tokens, warc
 from thicket.llm.shared import table
 
 
@@ -46,6 +46,11 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_copies(table(spark, sf_dir, "documents"))
 
@@ -76,7 +81,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weak_supervision_pii, op2_simple8b, op4_order_minhash, op5_markov_secrets, op6_hierarchical_mixing, op7_warc_revisits, op8_winnowing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_weak_supervision_pii, op2_simple8b, op3_knn_quality, op4_order_minhash, op5_markov_secrets, op6_hierarchical_mixing, op7_warc_revisits, op8_winnowing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
