@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import decontaminate, mixing, neardup, pii, quality, secrets, substring, tokens, warc
+from thicket.llm import decontaminate, mixing, nearest, neardup, pii, quality, secrets, substring, tokens, warc
 from thicket.llm.shared import table
 
 
@@ -76,12 +76,16 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weak_supervision_pii, op2_simple8b, op3_knn_quality, op4_order_minhash, op5_markov_secrets, op6_hierarchical_mixing, op7_warc_revisits, op8_winnowing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_weak_supervision_pii, op2_simple8b, op3_knn_quality, op4_order_minhash, op5_markov_secrets, op6_hierarchical_mixing, op7_warc_revisits, op8_winnowing, op9_adaptive_scan, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
