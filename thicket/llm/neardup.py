@@ -10,9 +10,10 @@ a and b count k-mers: the Jaccard similarity of k-mers that keep their order. ``
 copy. Labels are unique, so the subsequence is a longest increasing run of matched positions; only matches in the
 band of offsets that the threshold allows can lie on it.
 
-In a bucket every member is compared with one drawn member, another one in each band, never all with all. Members that
-aren't near it meet again in finer buckets (equal in two bands), and there again, each round with another drawn
-member, until no bucket holds two of them: buckets that a shared passage fills break up, and no bucket is capped.
+In a bucket every member is compared with one drawn member, another one in each band, never all with all. Where a bucket
+still holds several classes, its members meet again in finer buckets (equal in two bands), which break up what a
+shared passage brought together. There, round by round, four, 32, 256, ... drawn members are compared with those of other
+classes and leave, until no bucket holds two classes. No bucket is capped; buckets of one class cost nothing more.
 
 Defined cases: a null or blank text is equal to others of that kind only, and has no words. Texts of fewer than K words are one
 k-mer. Exact copies (equal words) are one node, so groups of any size cost one row each. Null doc_ids count as one document
@@ -146,11 +147,23 @@ def _checked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     return both.sortWithinPartitions("a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, near boolean")
 
 
-def _stars(entries: DataFrame, round_: int) -> DataFrame:
-    """Of entries (bucket columns x, y; doc), those in shared buckets, each with its bucket's drawn member."""
-    draw = F.struct(F.xxhash64("doc", "x", F.lit(round_)).alias("h"), F.col("doc").alias("doc"))
+def _stars(entries: DataFrame) -> DataFrame:
+    """Of entries (bucket x, y; doc) those that share a bucket, with the bucket's drawn member."""
+    draw = F.struct(F.xxhash64("doc", "x").alias("h"), F.col("doc").alias("doc"))
     heads = entries.groupBy("x", "y").agg(F.min(draw).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y", F.col("head.doc").alias("head"))
-    return entries.join(heads, ["x", "y"]).where("doc <> head")
+    # written first: a join of plain tables is one whose hot keys Spark can split
+    return entries.join(materialise(heads, "neardup-heads"), ["x", "y"])
+
+
+def _mixed(entries: DataFrame) -> DataFrame:
+    """Buckets (x, y) of entries (x, y, doc, class) that hold several classes, with their size and least draw."""
+    found = entries.groupBy("x", "y").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"), F.min("u").alias("least"))
+    return materialise(found.where("low < high").select("x", "y", "n", "least"), "neardup-mixed")
+
+
+def _classed(entries: DataFrame, class_of: DataFrame) -> DataFrame:
+    out = entries.join(class_of, "doc", "left")
+    return out.select("x", "y", "doc", F.coalesce("class", "doc").alias("class"), (F.xxhash64("doc", "x", "y").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).alias("u"))
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -181,30 +194,37 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
     nodes = sketch.groupBy(*same).agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("copies"))
     member = materialise(sketch.select("doc", *same).join(nodes, same).select("doc", "node").distinct(), "neardup-members")
     head = sketch.join(member.where("doc = node").select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
-    texts = docs.dropDuplicates(["doc"]).select("doc", "text")
-
-    entries = head.select("doc", F.posexplode("keys").alias("band", "key")).select(F.col("key").alias("x"), F.col("band").cast("long").alias("y"), "doc")
-    found = None
-    stars = materialise(_stars(entries, 0), "neardup-stars")
-    known = None
-    for round_ in range(1, 1_000):
-        pairs = stars.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
-        pairs = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialise(_checked(pairs, texts, k, threshold), "neardup-pairs")
-        known = new if known is None else known.unionByName(new)
-        found = known.where("near").select("a", "b")
-        verdict = known.where("not near").select("a", "b")
-        far = stars.withColumn("a", F.least("doc", "head")).withColumn("b", F.greatest("doc", "head")).join(verdict, ["a", "b"], "left_semi").select("x", "y", "doc")
-        if round_ == 1:
-            # members far from their head meet again where they agree in two bands
-            keys = F.collect_set(F.struct("x", "y"))
-            two = far.groupBy("doc").agg(keys.alias("k"))
-            pair = F.explode(F.expr("flatten(transform(k, p -> transform(filter(k, q -> q.y > p.y), q -> struct(p.x as p, q.x as q, p.y * 1000 + q.y as y))))"))
-            far = two.select("doc", pair.alias("e")).select(F.xxhash64("e.p", "e.q").alias("x"), "e.y", "doc")
-        stars = materialise(_stars(far, round_), "neardup-stars")
-        if stars.limit(1).count() == 0:
+
+    entries = materialise(head.select("doc", F.posexplode("keys").alias("band", "key")).select(F.col("key").alias("x"), F.col("band").cast("long").alias("y"), "doc"), "neardup-entries")
+    stars = materialise(_stars(entries), "neardup-stars")
+    near = stars.where("doc <> head").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
+    near = materialise(near, "neardup-candidates")
+    ends = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    texts = materialise(docs.select("doc", "text").join(ends, "doc", "left_semi").dropDuplicates(["doc"]), "neardup-texts")
+    known = materialise(_checked(near, texts, k, threshold), "neardup-pairs")
+    class_of = classes(known.where("near"))
+
+    # members of buckets that hold several classes meet again where they agree in two bands
+    again = _classed(stars.select("x", "y", "doc"), class_of)
+    again = again.join(_mixed(again).select("x", "y"), ["x", "y"])
+    two = again.groupBy("doc").agg(F.collect_set(F.struct("x", "y")).alias("k"))  # BANDS entries at most
+    finer = F.explode(F.expr("flatten(transform(k, p -> transform(filter(k, q -> q.y > p.y), q -> struct(p.x AS p, q.x AS q, p.y * 1000 + q.y AS y))))"))
+    rest = two.select("doc", finer.alias("e")).select(F.xxhash64("e.p", "e.q").alias("x"), "e.y", "doc")
+    heads, rest = 4, materialise(rest, "neardup-rest")
+    while True:
+        # ever more drawn members of each bucket are compared with all others of other classes, and leave it
+        rest = _classed(rest, class_of)
+        mixed = _mixed(rest)
+        if mixed.limit(1).count() == 0:
             break
-    class_of = classes(found)
+        live = materialise(rest.join(mixed, ["x", "y"]).withColumn("drawn", F.col("u") <= F.greatest("least", F.lit(float(heads)) / F.col("n"))), "neardup-live")
+        drawn = live.where("drawn").select("x", "y", F.col("doc").alias("head"), F.col("class").alias("of"))
+        pairs = live.join(drawn, ["x", "y"]).where("class <> of").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
+        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        known = materialise(known.unionByName(_checked(pairs, texts, k, threshold)), "neardup-pairs")
+        class_of = classes(known.where("near"))
+        rest, heads = live.where("not drawn").select("x", "y", "doc"), heads * 8
+    found = known.where("near").select("a", "b")
     degree = found.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
     node = class_of.join(degree, "doc").select(F.col("doc").alias("node"), "class", "n_links")
     full = member.join(node, "node", "left").select("doc", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
