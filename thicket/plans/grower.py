@@ -9,14 +9,16 @@ expression over their bins, so nothing is rewritten within a tree. The larger ch
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.operators import histogram, split
+from thicket.operators import histogram, scan
 from thicket.operators.binning import BinMapper
+from thicket.operators.scan import Dense
 from thicket.operators.split import Feature, SplitParams
 from thicket.plans.model import Leaf, Node, Tree
 
@@ -84,60 +86,49 @@ class Grower:
     def __init__(self, df: DataFrame, mappers: list[BinMapper], params: GrowParams, features: list[Feature], used: set[int], rng: random.Random) -> None:
         self.df, self.mappers, self.p, self.features, self.used, self.rng = df, mappers, params, features, used, rng
         self.bins = [f"b{f.index}" for f in features]
-        self.hists: list[tuple[set[int], DataFrame]] = []
+        self.hists: dict[int, Dense] = {}
         self.keys = 0
-        self.cached: list[DataFrame] = []
         self.by_index = {f.index: f for f in features}
-        s = params.split
-        self.context = s.path_smooth > 0 or s.monotone_penalty > 0 or any(f.monotone for f in features)
         self.jobs = 0
 
-    def _histogram(self, leaf: Column, keys: list[int]) -> DataFrame:
+    def _histograms(self, leaf: Column, keys: list[int]) -> dict[int, Dense]:
+        """One aggregation; a leaf's histogram is as large as its features and bins."""
         rows = self.df.withColumn("leaf", leaf)
         rows = rows.where(F.col("leaf").isin(keys)) if keys != [0] else rows
         many = self.p.batches if self.p.batches is not None else len(self.bins) >= BATCH_FEATURES
-        hist = (histogram.by_batches if many else histogram.by_columns)(rows, self.bins)
-        if [f.index for f in self.features] != list(range(len(self.features))):
-            number = F.create_map(*(F.lit(x) for i, f in enumerate(self.features) for x in (i, f.index)))
-            hist = hist.withColumn("feature", number[F.col("feature")])
-        return hist
-
-    def _of(self, keys: set[int]) -> DataFrame:
-        parts = [df.where(F.col("leaf").isin(sorted(own & keys))) for own, df in self.hists if own & keys]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        found = (histogram.by_batches if many else histogram.by_columns)(rows, self.bins).toArrow()
+        column = {c: np.asarray(found.column(c)) for c in found.column_names}
+        shape = (len(self.features), max(f.num_bin for f in self.features))
+        out = {}
+        for key in keys:
+            mine = column["leaf"] == key
+            dense = Dense(np.zeros(shape), np.zeros(shape), np.zeros(shape, np.int64))
+            for c in ("g", "h", "n"):
+                getattr(dense, c)[column["feature"][mine], column["bin"][mine]] = column[c][mine]
+            out[key] = dense
         return out
 
     def search(self, root: _Leaf, parents: list[_Leaf]) -> None:
         """Makes the parents' children, or begins with the root, and finds their best splits by one job."""
+        if not self.features:
+            return
+        self.jobs += 1
         if not parents:
-            fresh, hist = [root], self._histogram(F.lit(0), [0])
+            fresh, self.hists = [root], self._histograms(F.lit(0), [0])
         else:
-            fresh, small, pairs = [], [], []
+            fresh, pairs = [], []
             for leaf in parents:
                 leaf.children = self._children(leaf)
                 a, b = leaf.children
                 fresh += [a, b]
-                few, rest = (a, b) if a.n < b.n else (b, a)
-                small.append(few.key)
-                pairs.append((leaf.key, few.key, rest.key))
-            counted = self._histogram(_route(root, self.by_index), small).cache()
-            self.cached.append(counted)
-            sibling = lambda at: F.create_map(*(F.lit(x) for pair in pairs for x in (pair[at], pair[2])))[F.col("leaf")]
-            above = self._of({p[0] for p in pairs}).withColumn("leaf", sibling(0))
-            less = counted.select(sibling(1).alias("leaf"), "feature", "bin", (-F.col("g")).alias("g"), (-F.col("h")).alias("h"), (-F.col("n")).alias("n"))
-            rest = above.unionByName(less).groupBy("leaf", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).where("n > 0")
-            hist = counted.unionByName(rest)
-        hist = hist.cache()
-        self.cached.append(hist)
-        self.hists.append(({x.key for x in fresh}, hist))
-        open_ = [x for x in fresh if self._may_split(x)]
-        self.jobs += 1
-        if open_:
-            found = {r["leaf"]: r for r in self._best(hist, open_).collect()}  # a row a leaf
-            for x in open_:
-                x.row = found.get(x.key)
+                pairs.append((leaf, a, b) if a.n < b.n else (leaf, b, a))
+            small = self._histograms(_route(root, self.by_index), [few.key for _, few, _ in pairs])
+            for leaf, few, rest in pairs:
+                self.hists[few.key] = small[few.key]
+                self.hists[rest.key] = self.hists[leaf.key].less(small[few.key])
+        for x in fresh:
+            if self._may_split(x):
+                x.row = self._best(x)
 
     def _may_split(self, x: _Leaf) -> bool:
         return (self.p.max_depth <= 0 or x.depth < self.p.max_depth) and x.n >= 2 * self.p.split.min_data_in_leaf
@@ -152,30 +143,16 @@ class Grower:
             every = sorted(self.rng.sample(every, k))
         return every
 
-    def _best(self, hist: DataFrame, leaves: list[_Leaf]) -> DataFrame:
-        spark, s = self.df.sparkSession, self.p.split
+    def _best(self, x: _Leaf, forced: tuple[int, int] | None = None) -> dict[str, Any] | None:
         features = self.features
         if self.p.cegb_coupled:
-            features = [Feature(**{**f.__dict__, "penalty": 0.0 if f.index in self.used else self.p.cegb_tradeoff * self.p.cegb_coupled[f.index]}) for f in features]
-        hist = hist.where(F.col("leaf").isin([x.key for x in leaves]))
-        allowed = None
-        if self.p.interaction or self.p.feature_fraction_bynode < 1 or self.p.extra_trees:
-            rows = [(x.key, i, self.rng.randrange(max(1, self.mappers[i].num_bin - 1)) if self.p.extra_trees else None) for x in leaves for i in self._allowed(x)]
-            allowed = spark.createDataFrame(rows, "leaf int, feature int, draw int")
-            hist = hist.join(F.broadcast(allowed.drop("draw")), ["leaf", "feature"], "left_semi")
-        found = split.candidates(hist, features, s)
+            features = [replace(f, penalty=0.0 if f.index in self.used else self.p.cegb_tradeoff * self.p.cegb_coupled[f.index]) for f in features]
+        only, thresholds = set(self._allowed(x)), {}
         if self.p.extra_trees:
-            found = found.join(F.broadcast(allowed), ["leaf", "feature"])
-            # a threshold at an empty bin has the sums of the next candidate on its side
-            near = F.col("cats").isNotNull() | F.when(F.col("dir") == 0, F.col("threshold") >= F.col("draw")).otherwise(F.col("threshold") <= F.col("draw"))
-            rest = [c for c in found.columns if c not in ("leaf", "feature", "dir")]
-            key = F.when(F.col("cats").isNull(), F.abs(F.col("threshold") - F.col("draw"))).otherwise(F.pmod(F.xxhash64("leaf", "feature", "threshold"), F.lit(1 << 30)).cast("int"))
-            found = found.where(near).groupBy("leaf", "feature", "dir").agg(F.min(F.struct(key.alias("k"), F.struct(*rest).alias("row"))).alias("top")).select("leaf", "feature", "dir", "top.row.*")
-            found = found.withColumn("threshold", F.when(F.col("cats").isNull(), F.col("draw")).otherwise(F.col("threshold"))).drop("draw")
-        context = None
-        if self.context:
-            context = spark.createDataFrame([(x.key, float(x.output), float(x.lo), float(x.hi), x.depth) for x in leaves], "leaf int, parent_output double, lo double, hi double, depth int")
-        return split.best(split.scored(found, s, context), ["leaf"])
+            thresholds = {f.index: self.rng.randrange(max(1, f.num_bin - 1)) for f in features}
+        if forced:
+            only, thresholds = {forced[0]}, {forced[0]: forced[1]}
+        return scan.best_split(self.hists[x.key], features, self.p.split, x.output, x.lo, x.hi, x.depth, thresholds, only)
 
     def _children(self, x: _Leaf) -> tuple[_Leaf, _Leaf]:
         r = x.row
@@ -194,13 +171,6 @@ class Grower:
 
     def grow(self) -> tuple[Tree, Column, _Leaf]:
         """The tree (outputs not yet shrunk), the expression of a row's leaf number, and the root."""
-        try:
-            return self._grow()
-        finally:
-            for df in self.cached:
-                df.unpersist()
-
-    def _grow(self) -> tuple[Tree, Column, _Leaf]:
         r = self.df.agg(F.sum("grad").alias("g"), F.sum("hess").alias("h"), F.count(F.lit(1)).alias("n")).first()
         g, h, n = r["g"] or 0.0, r["h"] or 0.0, r["n"]
         root = _Leaf(0, 0, g, h, n, self._output(g, h))
@@ -240,10 +210,7 @@ class Grower:
             if f is None:
                 continue
             wanted = self.mappers[f.index].bin(float(plan["threshold"]))
-            hist = self._of({leaf.key}).where(F.col("feature") == f.index)
-            found = split.candidates(hist, [f], self.p.split).where(F.col("threshold") <= wanted)
-            context = self.df.sparkSession.createDataFrame([(leaf.key, float(leaf.output), float(leaf.lo), float(leaf.hi), leaf.depth)], "leaf int, parent_output double, lo double, hi double, depth int") if self.context else None
-            row = split.scored(found, self.p.split, context).orderBy(F.desc("threshold"), "dir").first()
+            row = self._best(leaf, (f.index, wanted))
             if row is None:
                 break
             leaf.row = row
