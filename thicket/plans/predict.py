@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thicket.functions.objectives import find, transform
 from thicket.operators.binning import NAN, ZERO, ZERO_MISSING
@@ -82,6 +83,7 @@ def _matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
 def _by_batch(df: DataFrame, model: Model, name: str, kind: str, compute) -> DataFrame:  # noqa: ANN001
     kept, n = df.columns, len(model.features)
     arrow = {"array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}[kind]
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType() if kind == "array<double>" else T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +93,7 @@ def _by_batch(df: DataFrame, model: Model, name: str, kind: str, compute) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], lists], [*kept, name])
 
     inputs = df.select(*kept, *(F.col(f"`{f}`").cast("double").alias(f"_f{i}") for i, f in enumerate(model.features)))
-    return inputs.mapInArrow(run, df.schema.add(name, kind))
+    return inputs.mapInArrow(run, schema)
 
 
 def predict(df: DataFrame, model: Model, mode: str = "prediction", name: str = "prediction", start: int = 0, iterations: int = -1, engine: str = "auto", margin: float = 10.0, freq: int = 10) -> DataFrame:
