@@ -10,10 +10,12 @@ a and b count k-mers: the Jaccard similarity of k-mers that keep their order. ``
 copy. Labels are unique, so the subsequence is a longest increasing run of matched positions; only matches in the
 band of offsets that the threshold allows can lie on it.
 
-In a bucket every member is compared with one drawn member, another one in each band, never all with all. Where a bucket
-still holds several classes, its members meet again in finer buckets (equal in two bands), which break up what a
-shared passage brought together. There, round by round, four, 32, 256, ... drawn members are compared with those of other
-classes and leave, until no bucket holds two classes. No bucket is capped; buckets of one class cost nothing more.
+In a bucket every member is compared with its head, the member that shares most buckets with others; never all with all. Where a
+bucket still holds several classes, its members meet again in finer buckets (equal in two bands), which break up what
+a shared passage brought together. Of these documents Spark counts the k-mers that another of them has: pairs that can't share
+enough of them aren't compared, which settles clouds of copies that differ too much from each other. For the rest, round
+by round, four, 32, 256, ... drawn members are compared with those of other classes and leave, until no bucket holds two
+classes. No bucket is capped; buckets of one class cost nothing more.
 
 Defined cases: a null or blank text is equal to others of that kind only, and has no words. Texts of fewer than K words are one
 k-mer. Exact copies (equal words) are one node, so groups of any size cost one row each. Null doc_ids count as one document
@@ -148,11 +150,31 @@ def _checked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
 
 
 def _stars(entries: DataFrame) -> DataFrame:
-    """Of entries (bucket x, y; doc) those that share a bucket, with the bucket's drawn member."""
-    draw = F.struct(F.xxhash64("doc", "x").alias("h"), F.col("doc").alias("doc"))
-    heads = entries.groupBy("x", "y").agg(F.min(draw).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y", F.col("head.doc").alias("head"))
-    # written first: a join of plain tables is one whose hot keys Spark can split
-    return entries.join(materialise(heads, "neardup-heads"), ["x", "y"])
+    """Of entries (bucket x, y; doc) those that share a bucket, with the bucket's head: the member whose buckets hold most, which in
+    a cloud of copies is the text that they come from."""
+    sizes = materialise(entries.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "neardup-sizes")
+    # written first, here and below: a join of plain tables is one whose hot keys Spark can split
+    shared = materialise(entries.join(sizes, ["x", "y"]), "neardup-shared")
+    fame = shared.groupBy("doc").agg(F.sum("n").alias("fame"))
+    order = F.struct((-F.col("fame")).alias("f"), F.xxhash64("doc", "x").alias("h"), F.col("doc").alias("doc"))
+    heads = shared.select("x", "y", "doc").join(fame, "doc").groupBy("x", "y").agg(F.min(order).alias("head")).select("x", "y", F.col("head.doc").alias("head"))
+    return shared.select("x", "y", "doc").join(materialise(heads, "neardup-heads"), ["x", "y"])
+
+
+def _common(texts: DataFrame, k: int) -> DataFrame:
+    """doc, size (k-mers) and common: how many of them another of these texts has too. No two texts share more than the lesser
+    ``common``, so pairs for which that is too little for the threshold needn't be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 20):
+            grams, first = labelled(split_words(batch.column("text"), SPACED, LOWER), k)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))], ["doc", "grams"])
+
+    lists = materialise(texts.select("doc", "text").mapInArrow(run, "doc long, grams array<long>"), "neardup-grams")
+    rows = lists.select("doc", F.explode("grams").alias("gram"))
+    repeated = materialise(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "neardup-repeated")
+    counts = rows.join(repeated, "gram").groupBy("doc").agg(F.count(F.lit(1)).alias("common"))
+    return lists.select("doc", F.size("grams").cast("long").alias("size")).join(counts, "doc")
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
@@ -210,16 +232,21 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
     two = again.groupBy("doc").agg(F.collect_set(F.struct("x", "y")).alias("k"))  # BANDS entries at most
     finer = F.explode(F.expr("flatten(transform(k, p -> transform(filter(k, q -> q.y > p.y), q -> struct(p.x AS p, q.x AS q, p.y * 1000 + q.y AS y))))"))
     rest = two.select("doc", finer.alias("e")).select(F.xxhash64("e.p", "e.q").alias("x"), "e.y", "doc")
-    heads, rest = 4, materialise(rest, "neardup-rest")
+    # documents whose other k-mers are their own alone can't be near to any
+    common = materialise(_common(texts.join(two.select("doc"), "doc", "left_semi"), k), "neardup-common")
+    possible = common.where(F.col("common") >= threshold * F.col("size") - 1e-9)
+    heads, rest = 4, materialise(rest.join(possible.select("doc"), "doc", "left_semi"), "neardup-rest")
+    least = threshold / (1 + threshold)
     while True:
         # ever more drawn members of each bucket are compared with all others of other classes, and leave it
         rest = _classed(rest, class_of)
         mixed = _mixed(rest)
         if mixed.limit(1).count() == 0:
             break
-        live = materialise(rest.join(mixed, ["x", "y"]).withColumn("drawn", F.col("u") <= F.greatest("least", F.lit(float(heads)) / F.col("n"))), "neardup-live")
-        drawn = live.where("drawn").select("x", "y", F.col("doc").alias("head"), F.col("class").alias("of"))
-        pairs = live.join(drawn, ["x", "y"]).where("class <> of").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
+        live = materialise(rest.join(mixed, ["x", "y"]).join(possible, "doc").withColumn("drawn", F.col("u") <= F.greatest("least", F.lit(float(heads)) / F.col("n"))), "neardup-live")
+        drawn = live.where("drawn").select("x", "y", F.col("doc").alias("head"), F.col("class").alias("of"), F.col("size").alias("hs"), F.col("common").alias("hc"))
+        enough = F.least("common", "hc") >= least * (F.col("size") + F.col("hs")) - 1e-9
+        pairs = live.join(drawn, ["x", "y"]).where((F.col("class") != F.col("of")) & enough).select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
         pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         known = materialise(known.unionByName(_checked(pairs, texts, k, threshold)), "neardup-pairs")
         class_of = classes(known.where("near"))
