@@ -6,7 +6,8 @@ ordinary identifier, per character. Tokens at or over ``RATIO`` that hold letter
 spans of kind ``random``.
 
 Both models are trained from labelled samples: the matches of the patterns label random strings, together with seeded strings of
-the alphabets that credentials use; the words and identifiers outside of matches label ordinary ones. Spark counts the character
+the alphabets that credentials use; the words and identifiers outside of matches label ordinary ones, but for long ones with digits, which
+are left open. Spark counts the character
 pairs of all documents; the counts (two tables of 66 x 66) are all that comes to the driver.
 
 Defined cases: null and empty texts have no spans. Positions are code points, ends exclusive. Other columns aren't read.
@@ -35,6 +36,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 LEAST, RATIO = 20, 1.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+BACK_OFF = 5.0
 SEEDED = 400  # strings of each seeded alphabet
 _CODE = np.full(256, -1, np.int16)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
@@ -101,7 +103,10 @@ def samples(docs: DataFrame) -> DataFrame:
             random_ = held[stop] - held[start] > 0
             whole = random_ & (stop - start >= ACCESS_LEAST)
             total[1] += _pair_counts(codes, start[whole], stop[whole])
-            total[0] += _pair_counts(codes, start[~random_], stop[~random_])
+            # long tokens with digits are what has to be judged: they label nothing
+            digits = np.concatenate([[0], np.cumsum((codes >= 52) & (codes < 62))])
+            plain = ~random_ & ((stop - start < LEAST) | (digits[stop] == digits[start]))
+            total[0] += _pair_counts(codes, start[plain], stop[plain])
         label, pair = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(total[label, pair])], ["label", "pair", "n"])
 
@@ -120,7 +125,8 @@ def seeded_counts(seed: int = 7) -> np.ndarray:
 
 def train(counts: list[tuple[int, int, int]], seed: int = 7) -> np.ndarray:
     """Log-likelihood ratio of each character pair (66 x 66): log P(second | first) as random less that as ordinary.
-    counts: (label, pair, n). One is added to each count; found and seeded random strings weigh alike."""
+    counts: (label, pair, n). Pairs back off to how common the second character is at all, so that characters that
+    ordinary words hardly use speak for a random string. Found and seeded random strings weigh alike."""
     total = np.zeros((2, _N * _N), float)
     for label, pair, n in counts:
         total[label, pair] += n
@@ -128,9 +134,11 @@ def train(counts: list[tuple[int, int, int]], seed: int = 7) -> np.ndarray:
     if total[1].sum():
         total[1] *= seeded.sum() / total[1].sum()
     total[1] += seeded
-    table = (total + 1).reshape(2, _N, _N)
-    logs = np.log(table / table.sum(2, keepdims=True))
-    return logs[1] - logs[0]
+    table = total.reshape(2, _N, _N)
+    single = table.sum(1) + 0.5
+    single /= single.sum(1, keepdims=True)
+    chance = (table + BACK_OFF * single[:, None]) / (table.sum(2, keepdims=True) + BACK_OFF)
+    return np.log(chance[1]) - np.log(chance[0])
 
 
 def find(docs: DataFrame, model: np.ndarray, least: int = LEAST, ratio: float = RATIO) -> DataFrame:
