@@ -13,8 +13,8 @@ band of offsets that the threshold allows can lie on it.
 In a bucket every member is compared with its head, the member that shares most buckets with others; never all with all. Where a
 bucket still holds several classes, its members meet again in finer buckets (equal in two bands), which break up what
 a shared passage brought together. Of these documents Spark counts the k-mers that another of them has: pairs that can't share
-enough of them aren't compared, which settles clouds of copies that differ too much from each other. For the rest, round
-by round, four, 32, 256, ... drawn members are compared with those of other classes and leave, until no bucket holds two
+enough of them aren't compared, nor are pairs whose signatures (``SIGN_BITS`` bits of minima) are too far apart for the threshold,
+which settles clouds of copies that differ too much from each other. For the rest, round by round, 8, 128, ... drawn members are compared with those of other classes and leave, until no bucket holds two
 classes. No bucket is capped; buckets of one class cost nothing more.
 
 Defined cases: a null or blank text is equal to others of that kind only, and has no words. Texts of fewer than K words are one
@@ -24,6 +24,7 @@ id above all others. Other columns aren't read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,9 @@ from thicket.llm.shared import materialise
 from thicket.llm.words import LOWER, SPACED, Words, _WORD_BASE, chunks, mix, ranges_hash, split_words
 
 K, KEEP, ROWS, BANDS, THRESHOLD = 5, 2, 2, 16, 0.8
+#: Bits of a signature, and standard deviations that a pair at the threshold may fall short of its expected agreement (three
+#: in a million fall shorter).
+SIGN_BITS, SIGN_SLACK = 512, 4.5
 _LAST = (1 << 63) - 1
 
 
@@ -78,6 +82,19 @@ def sketches(grams: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.
     return out
 
 
+def signatures(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SIGN_BITS bits a document, in 64-bit words: each a bit of the least of its k-mers' hashes. Two documents agree in a share of
+    (1 + J) / 2 of them, J their Jaccard similarity, which is no less than the ordered one."""
+    bits = np.zeros((len(first) - 1, SIGN_BITS), bool)
+    some = np.flatnonzero(np.diff(first) > 0)
+    if len(some):
+        begin = first[some]
+        for j in range(SIGN_BITS):
+            odd = np.uint64((j * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
+            bits[some, j] = mix(np.minimum.reduceat(grams * odd, begin)) & np.uint64(1)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     """Ordered Jaccard similarity of two sequences of unique values; below the threshold 0 may be given instead."""
     least = threshold / (1 + threshold) * (len(a) + len(b))
@@ -168,13 +185,15 @@ def _common(texts: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
             grams, first = labelled(split_words(batch.column("text"), SPACED, LOWER), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))], ["doc", "grams"])
+            signs = signatures(grams, first)
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v.view(np.int64))) for o, v in ((first, grams), (np.arange(len(batch) + 1) * signs.shape[1], signs.ravel()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *lists], ["doc", "grams", "sign"])
 
-    lists = materialise(texts.select("doc", "text").mapInArrow(run, "doc long, grams array<long>"), "neardup-grams")
+    lists = materialise(texts.select("doc", "text").mapInArrow(run, "doc long, grams array<long>, sign array<long>"), "neardup-grams")
     rows = lists.select("doc", F.explode("grams").alias("gram"))
     repeated = materialise(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "neardup-repeated")
     counts = rows.join(repeated, "gram").groupBy("doc").agg(F.count(F.lit(1)).alias("common"))
-    return lists.select("doc", F.size("grams").cast("long").alias("size")).join(counts, "doc")
+    return lists.select("doc", F.size("grams").cast("long").alias("size"), "sign").join(counts, "doc")
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
@@ -229,14 +248,16 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
     # members of buckets that hold several classes meet again where they agree in two bands
     again = _classed(stars.select("x", "y", "doc"), class_of)
     again = again.join(_mixed(again).select("x", "y"), ["x", "y"])
-    two = again.groupBy("doc").agg(F.collect_set(F.struct("x", "y")).alias("k"))  # BANDS entries at most
+    two = materialise(again.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("y", "x"))).alias("k")), "neardup-two")  # BANDS entries at most
     finer = F.explode(F.expr("flatten(transform(k, p -> transform(filter(k, q -> q.y > p.y), q -> struct(p.x AS p, q.x AS q, p.y * 1000 + q.y AS y))))"))
     rest = two.select("doc", finer.alias("e")).select(F.xxhash64("e.p", "e.q").alias("x"), "e.y", "doc")
     # documents whose other k-mers are their own alone can't be near to any
     common = materialise(_common(texts.join(two.select("doc"), "doc", "left_semi"), k), "neardup-common")
     possible = common.where(F.col("common") >= threshold * F.col("size") - 1e-9)
-    heads, rest = 4, materialise(rest.join(possible.select("doc"), "doc", "left_semi"), "neardup-rest")
-    least = threshold / (1 + threshold)
+    possible = materialise(possible.join(two, "doc"), "neardup-possible")
+    heads, rest = 8, materialise(rest.join(possible.select("doc"), "doc", "left_semi"), "neardup-rest")
+    least, agree = threshold / (1 + threshold), (1 + threshold) / 2
+    apart = int(SIGN_BITS * (1 - agree) + SIGN_SLACK * math.sqrt(SIGN_BITS * agree * (1 - agree)))
     while True:
         # ever more drawn members of each bucket are compared with all others of other classes, and leave it
         rest = _classed(rest, class_of)
@@ -244,13 +265,20 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
         if mixed.limit(1).count() == 0:
             break
         live = materialise(rest.join(mixed, ["x", "y"]).join(possible, "doc").withColumn("drawn", F.col("u") <= F.greatest("least", F.lit(float(heads)) / F.col("n"))), "neardup-live")
-        drawn = live.where("drawn").select("x", "y", F.col("doc").alias("head"), F.col("class").alias("of"), F.col("size").alias("hs"), F.col("common").alias("hc"))
-        enough = F.least("common", "hc") >= least * (F.col("size") + F.col("hs")) - 1e-9
-        pairs = live.join(drawn, ["x", "y"]).where((F.col("class") != F.col("of")) & enough).select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
+        drawn = live.where("drawn").select("x", "y", *(F.col(c).alias(f"h_{c}") for c in ("doc", "class", "size", "common", "sign", "k")))
+        enough = F.least("common", "h_common") >= least * (F.col("size") + F.col("h_size")) - 1e-9
+        # written out, so that it is compiled
+        close = F.expr(" + ".join(f"bit_count(sign[{i}] ^ h_sign[{i}])" for i in range(SIGN_BITS // 64)) + f" <= {apart}")
+        # a pair may share many buckets: it is compared in the first of them
+        here = F.expr("transform(array(slice(array_intersect(k, h_k), 1, 2)), e -> e[0].y * 1000 + e[1].y)[0] = y")
+        pairs = live.join(drawn, ["x", "y"]).where((F.col("class") != F.col("h_class")) & enough & close & here)
+        pairs = pairs.select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b")).distinct()
         pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = materialise(known.unionByName(_checked(pairs, texts, k, threshold)), "neardup-pairs")
-        class_of = classes(known.where("near"))
-        rest, heads = live.where("not drawn").select("x", "y", "doc"), heads * 8
+        new = materialise(_checked(pairs, texts, k, threshold), "neardup-pairs")
+        known = known.unionByName(new)
+        if new.where("near").limit(1).count():
+            class_of = classes(known.where("near"))
+        rest, heads = live.where("not drawn").select("x", "y", "doc"), heads * 16
     found = known.where("near").select("a", "b")
     degree = found.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
     node = class_of.join(degree, "doc").select(F.col("doc").alias("node"), "class", "n_links")
