@@ -14,7 +14,7 @@ In a bucket every member is compared with its head, the member that shares most
 bucket still holds several classes, its members meet again in finer buckets (equal in two bands), which break up what
 a shared passage brought together. Of these documents Spark counts the k-mers that another of them has: pairs that can't share
 enough of them aren't compared, nor are pairs whose signatures (``SIGN_BITS`` bits of minima) are too far apart for the threshold,
-which settles clouds of copies that differ too much from each other. For the rest, round by round, 8, 128, ... drawn members are compared with those of other classes and leave, until no bucket holds two
+which settles clouds of copies that differ too much from each other. For the rest, round by round, 64, 1024, ... drawn members outside of a bucket's largest class are compared with those of other classes and leave, until no bucket holds two
 classes. No bucket is capped; buckets of one class cost nothing more.
 
 Defined cases: a null or blank text is equal to others of that kind only, and has no words. Texts of fewer than K words are one
@@ -197,9 +197,10 @@ def _common(texts: DataFrame, k: int) -> DataFrame:
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
-    """Buckets (x, y) of entries (x, y, doc, class) that hold several classes, with their size and least draw."""
-    found = entries.groupBy("x", "y").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"), F.min("u").alias("least"))
-    return materialise(found.where("low < high").select("x", "y", "n", "least"), "neardup-mixed")
+    """Buckets (x, y) of entries (x, y, doc, class) that hold several classes: the class that most are of, and how many aren't."""
+    sizes = entries.groupBy("x", "y", "class").agg(F.count(F.lit(1)).alias("c"))
+    found = sizes.groupBy("x", "y").agg(F.max(F.struct("c", "class")).alias("top"), F.sum("c").alias("n")).where("n > top.c")
+    return materialise(found.select("x", "y", F.col("top.class").alias("major"), (F.col("n") - F.col("top.c")).alias("minor")), "neardup-mixed")
 
 
 def _classed(entries: DataFrame, class_of: DataFrame) -> DataFrame:
@@ -254,23 +255,27 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
     # documents whose other k-mers are their own alone can't be near to any
     common = materialise(_common(texts.join(two.select("doc"), "doc", "left_semi"), k), "neardup-common")
     possible = common.where(F.col("common") >= threshold * F.col("size") - 1e-9)
-    possible = materialise(possible.join(two, "doc"), "neardup-possible")
-    heads, rest = 8, materialise(rest.join(possible.select("doc"), "doc", "left_semi"), "neardup-rest")
+    slots = F.map_from_entries(F.transform("k", lambda e: F.struct(e["y"], e["x"])))
+    slotted = two.select("doc", slots.alias("m")).select("doc", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.try_element_at("m", b.cast("long"))).alias("slots"))
+    possible = materialise(possible.join(slotted, "doc"), "neardup-possible")
+    heads, rest = 64, materialise(rest.join(possible.select("doc"), "doc", "left_semi"), "neardup-rest")
     least, agree = threshold / (1 + threshold), (1 + threshold) / 2
     apart = int(SIGN_BITS * (1 - agree) + SIGN_SLACK * math.sqrt(SIGN_BITS * agree * (1 - agree)))
     while True:
-        # ever more drawn members of each bucket are compared with all others of other classes, and leave it
+        # of any two classes one isn't the bucket's largest: ever more drawn members of such classes are compared with all
+        # of other classes, and leave
         rest = _classed(rest, class_of)
         mixed = _mixed(rest)
         if mixed.limit(1).count() == 0:
             break
-        live = materialise(rest.join(mixed, ["x", "y"]).join(possible, "doc").withColumn("drawn", F.col("u") <= F.greatest("least", F.lit(float(heads)) / F.col("n"))), "neardup-live")
-        drawn = live.where("drawn").select("x", "y", *(F.col(c).alias(f"h_{c}") for c in ("doc", "class", "size", "common", "sign", "k")))
+        live = materialise(rest.join(mixed, ["x", "y"]).join(possible, "doc").withColumn("drawn", (F.col("class") != F.col("major")) & (F.col("u") <= F.lit(float(heads)) / F.col("minor"))), "neardup-live")
+        drawn = live.where("drawn").select("x", "y", *(F.col(c).alias(f"h_{c}") for c in ("doc", "class", "size", "common", "sign", "slots")))
         enough = F.least("common", "h_common") >= least * (F.col("size") + F.col("h_size")) - 1e-9
         # written out, so that it is compiled
         close = F.expr(" + ".join(f"bit_count(sign[{i}] ^ h_sign[{i}])" for i in range(SIGN_BITS // 64)) + f" <= {apart}")
         # a pair may share many buckets: it is compared in the first of them
-        here = F.expr("transform(array(slice(array_intersect(k, h_k), 1, 2)), e -> e[0].y * 1000 + e[1].y)[0] = y")
+        agreeing = " + ".join(f"if(slots[{b}] = h_slots[{b}], {1 << b}L, 0L)" for b in range(bands))
+        here = F.expr(f"(({agreeing}) & (shiftleft(2L, int(y % 1000)) - 1L)) = shiftleft(1L, int(y div 1000)) + shiftleft(1L, int(y % 1000))")
         pairs = live.join(drawn, ["x", "y"]).where((F.col("class") != F.col("h_class")) & enough & close & here)
         pairs = pairs.select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b")).distinct()
         pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
