@@ -95,6 +95,11 @@ class Stopper:
         return None
 
 
+def _into(score: Column, k: int, c: int, more: Column) -> Column:
+    """Adds to a score, or to class ``c`` of an array of ``k``."""
+    return score + more if k == 1 else F.transform(score, lambda v, i: F.when(i == c, v + more).otherwise(v))
+
+
 def split_params(p: Params) -> SplitParams:
     return SplitParams(
         p.lambda_l1, p.lambda_l2, p.max_delta_step, p.path_smooth, p.min_data_in_leaf, p.min_sum_hessian_in_leaf, p.min_gain_to_split, p.count_mode, p.max_cat_to_onehot, p.max_cat_threshold, p.cat_smooth, p.cat_l2, p.min_data_per_group, p.monotone_penalty, p.cegb_tradeoff, p.cegb_penalty_split
@@ -156,6 +161,9 @@ class Booster:
             sums = [sum((F.expr(tree_sql(t, names)) for t in init_model.trees[c :: self.k]), F.lit(0.0)) for c in range(self.k)]
             base = F.array(*sums) if self.k > 1 else sums[0]
         self.state = materialise(table.withColumn("score", base).drop("_init"), "train").cache()
+        if params.boosting == "dart" and not init_model and any(self.init):
+            # constants of their own, which are never dropped
+            self.model.trees += [Tree(leaves=[Leaf(float(v))]) for v in self.init]
         self.begun = len(self.model.trees)
         self.routes: list[Column] = []
         self.weights: list[float] = []
@@ -230,9 +238,7 @@ class Booster:
         return score
 
     def _into(self, score: Column, c: int, more: Column) -> Column:
-        if self.k == 1:
-            return score + more
-        return F.transform(score, lambda v, i: F.when(i == c, v + more).otherwise(v))
+        return _into(score, self.k, c, more)
 
     def _output(self, route: Column, tree: Tree) -> Column:
         if not tree.nodes and not tree.linear:
@@ -285,7 +291,6 @@ class Booster:
             tree.shrink(rate)
             score = self._into(score, c, self._output(route, tree))
             self.routes.append(route)
-        new_score = [self._output(route, tree) for tree, route in grown]
         if p.boosting == "dart" and gone:
             for i in gone:
                 for c in range(self.k):
@@ -294,24 +299,19 @@ class Booster:
         self._advance(score, iteration)
         for name, df in self.valid.items():
             sums = F.col("_score")
-            if p.boosting == "dart" and gone:
-                self.valid[name] = df  # recomputed below from all trees
             for c, (tree, _) in enumerate(grown):
                 more = F.expr(tree_sql(tree, self.model.features, quote="`"))
-                sums = sums + more if self.k == 1 else F.transform(sums, lambda v, i, c=c, more=more: F.when(i == c, v + more).otherwise(v))
+                sums = self._into(sums, c, more)
             fresh = df.withColumn("_score", sums)
             fresh = (materialise(fresh, "valid") if (iteration + 1) % CUT == 0 else fresh).cache()
             fresh.count()
             df.unpersist()
             self.valid[name] = fresh
-        del new_score
         self.weights.append(rate)
         for c, (tree, _) in enumerate(grown):
             if first or p.boosting == "rf":
                 tree.add_bias(self.init[c])
             self.model.trees.append(tree)
-        if first and p.boosting != "rf":
-            self.first_bias = True
         if p.boosting == "dart" and gone:
             self._rescore_valid()
         return True
@@ -442,8 +442,7 @@ def refit(model: Model, data: TrainSet, params: Params | None = None, decay: flo
                     new = -shrunk / (found[j]["h"] + p.lambda_l2) if found[j]["h"] + p.lambda_l2 else 0.0
                     x.value = decay * x.value + (1 - decay) * new * tree.shrinkage
             more = F.expr(tree_sql(tree, names))
-            score = F.col("score") + more if k == 1 else F.transform("score", lambda v, at, c=c, more=more: F.when(at == c, v + more).otherwise(v))
-            rows = rows.withColumn("score", score)
+            rows = rows.withColumn("score", _into(F.col("score"), k, c, more))
         if (i + 1) % CUT == 0:
             rows = materialise(rows, "refit")
     return out
