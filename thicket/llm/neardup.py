@@ -242,7 +242,8 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
     near = stars.where("doc <> head").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
     near = materialise(near, "neardup-candidates")
     ends = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = materialise(docs.select("doc", "text").join(ends, "doc", "left_semi").dropDuplicates(["doc"]), "neardup-texts")
+    # by shuffle at every size: the documents to compare grow with the input, so they are no table to broadcast
+    texts = materialise(docs.select("doc", "text").join(ends.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]), "neardup-texts")
     known = materialise(_checked(near, texts, k, threshold), "neardup-pairs")
     class_of = classes(known.where("near"))
 
