@@ -212,6 +212,26 @@ def test_weak_supervision_adds_spans(spark):
     assert got[300] == set()
 
 
+def test_numbers_and_names_dont_hang_on_how_many_they_are(spark):
+    rows = [f"her ssn {100 + 7 * i}-45-{6000 + i} on file" for i in range(20)] + [f"patient Dr. Anna Smith{'abcdefghij'[i % 10]} came" for i in range(20)]
+    mixed = [*rows, *(f"her ssn {100 + i} 45 {6000 + i} on file" for i in range(5)), *(f"part {900 + i}-45-{6000 + i} in stock" for i in range(5)), *(f"order {200 + i}-45-{6000 + i} sent" for i in range(4)), *(f"near Elm street Mr. Foo{'abcde'[i]} sat" for i in range(5))]
+    for texts in (rows, mixed):
+        one = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        many = one.crossJoin(spark.range(100)).select("doc_id", "text")
+        got = [{(r["doc_id"], tuple(s["kind"] for s in r["spans"])) for r in pii.find(d).select("doc_id", "spans").distinct().collect()} for d in (one, many)]
+        assert got[0] == got[1]
+        kept = dict(got[0])
+        assert all(kept[i] == ("ssn",) and kept[20 + i] == ("person",) for i in range(20))
+    assert not any(kept[45 + i] for i in range(5)) and not any(kept[54 + i] for i in range(5))
+
+
+def test_every_regex_vote_varies(spark):
+    texts = ["ssn 123-45-6789, ssn 123 45 6789, ssn 123456789, ssn 912-45-6789", "Dr. Anna Smith met Mr. Smith", "call 713-555-1000 or 123-456-7890", "ip 1.2.3.4 and 01.2.3.4", "a@b.org, me [at] b [dot] org", "card 4111 1111 1111 1111, card 4111 1111 1111 1112"]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).selectExpr("explode(cands) AS x").selectExpr("x.kind", "x.v1", "x.v2").collect()
+    votes = {k: sorted(r["v1"] for r in found if r["kind"] == n) for n, k in enumerate(pii.KINDS)}
+    assert votes == {"email": [0, 1], "ip": [0, 1], "card": [0, 1], "phone": [0, 1], "ssn": [0, 0, 0, 1], "person": [0, 1]}
+
+
 def test_secrets(spark, docs, texts):
     patterns = [("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
     ok = lambda k, m: {"assign": lambda: len(m[2]) >= 8, "access": lambda: len(m[0]) >= 16, "hex": lambda: len(m[0]) >= 32}[k]()

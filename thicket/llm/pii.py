@@ -1,16 +1,18 @@
 """Personal data by weak supervision, in DataFrame and SQL functions only.
 
 Patterns give the base spans: email, ip, card, phone. Looser patterns add candidates: spelt-out emails, phones without a
-plus, cards that fail Luhn, social security numbers, titled names. On every candidate three labelers vote:
+plus, cards that fail Luhn, numbers of 3, 2 and 4 digits, titled names. On every candidate three labelers vote:
 
-* regex: the strict form of its kind (1) or not (0);
-* gazetteer: known top-level domains, issuers' digits, area codes, first names (1) or not (0);
+* regex: the strict form of its kind (1) or not (0): as a base pattern has it, dotted quads without leading zeros, local phones with
+  area and exchange from 2 up, hyphenated social security numbers without void parts, a title with two names;
+* gazetteer: known top-level domains, issuers' digits, area codes, issued areas, first names (1) or not (0);
 * context: a word of its kind (2), a contrary word (1) or neither (0) in the ``CONTEXT`` characters before it.
 
 Spark counts the vote patterns of each kind (twelve at most). Expectation-maximisation over these counts estimates each
-labeler's reliability and each pattern's probability. The candidates, labelled by these probabilities, train the final
+labeler's reliability and each pattern's probability; where the votes tell nothing, it stays where it began. The candidates, labelled by these probabilities, train the final
 classifier, naive Bayes over hashed features: the word before, the shape, the length. A candidate that is no base span is kept if
-both the votes' probability and the classifier's reach ``KEEP``. Base spans stay.
+both the votes' probability and the classifier's reach ``KEEP``. Base spans stay. Both models work on shares, so a table and many
+copies of it give the same decisions.
 
 Everything about a document stays in its row: texts are never shuffled, and the models are arrays of fixed size.
 
@@ -29,6 +31,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "person")
 CONTEXT, BUCKETS, ROUNDS, KEEP = 40, 512, 25, 0.9
 FEATURES = 3
+LEAST = "1e-9D"  # share that keeps quotients finite
 
 # Fixed patterns. \G and the look-behinds only keep Java from trying every place of a run again; the matches are the same.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -39,12 +42,18 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IP_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 SPELT = r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]{1,63}){1,5}"
 LOCAL_PHONE = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![0-9A-Za-z+/_.-])(?<![0-9] )[0-9]{3}[ .-]?[0-9]{2}[ .-]?[0-9]{4}(?![0-9A-Za-z+/_=-])(?![ .][0-9])"
 PERSON = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?(?![a-z])"
-# Fixed word lists.
+# Strict forms.
+STRICT_IP = r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$"
+STRICT_PHONE = r"^\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}$"
+STRICT_SSN = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
+STRICT_PERSON = r"^[A-Z][a-z]+\.? [A-Z][a-z]+ [A-Z][a-z]+$"
+# Fixed word lists. Areas of social security numbers as issued until 2011, less the numbers that advertisements made known.
 TOP_LEVEL = r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$"
 ISSUER = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)"
-FIRST_NAMES = r"(?:Anna|Maria|John|James|Mary|Peter|Paul|Laura|Sofia|Hans|Karl|Pierre|Marie|Jean|Carlos|Juan|Ana|David|Michael|Sarah)"
+AREAS = r"^(?!078051120|219099999)(?:00[1-9]|0[1-9][0-9]|[1-5][0-9]{2}|6[0-57-9][0-9]|66[0-57-9]|7[0-2][0-9]|73[0-3]|7[56][0-9]|77[0-2])"
+FIRST_NAMES = r"\b(?:Anna|Maria|John|James|Mary|Peter|Paul|Laura|Sofia|Hans|Karl|Pierre|Marie|Jean|Carlos|Juan|Ana|David|Michael|Sarah)\b"
 WORDS = {
     "email": ("e-?mail|mail|contact|write", "import|decorator"),
     "ip": ("ip|address|host|server|addr", "version|release|section|chapter"),
@@ -93,7 +102,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         "phones": (PHONE, "instr(t, '+') > 0"),
         "spelt": (SPELT, r"t RLIKE r'[(\[]at[)\]]'"),
         "locals": (LOCAL_PHONE, "t RLIKE r'[0-9]{3}[ .-][0-9]{4}'"),
-        "ssns": (SSN, "t RLIKE r'[0-9]{3}-[0-9]{2}-[0-9]{4}'"),
+        "ssns": (SSN, "t RLIKE r'[0-9]{3}[ .-]?[0-9]{2}[ .-]?[0-9]{4}'"),
         "people": (PERSON, r"t RLIKE r'(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z]'"),
     }
     rows = rows.withColumns({name: F.expr(_places("t", pattern, maybe)) for name, (pattern, maybe) in found.items()})
@@ -121,13 +130,23 @@ def _votes() -> str:
     """SQL: the candidate x of a text t with its labelers' votes and its features."""
     d, before = _digits("x.m"), f"lower(substring(t, greatest(x.start - {CONTEXT}, 0) + 1, least(x.start, {CONTEXT})))"
     by_kind = lambda options: "CASE x.kind " + " ".join(f"WHEN {KINDS.index(k)} THEN {v}" for k, v in options.items()) + " ELSE 0 END"
+    regex = by_kind(
+        {
+            "email": "int(x.base)",
+            "ip": f"int(x.m RLIKE r'{STRICT_IP}')",
+            "card": "int(x.base)",
+            "phone": f"int(x.base OR x.m RLIKE r'{STRICT_PHONE}')",
+            "ssn": f"int(x.m RLIKE r'{STRICT_SSN}')",
+            "person": f"int(x.m RLIKE r'{STRICT_PERSON}')",
+        }
+    )
     gazetteer = by_kind(
         {
             "email": f"int(x.m RLIKE r'{TOP_LEVEL}')",
             "ip": r"int(NOT x.m RLIKE r'^0*(?:0|127|255)\.')",
             "card": f"int({d} RLIKE r'{ISSUER}')",
             "phone": f"int({d} RLIKE r'^1?[2-9][0-9]{{9}}$')",
-            "ssn": "int(NOT x.m RLIKE '^(?:000|666|9)')",
+            "ssn": f"int({d} RLIKE r'{AREAS}')",
             "person": f"int(x.m RLIKE r'{FIRST_NAMES}')",
         }
     )
@@ -135,7 +154,7 @@ def _votes() -> str:
     word = rf"regexp_extract({before}, r'([^ ]+)[^\p{{L}}\p{{N}}]*$', 1)"
     shape = "regexp_replace(regexp_replace(x.m, '[0-9]', '9'), '[A-Za-z]+', 'a')"
     return f"""named_struct('kind', x.kind, 'base', x.base, 'start', x.start, 'end', x.end,
-        'v1', int(x.base), 'v2', {gazetteer}, 'v3', {context},
+        'v1', {regex}, 'v2', {gazetteer}, 'v3', {context},
         'f', array(pmod(hash({word}), {BUCKETS}), pmod(hash({shape}), {BUCKETS}), least(x.end - x.start, {BUCKETS - 1})))"""
 
 
@@ -146,14 +165,17 @@ def reliabilities(cands: DataFrame) -> DataFrame:
     # twelve patterns of a kind at most
     kinds = patterns.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("v1", "v2", "v3", "c"))).alias("p"))
     total = "aggregate(z, 0D, (s, j) -> s + j.p.c * {w})"
-    part = "aggregate(filter(z, j -> j.p.{v} = x.{v}), 0.5D, (s, j) -> s + j.p.c * {w})"
+    part = "aggregate(filter(z, j -> j.p.{v} = x.{v}), 0D, (s, j) -> s + j.p.c * ({w} + {least}))"
+    every = "aggregate(z, 0D, (s, j) -> s + j.p.c)"
+    # a vote is smoothed towards its share of the kind, by a share: evenly would push constant votes' probabilities up, the more the fewer rows
     chance = {}
     for name, w in (("yes", "j.q"), ("no", "(1 - j.q)")):
         n = total.format(w=w)
-        chance[name] = f"({n} + 1D)" + "".join(f" * {part.format(v=v, w=w)} / ({n} + 1.5D)" for v in ("v1", "v2", "v3"))
+        chance[name] = n + "".join(f" * {part.format(v=v, w=w, least=LEAST)} / ({n} + {LEAST} * {every})" for v in ("v1", "v2", "v3"))
     step = f"""(q, _) -> transform(arrays_zip(p, q), e -> transform(array(e.p), x -> transform(array(arrays_zip(p, q)),
         z -> {chance['yes']} / ({chance['yes']} + {chance['no']}))[0])[0])"""
-    begin = "transform(p, x -> 0.1D + 0.8D * (x.v1 + x.v2 + CASE x.v3 WHEN 2 THEN 1D WHEN 1 THEN 0D ELSE 0.5D END) / 3D)"
+    # over KEEP where all three agree, as nothing may move it
+    begin = "transform(p, x -> 0.05D + 0.9D * (x.v1 + x.v2 + CASE x.v3 WHEN 2 THEN 1D WHEN 1 THEN 0D ELSE 0.5D END) / 3D)"
     return kinds.withColumn("q", F.expr(f"aggregate(sequence(1, {ROUNDS}), {begin}, {step})"))
 
 
@@ -165,12 +187,15 @@ def classifier(cands: DataFrame, kinds: DataFrame) -> DataFrame:
     # the patterns number 12 x kinds at most
     known = flat.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.expr(code), "q"))).alias("known"), F.collect_list(F.struct("kind", "q", "c")).alias("all"))
     votes = F.expr(f"transform(sequence(0, {12 * len(KINDS) - 1}), i -> coalesce(known[i], 0D))")
-    prior = F.expr(f"""transform(sequence(0, {len(KINDS) - 1}), k -> ln(aggregate(filter(all, e -> e.kind = k), 1D, (s, e) -> s + e.q * e.c)
-        / aggregate(filter(all, e -> e.kind = k), 1D, (s, e) -> s + (1 - e.q) * e.c)))""")
+    part = "aggregate(filter(all, e -> e.kind = k), 0D, (s, e) -> s + ({w} + {least}) * e.c)"
+    prior = F.expr(f"transform(sequence(0, {len(KINDS) - 1}), k -> CASE WHEN exists(all, e -> e.kind = k) THEN ln({part.format(w='e.q', least=LEAST)} / {part.format(w='(1 - e.q)', least=LEAST)}) ELSE 0D END)")
     by_row = cands.join(flat.drop("c"), ["kind", "v1", "v2", "v3"])
     sums = by_row.select("kind", "q", F.posexplode("f").alias("n", "b")).groupBy("kind", "n", "b").agg(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no"))
     totals = sums.groupBy("kind", "n").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
-    odds = F.log((F.col("yes") + 0.5) / (F.col("all_yes") + 0.5 * BUCKETS)) - F.log((F.col("no") + 0.5) / (F.col("all_no") + 0.5 * BUCKETS))
+    # a bucket's odds are drawn towards the kind's by as many candidates as a bucket has on average
+    all_ = F.col("all_yes") + F.col("all_no")
+    odds = F.log((F.col("yes") + F.col("all_yes") / BUCKETS + F.expr(LEAST) * all_) / (F.col("no") + F.col("all_no") / BUCKETS + F.expr(LEAST) * all_))
+    odds = odds - F.log((F.col("all_yes") + F.expr(LEAST) * all_) / (F.col("all_no") + F.expr(LEAST) * all_))
     place = (F.col("kind") * FEATURES + F.col("n")) * BUCKETS + F.col("b")
     weights = sums.join(totals, ["kind", "n"]).groupBy().agg(F.map_from_entries(F.collect_list(F.struct(place.alias("i"), odds.alias("w")))).alias("w"))
     one = known.select(votes.alias("votes"), prior.alias("prior"), F.lit(1).alias("one")).join(weights.withColumn("one", F.lit(1)), "one", "left")
