@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from thicket.llm import decontaminate, mixing, neardup, nearest, pii, quality, secrets, substring, tokens, warc
@@ -187,6 +188,26 @@ def test_near_copies(spark):
     assert twice.count() == 7
 
 
+def test_copies_that_agree_in_one_band_only(spark):
+    """Every near pair that agrees in any band is found, whoever heads the bucket."""
+    passage, texts = _words(40, 21), []
+    for g in range(30):
+        own = passage + _words(30, 700 + g)
+        texts += [" ".join(own), " ".join([*own[:52], f"other{g}", *own[53:]])]
+    grams, first = neardup.labelled(split_words(pa.array(texts), SPACED, LOWER), neardup.K)
+    keys = neardup.sketches(grams, first, 2, 1)
+    seqs = [grams[first[i] : first[i + 1]] for i in range(len(texts))]
+    agree = [[int((keys[a] == keys[b]).sum()) for b in range(len(texts))] for a in range(len(texts))]
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if agree[a][b] and neardup.similarity(seqs[a], seqs[b], 0.8) >= 0.8]
+    assert sum(agree[a][b] == 1 for a, b in near) > 2
+    want = list(range(len(texts)))
+    for a, b in near:  # pairs of neighbours only
+        assert b == a + 1
+        want[b] = a
+    out = neardup.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=2, rows=1).collect()
+    assert [r["class_id"] for r in sorted(out)] == want
+
+
 def _spans(text, patterns, ok):
     return [(k, m.start(), m.end()) for k, p in patterns for m in re.finditer(p, text or "") if ok(k, m)]
 

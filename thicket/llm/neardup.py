@@ -15,7 +15,7 @@ bucket still holds several classes, its members meet again in finer buckets (equ
 a shared passage brought together. Of these documents Spark counts the k-mers that another of them has: pairs that can't share
 enough of them aren't compared, nor are pairs whose signatures (``SIGN_BITS`` bits of minima) are too far apart for the threshold,
 which settles clouds of copies that differ too much from each other. For the rest, round by round, 64, 1024, ... drawn members outside of a bucket's largest class are compared with those of other classes and leave, until no bucket holds two
-classes. No bucket is capped; buckets of one class cost nothing more.
+classes. The same rounds then run over the buckets themselves, for pairs that agree in a single band. No bucket is capped; buckets of one class cost nothing more.
 
 Defined cases: a null or blank text is equal to others of that kind only, and has no words. Texts of fewer than K words are one
 k-mer. Exact copies (equal words) are one node, so groups of any size cost one row each. Null doc_ids count as one document
@@ -249,42 +249,43 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
 
     # members of buckets that hold several classes meet again where they agree in two bands
     again = _classed(stars.select("x", "y", "doc"), class_of)
-    again = again.join(_mixed(again).select("x", "y"), ["x", "y"])
+    again = materialise(again.join(_mixed(again).select("x", "y"), ["x", "y"]).select("x", "y", "doc"), "neardup-again")
     two = materialise(again.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("y", "x"))).alias("k")), "neardup-two")  # BANDS entries at most
     finer = F.explode(F.expr("flatten(transform(k, p -> transform(filter(k, q -> q.y > p.y), q -> struct(p.x AS p, q.x AS q, p.y * 1000 + q.y AS y))))"))
-    rest = two.select("doc", finer.alias("e")).select(F.xxhash64("e.p", "e.q").alias("x"), "e.y", "doc")
+    finer = two.select("doc", finer.alias("e")).select(F.xxhash64("e.p", "e.q").alias("x"), "e.y", "doc")
     # documents whose other k-mers are their own alone can't be near to any
     common = materialise(_common(texts.join(two.select("doc"), "doc", "left_semi"), k), "neardup-common")
     possible = common.where(F.col("common") >= threshold * F.col("size") - 1e-9)
     slots = F.map_from_entries(F.transform("k", lambda e: F.struct(e["y"], e["x"])))
     slotted = two.select("doc", slots.alias("m")).select("doc", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.try_element_at("m", b.cast("long"))).alias("slots"))
     possible = materialise(possible.join(slotted, "doc"), "neardup-possible")
-    heads, rest = 64, materialise(rest.join(possible.select("doc"), "doc", "left_semi"), "neardup-rest")
     least, agree = threshold / (1 + threshold), (1 + threshold) / 2
     apart = int(SIGN_BITS * (1 - agree) + SIGN_SLACK * math.sqrt(SIGN_BITS * agree * (1 - agree)))
-    while True:
-        # of any two classes one isn't the bucket's largest: ever more drawn members of such classes are compared with all
-        # of other classes, and leave
-        rest = _classed(rest, class_of)
-        mixed = _mixed(rest)
-        if mixed.limit(1).count() == 0:
-            break
-        live = materialise(rest.join(mixed, ["x", "y"]).join(possible, "doc").withColumn("drawn", (F.col("class") != F.col("major")) & (F.col("u") <= F.lit(float(heads)) / F.col("minor"))), "neardup-live")
-        drawn = live.where("drawn").select("x", "y", *(F.col(c).alias(f"h_{c}") for c in ("doc", "class", "size", "common", "sign", "slots")))
-        enough = F.least("common", "h_common") >= least * (F.col("size") + F.col("h_size")) - 1e-9
-        # written out, so that it is compiled
-        close = F.expr(" + ".join(f"bit_count(sign[{i}] ^ h_sign[{i}])" for i in range(SIGN_BITS // 64)) + f" <= {apart}")
-        # a pair may share many buckets: it is compared in the first of them
-        agreeing = " + ".join(f"if(slots[{b}] = h_slots[{b}], {1 << b}L, 0L)" for b in range(bands))
-        here = F.expr(f"(({agreeing}) & (shiftleft(2L, int(y % 1000)) - 1L)) = shiftleft(1L, int(y div 1000)) + shiftleft(1L, int(y % 1000))")
-        pairs = live.join(drawn, ["x", "y"]).where((F.col("class") != F.col("h_class")) & enough & close & here)
-        pairs = pairs.select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b")).distinct()
-        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialise(_checked(pairs, texts, k, threshold), "neardup-pairs")
-        known = known.unionByName(new)
-        if new.where("near").limit(1).count():
-            class_of = classes(known.where("near"))
-        rest, heads = live.where("not drawn").select("x", "y", "doc"), heads * 16
+    # a pair may share many buckets: it is compared in the first that two bands give, or else in that of its only band
+    agreeing = "(" + " + ".join(f"if(slots[{b}] = h_slots[{b}], {1 << b}L, 0L)" for b in range(bands)) + ")"
+    in_two = f"({agreeing} & (shiftleft(2L, int(y % 1000)) - 1L)) = shiftleft(1L, int(y div 1000)) + shiftleft(1L, int(y % 1000))"
+    for entries, here in ((finer, in_two), (again, f"{agreeing} = shiftleft(1L, int(y))")):
+        heads, rest = 64, materialise(entries.join(possible.select("doc"), "doc", "left_semi"), "neardup-rest")
+        while True:
+            # of any two classes one isn't the bucket's largest: ever more drawn members of such classes are compared with all
+            # of other classes, and leave
+            rest = _classed(rest, class_of)
+            mixed = _mixed(rest)
+            if mixed.limit(1).count() == 0:
+                break
+            live = materialise(rest.join(mixed, ["x", "y"]).join(possible, "doc").withColumn("drawn", (F.col("class") != F.col("major")) & (F.col("u") <= F.lit(float(heads)) / F.col("minor"))), "neardup-live")
+            drawn = live.where("drawn").select("x", "y", *(F.col(c).alias(f"h_{c}") for c in ("doc", "class", "size", "common", "sign", "slots")))
+            enough = F.least("common", "h_common") >= least * (F.col("size") + F.col("h_size")) - 1e-9
+            # written out, so that it is compiled
+            close = F.expr(" + ".join(f"bit_count(sign[{i}] ^ h_sign[{i}])" for i in range(SIGN_BITS // 64)) + f" <= {apart}")
+            pairs = live.join(drawn, ["x", "y"]).where((F.col("class") != F.col("h_class")) & enough & close & F.expr(here))
+            pairs = pairs.select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b")).distinct()
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+            new = materialise(_checked(pairs, texts, k, threshold), "neardup-pairs")
+            known = known.unionByName(new)
+            if new.where("near").limit(1).count():
+                class_of = classes(known.where("near"))
+            rest, heads = live.where("not drawn").select("x", "y", "doc"), heads * 16
     found = known.where("near").select("a", "b")
     degree = found.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
     node = class_of.join(degree, "doc").select(F.col("doc").alias("node"), "class", "n_links")
