@@ -9,11 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thicket.llm import decontaminate, mixing, neardup, quality, tokens
 from thicket.llm.shared import materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: A number of each row, as doc_id may be null or repeat.
+ROW = "_pipeline_row"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with ``ROW``, written, so that later reads give the same numbers."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +32,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least doc_id. Documents of null doc_id stay."""
-    copies = neardup.near_copies(docs.where("doc_id is not null")).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near copies one row: that of the least doc_id, nulls last. Rows of null doc_id and rows that share a doc_id
+    are compared like others."""
+    rows = numbered(docs, "pipeline-near-rows")
+    found = neardup.near_copies(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "class_id")
+    several = found.where(F.col(ROW) != F.col("class_id")).select("class_id").distinct()
+    ids = rows.select(ROW, F.col("doc_id").isNull().alias("none"), "doc_id")
+    members = materialise(found.join(several, "class_id", "left_semi").join(ids, ROW), "pipeline-near-members")
+    first = members.groupBy("class_id").agg(F.min(F.struct("none", "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    copies = members.select(ROW).join(first, ROW, "left_anti")
+    return rows.join(copies, ROW, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaks = found.where("n_hit > 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Rows without a window of a benchmark item, whatever their doc_id."""
+    rows = numbered(docs, "pipeline-leak-rows")
+    found = decontaminate.find_leaks(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = found.where("n_hit > 0").select(F.col("doc_id").alias(ROW))
+    return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +70,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("tokenize", write_tokens),
 ]
 
-#: SQL can't train the classifier or encode tokens; the stages are tested against brute-force versions.
+#: SQL can't train the classifier or encode tokens; near_dedup and decontaminate are tested against brute-force versions, the others' operators are.
 ORACLE_SQL: str | None = None
 
 

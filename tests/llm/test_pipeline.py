@@ -15,6 +15,27 @@ def test_stages_work_on_what_is_left(spark):
     assert counts[4] == counts[5]
 
 
+def test_rows_of_null_and_repeated_ids(spark, tmp_path):
+    words = lambda n, seed: " ".join(f"w{seed}x{i}" for i in range(n))
+    item, copy = words(60, 1), words(80, 2)
+    near = copy.replace("w2x40", "changed")
+    rows = [(None, "a " + item), (None, words(50, 3)), (7, "b " + item), (7, words(50, 4)), (5, copy), (3, near), (None, copy), (5, words(50, 5)), (3, words(50, 6)), (9, words(50, 7)), (9, words(50, 7)), (None, words(50, 8)), (None, words(50, 8))]
+    spark.createDataFrame([("i", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = materialise(spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n long").repartition(3), "test-rows")
+    kept = lambda stage: sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert kept(corpus_pipeline.drop_leaks) == sorted((r for r in rows if item not in r[1]), key=str)
+
+    def alike(a, b):  # 5-word k-mers; no words repeat in a text
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        return len(a & b) >= 0.8 * len(a | b)
+
+    want = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if not any(alike(t, u) for _, u in want):
+            want.append((i, t))
+    assert kept(corpus_pipeline.drop_near_copies) == sorted(want, key=str)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
