@@ -127,6 +127,13 @@ def test_variants_learn(spark, objective, label, more):
     assert better, (metric, values)
 
 
+def test_pre_filter_scales_with_the_sample(spark):
+    df = spark.range(20_000).select(F.col("id").alias("row_id"), F.expr("double(id % 100 = 0)").alias("a"), F.expr("double(id % 7)").alias("b"), F.expr("double(id = 5)").alias("c"), F.expr("double(id % 100 = 0)").alias("label"))
+    data = TrainSet(df, ["a", "b", "c"], row_id="row_id")
+    model = train({"num_leaves": 2, "min_data_in_leaf": 20, "num_iterations": 1, "feature_pre_filter": True, "bin_construct_sample_cnt": 1000}, data)
+    assert [n.feature for n in model.trees[0].nodes] == [0]  # 200 rows, about 10 of them in the sample
+
+
 def test_monotone_model_is_monotone(spark):
     df = _data(spark)
     model = train({**SMALL, "monotone_constraints": [1, 0, 0, 0]}, _set(df))

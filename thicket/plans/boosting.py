@@ -132,11 +132,14 @@ class Booster:
         self.mappers = binning.fit(keyed, data.features, self.cats, params.max_bin, params.min_data_in_bin, params.use_missing, params.zero_as_missing, params.max_bin_by_feature or None, sample=params.bin_construct_sample_cnt, key="_row_id", seed=params.data_random_seed)
         rows = df.count()
         least = max(1, int(params.min_data_in_leaf))
+        # the mappers count sampled rows, so the least number is scaled alike
+        sampled = max((sum(m.counts) for m in self.mappers), default=0)
+        least = int(least * sampled / rows) if sampled < rows else least
         mono, contri = params.monotone_constraints, params.feature_contri
         self.features = [
             Feature.of(i, m, monotone=mono[i] if i < len(mono) else 0, contri=contri[i] if i < len(contri) else 1.0)
             for i, m in enumerate(self.mappers)
-            if not m.trivial and not (params.feature_pre_filter and binning.needs_filter(m, min(least, rows)))
+            if not m.trivial and not (params.feature_pre_filter and binning.needs_filter(m, least))
         ]
         keep = {"_row_id": key, "_label": self.label, "_weight": F.col(data.weight).cast("double") if data.weight else F.lit(1.0)}
         if data.query:
