@@ -156,6 +156,28 @@ def test_early_stopping_and_continuing(spark):
     assert same.to_text() == two.to_text()
 
 
+def test_missing_against_all_others(spark):
+    """The best split leaves only missing values on one side: its threshold is infinite."""
+    import duckdb
+
+    df = spark.range(400).selectExpr("id AS row_id", "CASE WHEN id % 4 = 0 THEN NULL ELSE double(id) END AS a", "CASE WHEN id % 4 = 0 THEN 5D ELSE 0D END + double(id % 3) / 100 AS label").cache()
+    rows, kept = TrainSet(df, ["a"], row_id="row_id"), {}
+    model = train({**SMALL, "num_leaves": 2}, rows, 2, valid_sets=[rows], callbacks=[api.record_evaluation(kept)])
+    assert model.trees[0].nodes[0].threshold == math.inf and kept["valid_0"]["l2"][1] < kept["valid_0"]["l2"][0]
+    assert train({**SMALL, "num_leaves": 2}, rows, 1, init_model=model).iterations == 3
+    assert train({**SMALL, "num_leaves": 2, "boosting": "dart", "skip_drop": 0.0, "drop_rate": 1.0}, rows, 3, valid_sets=[rows]).iterations >= 3
+    again = Model.from_text(model.to_text())
+    assert again.to_text() == model.to_text() and api.refit(again, rows, decay=1.0).to_text() == model.to_text()
+    out = predict(predict(df, again, "raw", "one", engine="expression"), again, "raw", "two", engine="batch")
+    out = predict(predict(predict(out, again, "leaf", "leaf"), again, "contrib", "shares"), again, "early_stop", "stopped").toPandas()
+    want = duckdb.sql(f"SELECT row_id, {again.to_sql()[0]} AS raw FROM (SELECT row_id, CAST(a AS DOUBLE) AS a FROM out)").df().sort_values("row_id")["raw"].to_numpy()
+    out = out.sort_values("row_id")
+    for got in (out["one"], out["two"], out["stopped"], out["shares"].map(sum)):
+        assert np.abs(got.to_numpy() - want).max() < 1e-12
+    assert [len(set(map(tuple, out.loc[out["a"].isna() == gone, "leaf"]))) for gone in (True, False)] == [1, 1]
+    assert np.abs(want - out["label"]).mean() < 2
+
+
 def test_shapley_values_by_definition():
     tree = small_model().trees[0]
     rows = np.array([[5.0, 0.0, 1.0], [np.nan, 2.0, 3.0], [40.0, 1.0, 4.0]])

@@ -116,7 +116,10 @@ def number(x: float) -> str:
 
 
 def _sql_number(x: float) -> str:
-    return f"CAST({x!r} AS DOUBLE)"
+    """A literal; thresholds may be infinite (a split of missing values against all others)."""
+    x = float(x)
+    words = "'NaN'" if x != x else ("'Infinity'" if x > 0 else "'-Infinity'") if abs(x) == math.inf else repr(x)
+    return f"CAST({words} AS DOUBLE)"
 
 
 def tree_sql(tree: Tree, features: list[str], what: str = "value", quote: str = "") -> str:
