@@ -216,8 +216,14 @@ def test_bins_by_hand():
     assert m.bin(None) == m.num_bin - 1
     zero = binning.numeric_mapper("x", values, counts, 4, zero_as_missing=True)
     assert zero.missing == "zero" and zero.counts[zero.default_bin] == 13
-    many = binning.greedy_bounds([float(i) for i in range(100)], [1] * 99 + [500], 10, 599, 3)
-    assert len(many) <= 10 and many[-1] == math.inf and many == sorted(many)
+    many = binning.even_bounds(np.arange(100.0), np.array([1] * 99 + [500]), 10, 3)
+    # one heavy value; the other 99 share nine bins: eleven rows each
+    assert many == [*(math.nextafter(11 * i - 0.5, math.inf) for i in range(1, 10)), math.inf]
+    half = binning.even_bounds(np.arange(8.0), np.array([1, 1, 1, 50, 2, 2, 2, 2]), 4, 1)
+    # the heavy value ends its bin, and the half full one before it ends too
+    assert half == [math.nextafter(x, math.inf) for x in (2.5, 3.5, 5.5)] + [math.inf]
+    forced = binning.bounds_around(np.arange(-4.0, 5.0), np.ones(9, int), 8, 1, [0.0, 2.0, -2.5])
+    assert forced[-1] == math.inf and {-2.5, -1e-35, 1e-35, 2.0} <= set(forced) and len(forced) <= 8 and forced == sorted(forced)
     cat = binning.categorical_mapper("c", [-1.0, 0.0, 1.0, 2.0, 7.0], [3, 50, 200, 40, 1], 2)
     assert cat.categories == [1, 0, 2] and cat.counts[0] == 6
     assert BinMapper.from_json(m.to_json()) == m
@@ -231,6 +237,13 @@ def test_bins_in_spark_are_those_by_hand(spark):
         assert [r[f"b{i}"] for i in range(4)] == [m.bin(r[f]) for m, f in zip(mappers, FEATURES, strict=True)]
 
 
+def test_wide_features_are_compressed_in_spark(spark):
+    df = spark.range(3000).selectExpr("id AS row_id", "double(id) AS a", "CASE WHEN id < 2000 THEN id % 4 ELSE id END AS c")
+    narrow, wide = (binning.fit(df, ["a", "c"], ["c"], max_bin=10, max_distinct=m) for m in (5000, 200))
+    assert wide[1] == narrow[1] and wide[1].categories == [0, 1, 2, 3]
+    assert len(wide[0].upper) == len(narrow[0].upper) and np.abs(np.array(wide[0].upper[:-1]) - narrow[0].upper[:-1]).max() <= 30
+
+
 def test_bundles_keep_every_bin(spark):
     rows = [(1 if i % 3 == 0 else 0, 1 + i % 2 if i % 3 == 1 else 0, 1 if i % 3 == 2 else 0) for i in range(90)]
     df = spark.createDataFrame(rows, "b0 int, b1 int, b2 int")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.objectives import discount
+from thicket.functions.ordered import running
 
 _EPS = 1e-15
 
@@ -106,26 +107,12 @@ def pointwise(df: DataFrame, name: str, score: str = "score", label: str = "labe
 
 
 def _by_score(df: DataFrame, score: str, label: str, weight: str | None) -> DataFrame:
-    """Positive and negative weight at every distinct score, with the sums above it. Ranges of scores are sorted in
-    parallel; each adds the totals of the ranges above, one row a range."""
+    """Positive and negative weight at every distinct score, with the sums above it."""
     w = F.col(weight) if weight else F.lit(1.0)
     sums = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) > 0, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) > 0, 0.0).otherwise(w)).alias("n"))
     return running(sums, "s", ["p", "n"], descending=True)
 
 
-def running(df: DataFrame, order: str, values: list[str], descending: bool = False) -> DataFrame:
-    """Adds before_<value>: the sum over all rows ahead in ``order``, in two steps, so that no single task sorts everything."""
-    column = F.desc(order) if descending else F.asc(order)
-    ranged = df.repartitionByRange(column).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    own = ranged.withColumns({f"_b_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0.0)) for v in values})
-    totals = ranged.groupBy("_part").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    totals = totals.select("_part", *(F.coalesce(F.sum(f"_t_{v}").over(ahead), F.lit(0.0)).alias(f"_a_{v}") for v in values))
-    joined = own.join(F.broadcast(totals), "_part")
-    return joined.select(*df.columns, *((F.col(f"_b_{v}") + F.col(f"_a_{v}")).alias(f"before_{v}") for v in values))
-
-
 def auc(df: DataFrame, score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
     """Area under the ROC curve; equal scores count half; 1 if a class is absent."""
     sums = _by_score(df, score, label, weight)
@@ -155,9 +142,8 @@ def auc_mu(df: DataFrame, num_class: int, score: str = "score", label: str = "la
         out.append(F.when((own == i) | (own == j), F.struct(F.lit(f"{i}-{j}").alias("pair"), F.round(along, 12).alias("d"), (own == i).alias("first"))))
     rows = df.select(F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("e")).select("e.*")
     sums = rows.groupBy("pair", "d").agg(F.count_if("first").cast("double").alias("p"), F.count_if(~F.col("first")).cast("double").alias("n"))
-    w = Window.partitionBy("pair").orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("b", F.coalesce(F.sum("p").over(w), F.lit(0.0)))
-    each = sums.groupBy("pair").agg((F.sum(F.col("n") * (F.col("b") + 0.5 * F.col("p"))) / (F.sum("p") * F.sum("n"))).alias("v"))
+    sums = running(sums, "d", ["p"], descending=True, by=["pair"])
+    each = sums.groupBy("pair").agg((F.sum(F.col("n") * (F.col("before_p") + 0.5 * F.col("p"))) / (F.sum("p") * F.sum("n"))).alias("v"))
     return each.agg((F.sum("v") / len(pairs)).alias("value")).select(F.lit("auc_mu").alias("metric"), "value")
 
 

@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.functions.ordered import percentile, weighted_percentile
+
 Pair = tuple[Column, Column]
 #: Gains of labels 0 to 30.
 LABEL_GAIN = [float(2**i - 1) for i in range(31)]
@@ -182,27 +184,6 @@ def transform(name: str, s: Column, sigmoid: float = 1.0, squared: bool = False)
 # --- statistics over all labels ---------------------------------------------------------------------------------------
 
 
-def percentile(df: DataFrame, value: str, alpha: float, by: list[str] | None = None) -> DataFrame:
-    """Percentile with linear interpolation, over all rows or by group: column ``value``."""
-    grouped = df.groupBy(*(by or []))
-    return grouped.agg(F.percentile(F.col(value), F.lit(alpha)).alias("value"))
-
-
-def weighted_percentile(df: DataFrame, value: str, weight: str, alpha: float, by: list[str] | None = None) -> DataFrame:
-    """Weighted percentile by the cumulative weights up to each row: the first row whose sum exceeds alpha times the
-    total; from the row before, it interpolates if the step has a weight of 1 or more. Equal values weigh together first,
-    so that a group's rows combine before they meet."""
-    keys = by or []
-    sums = df.groupBy(*keys, F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    order = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("v")
-    whole = Window.partitionBy(*(keys or [F.lit(1)]))
-    rows = sums.withColumns({"upto": F.sum("w").over(order), "all": F.sum("w").over(whole), "before": F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "last": F.lag("v").over(order)})
-    hit = rows.where((F.col("upto") > alpha * F.col("all")) & (F.col("before") <= alpha * F.col("all")))
-    step = F.col("upto") - F.col("before")
-    between = F.col("last") + (alpha * F.col("all") - F.col("before")) / step * (F.col("v") - F.col("last"))
-    return hit.select(*keys, F.when(F.col("last").isNull() | (step < 1.0), F.col("v")).otherwise(between).alias("value"))
-
-
 def class_weights(df: DataFrame, label: str = "label", is_unbalance: bool = False, scale_pos_weight: float = 1.0) -> tuple[float, float, int, int]:
     """(positive weight, negative weight, positives, negatives)."""
     if is_unbalance and scale_pos_weight != 1.0:

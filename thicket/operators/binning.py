@@ -1,23 +1,27 @@
 """Feature binning: distinct values are counted in Spark for all features at once; bounds are found from these counts.
 
-``distinct_counts`` melts the features and counts, combining before the shuffle. Features with at most ``max_distinct`` distinct
-values come to the driver (numbers bounded by that parameter); for others Spark cuts the sorted values into that many
-runs of about equal counts first, which changes bounds by less than a run.
+``distinct_counts`` melts the features and counts, combining before the shuffle. What comes to the driver is bounded: ``MAX_DISTINCT`` values a
+feature, ``MAX_VALUES`` in all. Of a numeric feature with more, Spark cuts the sorted values into that many runs of about equal counts
+first, which moves bounds by less than a run; of a categorical one the most frequent codes come, as many as it may have bins.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.functions.ordered import running
+
 ZERO = 1e-35
 NONE, ZERO_MISSING, NAN = "none", "zero", "nan"
-#: Distinct values of a feature that come to the driver.
-MAX_DISTINCT = 200_000
+#: Distinct values of a feature that come to the driver, and of all features.
+MAX_DISTINCT, MAX_VALUES = 200_000, 4_000_000
 
 
 def next_up(x: float) -> float:
@@ -86,9 +90,9 @@ def melt(df: DataFrame, features: list[str], keep: list[str] | None = None) -> D
     return df.select(*(keep or []), F.explode(pairs).alias("_m")).select(*(keep or []), "_m.feature", "_m.value")
 
 
-def row_sample(df: DataFrame, rows: int, key: str, seed: int = 1) -> DataFrame:
-    """All rows if there are at most ``rows``, else those of the ``rows`` least hashes of ``key``."""
-    if df.limit(rows + 1).count() <= rows:
+def row_sample(df: DataFrame, rows: int, key: str, seed: int = 1, known: int | None = None) -> DataFrame:
+    """All rows if there are at most ``rows`` (``known``: their number), else those of the ``rows`` least hashes of ``key``."""
+    if (df.limit(rows + 1).count() if known is None else known) <= rows:
         return df
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rows)
 
@@ -99,137 +103,144 @@ def distinct_counts(df: DataFrame, features: list[str]) -> DataFrame:
     return melt(df, features).select("feature", value.alias("value")).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merge_neighbours(counts: DataFrame) -> DataFrame:
-    """Values with the next double as their neighbour merge into the larger: feature, value, n."""
-    w = Window.partitionBy("feature").orderBy("value")
-    gap = F.col("value") - F.lag("value").over(w)
-    new = F.when(gap <= F.abs("value") * 2.220446049250313e-16, 0).otherwise(1)
-    grouped = counts.where("value is not null").withColumn("_new", new).withColumn("_g", F.sum("_new").over(w))
-    return grouped.groupBy("feature", "_g").agg(F.max("value").alias("value"), F.sum("n").alias("n")).drop("_g")
+def compress(counts: DataFrame, most: int) -> DataFrame:
+    """Of counts (feature, value, n) at most about ``most`` a feature: runs of neighbours of equal counts stand for their largest value."""
+    runs = running(counts, "value", ["n"], by=["feature"])
+    run = F.floor(F.col("before_n") * F.lit(float(most)) / F.col("all_n"))
+    return runs.groupBy("feature", run.alias("_run")).agg(F.max("value").alias("value"), F.sum("n").alias("n")).drop("_run")
 
 
-def compress(counts: DataFrame, most: int) -> DataFrame:
-    """At most about ``most`` values a feature: runs of neighbours of equal counts stand for their largest value."""
-    w = Window.partitionBy("feature").orderBy("value")
-    total = F.sum("n").over(Window.partitionBy("feature"))
-    distinct = F.count(F.lit(1)).over(Window.partitionBy("feature"))
-    run = F.floor((F.sum("n").over(w) - F.col("n")) * F.lit(most) / total)
-    key = F.when(distinct <= most, F.row_number().over(w)).otherwise(run)
-    return counts.withColumn("_k", key).groupBy("feature", "_k").agg(F.max("value").alias("value"), F.sum("n").alias("n")).drop("_k")
+def top_codes(counts: DataFrame, most: int) -> DataFrame:
+    """Of counts of codes (feature, value, n) the ``most`` most frequent of each feature; one row more, of code -1, holds the rest."""
+    codes = counts.groupBy("feature", F.when(F.col("value") < 0, -1.0).otherwise(F.floor("value").cast("double")).alias("value")).agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("feature").orderBy((F.col("value") < 0).cast("int"), F.desc("n"), "value")
+    ranked = codes.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+    held = ranked.groupBy("feature").agg(F.sum("n").alias("held"))
+    rest = codes.groupBy("feature").agg(F.sum("n").alias("n")).join(held, "feature").select("feature", F.lit(-1.0).alias("value"), (F.col("n") - F.col("held")).alias("n"))
+    return ranked.unionByName(rest.where("n > 0"))
 
 
 # --- bounds on the driver ---------------------------------------------------------------------------------------------
 
 
-def greedy_bounds(values: list[float], counts: list[int], max_bin: int, total: int, min_data_in_bin: int) -> list[float]:
-    """Upper bounds of at most ``max_bin`` bins. Few values: a cut wherever a bin has enough rows. Many: values that fill a mean bin
-    alone get one each, the rest is dealt out evenly, the mean adjusted after every bin."""
+def merge_close(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values with the next double as their neighbour count as the larger. ``values`` ascend."""
+    if not len(values):
+        return values, counts
+    heads = np.flatnonzero(np.r_[True, np.diff(values) > np.abs(values[1:]) * np.finfo(float).eps])
+    return values[np.r_[heads[1:], len(values)] - 1], np.add.reduceat(counts, heads)
+
+
+def _between(values: np.ndarray, ends: Iterator[int]) -> list[float]:
+    """Bounds after some values, each halfway to the next, and infinity. Bounds that wouldn't differ are left out."""
     bounds: list[float] = []
+    for i in ends:
+        bound = next_up((values[i] + values[i + 1]) / 2)
+        if not bounds or bound > next_up(bounds[-1]):
+            bounds.append(float(bound))
+    return [*bounds, math.inf]
 
-    def cut(low: float, high: float) -> bool:
-        at = next_up((low + high) / 2)
-        if bounds and at <= next_up(bounds[-1]):
-            return False
-        bounds.append(at)
-        return True
 
+def _filled(sums: np.ndarray, least: int) -> Iterator[int]:
+    """Last values of bins of at least ``least`` rows each. sums: running sums of counts."""
+    at = 0
+    while (at := int(np.searchsorted(sums, at + least))) < len(sums) - 1:
+        yield at
+        at = int(sums[at])
+
+
+def _dealt(counts: np.ndarray, max_bin: int) -> Iterator[int]:
+    """Last values of ``max_bin`` bins of about equal counts. A value that fills a mean bin alone is *heavy* and ends its bin; what the
+    heavy ones leave is dealt out evenly over the other bins, and the mean follows what is left after each. A bin that is half full
+    ends before a heavy value."""
+    mean = counts.sum() / max_bin
+    heavy = counts >= mean
+    sums, light = np.cumsum(counts), np.cumsum(np.where(heavy, 0, counts))
+    next_heavy = np.append(np.flatnonzero(heavy), len(counts))
+    bins = max_bin - int(heavy.sum())
+    share = lambda upto: (light[-1] - upto) / bins if bins else math.inf
+    mean, before, made, at = share(0), 0, 0, 0
+    while made < max_bin - 1:
+        stop = int(next_heavy[np.searchsorted(next_heavy, at)])
+        if stop > at and stop < len(counts) and sums[stop - 1] - before >= max(1.0, mean / 2):
+            stop -= 1
+        if mean < math.inf:
+            stop = min(stop, int(np.searchsorted(sums, before + math.ceil(mean))))
+        stop = max(stop, at)
+        if stop >= len(counts) - 1:
+            return
+        yield stop
+        made += 1
+        if not heavy[stop]:
+            bins -= 1
+            mean = share(light[stop])
+        before, at = int(sums[stop]), stop + 1
+
+
+def even_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data_in_bin: int) -> list[float]:
+    """Upper bounds of at most ``max_bin`` bins: every value has its own if there are few, as far as its rows suffice."""
     if len(values) <= max_bin:
-        held = 0
-        for i in range(len(values) - 1):
-            held += counts[i]
-            if held >= min_data_in_bin and cut(values[i], values[i + 1]):
-                held = 0
-        return [*bounds, math.inf]
+        return _between(values, _filled(np.cumsum(counts), max(1, min_data_in_bin)))
     if min_data_in_bin > 0:
-        max_bin = max(1, min(max_bin, total // min_data_in_bin))
-    mean = total / max_bin
-    big = [c >= mean for c in counts]
-    bins_left, rows_left = max_bin - sum(big), total - sum(c for c, b in zip(counts, big, strict=True) if b)
-    mean = rows_left / bins_left if bins_left else math.inf
-    ends, held = [], 0
-    for i in range(len(values) - 1):
-        rows_left -= 0 if big[i] else counts[i]
-        held += counts[i]
-        if big[i] or held >= mean or (big[i + 1] and held >= max(1.0, mean / 2)):
-            ends.append(i)
-            if len(ends) >= max_bin - 1:
-                break
-            held = 0
-            if not big[i]:
-                bins_left -= 1
-                mean = rows_left / bins_left if bins_left else math.inf
-    for i in ends:
-        cut(values[i], values[i + 1])
-    return [*bounds, math.inf]
+        max_bin = max(1, min(max_bin, int(counts.sum()) // min_data_in_bin))
+    return _between(values, _dealt(counts, max_bin))
 
 
-def zero_bin_bounds(values: list[float], counts: list[int], max_bin: int, total: int, min_data_in_bin: int, forced: list[float] | None = None) -> list[float]:
+def zero_bin_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data_in_bin: int, forced: list[float] | None = None) -> list[float]:
     """Bounds with a bin of its own for zero; the bins on either side are shared by row counts. ``forced`` bounds come first."""
     if forced:
-        return forced_bounds(values, counts, max_bin, total, min_data_in_bin, forced)
-    left = [(v, c) for v, c in zip(values, counts, strict=True) if v <= -ZERO]
-    right = [(v, c) for v, c in zip(values, counts, strict=True) if v > ZERO]
-    beside = sum(c for _, c in left) + sum(c for _, c in right)
+        return bounds_around(values, counts, max_bin, min_data_in_bin, forced)
+    low, high = int(np.searchsorted(values, -ZERO, "right")), int(np.searchsorted(values, ZERO, "right"))
+    rows = int(counts[:low].sum()), int(counts[high:].sum())
     bounds: list[float] = []
-    if left and max_bin > 1:
-        n = sum(c for _, c in left)
-        bounds = greedy_bounds([v for v, _ in left], [c for _, c in left], max(1, int(n / beside * (max_bin - 1))), n, min_data_in_bin)
-        bounds[-1] = -ZERO
+    if low and max_bin > 1:
+        room = max(1, int(rows[0] / sum(rows) * (max_bin - 1)))
+        bounds = [*even_bounds(values[:low], counts[:low], room, min_data_in_bin)[:-1], -ZERO]
     room = max_bin - 1 - len(bounds)
-    if right and room > 0:
-        n = sum(c for _, c in right)
-        return [*bounds, ZERO, *greedy_bounds([v for v, _ in right], [c for _, c in right], room, n, min_data_in_bin)]
-    return [*bounds, math.inf]
-
-
-def forced_bounds(values: list[float], counts: list[int], max_bin: int, total: int, min_data_in_bin: int, forced: list[float]) -> list[float]:
-    """Zero's bounds and the forced ones, then bins between them as far as there is room, shared by row counts."""
-    fixed = [math.inf]
-    if any(v <= -ZERO for v in values):
-        fixed.append(-ZERO)
-    if any(v > ZERO for v in values):
-        fixed.append(ZERO)
-    fixed = fixed[:max_bin]
-    fixed += [b for b in forced if abs(b) > ZERO][: max_bin - len(fixed)]
-    fixed = sorted(set(fixed))
-    room, out, at = max_bin - len(fixed), list(fixed), 0
-    for i, bound in enumerate(fixed):
-        own = []
-        while at < len(values) and (values[at] < bound or i == len(fixed) - 1):
-            own.append((values[at], counts[at]))
-            at += 1
-        n = sum(c for _, c in own)
-        share = round(n * room / total) if i < len(fixed) - 1 else max_bin - len(out)
-        share = min(share, max_bin - len(out))
-        if own and share > 0:
-            out += greedy_bounds([v for v, _ in own], [c for _, c in own], share + 1, n, min_data_in_bin)[:-1]
-    return sorted(set(out))
+    if high == len(values) or room <= 0:
+        return [*bounds, math.inf]
+    return [*bounds, ZERO, *even_bounds(values[high:], counts[high:], room, min_data_in_bin)]
+
+
+def bounds_around(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data_in_bin: int, forced: list[float]) -> list[float]:
+    """Zero's bounds and the forced ones; the bins that are left go to the stretches between them by row counts, the last stretch taking
+    what rounding leaves."""
+    own = [b for b, there in ((-ZERO, values[0] <= -ZERO), (ZERO, values[-1] > ZERO)) if there][: max_bin - 1]
+    given = [b for b in forced if abs(b) > ZERO]
+    fixed = np.unique([*own, *given[: max_bin - 1 - len(own)]])
+    cuts = np.r_[0, np.searchsorted(values, fixed), len(values)]
+    spare = left = max_bin - 1 - len(fixed)
+    inner: list[float] = []
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        share = left if i == len(fixed) else min(left, round(int(counts[a:b].sum()) * spare / int(counts.sum())))
+        if a < b and share > 0:
+            found = even_bounds(values[a:b], counts[a:b], share + 1, min_data_in_bin)[:-1]
+            inner += found
+            left -= len(found)
+    return [*np.unique([*fixed, *inner]).tolist(), math.inf]
 
 
 def numeric_mapper(name: str, values: list[float], counts: list[int], missing_rows: int, max_bin: int = 255, min_data_in_bin: int = 3, use_missing: bool = True, zero_as_missing: bool = False, forced: list[float] | None = None) -> BinMapper:
-    """A mapper from a feature's distinct values and counts; ``missing_rows`` are the rows without a value."""
+    """A mapper from a feature's distinct values (ascending) and counts; ``missing_rows`` are the rows without a value."""
     missing = NONE if not use_missing else ZERO_MISSING if zero_as_missing else NAN if missing_rows else NONE
-    pairs = dict(zip(values, counts, strict=True))
+    v, n = merge_close(np.asarray(values, float), np.asarray(counts, np.int64))
     if missing_rows and missing != NAN:
-        pairs[0.0] = pairs.get(0.0, 0) + missing_rows
-    values = sorted(pairs)
-    counts = [pairs[v] for v in values]
-    total = sum(counts)
-    if not values:
+        at = int(np.searchsorted(v, 0.0))
+        if at < len(v) and v[at] == 0.0:
+            n = n.copy()
+            n[at] += missing_rows
+        else:
+            v, n = np.insert(v, at, 0.0), np.insert(n, at, missing_rows)
+    if not len(v):
         return BinMapper(name, [math.inf], missing=missing)
-    upper = zero_bin_bounds(values, counts, max_bin - (missing == NAN), total, min_data_in_bin, forced)
+    upper = zero_bin_bounds(v, n, max_bin - (missing == NAN), min_data_in_bin, forced)
     if missing == ZERO_MISSING and len(upper) == 2:
         missing = NONE
-    mapper = BinMapper(name, upper, missing=missing, low=values[0], high=values[-1])
-    held = [0] * mapper.num_bin
-    at = 0
-    for v, c in zip(values, counts, strict=True):
-        while v > upper[at]:
-            at += 1
-        held[at] += c
+    mapper = BinMapper(name, upper, missing=missing, low=float(v[0]), high=float(v[-1]))
+    held = np.bincount(np.searchsorted(upper, v), n, mapper.num_bin).astype(np.int64)
     if missing == NAN:
         held[-1] = missing_rows
-    return _finish(mapper, held, total + (missing_rows if missing == NAN else 0))
+    return _finish(mapper, held.tolist(), int(held.sum()))
 
 
 def _finish(mapper: BinMapper, held: list[int], total: int) -> BinMapper:
@@ -293,72 +304,85 @@ def fit(
     key: str = "row_id",
     seed: int = 1,
     max_distinct: int = MAX_DISTINCT,
+    rows: int | None = None,
 ) -> list[BinMapper]:
-    """Mappers of all features from one counting job. ``sample``: bin from so many rows at most."""
+    """Mappers of all features from one counting job. ``sample``: bin from so many rows at most; ``rows``: the number of rows, if known."""
     if sample is not None:
-        df = row_sample(df, sample, key, seed)
-    every = distinct_counts(df, features)
-    whole = merge_neighbours(every)
-    numeric = compress(whole, max_distinct)
-    found: dict[int, dict[float, int]] = {i: {} for i in range(len(features))}
-    for r in numeric.collect():  # max_distinct values a feature at most
-        found[r["feature"]][r["value"]] = r["n"]
-    nulls = {r["feature"]: r["n"] for r in every.where("value is null").collect()}  # one row a feature
+        df = row_sample(df, sample, key, seed, rows)
+    most = max(1, min(max_distinct, MAX_VALUES // len(features)))
+    bins = max_bin_by_feature or [max_bin] * len(features)
+    cats = {i for i, f in enumerate(features) if f in (categorical or [])}
+    counts = distinct_counts(df, features).persist()
+    # one row a feature
+    sizes = {r["feature"]: r for r in counts.groupBy("feature").agg(F.count("value").alias("distinct"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing")).collect()}
+    wide = [i for i, r in sizes.items() if r["distinct"] > most]
+    known = counts.where("value is not null")
+    parts = [known.where(~F.col("feature").isin(wide)) if wide else known]
+    if numbers := [i for i in wide if i not in cats]:
+        parts.append(compress(known.where(F.col("feature").isin(numbers)), most))
+    if codes_ := [i for i in wide if i in cats]:
+        parts.append(top_codes(known.where(F.col("feature").isin(codes_)), max(bins)))
+    feature, value, n = _columns(parts)
+    counts.unpersist()
+    order = np.lexsort((value, feature))
+    feature, value, n = feature[order], value[order], n[order]
+    edges = np.searchsorted(feature, np.arange(len(features) + 1))
     out = []
     for i, name in enumerate(features):
-        values = sorted(found[i])
-        counts = [found[i][v] for v in values]
-        bins = max_bin_by_feature[i] if max_bin_by_feature else max_bin
-        if name in (categorical or []):
-            out.append(categorical_mapper(name, values, counts, nulls.get(i, 0), bins, min_data_in_bin))
+        v, c = value[edges[i] : edges[i + 1]], n[edges[i] : edges[i + 1]]
+        missing = sizes[i]["missing"] if i in sizes else 0
+        if i in cats:
+            out.append(categorical_mapper(name, v.tolist(), c.tolist(), missing, bins[i], min_data_in_bin))
         else:
-            out.append(numeric_mapper(name, values, counts, nulls.get(i, 0), bins, min_data_in_bin, use_missing, zero_as_missing, (forced or {}).get(name)))
+            out.append(numeric_mapper(name, v, c, missing, bins[i], min_data_in_bin, use_missing, zero_as_missing, (forced or {}).get(name)))
     return out
 
 
+def _columns(parts: list[DataFrame]) -> list[np.ndarray]:
+    """feature, value and n of tables of bounded size."""
+    tables = [p.select("feature", "value", "n").toArrow() for p in parts]
+    return [np.concatenate([np.asarray(t.column(c)) for t in tables]) for c in ("feature", "value", "n")]
+
+
 # --- applying in Spark ------------------------------------------------------------------------------------------------
 
 
-def bin_column(mapper: BinMapper, value: Column) -> Column:
-    """The bin of a value, a search through the bounds by halves: no join, and code of logarithmic depth."""
-    v = value.cast("double")
-    missing = v.isNull() | F.isnan(v)
+def bin_sql(mapper: BinMapper, column: str) -> str:
+    """SQL for the bin of a column's value, a search through the bounds by halves: no join, and code of logarithmic depth."""
+    v = f"CAST({column} AS DOUBLE)"
+    missing = f"({v} IS NULL OR isnan({v}))"
     if mapper.categorical:
+        if not mapper.categories:
+            return "0"
+        pairs = ", ".join(f"{int(c)}L, {i + 1}" for i, c in enumerate(mapper.categories))
         # truncation toward zero, as for categories elsewhere
-        code = F.when(missing, -1).otherwise(v.cast("long"))
-        lookup = F.create_map(*(F.lit(x) for i, c in enumerate(mapper.categories) for x in (int(c), i + 1))) if mapper.categories else None
-        found = F.try_element_at(lookup.cast("map<bigint,int>"), code) if lookup is not None else F.lit(None)
-        return F.coalesce(found, F.lit(0)).cast("int")
+        return f"CASE WHEN {missing} THEN 0 ELSE coalesce(try_element_at(map({pairs}), CAST({v} AS BIGINT)), 0) END"
+    last = len(mapper.upper) - 1
 
-    def search(low: int, high: int) -> Column:
+    def search(low: int, high: int) -> str:
         if low == high:
-            return F.lit(low)
+            return str(low)
         middle = (low + high) // 2
-        return F.when(v <= mapper.upper[middle], search(low, middle)).otherwise(search(middle + 1, high))
+        return f"CASE WHEN {v} <= {mapper.upper[middle]!r}D THEN {search(low, middle)} ELSE {search(middle + 1, high)} END"
 
-    last = len(mapper.upper) - 1
+    found = search(0, last)
     if len(mapper.upper) > 64:
-        bounds = F.array(*(F.lit(float(u)) for u in mapper.upper[:-1]))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, last.bit_length() + 1))), F.struct(F.lit(0).alias("a"), F.lit(last).alias("b")), lambda s, _: _halve(s, v, bounds), lambda s: s["a"])
-    else:
-        found = search(0, last)
+        bounds = ", ".join(f"{u!r}D" for u in mapper.upper[:-1])
+        middle = "shiftright(s.a + s.b, 1)"
+        step = f"CASE WHEN s.a >= s.b THEN s WHEN {v} <= array({bounds})[{middle}] THEN named_struct('a', s.a, 'b', {middle}) ELSE named_struct('a', {middle} + 1, 'b', s.b) END"
+        found = f"aggregate(sequence(1, {last.bit_length() + 1}), named_struct('a', 0, 'b', {last}), (s, _) -> {step}, s -> s.a)"
     at_missing = mapper.num_bin - 1 if mapper.missing == NAN else mapper.bin(0.0)
-    return F.when(missing, at_missing).otherwise(found).cast("int")
+    return f"CASE WHEN {missing} THEN {at_missing} ELSE {found} END"
 
 
-def _halve(s: Column, v: Column, bounds: Column) -> Column:
-    middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
-    done = s["a"] >= s["b"]
-    left = v <= F.try_element_at(bounds, middle + 1)
-    return F.struct(
-        F.when(done | left, s["a"]).otherwise(middle + 1).cast("int").alias("a"),
-        F.when(done | ~left, s["b"]).otherwise(middle).cast("int").alias("b"),
-    )
+def bin_column(mapper: BinMapper, column: str) -> Column:
+    """``bin_sql`` of a column of that name."""
+    return F.expr(bin_sql(mapper, f"`{column}`"))
 
 
 def apply(df: DataFrame, mappers: list[BinMapper], keep: list[str]) -> DataFrame:
     """keep... and b0, b1, ...: one projection."""
-    return df.select(*keep, *(bin_column(m, F.col(f"`{m.name}`")).alias(f"b{i}") for i, m in enumerate(mappers)))
+    return df.select(*keep, *(bin_column(m, m.name).alias(f"b{i}") for i, m in enumerate(mappers)))
 
 
 def is_identity(df: DataFrame, features: list[str]) -> bool:
@@ -370,8 +394,8 @@ def is_identity(df: DataFrame, features: list[str]) -> bool:
 
 def codes(df: DataFrame, column: str) -> DataFrame:
     """Codes of a string column: its values in order, from 0: (column, code). Null has no code."""
-    values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    values = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("_one", F.lit(1))
+    return running(values, column, ["_one"]).select(column, F.col("before__one").cast("int").alias("code"))
 
 
 def bound_table(df: DataFrame, mappers: list[BinMapper]) -> DataFrame:

@@ -144,7 +144,7 @@ class Booster:
         keep = {"_row_id": key, "_label": self.label, "_weight": F.col(data.weight).cast("double") if data.weight else F.lit(1.0)}
         if data.query:
             keep["_query"] = F.col(data.query)
-        table = df.select(*(c.alias(n) for n, c in keep.items()), *((F.col(data.init_score) if data.init_score else F.lit(None)).cast("double").alias("_init"),), *(binning.bin_column(m, F.col(f"`{m.name}`")).cast("short" if m.num_bin > 127 else "byte").alias(f"b{i}") for i, m in enumerate(self.mappers)), *(F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(data.features) if params.linear_tree or init_model))
+        table = df.select(*(c.alias(n) for n, c in keep.items()), *((F.col(data.init_score) if data.init_score else F.lit(None)).cast("double").alias("_init"),), *(binning.bin_column(m, m.name).cast("short" if m.num_bin > 127 else "byte").alias(f"b{i}") for i, m in enumerate(self.mappers)), *(F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(data.features) if params.linear_tree or init_model))
         if params.enable_bundle:
             self.bundles = bundling.find_bundles(table, self.mappers)
         self.weighted = data.weight is not None

@@ -118,7 +118,7 @@ _MAPPER = BinMapper("f0", [*_BOUNDS, float("inf")], missing="nan")
 
 @query("bn11_value_to_bin", f"{WITH} SELECT row_id, CASE WHEN f0 IS NULL THEN 7 " + " ".join(f"WHEN f0 <= {b}e0 THEN {i}" for i, b in enumerate(int(x) for x in _BOUNDS)) + " ELSE 6 END AS bin FROM t")
 def value_to_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir).select("row_id", binning.bin_column(_MAPPER, F.col("f0")).alias("bin"))
+    return shared(spark, sf_dir).select("row_id", binning.bin_column(_MAPPER, "f0").alias("bin"))
 
 
 @query("bn12_binned_table")

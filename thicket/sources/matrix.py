@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thicket.functions.ordered import previous
 from thicket.operators.binning import codes
 from thicket.plans.boosting import TrainSet
 from thicket.plans.model import Model
@@ -25,9 +26,7 @@ def check_indptr(indptr: list[int], nnz: int) -> None:
 
 def indptr_faults(df: DataFrame, order: str = "i", value: str = "ptr") -> DataFrame:
     """Places where a table of row pointers falls: (order, value, before)."""
-    w = Window.orderBy(order)
-    rows = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("before", F.lag(value).over(w))
-    return rows.where(F.col(value) < F.col("before"))
+    return previous(df, order, value).where(F.col(value) < F.col("before"))
 
 
 def from_dense(spark: SparkSession, rows: Any, names: list[str] | None = None, label: list[float] | None = None) -> TrainSet:
