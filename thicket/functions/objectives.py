@@ -184,60 +184,87 @@ def transform(name: str, s: Column, sigmoid: float = 1.0, squared: bool = False)
 # --- statistics over all labels ---------------------------------------------------------------------------------------
 
 
-def class_weights(df: DataFrame, label: str = "label", is_unbalance: bool = False, scale_pos_weight: float = 1.0) -> tuple[float, float, int, int]:
-    """(positive weight, negative weight, positives, negatives)."""
+@dataclass(frozen=True)
+class LabelFacts:
+    """What checks, class weights and first scores need to know of all labels, from one aggregation."""
+
+    n: int
+    missing: int
+    broken: int
+    positives: int
+    low: float | None
+    high: float | None
+    weight: float
+    total: float
+    positive_weight: float
+    classes: tuple[float, ...] = ()
+
+    @staticmethod
+    def of(df: DataFrame, label: Column, weight: str | None = None, num_class: int = 0) -> LabelFacts:
+        """``num_class``: the classes whose weights are summed up."""
+        y, w = label.cast("double"), F.col(weight).cast("double") if weight else F.lit(1.0)
+        row = df.agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(y.isNull() | F.isnan(y)).alias("missing"), F.count_if(y != F.floor(y)).alias("broken"), F.count_if(y > 0).alias("positives"), F.min(y).alias("low"), F.max(y).alias("high"),
+            F.sum(w).alias("weight"), F.sum(y * w).alias("total"), F.sum(F.when(y > 0, w).otherwise(0.0)).alias("positive_weight"), *(F.sum(F.when(y == k, w).otherwise(0.0)).alias(f"c{k}") for k in range(num_class)),
+        ).first()
+        sums = [row[c] or 0.0 for c in ("weight", "total", "positive_weight")]
+        return LabelFacts(row["n"], row["missing"], row["broken"], row["positives"], row["low"], row["high"], *sums, tuple(row[f"c{k}"] or 0.0 for k in range(num_class)))
+
+
+def class_weights(df: DataFrame, label: str = "label", is_unbalance: bool = False, scale_pos_weight: float = 1.0, known: tuple[int, int] | None = None) -> tuple[float, float, int, int]:
+    """(positive weight, negative weight, positives, negatives). ``known``: the two counts, if they are known."""
     if is_unbalance and scale_pos_weight != 1.0:
         raise ValueError("is_unbalance and scale_pos_weight exclude each other")
-    row = df.agg(F.count_if(F.col(label) > 0).alias("p"), F.count_if(~(F.col(label) > 0)).alias("n")).first()
-    p, n = row["p"], row["n"]
+    p, n = known or df.agg(F.count_if(F.col(label) > 0), F.count_if(~(F.col(label) > 0))).first()
     if is_unbalance and p and n:
         return (1.0, p / n, p, n) if p > n else (n / p, 1.0, p, n)
     return scale_pos_weight, 1.0, p, n
 
 
-def check_labels(df: DataFrame, objective: str, label: str = "label", num_class: int = 1) -> None:
-    """Raises ValueError for labels that an objective can't use; one aggregation."""
-    kind, y = find(objective).kind, F.col(label)
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(y.isNull() | F.isnan(y)).alias("missing"), F.min(y).alias("low"), F.max(y).alias("high"), F.sum(y).alias("sum"), F.count_if(y != F.floor(y)).alias("broken")
-    ).first()
-    if not row["n"]:
+def check_labels(df: DataFrame, objective: str, label: str = "label", num_class: int = 1, facts: LabelFacts | None = None) -> None:
+    """Raises ValueError for labels that an objective can't use."""
+    kind, f = find(objective).kind, facts or LabelFacts.of(df, F.col(label))
+    if not f.n:
         raise ValueError("there are no rows")
-    if row["missing"]:
+    if f.missing:
         raise ValueError("labels must not be missing")
-    if kind == "log" and (row["low"] < 0 or row["sum"] <= 0):
+    if kind == "log" and (f.low < 0 or f.high <= 0):
         raise ValueError(f"{objective}: labels must be at least 0 and not all 0")
-    if kind in ("xent", "xentlambda") and (row["low"] < 0 or row["high"] > 1):
+    if kind in ("xent", "xentlambda") and (f.low < 0 or f.high > 1):
         raise ValueError(f"{objective}: labels must lie in [0, 1]")
-    if kind == "multiclass" and (row["broken"] or row["low"] < 0 or row["high"] >= num_class):
+    if kind == "multiclass" and (f.broken or f.low < 0 or f.high >= num_class):
         raise ValueError(f"{objective}: labels must be whole numbers below {num_class}")
-    if kind == "rank" and (row["broken"] or row["low"] < 0 or row["high"] >= len(LABEL_GAIN)):
+    if kind == "rank" and (f.broken or f.low < 0 or f.high >= len(LABEL_GAIN)):
         raise ValueError(f"{objective}: labels must be whole numbers from 0 to {len(LABEL_GAIN) - 1}")
 
 
-def init_scores(df: DataFrame, objective: str, label: str = "label", weight: str | None = None, num_class: int = 1, alpha: float = 0.9, sigmoid: float = 1.0) -> list[float]:
-    """Constant first scores, one a class, from one aggregation over the labels."""
+def _log_odds(p: float) -> float:
+    p = min(max(p, 1e-15), 1 - 1e-15)
+    return math.log(p / (1 - p))
+
+
+def init_scores(df: DataFrame, objective: str, label: str = "label", weight: str | None = None, num_class: int = 1, alpha: float = 0.9, sigmoid: float = 1.0, facts: LabelFacts | None = None) -> list[float]:
+    """Constant first scores, one a class, from sums over the labels (``facts``, if they are known)."""
     o = find(objective)
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
     y = F.col(label).cast("double")
     if o.kind == "rank":
         return [0.0]
-    if o.name in ("regression_l1", "quantile") and not weight:
-        return [percentile(df.withColumn("_y", y), "_y", 0.5 if o.name == "regression_l1" else alpha).first()["value"]]
     if o.renew:
+        part, w = alpha if o.name == "quantile" else 0.5, F.col(weight).cast("double") if weight else F.lit(1.0)
+        if o.name != "mape" and not weight:
+            return [percentile(df.select(y.alias("_y")), "_y", part).first()["value"]]
         scale = w / F.greatest(F.lit(1.0), F.abs(y)) if o.name == "mape" else w
-        found = weighted_percentile(df.select(y.alias("_y"), scale.alias("_w")), "_y", "_w", 0.5 if o.name != "quantile" else alpha).first()
+        found = weighted_percentile(df.select(y.alias("_y"), scale.alias("_w")), "_y", "_w", part).first()
         return [found["value"] if found else 0.0]
+    f = facts if facts and (o.kind != "multiclass" or facts.classes) else LabelFacts.of(df, y, weight, num_class if o.kind == "multiclass" else 0)
     if o.kind == "multiclass":
-        rows = {int(r["k"]): r["w"] for r in df.groupBy(y.cast("int").alias("k")).agg(F.sum(w).alias("w")).collect()}  # one a class
-        total = sum(rows.values())
-        prior = [min(max(rows.get(k, 0.0) / total, 1e-15), 1 - 1e-15) for k in range(num_class)]
-        return [math.log(p) for p in prior] if o.name == "multiclass" else [math.log(p / (1 - p)) / sigmoid for p in prior]
-    target = F.when(y > 0, 1.0).otherwise(0.0) if o.kind == "binary" else y
-    mean = df.agg((F.sum(target * w) / F.sum(w)).alias("m")).first()["m"]
-    if o.kind in ("binary", "xent"):
-        p = min(max(mean, 1e-15), 1 - 1e-15)
-        return [math.log(p / (1 - p)) / (sigmoid if o.kind == "binary" else 1.0)]
+        prior = [min(max(c / f.weight, 1e-15), 1 - 1e-15) for c in f.classes]
+        return [math.log(p) if o.name == "multiclass" else _log_odds(p) / sigmoid for p in prior]
+    mean = f.total / f.weight
+    if o.kind == "binary":
+        return [_log_odds(f.positive_weight / f.weight) / sigmoid]
+    if o.kind == "xent":
+        return [_log_odds(mean)]
     if o.kind == "log":
         return [math.log(max(mean, 1e-300))]
     if o.kind == "xentlambda":
@@ -264,9 +291,27 @@ def max_dcg(df: DataFrame, query: str, label: str, order: str, at: int) -> DataF
     return top.groupBy(query).agg(F.sum(_gain(F.col(label)) * discount(F.col("_r"))).alias("best"))
 
 
-def lambdarank(df: DataFrame, query: str = "query_id", label: str = "label", score: str = "score", order: str = "row_id", sigmoid: float = 1.0, truncation: int = 30, norm: bool = True) -> DataFrame:
-    """``df`` with grad and hess. Pairs are of one of a query's first ``truncation`` rows and a later row, so a query of n rows
-    has ``truncation`` x n of them at most; the first rows travel as one array, and sums combine before the shuffle."""
+#: Rows of a query up to which it is held by one task.
+QUERY_ROWS = 2_000_000
+
+
+def lambdarank(df: DataFrame, query: str = "query_id", label: str = "label", score: str = "score", order: str = "row_id", sigmoid: float = 1.0, truncation: int = 30, norm: bool = True, largest: int | None = None) -> DataFrame:
+    """``df`` with grad and hess. Pairs are of one of a query's first ``truncation`` rows and a later row. Where the largest query (``largest``
+    rows, counted if not given) is one that a task can hold, one shuffle by query is all; else its pairs are spread by joins."""
+    if largest is None:
+        largest = df.groupBy(query).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > QUERY_ROWS:
+        return lambdarank_by_joins(df, query, label, score, order, sigmoid, truncation, norm)
+    from thicket.functions.ranking import pair_gradients, whole_queries
+
+    rows = df.select(*df.columns, F.col(query).alias("_query"), F.col(label).cast("double").alias("_y"), F.col(score).cast("double").alias("_s"))
+    rows = rows.repartition("_query").sortWithinPartitions("_query", F.desc("_s"), order)
+    return whole_queries(rows, df.schema, lambda sizes, y, s: pair_gradients(sizes, y, s, sigmoid, truncation, norm))
+
+
+def lambdarank_by_joins(df: DataFrame, query: str = "query_id", label: str = "label", score: str = "score", order: str = "row_id", sigmoid: float = 1.0, truncation: int = 30, norm: bool = True) -> DataFrame:
+    """``lambdarank`` for queries that no task can hold: a query of n rows has ``truncation`` x n pairs at most; its first rows travel as one
+    array, and sums combine before the shuffle."""
     w = Window.partitionBy(query).orderBy(F.desc(score), order)
     ranked = df.select("*", F.row_number().over(w).alias("_r")).join(max_dcg(df, query, label, order, truncation), query)
     first = ranked.where(F.col("_r") <= truncation).groupBy(query).agg(

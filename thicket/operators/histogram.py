@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,31 +22,40 @@ def by_columns(df: DataFrame, bins: list[str], leaf: str = "leaf", grad: str = "
     return rows.groupBy(F.col(leaf).alias("leaf"), "feature", "bin").agg(F.sum(grad).alias("g"), F.sum(hess).alias("h"), F.count(F.lit(1)).alias("n"))
 
 
-def by_batches(df: DataFrame, bins: list[str], leaf: str = "leaf", grad: str = "grad", hess: str = "hess", offsets: list[int] | None = None) -> DataFrame:
+#: Of the arrays of bins of a batch, the leaf of each row; -1 for rows that don't count.
+Route = Callable[[list[np.ndarray]], np.ndarray]
+
+
+def by_batches(df: DataFrame, bins: list[str], leaf: str | Route = "leaf", grad: str = "grad", hess: str = "hess", combine: bool = True) -> DataFrame:
     """The same sums, counted batch by batch in a table that a task keeps, so that a task sends each (leaf, feature, bin) once
-    however many rows it has: for many features, where melting rows would cost more than the sums."""
-    width = len(bins)
+    however many rows it has, and rows aren't melted. ``leaf``: a column, or a function of the bins; with that, one compiled plan serves
+    all searches of a tree. Without ``combine`` each task's sums come as rows of their own."""
+    width, routed = len(bins), not isinstance(leaf, str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            leaves = np.asarray(batch.column(0))
-            g, h = np.asarray(batch.column(1), float), np.asarray(batch.column(2), float)
-            columns = [np.asarray(batch.column(3 + i)).astype(np.int64) for i in range(width)]
+            g, h = np.asarray(batch.column(0), float), np.asarray(batch.column(1), float)
+            columns = [np.asarray(batch.column(2 + i)).astype(np.int64) for i in range(width)]
+            leaves = leaf(columns) if routed else np.asarray(batch.column(2 + width))
+            mine = np.flatnonzero(leaves >= 0)
+            if not len(mine):
+                continue
+            if len(mine) < len(leaves):
+                g, h, leaves, columns = g[mine], h[mine], leaves[mine], [c[mine] for c in columns]
+            every, place = np.unique(leaves, return_inverse=True)
             for f, b in enumerate(columns):
-                size = int(b.max(initial=0)) + 1
-                for one in np.unique(leaves):
-                    mine = slice(None) if len(leaves) and (leaves == one).all() else leaves == one
-                    new = np.stack([np.bincount(b[mine], g[mine], size), np.bincount(b[mine], h[mine], size), np.bincount(b[mine], minlength=size)])
-                    key = (int(one), f)
-                    old = sums.get(key)
-                    if old is None:
-                        sums[key] = new
-                    else:
-                        if old.shape[1] < size:
-                            old = np.pad(old, ((0, 0), (0, size - old.shape[1])))
-                        old[:, :size] += new
-                        sums[key] = old
+                size = int(b.max()) + 1
+                code, n = place * size + b, len(every) * size
+                new = np.stack([np.bincount(code, g, n), np.bincount(code, h, n), np.bincount(code, minlength=n)]).reshape(3, len(every), size)
+                for i, one in enumerate(every.tolist()):
+                    old = sums.get((one, f))
+                    if old is None or old.shape[1] < size:
+                        wide = np.zeros((3, size))
+                        if old is not None:
+                            wide[:, : old.shape[1]] = old
+                        old = sums[one, f] = wide
+                    old[:, :size] += new[:, i]
         for (one, f), table in sums.items():
             at = np.flatnonzero(table[2])
             yield pa.RecordBatch.from_arrays(
@@ -54,9 +63,9 @@ def by_batches(df: DataFrame, bins: list[str], leaf: str = "leaf", grad: str = "
                 ["leaf", "feature", "bin", "g", "h", "n"],
             )
 
-    rows = df.select(F.col(leaf).cast("int"), F.col(grad).cast("double"), F.col(hess).cast("double"), *(F.col(c).cast("int") for c in bins))
+    rows = df.selectExpr(f"CAST(`{grad}` AS DOUBLE) AS g", f"CAST(`{hess}` AS DOUBLE) AS h", *(f"CAST(`{c}` AS INT) AS `{c}`" for c in bins), *([] if routed else [f"CAST(`{leaf}` AS INT) AS leaf"]))
     parts = rows.mapInArrow(run, "leaf int, feature int, bin int, g double, h double, n long")
-    return parts.groupBy("leaf", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    return parts.groupBy("leaf", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")) if combine else parts
 
 
 def subtract(parent: DataFrame, child: DataFrame, leaf: int) -> DataFrame:

@@ -57,11 +57,10 @@ def bagging(df: DataFrame, fraction: float, key: str = "row_id", seed: int = 3,
 
 def goss(df: DataFrame, top_rate: float = 0.2, other_rate: float = 0.1, key: str = "row_id", seed: int = 3, iteration: int = 0, grad: str = "grad", hess: str = "hess") -> DataFrame:
     """The rows of the largest |grad * hess|, and a sample of the others whose gradients and hessians are amplified: in_bag
-    rows, with grad and hess adjusted. The cut is an exact percentile over all rows, so no row is ranked one by one."""
-    n = df.count()
-    k = max(1, int(n * top_rate))
+    rows, with grad and hess adjusted. The cut is exact, found by counting, so no row is ranked one by one."""
     size = F.abs(F.col(grad) * F.col(hess))
-    cut = _kth_largest(df, size, k, n)
+    n, cut = kth_largest(df, size, top_rate)
+    k = max(1, int(n * top_rate))
     top = size >= cut
     other = max(1, int(n * other_rate))
     rate = other / max(1, n - k)
@@ -70,14 +69,34 @@ def goss(df: DataFrame, top_rate: float = 0.2, other_rate: float = 0.1, key: str
     return df.withColumn("in_bag", top | kept).withColumns({grad: F.col(grad) * factor, hess: F.col(hess) * factor})
 
 
-def _kth_largest(df: DataFrame, size: Column, k: int, n: int) -> float:
-    """The k-th largest value: by counts of distinct values, of which only those near the cut are sorted in one place."""
-    counts = df.groupBy(size.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    from thicket.functions.metrics import running
-
-    ranked = running(counts, "v", ["n"], descending=True)
-    row = ranked.where((F.col("before_n") < k) & (F.col("before_n") + F.col("n") >= k)).select("v").first()
-    return row["v"] if row else 0.0
+#: Buckets of a count, and values that are sorted at the end.
+STEPS, FEW = 4096, 20_000
+
+
+def kth_largest(df: DataFrame, size: Column, rate: float) -> tuple[int, float]:
+    """The number of rows, and the k-th largest of their sizes (0 or more; null counts as 0), k the share ``rate`` of them and at least 1.
+    Counts by the sizes' logarithms show the range that holds it, which is cut into ``STEPS`` parts, again and again, until few values are left."""
+    rows = df.select(F.coalesce(size, F.lit(0.0)).alias("v"))
+    step = F.when(F.col("v") > 0, F.floor(F.log2("v") * 8)).otherwise(F.lit(-10_000)).cast("long")
+    # 17,000 steps hold all doubles
+    found = sorted(rows.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect(), reverse=True)
+    n = sum(r["n"] for r in found)
+    if not n:
+        return 0, 0.0
+    ahead = max(1, int(n * rate))
+    while True:
+        for _, count, low, high in found:  # noqa: B007
+            if ahead <= count:
+                break
+            ahead -= count
+        inside = rows.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+        if low == high:
+            return n, low
+        if count <= FEW:
+            values = sorted((r["v"] for r in inside.collect()), reverse=True)  # FEW rows at most
+            return n, values[ahead - 1]
+        part = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit((high - low) / STEPS)), F.lit(STEPS - 1)).cast("long")
+        found = sorted(inside.groupBy(part.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect(), reverse=True)
 
 
 def arg_top(df: DataFrame, value: Column, k: int) -> DataFrame:

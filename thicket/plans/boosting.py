@@ -125,12 +125,13 @@ class Booster:
         df = data.df
         key = F.col(data.row_id) if data.row_id else F.xxhash64(*df.columns)
         keyed = df.withColumn("_row_id", key)
+        facts = objectives.LabelFacts.of(df, self.label, data.weight, self.k if self.objective and self.objective.kind == "multiclass" else 0)
         if self.objective:
-            objectives.check_labels(df, params.objective, data.label, self.k)
+            objectives.check_labels(df, params.objective, data.label, self.k, facts)
+        rows = facts.n
         cats = [*data.categorical, *params.categorical_feature]
         self.cats = [data.features[int(c)] if c.isdigit() and c not in data.features else c for c in cats]
-        self.mappers = binning.fit(keyed, data.features, self.cats, params.max_bin, params.min_data_in_bin, params.use_missing, params.zero_as_missing, params.max_bin_by_feature or None, sample=params.bin_construct_sample_cnt, key="_row_id", seed=params.data_random_seed)
-        rows = df.count()
+        self.mappers = binning.fit(keyed, data.features, self.cats, params.max_bin, params.min_data_in_bin, params.use_missing, params.zero_as_missing, params.max_bin_by_feature or None, sample=params.bin_construct_sample_cnt, forced=self._forced_bounds(), key="_row_id", seed=params.data_random_seed, rows=rows)
         least = max(1, int(params.min_data_in_leaf))
         # the mappers count sampled rows, so the least number is scaled alike
         sampled = max((sum(m.counts) for m in self.mappers), default=0)
@@ -150,11 +151,11 @@ class Booster:
         self.weighted = data.weight is not None
         self.pos, self.neg = (1.0, 1.0)
         if self.objective and self.objective.name == "binary":
-            self.pos, self.neg, *_ = objectives.class_weights(df, data.label, params.is_unbalance, params.scale_pos_weight)
+            self.pos, self.neg, *_ = objectives.class_weights(df, data.label, params.is_unbalance, params.scale_pos_weight, (facts.positives, facts.n - facts.positives))
         self.init = [0.0] * self.k
         if self.objective and params.boost_from_average and not data.init_score and not init_model:
             flat = df.select(self.label.alias("_label"), *([F.col(data.weight).alias("_weight")] if data.weight else []))
-            self.init = objectives.init_scores(flat, params.objective, "_label", "_weight" if data.weight else None, self.k, params.alpha, params.sigmoid)
+            self.init = objectives.init_scores(flat, params.objective, "_label", "_weight" if data.weight else None, self.k, params.alpha, params.sigmoid, facts)
         first = [F.lit(float(v)) for v in self.init]
         base = F.array(*first) if self.k > 1 else F.coalesce("_init", first[0])
         self.model = Model(list(data.features), params.objective if self.objective else "custom", self.k, average=params.boosting == "rf", sigmoid=params.sigmoid, squared=params.reg_sqrt, infos=[m.info() for m in self.mappers])
@@ -163,13 +164,19 @@ class Booster:
             names = [f"_x{i}" for i in range(len(data.features))]
             sums = [sum((F.expr(tree_sql(t, names)) for t in init_model.trees[c :: self.k]), F.lit(0.0)) for c in range(self.k)]
             base = F.array(*sums) if self.k > 1 else sums[0]
-        self.state = materialise(table.withColumn("score", base).drop("_init"), "train").cache()
+        state = table.withColumn("score", base).drop("_init")
+        cores = self.spark.sparkContext.defaultParallelism
+        self.parts = state.rdd.getNumPartitions()
+        if self.parts < cores:  # a small file is one partition; every search would be one task
+            self.parts, state = cores, state.repartition(cores)
+        self.state, self.spent = state.cache(), None
         if params.boosting == "dart" and not init_model and any(self.init):
             # constants of their own, which are never dropped
             self.model.trees += [Tree(leaves=[Leaf(float(v))]) for v in self.init]
         self.begun = len(self.model.trees)
-        self.routes: list[Column] = []
+        self.routes: list[str] = []
         self.weights: list[float] = []
+        self.largest: int | None = None  # rows of the largest query
         self.used: set[int] = set()
         self.rngs = {n: random.Random(getattr(params, n)) for n in ("feature_fraction_seed", "drop_seed", "extra_seed")}
         forced = None
@@ -180,6 +187,23 @@ class Booster:
         self.valid = {name: self._valid(v) for name, v in (valid or {}).items()}
         self.history: list[tuple[int, str, str, float]] = []
 
+    def _forced_bounds(self) -> dict[str, list[float]]:
+        """Bounds by feature from ``forcedbins_filename``: JSON, or a file of it, of {"feature": number, "bin_upper_bound": [...]}."""
+        text = self.p.forcedbins_filename
+        if not text:
+            return {}
+        if not text.lstrip().startswith("["):
+            with open(text) as f:
+                text = f.read()
+        out: dict[str, list[float]] = {}
+        for entry in json.loads(text):
+            i = int(entry["feature"])
+            if not 0 <= i < len(self.data.features):
+                raise ValueError(f"forced bins of a feature that isn't there: {i}")
+            if self.data.features[i] not in self.cats:
+                out[self.data.features[i]] = sorted({float(b) for b in entry["bin_upper_bound"]})
+        return out
+
     # --- one round -----------------------------------------------------------------------------------------------------
 
     def _valid(self, v: TrainSet) -> DataFrame:
@@ -199,7 +223,9 @@ class Booster:
         elif self.rank:
             renamed = state.withColumnsRenamed({"_query": "query_id", "_label": "label", "_row_id": "row_id"})
             if self.objective.name == "lambdarank":
-                out = objectives.lambdarank(renamed, sigmoid=p.sigmoid, truncation=p.lambdarank_truncation_level, norm=p.lambdarank_norm)
+                if self.largest is None:
+                    self.largest = state.groupBy("_query").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+                out = objectives.lambdarank(renamed, largest=self.largest, sigmoid=p.sigmoid, truncation=p.lambdarank_truncation_level, norm=p.lambdarank_norm)
             else:
                 out = objectives.rank_xendcg(renamed, seed=p.objective_seed, iteration=iteration)
             out = out.withColumnsRenamed({"query_id": "_query", "label": "_label", "row_id": "_row_id"})
@@ -243,12 +269,12 @@ class Booster:
     def _into(self, score: Column, c: int, more: Column) -> Column:
         return _into(score, self.k, c, more)
 
-    def _output(self, route: Column, tree: Tree) -> Column:
+    def _output(self, route: str, tree: Tree) -> Column:
         if not tree.nodes and not tree.linear:
             return F.lit(float(tree.leaves[0].value))
         if tree.linear:
             return F.expr(tree_sql(tree, [f"_x{i}" for i in range(len(self.data.features))]))
-        return F.element_at(F.array(*(F.lit(float(x.value)) for x in tree.leaves)), route + 1)
+        return F.expr(f"array({', '.join(f'{float(x.value)!r}D' for x in tree.leaves)})[{route}]")
 
     def round(self, iteration: int) -> bool:
         """Trains one iteration; False if no tree could split."""
@@ -257,7 +283,7 @@ class Booster:
         if p.boosting == "rf":
             state = state.withColumn("score", F.array(*(F.lit(float(v)) for v in self.init)) if self.k > 1 else F.lit(float(self.init[0])))
         rows = self._gradients(state, iteration)
-        grown: list[tuple[Tree, Column]] = []
+        grown: list[tuple[Tree, str]] = []
         names = sampling.column_sample([f.index for f in self.features], p.feature_fraction, self.rngs["feature_fraction_seed"]) if p.feature_fraction < 1 else [f.index for f in self.features]
         features = [f for f in self.features if f.index in set(names)]
         any_split = False
@@ -267,7 +293,7 @@ class Booster:
             if p.use_quantized_grad:
                 bag, gs, hs = histogram.quantise(bag, p.num_grad_quant_bins, bool(self.objective and self.objective.hessian_one and not self.weighted), "_row_id" if p.stochastic_rounding else None, p.seed + iteration)
                 plain, bag = bag, bag.withColumns({"grad": F.col("qg") * gs, "hess": F.col("qh") * hs})
-            tree, route, _ = Grower(bag, self.mappers, self.grow_params, features, self.used, self.rngs["extra_seed"]).grow()
+            tree, route, _ = Grower(bag, self.mappers, self.grow_params, features, self.used, self.rngs["extra_seed"], None if self.rank else self.parts).grow()
             any_split |= bool(tree.nodes)
             if tree.nodes:
                 if p.use_quantized_grad and p.quant_train_renew_leaf:
@@ -275,12 +301,15 @@ class Booster:
                 if self.objective and self.objective.renew:
                     self._renew(bag, route, tree)
                 elif p.linear_tree and (len(self.model.trees) > self.begun or self.begun):
-                    linear.fit(bag, route, [f"_x{i}" for i in range(len(self.data.features))], tree, p.linear_lambda)
+                    linear.fit(bag, F.expr(route), [f"_x{i}" for i in range(len(self.data.features))], tree, p.linear_lambda)
             else:
                 tree = Tree(leaves=[Leaf(0.0, tree.leaves[0].weight, tree.leaves[0].count)])
             grown.append((tree, route))
         if self.rank:
             rows.unpersist()
+        if self.spent is not None:  # the first histogram has filled the next round's cache
+            self.spent.unpersist()
+            self.spent = None
         if not any_split:
             return False
         rate = 1.0 if p.boosting == "rf" else p.learning_rate
@@ -328,24 +357,25 @@ class Booster:
             self.valid[name] = fresh
 
     def _advance(self, score: Column, iteration: int) -> None:
+        """The next round's scores. They are cached when its first histogram reads them, so until then the old ones stay."""
+        if self.spent is not None:
+            self.spent.unpersist()
         fresh = self.state.withColumn("score", score)
         fresh = (materialise(fresh, "train") if (iteration + 1) % CUT == 0 else fresh).cache()
-        fresh.count()
-        self.state.unpersist()
-        self.state = fresh
+        self.spent, self.state = self.state, fresh
 
-    def _renew(self, bag: DataFrame, route: Column, tree: Tree) -> None:
+    def _renew(self, bag: DataFrame, route: str, tree: Tree) -> None:
         """Leaf values from percentiles of the residuals."""
         alpha = self.p.alpha if self.objective.name == "quantile" else 0.5
-        rows = bag.select(route.alias("leaf"), (F.col("_label") - F.col("score")).alias("r"), (F.col("_weight") / (F.greatest(F.lit(1.0), F.abs("_label")) if self.objective.name == "mape" else F.lit(1.0))).alias("w"))
+        rows = bag.select(F.expr(route).alias("leaf"), (F.col("_label") - F.col("score")).alias("r"), (F.col("_weight") / (F.greatest(F.lit(1.0), F.abs("_label")) if self.objective.name == "mape" else F.lit(1.0))).alias("w"))
         plain = self.objective.name != "mape" and not self.weighted
         found = objectives.percentile(rows, "r", alpha, ["leaf"]) if plain else objectives.weighted_percentile(rows, "r", "w", alpha, ["leaf"])
         for r in found.collect():  # a row a leaf
             tree.leaves[r["leaf"]].value = r["value"]
 
-    def _newton(self, rows: DataFrame, route: Column, tree: Tree) -> None:
+    def _newton(self, rows: DataFrame, route: str, tree: Tree) -> None:
         p = self.p
-        for r in rows.groupBy(route.alias("leaf")).agg(F.sum("grad").alias("g"), F.sum("hess").alias("h")).collect():  # a row a leaf
+        for r in rows.groupBy(F.expr(route).alias("leaf")).agg(F.sum("grad").alias("g"), F.sum("hess").alias("h")).collect():  # a row a leaf
             shrunk = max(abs(r["g"]) - p.lambda_l1, 0.0) * (-1 if r["g"] < 0 else 1)
             tree.leaves[r["leaf"]].value = -shrunk / (r["h"] + p.lambda_l2)
 
@@ -401,7 +431,9 @@ class Booster:
             self.model.best_iteration = begun + stop.best_iteration + 1
             self.model.truncate(begun + stop.best_iteration + 1)
         finally:
-            self.state.unpersist()
+            for df in (self.state, self.spent):
+                if df is not None:
+                    df.unpersist()
             for df in self.valid.values():
                 df.unpersist()
         if not self.model.trees:  # nothing to split: constants

@@ -22,8 +22,9 @@ from thicket.operators.scan import Dense
 from thicket.operators.split import Feature, SplitParams
 from thicket.plans.model import Leaf, Node, Tree
 
-#: Features from which rows are counted in batches instead of being melted.
-BATCH_FEATURES = 6
+
+#: Sums of single tasks that the driver adds up itself; beyond it a shuffle does.
+DIRECT_SUMS = 200_000
 
 
 @dataclass
@@ -38,7 +39,7 @@ class GrowParams:
     forced: dict[str, Any] | None = None
     cegb_coupled: list[float] = field(default_factory=list)
     cegb_tradeoff: float = 1.0
-    batches: bool | None = None
+    batches: bool = True  # count in batches; else rows are melted and counted by SQL functions
 
 
 @dataclass
@@ -59,44 +60,84 @@ class _Leaf:
     allowed: frozenset[int] = frozenset()
 
 
-def bin_test(row: Any, features: dict[int, Feature]) -> Column:
-    """Whether a row of bins goes left. features: by number."""
+def bin_sql(row: Any, features: dict[int, Feature]) -> str:
+    """SQL for whether a row of bins goes left. features: by number."""
     f = features[row["feature"]]
-    b = F.col(f"b{f.index}")
+    b, default = f"b{f.index}", str(bool(row["default_left"])).upper() if row["cats"] is None else ""
     if row["cats"] is not None:
-        return b.isin(list(row["cats"]))
-    left = b <= row["threshold"]
+        return f"{b} IN ({', '.join(map(str, row['cats']))})"
+    left = f"{b} <= {row['threshold']}"
     if f.missing == "nan" and f.num_bin > 2:
-        return F.when(b == f.num_bin - 1, F.lit(bool(row["default_left"]))).otherwise(left)
+        return f"CASE WHEN {b} = {f.num_bin - 1} THEN {default} ELSE {left} END"
     if f.missing == "zero" and f.num_bin > 2:
-        return F.when(b == f.default_bin, F.lit(bool(row["default_left"]))).otherwise(left)
+        return f"CASE WHEN {b} = {f.default_bin} THEN {default} ELSE {left} END"
     return left
 
 
-def _route(leaf: _Leaf, features: dict[int, Feature]) -> Column:
+def bin_test(row: Any, features: dict[int, Feature]) -> Column:
+    return F.expr(bin_sql(row, features))
+
+
+def _route(leaf: _Leaf, features: dict[int, Feature]) -> str:
     if leaf.children is None:
-        return F.lit(leaf.key)
+        return str(leaf.key)
     a, b = leaf.children
-    return F.when(bin_test(leaf.row, features), _route(a, features)).otherwise(_route(b, features))
+    return f"CASE WHEN {bin_sql(leaf.row, features)} THEN {_route(a, features)} ELSE {_route(b, features)} END"
+
+
+def _plan(leaf: _Leaf, place: dict[int, int], features: dict[int, Feature]) -> Any:
+    """The tree below a leaf as far as it has grown: a key, or (place of the feature, whether each bin goes left, left, right)."""
+    if leaf.children is None:
+        return leaf.key
+    f, r = features[leaf.row["feature"]], leaf.row
+    if r["cats"] is not None:
+        left = np.isin(np.arange(f.num_bin), list(r["cats"]))
+    else:
+        left = np.arange(f.num_bin) <= r["threshold"]
+        if f.num_bin > 2 and f.missing in ("nan", "zero"):
+            left[f.num_bin - 1 if f.missing == "nan" else f.default_bin] = bool(r["default_left"])
+    return place[f.index], left, _plan(leaf.children[0], place, features), _plan(leaf.children[1], place, features)
+
+
+def leaves_of_bins(plan: Any, keys: list[int], bins: list[np.ndarray]) -> np.ndarray:
+    """Leaf of each row, -1 outside of ``keys``."""
+    out = np.full(len(bins[0]), -1)
+
+    def go(at: Any, rows: np.ndarray) -> None:
+        if isinstance(at, int):
+            if at in keys:
+                out[rows] = at
+            return
+        f, table, a, b = at
+        left = table[bins[f][rows]]
+        go(a, rows[left])
+        go(b, rows[~left])
+
+    go(plan, np.arange(len(out)))
+    return out
 
 
 class Grower:
     """Grows one tree. ``df``: b0, b1, ..., grad, hess of the rows in the bag (cached by the caller)."""
 
-    def __init__(self, df: DataFrame, mappers: list[BinMapper], params: GrowParams, features: list[Feature], used: set[int], rng: random.Random) -> None:
+    def __init__(self, df: DataFrame, mappers: list[BinMapper], params: GrowParams, features: list[Feature], used: set[int], rng: random.Random, parts: int | None = None) -> None:
+        """``parts``: partitions of ``df``, if they are known."""
         self.df, self.mappers, self.p, self.features, self.used, self.rng = df, mappers, params, features, used, rng
         self.bins = [f"b{f.index}" for f in features]
         self.hists: dict[int, Dense] = {}
         self.keys = 0
         self.by_index = {f.index: f for f in features}
-        self.jobs = 0
+        self.jobs, self.parts = 0, parts
 
-    def _histograms(self, leaf: Column, keys: list[int]) -> dict[int, Dense]:
+    def _histograms(self, root: _Leaf, keys: list[int]) -> dict[int, Dense]:
         """One aggregation; a leaf's histogram is as large as its features and bins."""
-        rows = self.df.withColumn("leaf", leaf)
-        rows = rows.where(F.col("leaf").isin(keys)) if keys != [0] else rows
-        many = self.p.batches if self.p.batches is not None else len(self.bins) >= BATCH_FEATURES
-        found = (histogram.by_batches if many else histogram.by_columns)(rows, self.bins).toArrow()
+        if self.p.batches:
+            few = self.parts is not None and self.parts * len(keys) * sum(f.num_bin for f in self.features) <= DIRECT_SUMS
+            plan = _plan(root, {f.index: i for i, f in enumerate(self.features)}, self.by_index)
+            found = histogram.by_batches(self.df, self.bins, lambda bins: leaves_of_bins(plan, keys, bins), combine=not few).toArrow()
+        else:
+            rows = self.df.withColumn("leaf", F.expr(_route(root, self.by_index)))
+            found = histogram.by_columns(rows.where(F.col("leaf").isin(keys)), self.bins).toArrow()
         column = {c: np.asarray(found.column(c)) for c in found.column_names}
         shape = (len(self.features), max(f.num_bin for f in self.features))
         out = {}
@@ -104,7 +145,7 @@ class Grower:
             mine = column["leaf"] == key
             dense = Dense(np.zeros(shape), np.zeros(shape), np.zeros(shape, np.int64))
             for c in ("g", "h", "n"):
-                getattr(dense, c)[column["feature"][mine], column["bin"][mine]] = column[c][mine]
+                np.add.at(getattr(dense, c), (column["feature"][mine], column["bin"][mine]), column[c][mine])
             out[key] = dense
         return out
 
@@ -114,7 +155,11 @@ class Grower:
             return
         self.jobs += 1
         if not parents:
-            fresh, self.hists = [root], self._histograms(F.lit(0), [0])
+            fresh, self.hists = [root], self._histograms(root, [0])
+            # every row has a bin of the first feature, so its histogram gives the totals too
+            own = self.hists[0]
+            root.g, root.h, root.n = float(own.g[0].sum()), float(own.h[0].sum()), int(own.n[0].sum())
+            root.output = self._output(root.g, root.h)
         else:
             fresh, pairs = [], []
             for leaf in parents:
@@ -122,7 +167,7 @@ class Grower:
                 a, b = leaf.children
                 fresh += [a, b]
                 pairs.append((leaf, a, b) if a.n < b.n else (leaf, b, a))
-            small = self._histograms(_route(root, self.by_index), [few.key for _, few, _ in pairs])
+            small = self._histograms(root, [few.key for _, few, _ in pairs])
             for leaf, few, rest in pairs:
                 self.hists[few.key] = small[few.key]
                 self.hists[rest.key] = self.hists[leaf.key].less(small[few.key])
@@ -169,13 +214,15 @@ class Grower:
             out.append(_Leaf(self.keys, x.depth + 1, r[f"{side}g"], r[f"{side}h"], r[f"{side}n"], r[f"{name}_output"], a, b, x.path | {f.index}))
         return out[0], out[1]
 
-    def grow(self) -> tuple[Tree, Column, _Leaf]:
-        """The tree (outputs not yet shrunk), the expression of a row's leaf number, and the root."""
-        r = self.df.agg(F.sum("grad").alias("g"), F.sum("hess").alias("h"), F.count(F.lit(1)).alias("n")).first()
-        g, h, n = r["g"] or 0.0, r["h"] or 0.0, r["n"]
-        root = _Leaf(0, 0, g, h, n, self._output(g, h))
-        if n:
+    def grow(self) -> tuple[Tree, str, _Leaf]:
+        """The tree (outputs not yet shrunk), SQL for a row's leaf number, and the root."""
+        root = _Leaf(0, 0, 0.0, 0.0, 0, 0.0)
+        if self.features:
             self.search(root, [])
+        else:
+            r = self.df.agg(F.sum("grad").alias("g"), F.sum("hess").alias("h"), F.count(F.lit(1)).alias("n")).first()
+            root.g, root.h, root.n = r["g"] or 0.0, r["h"] or 0.0, r["n"]
+            root.output = self._output(root.g, root.h)
         leaves = [root]
         self._force(root, leaves)
         while len(leaves) < self.p.num_leaves:
@@ -219,13 +266,13 @@ class Grower:
             leaves.append(leaf.children[1])
             todo += [(c, plan[k]) for c, k in zip(leaf.children, ("left", "right"), strict=True) if plan.get(k)]
 
-    def _tree(self, root: _Leaf, kept: set[int]) -> tuple[Tree, Column]:
+    def _tree(self, root: _Leaf, kept: set[int]) -> tuple[Tree, str]:
         tree = Tree(leaves=[])
 
-        def write(x: _Leaf) -> tuple[int, Column]:
+        def write(x: _Leaf) -> tuple[int, str]:
             if id(x) in kept or x.children is None:
                 tree.leaves.append(Leaf(x.output, x.h, x.n))
-                return ~(len(tree.leaves) - 1), F.lit(len(tree.leaves) - 1)
+                return ~(len(tree.leaves) - 1), str(len(tree.leaves) - 1)
             r, m = x.row, self.mappers[x.row["feature"]]
             at = len(tree.nodes)
             cats = None
@@ -238,7 +285,7 @@ class Grower:
             tree.nodes.append(node)
             node.left, left = write(x.children[0])
             node.right, right = write(x.children[1])
-            return at, F.when(bin_test(r, self.by_index), left).otherwise(right)
+            return at, f"CASE WHEN {bin_sql(r, self.by_index)} THEN {left} ELSE {right} END"
 
-        _, column = write(root)
-        return tree, column
+        _, route = write(root)
+        return tree, route

@@ -44,7 +44,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "monotone_penalty": ("monotone_splits_penalty", "ms_penalty", "mc_penalty"),
     "feature_contri": ("feature_contrib", "fc", "fp", "feature_penalty"),
     "forcedsplits_filename": ("fs", "forced_splits_filename", "forced_splits_file", "forced_splits"),
-    "refit_decay_rate": (), "path_smooth": (), "interaction_constraints": (), "cegb_tradeoff": (), "cegb_penalty_split": (),
+    "forcedbins_filename": (), "refit_decay_rate": (), "path_smooth": (), "interaction_constraints": (), "cegb_tradeoff": (), "cegb_penalty_split": (),
     "cegb_penalty_feature_coupled": (),
     "verbosity": ("verbose",),
     "linear_tree": ("linear_trees",),
@@ -120,6 +120,7 @@ class Params:
     monotone_penalty: float = 0.0
     feature_contri: list[float] = field(default_factory=list)
     forcedsplits_filename: str = ""
+    forcedbins_filename: str = ""
     refit_decay_rate: float = 0.9
     cegb_tradeoff: float = 1.0
     cegb_penalty_split: float = 0.0

@@ -362,12 +362,10 @@ def query_bagging(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sm05_goss_top", f"{WITH}, z AS (SELECT row_id, abs(y - s) AS size FROM t), k AS (SELECT size AS cut FROM (SELECT size, row_number() OVER (ORDER BY size DESC) AS r, count(*) OVER () AS n FROM z) WHERE r = greatest(1, CAST(floor(n * 2e-1) AS BIGINT))) SELECT row_id, round(size, 6) AS size FROM z, k WHERE size >= cut")
 def goss_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = shared(spark, sf_dir).withColumns({"grad": F.col("y") - F.col("s"), "hess": F.lit(1.0)})
-    n = df.count()
-    cut = sampling._kth_largest(df, F.abs(F.col("grad") * F.col("hess")), max(1, int(n * 0.2)), n)
-    kept = sampling.goss(df).where("in_bag")
-    # the sampled rest is amplified: of the kept rows, those at or over the cut are the top ones
-    plain = kept.join(df.select("row_id", F.abs("grad").alias("size")), "row_id")
-    return plain.where(F.col("size") >= cut).select("row_id", r6("size", "size"))
+    _, cut = sampling.kth_largest(df, F.abs(F.col("grad") * F.col("hess")), 0.2)
+    # the sampled rest is amplified, and its gradients with it: the plain ones tell the top rows
+    kept = sampling.goss(df.withColumn("size", F.abs("grad"))).where("in_bag")
+    return kept.where(F.col("size") >= cut).select("row_id", r6("size", "size"))
 
 
 @query("sm06_top_k", f"{WITH} SELECT row_id, round(y, 6) AS y FROM t ORDER BY o_y DESC, row_id LIMIT 25".replace("o_y", "y"))
