@@ -1,20 +1,27 @@
-"""Work folders and materialised tables shared by the operators of this subpackage."""
+"""Work folders, materialised tables and joins shared by the operators of this subpackage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys with more rows than this share of a table are joined apart; there are fewer of them than its inverse.
+HOT = 1e-4
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests on one machine), a temporary folder is made once and set.
+    Where the setting is absent, a temporary folder is made once and set, but only if everything runs on this machine (tests).
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="thicket-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -35,3 +42,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, with underscores after it as long as a column has that name, in whatever case."""
+    low = {c.lower() for c in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", count: str = "n") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``count`` (dropped) how many rows of ``left`` hold that key. Both are
+    written tables. Keys with more than a share of ``HOT`` of all rows number under 1 / HOT, so these are broadcast, and no task
+    gets such a key's rows; all others are joined by shuffle. ``how``: inner or left."""
+    most = max(1, int(left.count() * HOT))
+    hot, cold = right.where(F.col(count) > most).drop(count), right.where(F.col(count) <= most).drop(count)
+    if hot.limit(1).count() == 0:
+        return left.join(right.drop(count), keys, how)
+    near = left.join(F.broadcast(hot), keys)
+    far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return near.unionByName(far)
+
+
+# --- files ----------------------------------------------------------------------------------------------------------------
+
+
+def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder and the folder's path in it, for tasks."""
+    plain = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+    return (pyarrow.fs.LocalFileSystem(), plain) if "://" not in plain else pyarrow.fs.FileSystem.from_uri(plain)
+
+
+def publish(fs: pyarrow.fs.FileSystem, written: str, final: str) -> None:
+    """Renames a whole file; one of that name from an attempt before is replaced, as it holds the same."""
+    try:
+        fs.move(written, final)
+    except OSError:
+        if fs.get_file_info(final).type == pyarrow.fs.FileType.NotFound:
+            raise
+        fs.delete_file(final)
+        fs.move(written, final)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder below the shared one that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

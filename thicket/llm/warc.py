@@ -1,11 +1,14 @@
-"""WARC archives with revisit records: resolve equal payloads, write the archives, read them back.
+"""WARC archives with revisit records: write records once, resolve equal payloads by their headers, rewrite the archives, read them back.
 
-1. Headers (page_id, payload digest and size) are grouped by digest: of equal payloads of ``LEAST`` bytes or more the
-   largest page_id is the original. The grouping combines before the shuffle.
-2. Pages meet their digest's original and become ``response`` or ``revisit`` records. Each task writes one archive of
-   gzip members, one a record, with headers made anew, to the shared folder.
-3. The archives are read back, digests are computed again from the payloads, and revisits join their originals
-   to get their payload's size.
+1. Each task writes its pages as response records (a gzip member each) into *raw* archives and gives their headers: page_id, url, payload
+   digest and size, and where the member lies. Payloads go no further; they are never shuffled.
+2. Headers are grouped by payload digest: of equal payloads of ``LEAST`` bytes or more the largest page_id is the original. Revisits join it.
+3. Headers return to their raw archive, which one task copies member by member; a revisit's member is replaced by a record with a
+   header made anew and no payload.
+4. The archives are read back as streams, a record at a time; sizes and digests are computed again from the payloads.
+
+An archive ends at ``ROLL`` bytes, so none is too large for a task, whatever the partitions. Files carry the name of the attempt that
+wrote them until they are whole, so a task that runs again does no harm.
 
 Defined cases: null html is an empty payload; empty and small payloads are always responses. Rows that repeat the
 original's page_id and payload are responses too. A null page_id counts as smaller than any other. A null url is an
@@ -19,20 +22,22 @@ import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.shared import materialise, work_dir
+from thicket.llm.shared import filesystem, join_counted, materialise, publish, remove, shuffle_width, work_dir
 
-LEAST = 1000
+LEAST, ROLL = 1000, 64 << 20
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "page_id long, record_type string, url string, payload_digest string, http_length long, refers_to long, payload binary"
+HEADERS = "file string, at long, length long, page_id long, url string, digest string, size long"
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+_READ = 1 << 20
 
 
 def _urn(page_id: int | None) -> str:
@@ -49,13 +54,13 @@ def _line(value: str | None) -> str:
     return (value or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record_bytes(page_id: int | None, url: str | None, digest: str, payload: bytes, original: int | None, revisit: bool) -> bytes:
-    """One record as a gzip member."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+def record_bytes(page_id: int | None, url: str | None, digest: str, size: int, payload: bytes | None = None, original: int | None = None) -> bytes:
+    """One record as a gzip member: a response with its payload, or without one a revisit of the page ``original``."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http + (payload or b"")
     head = [
         VERSION,
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Type: {'revisit' if payload is None else 'response'}",
         f"WARC-Record-ID: {_urn(page_id)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_line(url)}",
@@ -63,110 +68,144 @@ def record_bytes(page_id: int | None, url: str | None, digest: str, payload: byt
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
-    if revisit:
+    if payload is None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(original)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1, mtime=0)
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """Records of an archive; each gzip member is inflated by itself."""
-    view, at = memoryview(data), 0
-    while at < len(view):
+def parse(stream: BinaryIO) -> Iterator[dict]:
+    """Records of an archive, one at a time; each gzip member is inflated by itself."""
+    data = stream.read(_READ)
+    while data:
         inflate, parts = zlib.decompressobj(31), []
         while not inflate.eof:
-            piece = view[at : at + (1 << 15)]
-            if not len(piece):
+            if not data and not (data := stream.read(_READ)):
                 raise ValueError("a gzip member isn't whole")
-            parts.append(inflate.decompress(piece))
-            at += len(piece) - len(inflate.unused_data)
-        raw = b"".join(parts)
-        head, _, rest = raw.partition(b"\r\n\r\n")
+            parts.append(inflate.decompress(data))
+            data = inflate.unused_data
+        data = data or stream.read(_READ)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != VERSION:
             raise ValueError(f"not a WARC record: {lines[0][:40]}")
         fields = dict(x.split(": ", 1) for x in lines[1:])
-        block = rest[: int(fields["Content-Length"])]
-        http, _, payload = block.partition(b"\r\n\r\n")
-        length = int(http.decode("latin-1").rpartition("Content-Length: ")[2].split("\r\n")[0])
-        revisit = fields["WARC-Type"] == "revisit"
+        http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
         yield {
             "page_id": _id_of(fields["WARC-Record-ID"]),
             "record_type": fields["WARC-Type"],
             "url": fields["WARC-Target-URI"],
             "payload_digest": base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(),
-            "http_length": length,
+            "payload_bytes": int(http.decode("latin-1").rpartition("Content-Length: ")[2].split("\r\n")[0]),
             "refers_to": _id_of(fields.get("WARC-Refers-To")),
-            "payload": None if revisit else bytes(payload),
+            "payload": None if fields["WARC-Type"] == "revisit" else bytes(payload),
         }
 
 
-def resolve(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, digest, original (page_id of the response, where payloads repeat), revisit."""
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    pages = pages.withColumn("digest", F.sha1("payload"))
-    heads = pages.where(F.octet_length("payload") >= least).select("digest", "page_id")
-    originals = heads.groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1 and original is not null").drop("n")
-    met = pages.join(originals, "digest", "left")
-    return met.withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("original")) & F.col("original").isNotNull(), F.lit(False)))
-
-
-def write_archives(resolved: DataFrame, path: str) -> None:
-    """One archive per task below ``path``, written under a name of its own and then renamed."""
-    target = path.removeprefix("file://")
+def write_raw(pages: DataFrame, path: str, roll: int = ROLL) -> DataFrame:
+    """Writes all pages as responses into raw archives below ``path``: HEADERS, a row each."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        fs, base = (pa.fs.LocalFileSystem(), target) if "://" not in target else pa.fs.FileSystem.from_uri(target)
-        context, n, out = TaskContext.get(), 0, None
-        name = f"{base}/archive-{context.partitionId():06d}"
+        fs, base = filesystem(path)
+        context, out, name, number, at = TaskContext.get(), None, "", 0, 0
         for batch in batches:
-            for page_id, url, payload, digest, original, revisit in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "original", "revisit")), strict=True):
+            rows: list[tuple] = []
+            for page_id, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html")), strict=True):
+                payload = html.as_buffer().to_pybytes() if html.is_valid else b""
+                digest = hashlib.sha1(payload).hexdigest()
                 if out is None:
                     fs.create_dir(base, recursive=True)
-                    out = fs.open_output_stream(f"{name}.{context.taskAttemptId()}.tmp")
-                out.write(record_bytes(page_id.as_py(), url.as_py(), digest.as_py(), payload.as_py(), original.as_py(), revisit.as_py()))
-                n += 1
+                    name, at = f"raw-{context.partitionId():06d}-{context.taskAttemptId()}-{number:06d}", 0
+                    out, number = fs.open_output_stream(f"{base}/{name}", compression=None), number + 1
+                member = record_bytes(page_id.as_py(), url.as_py(), digest, len(payload), payload)
+                out.write(member)
+                rows.append((name, at, len(member), page_id.as_py(), url.as_py(), digest, len(payload)))
+                at += len(member)
+                if at >= roll:
+                    out.close()
+                    out = None
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "at", "length", "page_id", "url", "digest", "size"])
         if out is not None:
             out.close()
-            fs.move(f"{name}.{context.taskAttemptId()}.tmp", f"{name}.warc.gz")
-        yield pa.RecordBatch.from_pydict({"records": pa.array([n], pa.int64())})
 
-    resolved.select("page_id", "url", "payload", "digest", "original", "revisit").mapInArrow(write, "records long").agg(F.sum("records")).collect()
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return materialise(rows.mapInArrow(write, HEADERS), "warc-headers")
+
+
+def resolve(headers: DataFrame, least: int = LEAST) -> DataFrame:
+    """``headers`` with original: the page_id that a revisit refers to, null for responses."""
+    found = headers.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1 and original is not null")
+    originals = materialise(found, "warc-originals")
+    original = F.when(F.col("page_id").eqNullSafe(F.col("original")), F.lit(None)).otherwise(F.col("original"))
+    return join_counted(headers, originals, ["digest"], "left").withColumn("original", original)
+
+
+def rewrite(resolved: DataFrame, raw: str, path: str) -> DataFrame:
+    """Copies raw archives to archives below ``path``, revisits as records of their own: archive, the files' names."""
+    width = shuffle_width(resolved.sparkSession)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        source_fs, source_base = filesystem(raw)
+        fs, base = filesystem(path)
+        attempt, current, source, out = TaskContext.get().taskAttemptId(), None, None, None
+
+        def close() -> list[str]:
+            if current is None:
+                return []
+            source.close()
+            out.close()
+            final = f"{current.replace('raw', 'archive', 1)}.warc.gz"
+            publish(fs, f"{base}/{current}.{attempt}.tmp", f"{base}/{final}")
+            return [final]
+
+        for batch in batches:
+            done: list[str] = []
+            for file, at, length, page_id, url, digest, size, original in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != current:
+                    done += close()
+                    fs.create_dir(base, recursive=True)
+                    current, source = file, source_fs.open_input_file(f"{source_base}/{file}")
+                    out = fs.open_output_stream(f"{base}/{file}.{attempt}.tmp", compression=None)
+                out.write(source.read_at(length, at) if original is None else record_bytes(page_id, url, digest, size, None, original))
+            yield pa.RecordBatch.from_pydict({"archive": pa.array(done, pa.string())})
+        yield pa.RecordBatch.from_pydict({"archive": pa.array(close(), pa.string())})
+
+    rows = resolved.select("file", "at", "length", "page_id", "url", "digest", "size", "original")
+    return materialise(rows.repartition(width, "file").sortWithinPartitions("file", "at").mapInArrow(copy, "archive string"), "warc-names")
 
 
-def read_archives(resolved: DataFrame, path: str) -> DataFrame:
-    """All records of the archives below ``path``: the columns of RECORD without the payload, and its size and digest."""
+def read_archives(names: DataFrame, path: str) -> DataFrame:
+    """RECORDS of the archives of these ``names`` below ``path``, a row each."""
+    width = shuffle_width(names.sparkSession)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = filesystem(path)
         for frame in frames:
-            for content in frame["content"]:
+            for name in frame["archive"]:
                 rows = []
-                for r in parse(content):
-                    payload = r.pop("payload")
-                    if payload is not None and (hashlib.sha1(payload).hexdigest() != r["payload_digest"] or len(payload) != r["http_length"]):
-                        raise ValueError(f"the payload of page {r['page_id']} isn't what its header says")
-                    rows.append(r | {"size": None if payload is None else len(payload)})
-                out = pd.DataFrame(rows, columns=["page_id", "record_type", "url", "payload_digest", "refers_to", "size"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64", "size": "Int64"})
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
+                    for r in parse(stream):
+                        payload = r.pop("payload")
+                        if payload is not None and (hashlib.sha1(payload).hexdigest() != r["payload_digest"] or len(payload) != r["payload_bytes"]):
+                            raise ValueError(f"the payload of page {r['page_id']} isn't what its header says")
+                        rows.append(r)
+                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
+                yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
-    files = resolved.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
-    return files.mapInPandas(read, "page_id long, record_type string, url string, payload_digest string, refers_to long, size long")
+    return names.repartition(width, "archive").mapInPandas(read, RECORDS)
 
 
-def archive(pages: DataFrame, least: int = LEAST, path: str | None = None) -> DataFrame:
-    """Writes the archives of ``pages`` (page_id, url, html) and returns their records: page_id, payload_bytes, payload_digest,
-    record_type, refers_to, url. A revisit's size is that of the response it refers to."""
+def archive(pages: DataFrame, least: int = LEAST, path: str | None = None, roll: int = ROLL) -> DataFrame:
+    """Writes the archives of ``pages`` (page_id, url, html) below ``path`` and returns their records: page_id, payload_bytes,
+    payload_digest, record_type, refers_to, url. A revisit's size and digest are those of the payload it refers to."""
     spark = pages.sparkSession
-    path = path or work_dir(spark, "warc")
-    resolved = resolve(pages, least)
-    write_archives(resolved, path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
-    records = materialise(read_archives(resolved, path), "warc-records")
-    responses = records.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("of"), F.col("page_id").alias("to")).agg(F.max("size").alias("found"))
-    whole = records.where("record_type = 'response'").select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url")
-    revisits = records.where("record_type = 'revisit'").join(responses, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("of")), "left")
-    return whole.unionByName(revisits.select("page_id", F.col("found").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url"))
+    path, raw = path or work_dir(spark, "warc"), work_dir(spark, "warc-raw")
+    headers = write_raw(pages, raw, roll)
+    names = rewrite(resolve(headers, least), raw, path)
+    remove(spark, raw)
+    return materialise(read_archives(names, path), "warc-records")
