@@ -1,5 +1,8 @@
 """Token ids in Simple-8b words: encode documents, write shards, read them back.
 
+A task writes its range of documents as shards of about ``SHARD_IDS`` ids each, so that neither a task's memory nor a file grows with the
+input; only a single document of more ids is a shard by itself.
+
 Shard file (little-endian): 8 bytes magic, then int64 documents, ids, blocks, words; int64 doc_id,
 int64 ids, uint8 "doc_id is null" of each document; uint32 first word of each block (blocks + 1);
 the 64-bit words. A block holds ``BLOCK`` ids (the last one fewer) and starts a word of its own, so that
@@ -23,15 +26,15 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.shared import materialise, shuffle_width, work_dir
+from thicket.llm.shared import filesystem, materialise, publish, shuffle_width, work_dir
 from thicket.llm.words import chunks
 
 MAGIC = b"S8BSHRD1"
 BLOCK = 4096
+SHARD_IDS = 8 << 20
 END_ID = 1
 #: Ids in a word and bits of each, by selector; selector 15 is the escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -190,7 +193,8 @@ class _Known(dict):
 class Encoder:
     """A tokenizer file, and the ids of words that it has met.
 
-    Tokenizers that lower-case, drop white space and cut at ``_CUT`` encode each word of a Latin-1 text by
+    The library alone encodes about 1.3 MB a second and core (measured), half of what this class does, and too little for the check tool. But
+    tokenizers that lower-case, drop white space and cut at ``_CUT`` encode each word of a Latin-1 text by
     itself: of such texts the words go to the library's BPE model once each. Every other text (or tokenizer)
     takes the library's whole way. At most ``keep`` words are remembered.
     """
@@ -257,68 +261,68 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str) -> None:
-    """Encodes ``docs`` (doc_id, text) into one shard per range of doc_id, in ascending order, below ``path``.
+def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """Encodes ``docs`` (doc_id, text) into shards of ranges of doc_id, in ascending order, below ``path``: shard, their names in that
+    order.
 
     Nulls count as empty texts, a null doc_id comes first; equal doc_ids are all kept, ordered by text.
     A shard is written under a name of its own and then renamed, so a task that runs again does no harm.
     """
-    target = path.removeprefix("file://")
     width = shuffle_width(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, doc_ids, counts, parts = encoder(tokenizer), [], [], []
+        coder, context, number = encoder(tokenizer), TaskContext.get(), 0
+        doc_ids, counts, parts, held = [], [], [], 0
+
+        def close() -> str:
+            fs, base = filesystem(path)
+            fs.create_dir(base, recursive=True)
+            name = f"shard-{context.partitionId():06d}-{number:06d}"
+            with fs.open_output_stream(f"{base}/{name}.{context.taskAttemptId()}.tmp") as out:
+                for piece in shard_bytes(doc_ids, np.concatenate(counts), parts):
+                    out.write(piece)
+            publish(fs, f"{base}/{name}.{context.taskAttemptId()}.tmp", f"{base}/{name}.s8b")
+            return f"{name}.s8b"
+
         for batch in chunks(batches, "text", 6 << 20):
-            doc_ids += batch.column(0).to_pylist()
             ids, n = coder.encode([t or "" for t in batch.column(1).to_pylist()])
+            if held and held + len(ids) > shard_ids:
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([close()])})
+                doc_ids, counts, parts, held, number = [], [], [], 0, number + 1
+            doc_ids += batch.column(0).to_pylist()
             counts.append(n)
             parts.append(ids)
+            held += len(ids)
         if doc_ids:
-            context = TaskContext.get()
-            fs, base = _filesystem(target)
-            fs.create_dir(base, recursive=True)
-            name = f"{base}/shard-{context.partitionId():06d}"
-            with fs.open_output_stream(f"{name}.{context.taskAttemptId()}.tmp") as out:
-                for piece in shard_bytes(doc_ids, np.concatenate(counts), parts):
-                    out.write(piece)
-            fs.move(f"{name}.{context.taskAttemptId()}.tmp", f"{name}.s8b")
-        yield pa.RecordBatch.from_pydict({"docs": pa.array([len(doc_ids)], pa.int64())})
-
-    (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(width, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(write, "docs long")
-        .agg(F.sum("docs"))
-        .collect()
-    )
-
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([close()])})
 
-def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return (pa.fs.LocalFileSystem(), path) if "://" not in path else pa.fs.FileSystem.from_uri(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return materialise(rows.repartitionByRange(width, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard string"), "token-shards")
 
 
-def read_shards(docs: DataFrame, path: str) -> DataFrame:
-    """One row per document: shard, place, doc_id, n_tokens, ids_crc32, from the files below ``path``."""
+def read_shards(shards: DataFrame, path: str) -> DataFrame:
+    """One row per document of the ``shards`` below ``path``: shard, place, doc_id, before, n_tokens, ids_crc32. A task holds one shard
+    at a time."""
+    width = shuffle_width(shards.sparkSession)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = filesystem(path)
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                doc_ids, counts, null, ids = read_shard(content)
+            for name in frame["shard"]:
+                with fs.open_input_file(f"{base}/{name}") as source:
+                    doc_ids, counts, null, ids = read_shard(source.read())
                 flat = ids.astype("<u4")
                 ends = np.cumsum(counts)
                 crc = [zlib.crc32(flat[e - n : e].data) for n, e in zip(counts, ends, strict=True)]
                 ids_of = pd.Series(doc_ids).astype("Int64").mask(null)
-                yield pd.DataFrame({"shard": name.rpartition("/")[2], "place": np.arange(len(counts)), "doc_id": ids_of, "before": ends - counts, "n_tokens": counts, "ids_crc32": np.array(crc, np.int64)})
+                yield pd.DataFrame({"shard": name, "place": np.arange(len(counts)), "doc_id": ids_of, "before": ends - counts, "n_tokens": counts, "ids_crc32": np.array(crc, np.int64)})
 
-    spark = docs.sparkSession
-    with_content = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(path).select("path", "content")
-    return with_content.mapInPandas(read, "shard string, place long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    return shards.repartition(width, "shard").mapInPandas(read, "shard string, place long, doc_id long, before long, n_tokens long, ids_crc32 long")
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes shards and reads them back: doc_id, start (ids of all documents before), n_tokens, ids_crc32, shard.
 
     An empty table gives no file and no row. Other columns, clashing names included, aren't read.
@@ -328,14 +332,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, path: str |
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     path = path or work_dir(docs.sparkSession, "tokens")
-    write_shards(docs, path, tokenizer)
-    spark = docs.sparkSession
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-        return spark.createDataFrame([], schema)
-    rows = read_shards(docs, path)
-    rows = materialise(rows, "token-rows")
+    rows = materialise(read_shards(write_shards(docs, path, tokenizer, shard_ids), path), "token-rows")
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
     # one row a shard: the running sum is small, whatever the documents
     begins = totals.select(F.col("shard").alias("of"), (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("shard_start"))
