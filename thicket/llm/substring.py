@@ -8,8 +8,10 @@
 4. Their positions merge into maximal intervals, which are cut.
 
 Documents whose whole word sequence repeats are settled by one hash of it, so groups of copies, however
-large, don't send windows. Aggregations combine before the shuffle, and the joins back have one row per key
-on one side, so that Spark can split a hot key's rows over tasks.
+large, don't send windows. Aggregations combine before the shuffle; joins back have one row a key on one side, and keys that hold more
+than a fixed share of all rows are joined by broadcast, so that no task gets a hot key's rows.
+
+Windows are equal if two hashes of 64 bits agree: that of the window and its anchor, both of words hashed to 64 bits. Words aren't compared.
 
 Defined cases: a null text has no words. A null doc_id counts as larger than any. Rows of equal doc_id don't
 remove each other's words. Texts of fewer than ``WINDOW`` words keep everything. Other columns aren't read.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.shared import materialise
+from thicket.llm.shared import join_counted, materialise
 from thicket.llm.words import Words, _WORD_BASE, chunks, mix, ranges_hash, split_words
 
 WINDOW, GRAM = 50, 12
@@ -137,20 +139,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).withColumn("th", F.xxhash64("text"))
     seen = materialise(_summaries(docs, window, gram), "substring-anchors").where(F.col("n_words") >= window)
-    copies = seen.groupBy("one", "two", "n_words").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    marked = seen.join(copies, ["one", "two", "n_words"], "left").withColumn("whole", F.coalesce(F.col("doc") > F.col("least"), F.lit(False)))
+    same = ["one", "two", "n_words"]
+    counted = [F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")]
+    copies = materialise(seen.groupBy(*same).agg(*counted).where("least < most").drop("most"), "substring-wholes")
+    marked = join_counted(seen, copies, same, "left").withColumn("whole", F.coalesce(F.col("doc") > F.col("least"), F.lit(False)))
     marked = materialise(marked.select("doc", "th", "whole", "anchors"), "substring-copies")
-    anchors = marked.where("not whole").select("doc", "th", F.explode("anchors").alias("anchor"))
-    repeated = anchors.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("anchor")
-    hits = anchors.join(repeated, "anchor").groupBy("doc", "th").agg(F.collect_set("anchor").alias("hits"))
+    anchors = materialise(marked.where("not whole").select("doc", "th", F.explode("anchors").alias("anchor")), "substring-each")
+    repeated = materialise(anchors.groupBy("anchor").agg(*counted).where("least < most").select("anchor", "n"), "substring-repeated")
+    hits = join_counted(anchors, repeated, ["anchor"]).groupBy("doc", "th").agg(F.collect_set("anchor").alias("hits"))
     wholes = marked.where("whole").select("doc", "th", F.array().cast("array<long>").alias("hits"), F.lit(True).alias("whole")).distinct()
     touched = hits.withColumn("whole", F.lit(False)).unionByName(wholes)
     # the texts that have something to cut, apart from the rest, so that only they are shuffled again
     split = materialise(docs.join(touched, ["doc", "th"], "left"), "substring-texts")
     open_ = split.where("not whole")
     windows = materialise(_first_words(open_.dropDuplicates(["doc", "th"]), window, gram), "substring-windows")
-    least = windows.groupBy("h", "anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    cuts = windows.join(least, ["h", "anchor"]).where("doc > least").groupBy("doc", "th").agg(F.collect_list("at").alias("cuts"))
+    least = materialise(windows.groupBy("h", "anchor").agg(*counted).where("least < most").drop("most"), "substring-least")
+    cuts = join_counted(windows, least, ["h", "anchor"]).where("doc > least").groupBy("doc", "th").agg(F.collect_list("at").alias("cuts"))
     none = F.lit(None).cast("array<int>").alias("cuts")
     settled = split.where("whole is null or whole").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), none)
     rest = open_.join(cuts, ["doc", "th"], "left").select("doc_id", "text", "whole", "cuts")
