@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.shared import materialise
+from thicket.llm.shared import join_counted, materialise
 from thicket.llm.words import LOWER, SPACED, Words, _WORD_BASE, chunks, mix, ranges_hash, split_words
 
 K, KEEP, ROWS, BANDS, THRESHOLD = 5, 2, 2, 16, 0.8
@@ -226,15 +226,17 @@ def classes(links: DataFrame) -> DataFrame:
         label = jumped.select("v", "c")
 
 
-def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, signed: bool = True) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id (the least doc_id of its class of near copies), n_links
-    (different texts that it was found near to). ``class_id`` is doc_id where nothing is near."""
+    (different texts that it was compared with and found near to; once two are in one class, their own link isn't looked for). ``class_id``
+    is doc_id where nothing is near. ``signed``: pairs that signatures put too far apart aren't compared; without it every pair that
+    may share enough k-mers is, which is exact among candidates and slower in clouds of copies."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
     sketch = materialise(_sketch_table(docs, k, bands, rows), "neardup-sketches")
     same = ["one", "two", "n_words"]
-    nodes = sketch.groupBy(*same).agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("copies"))
-    member = materialise(sketch.select("doc", *same).join(nodes, same).select("doc", "node").distinct(), "neardup-members")
+    nodes = materialise(sketch.groupBy(*same).agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("n")), "neardup-nodes")
+    member = materialise(join_counted(sketch.select("doc", *same), nodes, same).select("doc", "node").distinct(), "neardup-members")
     head = sketch.join(member.where("doc = node").select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
 
     entries = materialise(head.select("doc", F.posexplode("keys").alias("band", "key")).select(F.col("key").alias("x"), F.col("band").cast("long").alias("y"), "doc"), "neardup-entries")
@@ -278,7 +280,7 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
             enough = F.least("common", "h_common") >= least * (F.col("size") + F.col("h_size")) - 1e-9
             # written out, so that it is compiled
             close = F.expr(" + ".join(f"bit_count(sign[{i}] ^ h_sign[{i}])" for i in range(SIGN_BITS // 64)) + f" <= {apart}")
-            pairs = live.join(drawn, ["x", "y"]).where((F.col("class") != F.col("h_class")) & enough & close & F.expr(here))
+            pairs = live.join(drawn, ["x", "y"]).where((F.col("class") != F.col("h_class")) & enough & (close if signed else F.lit(True)) & F.expr(here))
             pairs = pairs.select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b")).distinct()
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
             new = materialise(_checked(pairs, texts, k, threshold), "neardup-pairs")
