@@ -6,7 +6,8 @@ plus, cards that fail Luhn, numbers of 3, 2 and 4 digits, titled names. On every
 * regex: the strict form of its kind (1) or not (0): as a base pattern has it, dotted quads without leading zeros, local phones with
   area and exchange from 2 up, hyphenated social security numbers without void parts, a title with two names;
 * gazetteer: known top-level domains, issuers' digits, area codes, issued areas, first names (1) or not (0);
-* context: a word of its kind (2), a contrary word (1) or neither (0) in the ``CONTEXT`` characters before it.
+* context: a word of its kind (2), a contrary word (1) or neither (0) in the ``CONTEXT`` characters before it, back to the fourth match of
+  its pattern before.
 
 Spark counts the vote patterns of each kind (twelve at most). Expectation-maximisation over these counts estimates each
 labeler's reliability and each pattern's probability; where the votes tell nothing, it stays where it began. The candidates, labelled by these probabilities, train the final
@@ -14,7 +15,8 @@ classifier, naive Bayes over hashed features: the word before, the shape, the le
 both the votes' probability and the classifier's reach ``KEEP``. Base spans stay. Both models work on shares, so a table and many
 copies of it give the same decisions.
 
-Everything about a document stays in its row: texts are never shuffled, and the models are arrays of fixed size.
+Everything about a document stays in its row: texts are never shuffled, and the models are arrays of fixed size. The work on one text
+grows with its length and, for its n matches, with n to the power 1.5 at most, of which a match's share is a copy of a few bytes.
 
 Defined cases: null and empty texts have no spans. Positions are code points, ends exclusive. Rows that repeat are each judged.
 Other columns aren't read.
@@ -22,7 +24,7 @@ Other columns aren't read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.shared import materialise
@@ -43,17 +45,25 @@ IP_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-
 SPELT = r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]{1,63}){1,5}"
 LOCAL_PHONE = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![0-9A-Za-z+/_.-])(?<![0-9] )[0-9]{3}[ .-]?[0-9]{2}[ .-]?[0-9]{4}(?![0-9A-Za-z+/_=-])(?![ .][0-9])"
-PERSON = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?(?![a-z])"
+PERSON = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? \p{Lu}\p{Ll}{1,20}(?: \p{Lu}\p{Ll}{1,20})?(?!\p{Ll})"
 # Strict forms.
 STRICT_IP = r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$"
 STRICT_PHONE = r"^\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}$"
 STRICT_SSN = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
-STRICT_PERSON = r"^[A-Z][a-z]+\.? [A-Z][a-z]+ [A-Z][a-z]+$"
-# Fixed word lists. Areas of social security numbers as issued until 2011, less the numbers that advertisements made known.
-TOP_LEVEL = r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$"
+STRICT_PERSON = r"^[A-Z][a-z]+\.? \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$"
+# Fixed word lists, common ones. Areas of social security numbers as issued until 2011, less the numbers that advertisements made known.
+TOP_LEVEL = (
+    "com org net edu gov mil int io dev app info biz name pro eu uk us ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg hr si rs se no dk fi is ee lv lt ru ua tr il ae in cn jp kr sg hk tw th vn my id "
+    "ph br ar mx cl co pe uy za ng ke eg ma ai tv me cc xyz online site tech shop blog cloud"
+)
 ISSUER = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)"
 AREAS = r"^(?!078051120|219099999)(?:00[1-9]|0[1-9][0-9]|[1-5][0-9]{2}|6[0-57-9][0-9]|66[0-57-9]|7[0-2][0-9]|73[0-3]|7[56][0-9]|77[0-2])"
-FIRST_NAMES = r"\b(?:Anna|Maria|John|James|Mary|Peter|Paul|Laura|Sofia|Hans|Karl|Pierre|Marie|Jean|Carlos|Juan|Ana|David|Michael|Sarah)\b"
+FIRST_NAMES = (
+    "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Lisa Matthew Nancy Anthony Betty Mark Margaret Paul Sandra "
+    "Steven Ashley Andrew Emily Kenneth Donna George Michelle Kevin Carol Brian Amanda Edward Laura Peter Anna Emma Olivia Sophie Alice Jack Harry Oliver Grace Helen Jane Kate Lucy Ben Sam Tom Max Leon Lukas Jonas Felix Paula "
+    "Hans Karl Klaus Jürgen Wolfgang Stefan Andreas Sabine Monika Petra Ursula Heike Julia Katharina Pierre Jean Marie Claire Camille Louis Antoine Nicolas Julien Sophia Isabelle Nathalie Philippe François Luc Léa Chloé "
+    "Carlos Juan José Luis Miguel Javier Antonio Manuel Pablo Diego María Ana Carmen Isabel Lucía Sofía Sofia Elena Marta Rosa Maria Marco Luca Giulia Chiara Francesca Ivan Olga Natalia Ahmed Fatima Mohammed Ali Wei Yuki Hiroshi Priya Raj"
+)
 WORDS = {
     "email": ("e-?mail|mail|contact|write", "import|decorator"),
     "ip": ("ip|address|host|server|addr", "version|release|section|chapter"),
@@ -65,15 +75,34 @@ WORDS = {
 
 
 def _places(text: str, pattern: str, maybe: str) -> str:
-    """SQL for the matches of a pattern in a text: array of (m, start, end), leftmost and non-overlapping. The text between
-    matches gives their positions. ``maybe``: SQL that is false only for texts without a match."""
+    """SQL for the matches of a pattern in a text: array of (m, start, end, before), leftmost and non-overlapping; ``before`` is the
+    context: the text ahead, as far back as the fourth match before. The pieces between matches give positions: their running sums are made block by
+    block, as many blocks as a block has places, so that no long array is copied for each match. ``maybe``: SQL that is false
+    only for texts without a match."""
     p = "r'" + pattern.replace("'", r"\x27") + "'"
-    return f"""CASE WHEN {maybe} THEN
-        aggregate(zip_with(regexp_extract_all({text}, {p}, 0), transform(split({text}, {p}, -1), x -> length(x)), (m, gap) -> struct(m, gap)),
-            CAST(array() AS array<struct<m: string, start: int, end: int>>),
-            (done, x) -> CASE WHEN x.m IS NULL THEN done ELSE array_append(done, struct(x.m AS m,
-                coalesce(try_element_at(done, -1).end, 0) + x.gap AS start, coalesce(try_element_at(done, -1).end, 0) + x.gap + length(x.m) AS end)) END)
-        ELSE CAST(array() AS array<struct<m: string, start: int, end: int>>) END"""
+    none = "CAST(array() AS array<struct<m: string, start: int, end: int, before: string>>)"
+    pieces = f"zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, gap) -> struct(m, gap))"
+    # the last piece is what follows the last match
+    numbered = f"transform(filter({pieces}, x -> x.m IS NOT NULL), (x, i) -> struct(x.m AS m, x.gap AS gap, length(x.gap) + length(x.m) AS n))"
+    blocks = "transform(sequence(0, (size(z) - 1) div w), b -> slice(z, b * w + 1, w))"
+    # a row of (places ahead of the block, running places inside)
+    inside = "transform({blocks}, g -> aggregate(g, array(0), (a, x) -> array_append(a, a[size(a) - 1] + x.n)))"
+    starts = "aggregate(s, array(0), (a, g) -> array_append(a, a[size(a) - 1] + g[size(g) - 1]))"
+    context = " || ".join(f"CASE WHEN i >= {k} THEN {'z[i - ' + str(k) + '].gap || z[i - ' + str(k) + '].m'} ELSE '' END" for k in (4, 3, 2, 1))
+    near = f"right(CASE WHEN length(z[i].gap) >= {CONTEXT} THEN z[i].gap ELSE {context} || z[i].gap END, {CONTEXT})"
+    let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    ends = "t[i div w] + s[i div w][i % w + 1]"
+    found = f"transform(z, (x, i) -> struct(x.m AS m, {ends} - length(x.m) AS start, {ends} AS end, {near} AS before))"
+    body = let("z", numbered, f"CASE WHEN size(z) = 0 THEN {none} ELSE " + let("w", "int(ceil(sqrt(size(z))))", let("s", inside.format(blocks=blocks), let("t", starts, found))) + " END")
+    return f"CASE WHEN {maybe} THEN {body} ELSE {none} END"
+
+
+def _meets(spans: str) -> str:
+    """SQL: whether the span x meets one of ``spans``, which are in order and apart: a search by halves for the first that ends after x
+    begins."""
+    step = f"CASE WHEN r.a >= r.b THEN r WHEN {spans}[shiftright(r.a + r.b, 1)].end > x.start THEN named_struct('a', r.a, 'b', shiftright(r.a + r.b, 1)) ELSE named_struct('a', shiftright(r.a + r.b, 1) + 1, 'b', r.b) END"
+    first = f"aggregate(sequence(1, int(ceil(log2(size({spans}) + 1))) + 1), named_struct('a', 0, 'b', size({spans})), (r, _) -> {step}, r -> r.a)"
+    return f"(size({spans}) > 0 AND coalesce(get({spans}, {first}).start < x.end, false))"
 
 
 def _digits(m: str) -> str:
@@ -89,7 +118,7 @@ def _luhn(m: str) -> str:
 
 def _tag(kind: str, base: bool, source: str, keep: str = "true") -> str:
     number = KINDS.index(kind)
-    return f"transform(filter({source}, x -> {keep}), x -> struct({number} AS kind, {str(base).lower()} AS base, x.m AS m, x.start AS start, x.end AS end))"
+    return f"transform(filter({source}, x -> {keep}), x -> struct({number} AS kind, {str(base).lower()} AS base, x.m AS m, x.start AS start, x.end AS end, x.before AS before))"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -103,17 +132,17 @@ def candidates(docs: DataFrame) -> DataFrame:
         "spelt": (SPELT, r"t RLIKE r'[(\[]at[)\]]'"),
         "locals": (LOCAL_PHONE, "t RLIKE r'[0-9]{3}[ .-][0-9]{4}'"),
         "ssns": (SSN, "t RLIKE r'[0-9]{3}[ .-]?[0-9]{2}[ .-]?[0-9]{4}'"),
-        "people": (PERSON, r"t RLIKE r'(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z]'"),
+        "people": (PERSON, r"t RLIKE r'(?:Mr|Mrs|Ms|Dr|Prof)\.? \p{Lu}'"),
     }
     rows = rows.withColumns({name: F.expr(_places("t", pattern, maybe)) for name, (pattern, maybe) in found.items()})
     size = f"length({_digits('x.m')})"
     card = f"{size} BETWEEN 13 AND 19"
-    base = [
-        _tag("email", True, "emails"),
-        _tag("ip", True, "ips", f"x.m RLIKE r'{IP_PARTS}'"),
-        _tag("card", True, "cards", f"{card} AND {_luhn('x.m')}"),
-        _tag("phone", True, "phones", f"{size} BETWEEN 9 AND 15"),
-    ]
+    base = {
+        "email": _tag("email", True, "emails"),
+        "ip": _tag("ip", True, "ips", f"x.m RLIKE r'{IP_PARTS}'"),
+        "card": _tag("card", True, "cards", f"{card} AND {_luhn('x.m')}"),
+        "phone": _tag("phone", True, "phones", f"{size} BETWEEN 9 AND 15"),
+    }
     loose = [
         _tag("email", False, "spelt"),
         _tag("card", False, "cards", f"{card} AND NOT {_luhn('x.m')}"),
@@ -121,14 +150,16 @@ def candidates(docs: DataFrame) -> DataFrame:
         _tag("ssn", False, "ssns"),
         _tag("person", False, "people"),
     ]
-    rows = rows.withColumn("base", F.expr(f"concat({', '.join(base)})"))
-    free = "filter(concat({}), x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))".format(", ".join(loose))
-    return rows.select("doc_id", F.expr(f"transform(concat(base, {free}), x -> {_votes()})").alias("cands"))
+    rows = rows.withColumns({f"base_{k}": F.expr(v) for k, v in base.items()})
+    meets = " OR ".join(_meets(f"base_{k}") for k in base)
+    free = f"filter(concat({', '.join(loose)}), x -> NOT ({meets}))"
+    own = ", ".join(f"base_{k}" for k in base)
+    return rows.select("doc_id", F.expr(f"transform(concat({own}, {free}), x -> {_votes()})").alias("cands"))
 
 
 def _votes() -> str:
     """SQL: the candidate x of a text t with its labelers' votes and its features."""
-    d, before = _digits("x.m"), f"lower(substring(t, greatest(x.start - {CONTEXT}, 0) + 1, least(x.start, {CONTEXT})))"
+    d, before = _digits("x.m"), "lower(x.before)"
     by_kind = lambda options: "CASE x.kind " + " ".join(f"WHEN {KINDS.index(k)} THEN {v}" for k, v in options.items()) + " ELSE 0 END"
     regex = by_kind(
         {
@@ -142,12 +173,12 @@ def _votes() -> str:
     )
     gazetteer = by_kind(
         {
-            "email": f"int(x.m RLIKE r'{TOP_LEVEL}')",
+            "email": f"int(x.m RLIKE r'(?i)[. ](?:{TOP_LEVEL.replace(' ', '|')})$')",
             "ip": r"int(NOT x.m RLIKE r'^0*(?:0|127|255)\.')",
             "card": f"int({d} RLIKE r'{ISSUER}')",
             "phone": f"int({d} RLIKE r'^1?[2-9][0-9]{{9}}$')",
             "ssn": f"int({d} RLIKE r'{AREAS}')",
-            "person": f"int(x.m RLIKE r'{FIRST_NAMES}')",
+            "person": rf"int(x.m RLIKE r'(?U)\b(?:{FIRST_NAMES.replace(' ', '|')})\b')",
         }
     )
     context = by_kind({k: rf"CASE WHEN {before} RLIKE r'\b(?:{good})\b' THEN 2 WHEN {before} RLIKE r'\b(?:{bad})\b' THEN 1 ELSE 0 END" for k, (good, bad) in WORDS.items()})
