@@ -10,7 +10,8 @@ with the cut are sorted. So a source with a third of all rows is no task of its
 
 Defined cases: a null language or source is a node of its own, named empty, with the default weight; null texts have no tokens;
 documents without tokens cost nothing. Rows of equal doc_id stay or go together. Nodes of weight 0 get nothing
-unless all siblings are full. The input's columns come back as they were.
+unless all siblings are full. The input's columns come back as they were, whatever their names: a row travels as one struct, and the columns
+that are added get underscores after their names where the input has such a column. Texts of any length are only counted.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.shared import materialise
+from thicket.llm.shared import free_name, materialise
 
 #: Weights of the queries, in thousandths; other nodes weigh ``default``.
 DOMAINS = {"web": 500, "books": 300, "reference": 200}
@@ -94,15 +95,15 @@ def mix(
     """The chosen rows of ``docs`` (doc_id, text, lang, source), each once for every epoch that takes it, with ``epoch_column``
     and the tree columns. The budget is ``share`` of all tokens."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    tagged = docs.withColumns(
-        {
-            "_mix_id": F.col("doc_id"),
-            "_mix_domain": F.coalesce(domain if domain is not None else domain_of(source), F.lit("")),
-            "_mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-            "_mix_source": source,
-        }
+    tagged = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_mix_row"),
+        F.col("doc_id").alias("_mix_id"),
+        F.coalesce(domain if domain is not None else domain_of(source), F.lit("")).alias("_mix_domain"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_mix_lang"),
+        source.alias("_mix_source"),
+        F.col("text").alias("_mix_text"),
     )
-    tokens = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
+    tokens = F.coalesce(F.regexp_count(F.col("_mix_text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
     small = materialise(tagged.select("_mix_id", *TREE, tokens.alias("tokens")), "mix-tokens")
     leaves = small.groupBy(*TREE).agg(F.sum("tokens").alias("tokens"))
     quotas = materialise(budgets(leaves, share, epochs, domains, languages, sources or {}, default), "mix-quotas")
@@ -120,9 +121,14 @@ def mix(
     ends = ends.select(*TREE, "whole", F.coalesce("last", "at", F.lit("g")).alias("end"))
     ends = materialise(ends, "mix-ends")
 
-    each = tagged.join(ends, [*TREE]).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int"))))
+    each = tagged.drop("_mix_text").join(ends, [*TREE]).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int"))))
     chosen = each.where((F.col("_mix_epoch") < F.col("whole")) | ((F.col("_mix_epoch") < F.lit(epochs)) & (_key(seed, "_mix_epoch") <= F.col("end"))))
-    return chosen.withColumn(epoch_column, F.col("_mix_epoch")).select(*docs.columns, epoch_column, *TREE)
+    names = list(docs.columns)
+    added = []
+    for column, name in (("_mix_epoch", epoch_column), *((c, c) for c in TREE)):
+        names.append(free_name(name, names))
+        added.append(F.col(column).alias(names[-1]))
+    return chosen.select(*(F.col("_mix_row").getField(c).alias(c) for c in docs.columns), *added)
 
 
 def sql(share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> str:
