@@ -9,8 +9,9 @@ documents at a time; its ``NEIGHBOURS`` nearest vote with their similarity as we
 The sample is bounded by its documented size, whatever the input; frequencies count all documents.
 
 Defined cases: null and empty texts have no trigrams but a shape, so they are scored by it. Rows that repeat are
-each scored. With no labels at all every score is 0.5. Labels that are null don't count; a document with several labels has
-the least. Other columns aren't read.
+each scored. Of labelled texts that are equally near the one of the smaller doc_id votes first: cosines count to ``DIGITS`` places. Texts of any
+length are whole terms, in batches of their own. An empty table gives no rows. With no labels at all every score is 0.5. Labels that are null don't count; a document with several labels has
+the least. Other columns aren't read, but for ``carry``, which returns every row as one struct, whatever its columns are named.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thicket.llm.shared import materialise
 from thicket.llm.words import SPACED, byte_class, chunks, split_words
 
-BUCKETS, RANK, SAMPLE, NEIGHBOURS, POWER = 1024, 64, 4000, 15, 4
+BUCKETS, RANK, SAMPLE, NEIGHBOURS, POWER, DIGITS = 1024, 64, 4000, 15, 4, 5
 FOLDS, THRESHOLD = 5, 0.3
 _STEPS = {
     "log_bytes": (3, 4.5, 5.5, 6.5, 7.5, 8.5, 9.5, 10.5),
@@ -129,17 +132,24 @@ class Model:
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
+    def latent(self, column: pa.Array) -> np.ndarray:
+        """Unit vectors of texts in the latent space."""
+        return self.unit((vectors(*terms(column), self.idf) - self.mean) @ self.base)
+
     def score(self, column: pa.Array) -> np.ndarray:
         """Share of label 1 among the nearest, weighted by similarity; a block of texts by all labelled vectors."""
         if not len(self.labels):
             return np.full(len(column), 0.5)
-        own = self.unit((vectors(*terms(column), self.idf) - self.mean) @ self.base)
+        own = self.latent(column)
         k, out = min(NEIGHBOURS, len(self.labels)), np.zeros(len(column))
         for at in range(0, len(own), 256):
-            cosines = own[at : at + 256] @ self.known.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosines, near, 1), 1e-3).astype(np.float64) ** POWER
-            out[at : at + 256] = (weight * self.labels[near]).sum(1) / weight.sum(1)
+            cosines = np.round(own[at : at + 256] @ self.known.T, DIGITS)
+            least = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+            # all that are nearer than the k-th, and of its equals the first
+            nearer, equal = cosines > least, cosines == least
+            equal &= np.cumsum(equal, axis=1) <= k - nearer.sum(1, keepdims=True)
+            weight = np.where(nearer | equal, np.maximum(cosines, 1e-3), 0.0).astype(np.float64) ** POWER
+            out[at : at + 256] = weight @ self.labels / weight.sum(1)
         return np.round(np.clip(out, 0, 1), 6)
 
 
@@ -170,16 +180,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(idf, counts, shape, np.array([r["quality"] for r in got]))
 
 
-def score(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
-    """``docs`` (doc_id, text) with held_out, score and predicted; ``extra`` columns are carried along."""
+def score(docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of ``docs`` (doc_id, text); ``carry``: the name of a struct column that
+    holds the whole row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in (extra if extra is not None else ["doc_id"])]
+    row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if carry else ["doc_id", "text"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
-            values = shared.value.score(batch.column(batch.schema.get_field_index("_text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(values, pa.float64())], [*kept, "_score"])
-
-    schema = docs.select(*kept).schema.add("_score", "double")
-    found = docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
-    return found.select(*kept, held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+        for batch in batches:
+            rows = batch.column(0)
+            fields = [f.name for f in rows.type]
+            text = pc.struct_field(rows, [fields.index("text")]).cast(pa.string())
+            for part in chunks(iter([pa.RecordBatch.from_arrays([rows, text], ["row", "text"])]), "text"):
+                kept = part.column(0) if carry else pc.struct_field(part.column(0), [0])
+                yield pa.RecordBatch.from_arrays([kept, pa.array(shared.value.score(part.column(1)), pa.float64())], ["kept", "score"])
+
+    inputs = docs.select(row.alias("row"))
+    kind = inputs.schema["row"].dataType if carry else docs.schema["doc_id"].dataType
+    found = inputs.mapInArrow(run, T.StructType([T.StructField("kept", kind), T.StructField("score", T.DoubleType())]))
+    doc_id = F.col("kept").getField("doc_id") if carry else F.col("kept")
+    found = found.select(doc_id.alias("doc_id"), "score", *([F.col("kept").alias(carry)] if carry else []))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *([carry] if carry else []))
