@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of ``documents``; the last returns
 the documents' places in the token shards. Stages meet through Parquet tables in the shared folder.
+
+Every stage decides about rows, not ids: null and repeated doc_ids are judged like others. A row travels as one struct, so columns
+beside doc_id, text, lang and source may have any names, and come back as they were. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,50 +18,61 @@ from thicket.llm import decontaminate, mixing, neardup, quality, tokens
 from thicket.llm.shared import materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: A number of each row, as doc_id may be null or repeat.
-ROW = "_pipeline_row"
+
+
+def _row(docs: DataFrame) -> list:
+    return [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")]
+
+
+def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents again, of a table with ``row``."""
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The documents with ``ROW``, written, so that later reads give the same numbers."""
-    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """number and row of each document, written, so that later reads give the same numbers."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("number"), *_row(docs)), name)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be of label 1."""
+    """Documents that the quality classifier predicts to be of label 1. Null and empty texts are judged by their shape, a very long text as a
+    whole; equal texts get equal scores, so repeated rows stay or go together. Without labels all stay."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return _columns(quality.score(docs, model, carry="row").where("predicted = 1"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies one row: that of the least doc_id, nulls last. Rows of null doc_id and rows that share a doc_id
-    are compared like others."""
+    """Of each class of near copies one row: that of the least doc_id, nulls last; of equal doc_ids the first as read. Null, empty and blank
+    texts are copies of each other. Very long texts are compared as wholes."""
     rows = numbered(docs, "pipeline-near-rows")
-    found = neardup.near_copies(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "class_id")
-    several = found.where(F.col(ROW) != F.col("class_id")).select("class_id").distinct()
-    ids = rows.select(ROW, F.col("doc_id").isNull().alias("none"), "doc_id")
-    members = materialise(found.join(several, "class_id", "left_semi").join(ids, ROW), "pipeline-near-members")
-    first = members.groupBy("class_id").agg(F.min(F.struct("none", "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    copies = members.select(ROW).join(first, ROW, "left_anti")
-    return rows.join(copies, ROW, "left_anti").select(*docs.columns)
+    found = neardup.near_copies(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("number"), "class_id")
+    several = found.where(F.col("number") != F.col("class_id")).select("class_id").distinct()
+    ids = rows.select("number", F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"))
+    members = materialise(found.join(several, "class_id", "left_semi").join(ids, "number"), "pipeline-near-members")
+    first = members.groupBy("class_id").agg(F.min(F.struct("none", "doc_id", "number")).alias("first")).select(F.col("first.number").alias("number"))
+    copies = members.select("number").join(first, "number", "left_anti")
+    return _columns(rows.join(copies, "number", "left_anti"), docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a window of a benchmark item, whatever their doc_id."""
+    """Rows without a window of a benchmark item. Null and empty texts have none and stay; repeated rows stay or go together; a very long
+    text goes for a single window."""
     rows = numbered(docs, "pipeline-leak-rows")
-    found = decontaminate.find_leaks(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaks = found.where("n_hit > 0").select(F.col("doc_id").alias(ROW))
-    return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
+    found = decontaminate.find_leaks(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), table(spark, sf_dir, "benchmark"))
+    leaks = found.where("n_hit > 0").select(F.col("doc_id").alias("number"))
+    return _columns(rows.join(leaks, "number", "left_anti"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the budget of each leaf takes, once for every epoch."""
-    return mixing.mix(docs).select(*docs.columns)
+    """The documents that the budget of each leaf takes, once for every epoch. Null languages and sources are nodes of their own; texts
+    without words cost nothing; rows of equal doc_id, the null one included, have one place in a leaf's order and stay or go together."""
+    chosen = mixing.mix(docs)
+    return chosen.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32, as read back from the shards."""
+    """doc_id, start, n_tokens and ids_crc32, as read back from the shards: in ascending doc_id order, null first, equal ones by text. Null and
+    empty texts are their end id alone."""
     return tokens.encode_documents(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -70,7 +84,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("tokenize", write_tokens),
 ]
 
-#: SQL can't train the classifier or encode tokens; near_dedup and decontaminate are tested against brute-force versions, the others' operators are.
+#: SQL can't train the classifier, align texts or encode tokens; every stage is tested against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
