@@ -341,8 +341,9 @@ def lambdarank_by_joins(df: DataFrame, query: str = "query_id", label: str = "la
 
 
 def uniform(*parts: Column | str) -> Column:
-    """A number in [0, 1) that depends on the parts alone."""
-    return (F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
+    """A number in [0, 1) that depends on the parts' texts alone: 52 bits of their MD5 hash, which SQL engines agree on."""
+    text = F.concat_ws(":", *((F.col(x) if isinstance(x, str) else x).cast("string") for x in parts))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def rank_xendcg(df: DataFrame, query: str = "query_id", label: str = "label", score: str = "score", order: str = "row_id", seed: int = 5, iteration: int = 0) -> DataFrame:

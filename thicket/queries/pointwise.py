@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions import metrics, objectives
+from thicket.queries.oracle import draw
 from thicket.queries.base import QUERIES, SQL, WITH, WITH_SCORES, query, r6, shared, with_scores
 
 # --- gradients: (operator, label column, gradient, hessian) in SQL ----------------------------------------------------------
@@ -109,7 +110,16 @@ def lambdarank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", r6("grad", "grad"), r6("hess", "hess"))
 
 
-@query("ob20_rank_xendcg")
+_XENDCG = f"""{WITH}, e AS (SELECT *, exp(rs - max(rs) OVER q) AS x, power(2e0, rel) - {draw('row_id', '5', '0')} AS phi, count(*) OVER q AS n FROM t WINDOW q AS (PARTITION BY query_id)),
+    r AS (SELECT *, x / sum(x) OVER q AS rho, phi / greatest(sum(phi) OVER q, 1e-15) AS target FROM e WINDOW q AS (PARTITION BY query_id)),
+    a AS (SELECT *, rho - target AS one, (rho - target) / greatest(1 - rho, 1e-15) AS lift FROM r),
+    b AS (SELECT *, rho * (sum(lift) OVER q - lift) AS two FROM a WINDOW q AS (PARTITION BY query_id)),
+    c AS (SELECT *, two / greatest(1 - rho, 1e-15) AS lift2 FROM b),
+    z AS (SELECT *, rho * (sum(lift2) OVER q - lift2) AS three FROM c WINDOW q AS (PARTITION BY query_id))
+    SELECT row_id, round(CASE WHEN n > 1 THEN one + two + three ELSE 0 END, 6) AS grad, round(CASE WHEN n > 1 THEN rho * (1 - rho) ELSE 0 END, 6) AS hess FROM z"""
+
+
+@query("ob20_rank_xendcg", _XENDCG)
 def rank_xendcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objectives.rank_xendcg(shared(spark, sf_dir), label="rel", score="rs").select("row_id", r6("grad", "grad"), r6("hess", "hess"))
 

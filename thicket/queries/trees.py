@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thicket.functions.ordered import running
 from thicket.operators import binning, bundling, histogram, sampling, split
 from thicket.operators.binning import BinMapper
 from thicket.operators.split import Feature, SplitParams
 from thicket.plans.model import Leaf, Model, Node, Tree, tree_sql
 from thicket.plans.predict import predict
 from thicket.queries.base import SQL, WITH, query, r6, shared
+from thicket.queries.oracle import draw
 from thicket.sources import matrix
 
 # --- sources ---------------------------------------------------------------------------------------------------------------
@@ -27,9 +29,19 @@ def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.from_entries(entries, 3)
 
 
-@query("io03_sparse_columns")
+_CSC = f"""{WITH}, o AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, b1, f1 FROM t)
+    SELECT row_id, {', '.join(f'CASE WHEN b1 = {i} THEN f1 ELSE 0e0 END AS "Column_{i}"' for i in range(8))} FROM o"""
+
+
+@query("io03_sparse_columns", _CSC)
 def sparse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.from_csc(spark, [0, 2, 3, 3], [0, 2, 1], [1.0, 3.0, 2.0], 3)
+    """``orders`` as a CSC matrix in tables: column b1 holds f1."""
+    rows = running(shared(spark, sf_dir).select("row_id", "b1", "f1").withColumn("one", F.lit(1)), "row_id", ["one"]).withColumnRenamed("before_one", "row").cache()
+    entries = running(rows.select(F.struct("b1", "row").alias("place"), "f1", F.lit(1).alias("one")), "place", ["one"])
+    entries = entries.select(F.col("before_one").alias("k"), F.col("place.row").alias("index"), F.col("f1").alias("val"))
+    sizes = spark.range(9).select(F.col("id").cast("int").alias("i")).join(rows.groupBy("b1").agg(F.count(F.lit(1)).alias("n")), F.col("i") == F.col("b1"), "left")
+    pointers = running(sizes.select("i", F.coalesce("n", F.lit(0)).alias("n")), "i", ["n"]).select("i", F.col("before_n").alias("ptr"))
+    return matrix.csc_rows(pointers, entries, rows.count())
 
 
 @query("io04_pointer_faults", f"{WITH}, p AS (SELECT row_id AS i, row_id - CASE WHEN row_id % 1000 = 7 THEN 5 ELSE 0 END AS ptr FROM t), q AS (SELECT *, lag(ptr) OVER (ORDER BY i) AS before FROM p) SELECT i, ptr, before FROM q WHERE ptr < before")
@@ -121,10 +133,19 @@ def value_to_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, sf_dir).select("row_id", binning.bin_column(_MAPPER, "f0").alias("bin"))
 
 
-@query("bn12_binned_table")
+_BINNED = f"""{WITH}, v0 AS (SELECT f0, dense_rank() OVER (ORDER BY f0) - 1 + CASE WHEN (SELECT min(f0) FROM t) > 0 THEN 1 ELSE 0 END AS bin FROM t WHERE f0 IS NOT NULL GROUP BY f0),
+    v1 AS (SELECT f1, dense_rank() OVER (ORDER BY f1) - 1 AS bin FROM t GROUP BY f1),
+    c2 AS (SELECT f2, n, row_number() OVER (ORDER BY n DESC, f2) AS bin, sum(n) OVER (ORDER BY n DESC, f2) - n AS before, sum(n) OVER () AS total FROM (SELECT f2, count(*) AS n FROM t GROUP BY f2)),
+    v2 AS (SELECT f2, CASE WHEN before < floor(total * 99e-2 + 5e-1) THEN bin ELSE 0 END AS bin FROM c2)
+    SELECT row_id, CAST(coalesce(v0.bin, (SELECT max(bin) + 1 FROM v0)) AS INTEGER) AS b0, CAST(v1.bin AS INTEGER) AS b1, CAST(v2.bin AS INTEGER) AS b2
+    FROM t LEFT JOIN v0 ON t.f0 = v0.f0 JOIN v1 ON t.f1 = v1.f1 JOIN v2 ON t.f2 = v2.f2"""
+
+
+@query("bn12_binned_table", _BINNED)
 def binned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of few values, one bin each (y with its many is binned along, and checked by hand in the tests)."""
     df = shared(spark, sf_dir)
-    return binning.apply(df, binning.fit(df, ["f0", "f1", "f2", "y"], ["f2"]), ["row_id"])
+    return binning.apply(df, binning.fit(df, ["f0", "f1", "f2", "y"], ["f2"], min_data_in_bin=1), ["row_id"]).drop("b3")
 
 
 @query("bn15_bundle_conflicts")
@@ -344,17 +365,17 @@ def leaf_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sampling ----------------------------------------------------------------------------------------------------------------
 
 
-@query("sm01_bagging")
+@query("sm01_bagging", f"{WITH} SELECT row_id, {draw('row_id', '3', '0')} < 5e-1 AS in_bag FROM t")
 def bagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.bagging(shared(spark, sf_dir), 0.5).select("row_id", "in_bag")
 
 
-@query("sm02_balanced_bagging")
+@query("sm02_balanced_bagging", f"{WITH} SELECT row_id, yb, {draw('row_id', '3', '0')} < CASE WHEN yb > 0 THEN 3e-1 ELSE 9e-1 END AS in_bag FROM t")
 def balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.bagging(shared(spark, sf_dir), 1.0, pos=0.3, neg=0.9, label="yb").select("row_id", "yb", "in_bag")
 
 
-@query("sm03_query_bagging")
+@query("sm03_query_bagging", f"{WITH} SELECT row_id, query_id, {draw('query_id', '3', '0')} < 5e-1 AS in_bag FROM t")
 def query_bagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.bagging(shared(spark, sf_dir), 0.5, by_query="query_id").select("row_id", "query_id", "in_bag")
 
@@ -387,7 +408,10 @@ def small_model() -> Model:
 
 
 _MODEL = small_model()
-_RAW = _MODEL.to_sql()[0]
+# the same two trees, written by hand
+_FIRST = "CASE WHEN f0 IS NULL OR f0 <= 12 THEN CASE WHEN f2 IN (1, 4) THEN -25e-2 ELSE 125e-3 END ELSE 5e-1 END"
+_SECOND = "CASE WHEN f1 <> 0 AND f1 <= 3 THEN -5e-1 WHEN f0 <= 30 THEN 375e-3 ELSE 75e-2 END"
+_RAW = f"({_FIRST} + {_SECOND})"
 
 
 def _predicted(spark: SparkSession, sf_dir: str, mode: str, **more: object) -> DataFrame:
@@ -416,12 +440,12 @@ def prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(spark, sf_dir, "prediction").select("row_id", r6("prediction", "prediction"))
 
 
-@query("pr06_leaf_index", f"{WITH} SELECT row_id, {tree_sql(_MODEL.trees[0], _MODEL.features, 'leaf')} AS first, {tree_sql(_MODEL.trees[1], _MODEL.features, 'leaf')} AS second FROM t")
-def leaf_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predicted(spark, sf_dir, "leaf").select("row_id", F.col("prediction")[0].alias("first"), F.col("prediction")[1].alias("second"))
+_LEAVES = ("CASE WHEN f0 IS NULL OR f0 <= 12 THEN CASE WHEN f2 IN (1, 4) THEN 1 ELSE 2 END ELSE 0 END", "CASE WHEN f1 <> 0 AND f1 <= 3 THEN 0 WHEN f0 <= 30 THEN 1 ELSE 2 END")
 
 
-_FIRST = tree_sql(_MODEL.trees[0], _MODEL.features)
+@query("pr06_leaf_index", f"{WITH} SELECT row_id, {_LEAVES[0]} AS first, {_LEAVES[1]} AS second FROM t")
+def leaf_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(spark, sf_dir, "leaf").select("row_id", F.col("prediction")[0].alias("first"), F.col("prediction")[1].alias("second"))
 
 
 @query("pr07_early_stop", f"{WITH} SELECT row_id, round(CASE WHEN 2 * abs({_FIRST}) > 6e-1 THEN {_FIRST} ELSE {_RAW} END, 6) AS prediction FROM t")
@@ -429,17 +453,28 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(spark, sf_dir, "early_stop", margin=0.6, freq=1).select("row_id", r6("prediction", "prediction"))
 
 
-@query("pr08_contributions", f"{WITH} SELECT row_id, round({_RAW}, 6) AS total FROM t")
+# Shapley values by definition: a tree's mean where only the features of a set are known, others weighing children by their counts
+_KNOWN = f"""{WITH}, k AS (SELECT row_id, {_FIRST} AS a, {_SECOND} AS b,
+        CASE WHEN f0 IS NULL OR f0 <= 12 THEN 25e0 / 60 * -25e-2 + 35e0 / 60 * 125e-3 ELSE 5e-1 END AS a0, 4e-1 * 5e-1 + 6e-1 * CASE WHEN f2 IN (1, 4) THEN -25e-2 ELSE 125e-3 END AS a2,
+        4e-1 * 5e-1 + 6e-1 * (25e0 / 60 * -25e-2 + 35e0 / 60 * 125e-3) AS none_a,
+        CASE WHEN f1 <> 0 AND f1 <= 3 THEN -5e-1 ELSE 4e-1 * 375e-3 + 6e-1 * 75e-2 END AS b1, 5e-1 * -5e-1 + 5e-1 * CASE WHEN f0 <= 30 THEN 375e-3 ELSE 75e-2 END AS b0,
+        5e-1 * -5e-1 + 5e-1 * (4e-1 * 375e-3 + 6e-1 * 75e-2) AS none_b FROM t)"""
+
+
+@query(
+    "pr08_contributions",
+    f"{_KNOWN} SELECT row_id, round((a0 - none_a + a - a2 + b0 - none_b + b - b1) / 2, 6) AS c0, round((b1 - none_b + b - b0) / 2, 6) AS c1, round((a2 - none_a + a - a0) / 2, 6) AS c2, round(none_a + none_b, 6) AS expected FROM k",
+)
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _predicted(spark, sf_dir, "contrib")
-    return out.select("row_id", r6(F.aggregate("prediction", F.lit(0.0), lambda a, v: a + v), "total"))
+    return out.select("row_id", *(r6(F.col("prediction")[i], name) for i, name in enumerate(("c0", "c1", "c2", "expected"))))
+
 
+@query("pr09_configured", f"{WITH} SELECT row_id, [{_LEAVES[0]}, {_LEAVES[1]}] AS prediction FROM t")
+def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thicket.plans import api
 
-@query("pr10_importance", "SELECT 'f0' AS feature, 1e0 AS split, 5e0 AS gain UNION ALL SELECT 'f1', 1e0, 2e0 UNION ALL SELECT 'f2', 1e0, 3e0")
-def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _MODEL.node_table(spark).where("gain > 0")
-    names = spark.createDataFrame(list(enumerate(_MODEL.features)), "feature int, name string")
-    return nodes.groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("split"), F.sum("gain").alias("gain")).join(names, "feature").select(F.col("name").alias("feature"), "split", "gain")
+    return api.predict_configured(shared(spark, sf_dir), _MODEL, {"predict_leaf_index": True}).select("row_id", "prediction")
 
 
 def _linear() -> Tree:
@@ -459,17 +494,4 @@ def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("io16_model_sql", f"{WITH} SELECT count(*) AS n, round(avg({_RAW}), 6) AS mean FROM t")
 def model_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir).select(F.expr(_RAW).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean"))
-
-
-@query("bo10_early_stopping", "SELECT 3 AS best")
-def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from thicket.plans.boosting import Stopper
-
-    stopper, best = Stopper(3), None
-    for i, v in enumerate([0.9, 0.8, 0.85, 0.7, 0.71, 0.72, 0.73, 0.74]):
-        best = best if best is not None else stopper.update(i, [("valid", "l2", v, False)])
-    return spark.createDataFrame([(best,)], "best int")
-
-
-
+    return shared(spark, sf_dir).select(F.expr(_MODEL.to_sql()[0]).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from thicket.functions.ordered import previous
+from thicket.functions.ordered import previous, running
 from thicket.operators.binning import codes
 from thicket.plans.boosting import TrainSet
 from thicket.plans.model import Model
@@ -18,7 +19,7 @@ def check_indptr(indptr: list[int], nnz: int) -> None:
     """Starts at 0, never falls, ends at the number of entries."""
     if not len(indptr) or indptr[0] != 0:
         raise ValueError("indptr must start with 0")
-    if any(b < a for a, b in zip(indptr, indptr[1:], strict=False)):
+    if (np.diff(np.asarray(indptr, np.int64)) < 0).any():
         raise ValueError("indptr must not fall")
     if indptr[-1] != nnz:
         raise ValueError(f"indptr ends with {indptr[-1]}; there are {nnz} entries")
@@ -30,17 +31,16 @@ def indptr_faults(df: DataFrame, order: str = "i", value: str = "ptr") -> DataFr
 
 
 def from_dense(spark: SparkSession, rows: Any, names: list[str] | None = None, label: list[float] | None = None) -> TrainSet:
-    """Rows of a matrix (lists or a numpy array)."""
-    rows = [[None if v is None else float(v) for v in r] for r in rows]
-    width = len(rows[0]) if rows else len(names or [])
-    if any(len(r) != width for r in rows):
+    """Rows of a matrix (lists or a numpy array), column by column through Arrow."""
+    if len({len(r) for r in rows}) > 1:
         raise ValueError("rows differ in length")
     if label is not None and len(label) != len(rows):
         raise ValueError(f"{len(label)} labels for {len(rows)} rows")
-    names = names or [f"Column_{i}" for i in range(width)]
-    data = [(i, float(label[i]) if label is not None else None, *r) for i, r in enumerate(rows)]
-    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("label", T.DoubleType()), *(T.StructField(n, T.DoubleType()) for n in names)])
-    return TrainSet(spark.createDataFrame(data, schema), names, row_id="row_id")
+    values = np.asarray(rows, float).reshape(len(rows), -1 if len(rows) else len(names or []))
+    names = names or [f"Column_{i}" for i in range(values.shape[1])]
+    own = pa.array(label, pa.float64()) if label is not None else pa.nulls(len(rows), pa.float64())
+    columns = [pa.array(np.arange(len(rows))), own, *(pa.array(np.ascontiguousarray(c), pa.float64(), from_pandas=True) for c in values.T)]
+    return TrainSet(spark.createDataFrame(pa.table(columns, ["row_id", "label", *names])), names, row_id="row_id")
 
 
 def from_entries(entries: DataFrame, width: int, names: list[str] | None = None) -> DataFrame:
@@ -50,24 +50,47 @@ def from_entries(entries: DataFrame, width: int, names: list[str] | None = None)
     return sums
 
 
-def from_csr(spark: SparkSession, indptr: list[int], indices: list[int], values: list[float], width: int, names: list[str] | None = None) -> DataFrame:
-    """Rows of a CSR matrix; rows without entries are all 0."""
-    check_indptr(indptr, len(values))
-    if any(not 0 <= c < width for c in indices):
-        raise ValueError("a column is out of range")
-    entries = [(r, int(indices[k]), float(values[k])) for r in range(len(indptr) - 1) for k in range(indptr[r], indptr[r + 1])]
-    wide = from_entries(spark.createDataFrame(entries, "row long, col int, val double"), width, names)
-    return spark.range(len(indptr) - 1).withColumnRenamed("id", "row_id").join(wide, "row_id", "left").fillna(0.0)
+def expand(pointers: DataFrame, entries: DataFrame) -> DataFrame:
+    """Which row (CSR) or column (CSC) holds each entry: entries (k, index, val) with major, from pointers (i, ptr). Major i holds the
+    entries from its pointer up to the next one's; so pointers and entries are put in one order, and pointers ahead are counted."""
+    both = pointers.select(F.struct(F.col("ptr").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("i").cast("long").alias("i")).alias("place"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("index"), F.lit(None).cast("double").alias("val"))
+    both = both.unionByName(entries.select(F.struct(F.col("k").cast("long").alias("at"), F.lit(1).alias("kind"), F.col("k").cast("long").alias("i")).alias("place"), F.lit(0).alias("one"), F.col("index").cast("long").alias("index"), F.col("val").cast("double").alias("val")))
+    return running(both, "place", ["one"]).where("place.kind = 1").select(F.col("place.at").alias("k"), "index", "val", (F.col("before_one") - 1).alias("major"))
+
+
+def csr_rows(pointers: DataFrame, entries: DataFrame, width: int, names: list[str] | None = None) -> DataFrame:
+    """Wide rows of a CSR matrix in tables: pointers (i, ptr), one more than rows; entries (k, index, val). Rows without entries are all 0."""
+    wide = from_entries(expand(pointers, entries).select(F.col("major").alias("row"), F.col("index").alias("col"), "val"), width, names)
+    rows = pointers.agg(F.max("i").alias("n")).first()["n"] or 0
+    return pointers.sparkSession.range(rows).withColumnRenamed("id", "row_id").join(wide, "row_id", "left").fillna(0.0)
+
 
+def csc_rows(pointers: DataFrame, entries: DataFrame, height: int, names: list[str] | None = None) -> DataFrame:
+    """Wide rows of a CSC matrix in tables: pointers (i, ptr), one more than columns; entries (k, index, val)."""
+    width = pointers.agg(F.max("i").alias("n")).first()["n"] or 0
+    wide = from_entries(expand(pointers, entries).select(F.col("index").alias("row"), F.col("major").alias("col"), "val"), width, names)
+    return pointers.sparkSession.range(height).withColumnRenamed("id", "row_id").join(wide, "row_id", "left").fillna(0.0)
 
-def from_csc(spark: SparkSession, indptr: list[int], indices: list[int], values: list[float], height: int, names: list[str] | None = None) -> DataFrame:
-    """Rows of a CSC matrix."""
+
+def _tables(spark: SparkSession, indptr: Any, indices: Any, values: Any, most: int, what: str) -> tuple[DataFrame, DataFrame]:
+    """Arrays of this machine as tables, by Arrow."""
     check_indptr(indptr, len(values))
-    if any(not 0 <= r < height for r in indices):
-        raise ValueError("a row is out of range")
-    entries = [(int(indices[k]), c, float(values[k])) for c in range(len(indptr) - 1) for k in range(indptr[c], indptr[c + 1])]
-    wide = from_entries(spark.createDataFrame(entries, "row long, col int, val double"), len(indptr) - 1, names)
-    return spark.range(height).withColumnRenamed("id", "row_id").join(wide, "row_id", "left").fillna(0.0)
+    indices = np.asarray(indices, np.int64)
+    if len(indices) and not (indices.min() >= 0 and indices.max() < most):
+        raise ValueError(f"a {what} is out of range")
+    pointers = pa.table([pa.array(np.arange(len(indptr))), pa.array(np.asarray(indptr, np.int64))], ["i", "ptr"])
+    entries = pa.table([pa.array(np.arange(len(indices))), pa.array(indices), pa.array(np.asarray(values, float))], ["k", "index", "val"])
+    return spark.createDataFrame(pointers), spark.createDataFrame(entries)
+
+
+def from_csr(spark: SparkSession, indptr: Any, indices: Any, values: Any, width: int, names: list[str] | None = None) -> DataFrame:
+    """Rows of a CSR matrix in arrays of this machine."""
+    return csr_rows(*_tables(spark, indptr, indices, values, width, "column"), width, names)
+
+
+def from_csc(spark: SparkSession, indptr: Any, indices: Any, values: Any, height: int, names: list[str] | None = None) -> DataFrame:
+    """Rows of a CSC matrix in arrays of this machine."""
+    return csc_rows(*_tables(spark, indptr, indices, values, height, "row"), height, names)
 
 
 def from_table(df: DataFrame, label: str, features: list[str] | None = None, categorical: list[str] | None = None, **more: Any) -> TrainSet:
