@@ -12,6 +12,8 @@ from thicket.operators.binning import BinMapper
 from thicket.operators.split import Feature, SplitParams
 from thicket.plans import api
 from thicket.plans.api import TrainSet, predict, train
+from thicket.plans.boosting import Booster
+from thicket.plans.estimators import BoostedClassifier, BoostedModel, BoostedRanker, BoostedRegressor
 from thicket.plans.model import Leaf, Model, Node, Tree
 from thicket.plans.params import Params, parse_groups
 from thicket.plans.shap import tree_contributions
@@ -254,6 +256,68 @@ def test_bundles_keep_every_bin(spark):
     assert back.where("u0 <> b0 or u1 <> b1 or u2 <> b2").count() == 0
 
 
+def test_bundled_training_is_plain_training(spark):
+    """Twelve indicators of one code never meet: they are stored as one column, and the model is the same."""
+    df = spark.range(1200).selectExpr("id AS row_id", "(id * 7919) % 12 AS c", "double(id % 9) AS x").selectExpr("*", *(f"double(c = {i}) AS i{i}" for i in range(12)), "double(c % 5) + x / 10 AS label").cache()
+    data = TrainSet(df, [*(f"i{i}" for i in range(12)), "x"], row_id="row_id")
+    plain, bundled = (train({**SMALL, "enable_bundle": b}, data) for b in (False, True))
+    booster = Booster(data, Params.of({**SMALL, "enable_bundle": True}))
+    assert [len(b.features) for b in booster.bundles] == [12] and [c for c in booster.state.columns if c[0] in "be"] == ["b12", "e0"]
+    strip = lambda m: [[(n.feature, n.threshold, n.count, round(n.gain, 3)) for n in t.nodes] + [(x.count, round(x.value, 6)) for x in t.leaves] for t in m.trees]
+    assert strip(plain) == strip(bundled)
+
+
+def test_forced_bins(spark):
+    df = _data(spark)
+    booster = Booster(_set(df), Params.of({**SMALL, "max_bin": 8, "forcedbins_filename": '[{"feature": 0, "bin_upper_bound": [0.3, -0.7]}]'}))
+    assert {0.3, -0.7} <= set(booster.mappers[0].upper)
+    with pytest.raises(ValueError, match="forced bins"):
+        Booster(_set(df), Params.of({**SMALL, "forcedbins_filename": '[{"feature": 9, "bin_upper_bound": [0.3]}]'}))
+
+
+def test_estimators(spark, tmp_path):
+    df = _data(spark).withColumn("kind", F.expr("CASE WHEN cat < 2 THEN 'low' WHEN cat < 4 THEN 'mid' ELSE 'top' END"))
+    one = BoostedClassifier(features=FEATURES, labelCol="kind", rowIdCol="row_id", categorical=["cat"], options=SMALL)
+    one.write().overwrite().save(f"file://{tmp_path}/estimator")
+    again = BoostedClassifier.load(f"file://{tmp_path}/estimator")
+    assert again.getOrDefault("features") == FEATURES and again.getOrDefault("options") == SMALL
+    model = again.setOptions(num_iterations=3).fit(df)
+    assert model.classes_ == ["low", "mid", "top"] and model.booster.iterations == 3 and model.n_features_ == 4
+    model.write().overwrite().save(f"file://{tmp_path}/model")
+    loaded = BoostedModel.load(f"file://{tmp_path}/model")
+    out = loaded.transform(df)
+    assert out.where("kind = prediction").count() > 590 and loaded.classes_ == model.classes_
+    assert out.select("row_id", "probability", "rawPrediction", "prediction").exceptAll(model.transform(df).select("row_id", "probability", "rawPrediction", "prediction")).count() == 0
+    assert loaded.predict_proba(df).where("abs(aggregate(probability, 0D, (a, v) -> a + v) - 1) > 1e-9").count() == 0
+    regression = BoostedRegressor(features=FEATURES, rowIdCol="row_id", options=SMALL).fit(df)
+    assert regression.transform(df).where("prediction <> rawPrediction").count() == 0
+    with pytest.raises(ValueError, match="classifiers"):
+        regression.predict_proba(df)
+    assert BoostedRanker(features=FEATURES, labelCol="cat", queryCol="q", rowIdCol="row_id", options={**SMALL, "num_iterations": 1}).fit(df).booster.objective == "lambdarank"
+
+
+def test_folds_models_and_fluent_training(spark):
+    df, lines = _data(spark), []
+    out = api.cv({**SMALL, "metric": "l2"}, _set(df), 2, 3, return_cvbooster=True, callbacks=[api.log_evaluation(2, lines.append)])
+    assert len(out["valid l2-mean"]) == 2 and len(out["cvbooster"].boosters) == 3 and len(lines) == 3 and lines[0].startswith("round 2: valid l2 ")
+    rows = out["cvbooster"].predict(df)
+    assert rows.where("size(predictions) = 3").count() == 600 and rows.columns == [*df.columns, "predictions"]
+    fluent = api.Training().num_leaves(8).min_data_in_leaf(10).eta(0.3).n_estimators(4).train(_set(df))
+    assert fluent.to_text() == train(SMALL, _set(df)).to_text() and fluent.num_trees() == 4
+    with pytest.raises(AttributeError):
+        api.Training().nonsense(1)
+
+
+def test_lambdas_of_both_ways_agree(spark):
+    from thicket.functions import objectives
+
+    df = spark.range(3000).selectExpr("id AS row_id", "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 3 = 0 THEN 7 ELSE id % 40 END AS query_id", "double((id * 31) % 5) AS label", "double((id * 17) % 23) / 7 AS score").where("query_id is not null")
+    for options in ({}, {"norm": False, "truncation": 3, "sigmoid": 2.0}):
+        a, b = objectives.lambdarank(df, **options), objectives.lambdarank_by_joins(df, **options)
+        both = a.alias("a").join(b.alias("b"), "row_id")
+        assert both.count() == df.count() and both.where("abs(a.grad - b.grad) > 1e-9 or abs(a.hess - b.hess) > 1e-9").count() == 0
+
+
 def test_sampling_follows_keys(spark):
     df = _data(spark).withColumn("in", F.lit(0))
     bag = lambda d, **k: {r["row_id"] for r in sampling.bagging(d, 0.5, **k).where("in_bag").collect()}
@@ -284,6 +348,8 @@ def test_sources(spark, tmp_path):
     assert dense.num_data() == 2 and dense.num_feature() == 2
     csr = matrix.from_csr(spark, [0, 1, 1, 3], [1, 0, 1], [5.0, 1.0, 2.0], 2).orderBy("row_id").collect()
     assert [tuple(r)[1:] for r in csr] == [(0.0, 5.0), (0.0, 0.0), (1.0, 2.0)]
+    csc = matrix.from_csc(spark, [0, 2, 2, 3], [0, 2, 1], [1.0, 3.0, 2.0], 3).orderBy("row_id").collect()
+    assert [tuple(r)[1:] for r in csc] == [(1.0, 0.0, 0.0), (0.0, 0.0, 2.0), (3.0, 0.0, 0.0)]
     for bad in ([1, 2], [0, 2, 1], [0, 9]):
         with pytest.raises(ValueError):
             matrix.check_indptr(bad, 3)

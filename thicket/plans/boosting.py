@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +23,7 @@ from thicket.plans import linear
 from thicket.plans.grower import Grower, GrowParams
 from thicket.plans.model import Leaf, Model, Tree, tree_sql
 from thicket.plans.params import Params
-from thicket.plans.tables import materialise
+from thicket.plans.tables import materialise, remove
 
 CUT = 10
 Custom = Callable[[Column, Column], tuple[Column, Column]]
@@ -48,6 +48,14 @@ class TrainSet:
     def num_feature(self) -> int:
         return len(self.features)
 
+    def subset(self, condition: Column | str) -> TrainSet:
+        """The rows that meet a condition."""
+        return replace(self, df=self.df.where(condition))
+
+    def like(self, df: DataFrame) -> TrainSet:
+        """Another table of the same columns, as a validation set."""
+        return replace(self, df=df)
+
     def checked(self) -> TrainSet:
         gone = [c for c in [*self.features, self.label, self.weight, self.query, self.init_score, self.row_id] if c and c not in self.df.columns]
         if gone:
@@ -146,8 +154,9 @@ class Booster:
         if data.query:
             keep["_query"] = F.col(data.query)
         table = df.select(*(c.alias(n) for n, c in keep.items()), *((F.col(data.init_score) if data.init_score else F.lit(None)).cast("double").alias("_init"),), *(binning.bin_column(m, m.name).cast("short" if m.num_bin > 127 else "byte").alias(f"b{i}") for i, m in enumerate(self.mappers)), *(F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(data.features) if params.linear_tree or init_model))
-        if params.enable_bundle:
-            self.bundles = bundling.find_bundles(table, self.mappers)
+        used = {f.index for f in self.features}
+        self.bundles = [b for b in bundling.find_bundles(table, self.mappers) if len(b.features) > 1 and used.issuperset(b.features)] if params.enable_bundle else []
+        table = table.withColumns({f"e{j}": bundling.bundle_column(b, self.mappers).cast("short" if b.num_bin > 127 else "byte") for j, b in enumerate(self.bundles)}).drop(*self._bundled())
         self.weighted = data.weight is not None
         self.pos, self.neg = (1.0, 1.0)
         if self.objective and self.objective.name == "binary":
@@ -176,6 +185,7 @@ class Booster:
         self.begun = len(self.model.trees)
         self.routes: list[str] = []
         self.weights: list[float] = []
+        self.written: list[str] = []  # tables that go when training ends
         self.largest: int | None = None  # rows of the largest query
         self.used: set[int] = set()
         self.rngs = {n: random.Random(getattr(params, n)) for n in ("feature_fraction_seed", "drop_seed", "extra_seed")}
@@ -187,6 +197,13 @@ class Booster:
         self.valid = {name: self._valid(v) for name, v in (valid or {}).items()}
         self.history: list[tuple[int, str, str, float]] = []
 
+    def _bundled(self) -> list[str]:
+        return [f"b{i}" for b in self.bundles for i in b.features]
+
+    def _opened(self, df: DataFrame) -> DataFrame:
+        """``df`` with the bins of bundled features, which aren't stored."""
+        return df.withColumns({f"b{i}": bundling.unbundle(F.col(f"e{j}"), b, i, self.mappers) for j, b in enumerate(self.bundles) for i in b.features})
+
     def _forced_bounds(self) -> dict[str, list[float]]:
         """Bounds by feature from ``forcedbins_filename``: JSON, or a file of it, of {"feature": number, "bin_upper_bound": [...]}."""
         text = self.p.forcedbins_filename
@@ -251,13 +268,14 @@ class Booster:
         return bagged.where("in_bag").drop("in_bag")
 
     def _dropped(self, iteration: int) -> tuple[list[int], DataFrame]:
+        state = self._opened(self.state)
         if self.p.boosting != "dart" or not self.weights:
-            return [], self.state
+            return [], state
         p = self.p
         gone = sampling.dart_drop(len(self.weights), p.drop_rate, self.weights, self.rngs["drop_seed"], p.skip_drop, p.max_drop, p.uniform_drop)
         if not gone:
-            return [], self.state
-        return gone, self.state.withColumn("score", self._add(F.col("score"), gone, -1.0))
+            return [], state
+        return gone, state.withColumn("score", self._add(F.col("score"), gone, -1.0))
 
     def _add(self, score: Column, iterations: list[int], factor: float) -> Column:
         """score plus ``factor`` times the outputs of some iterations."""
@@ -293,7 +311,7 @@ class Booster:
             if p.use_quantized_grad:
                 bag, gs, hs = histogram.quantise(bag, p.num_grad_quant_bins, bool(self.objective and self.objective.hessian_one and not self.weighted), "_row_id" if p.stochastic_rounding else None, p.seed + iteration)
                 plain, bag = bag, bag.withColumns({"grad": F.col("qg") * gs, "hess": F.col("qh") * hs})
-            tree, route, _ = Grower(bag, self.mappers, self.grow_params, features, self.used, self.rngs["extra_seed"], None if self.rank else self.parts).grow()
+            tree, route, _ = Grower(bag, self.mappers, self.grow_params, features, self.used, self.rngs["extra_seed"], None if self.rank else self.parts, self.bundles).grow()
             any_split |= bool(tree.nodes)
             if tree.nodes:
                 if p.use_quantized_grad and p.quant_train_renew_leaf:
@@ -335,7 +353,7 @@ class Booster:
                 more = F.expr(tree_sql(tree, self.model.features, quote="`"))
                 sums = self._into(sums, c, more)
             fresh = df.withColumn("_score", sums)
-            fresh = (materialise(fresh, "valid") if (iteration + 1) % CUT == 0 else fresh).cache()
+            fresh = (materialise(fresh, "valid", self.written) if (iteration + 1) % CUT == 0 else fresh).cache()
             fresh.count()
             df.unpersist()
             self.valid[name] = fresh
@@ -352,7 +370,7 @@ class Booster:
         """After dropped trees changed, validation scores begin anew."""
         for name, df in self.valid.items():
             sums = [sum((F.expr(tree_sql(t, self.model.features, quote="`")) for t in self.model.trees[c :: self.k]), F.lit(0.0)) for c in range(self.k)]
-            fresh = materialise(df.withColumn("_score", F.array(*sums) if self.k > 1 else sums[0]), "valid").cache()
+            fresh = materialise(df.withColumn("_score", F.array(*sums) if self.k > 1 else sums[0]), "valid", self.written).cache()
             df.unpersist()
             self.valid[name] = fresh
 
@@ -360,8 +378,8 @@ class Booster:
         """The next round's scores. They are cached when its first histogram reads them, so until then the old ones stay."""
         if self.spent is not None:
             self.spent.unpersist()
-        fresh = self.state.withColumn("score", score)
-        fresh = (materialise(fresh, "train") if (iteration + 1) % CUT == 0 else fresh).cache()
+        fresh = self._opened(self.state).withColumn("score", score).drop(*self._bundled())
+        fresh = (materialise(fresh, "train", self.written) if (iteration + 1) % CUT == 0 else fresh).cache()
         self.spent, self.state = self.state, fresh
 
     def _renew(self, bag: DataFrame, route: str, tree: Tree) -> None:
@@ -436,6 +454,7 @@ class Booster:
                     df.unpersist()
             for df in self.valid.values():
                 df.unpersist()
+            remove(self.spark, self.written)
         if not self.model.trees:  # nothing to split: constants
             self.model.trees = [Tree(leaves=[Leaf(float(v))]) for v in self.init]
         return self.model

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from thicket.operators import histogram, scan
 from thicket.operators.binning import BinMapper
+from thicket.operators.bundling import Bundle
 from thicket.operators.scan import Dense
 from thicket.operators.split import Feature, SplitParams
 from thicket.plans.model import Leaf, Node, Tree
@@ -85,8 +86,34 @@ def _route(leaf: _Leaf, features: dict[int, Feature]) -> str:
     return f"CASE WHEN {bin_sql(leaf.row, features)} THEN {_route(a, features)} ELSE {_route(b, features)} END"
 
 
-def _plan(leaf: _Leaf, place: dict[int, int], features: dict[int, Feature]) -> Any:
-    """The tree below a leaf as far as it has grown: a key, or (place of the feature, whether each bin goes left, left, right)."""
+@dataclass
+class Stored:
+    """A stored column: a feature's bins, or a bundle of features. decode: by feature, the bin that each value of the column stands for."""
+
+    name: str
+    decode: dict[int, np.ndarray]
+
+
+def stored_columns(features: list[Feature], bundles: list[Bundle], mappers: list[BinMapper]) -> list[Stored]:
+    """The columns that hold these features."""
+    wanted = {f.index: f for f in features}
+    out, bundled = [], set()
+    for j, bundle in enumerate(bundles):
+        own = {}
+        for i, offset in zip(bundle.features, bundle.offsets, strict=True):
+            if i in wanted:
+                # the values of other features mean that this one is at its most frequent bin
+                own[i] = table = np.full(bundle.num_bin, mappers[i].most_frequent)
+                rest = np.delete(np.arange(mappers[i].num_bin), mappers[i].most_frequent)
+                table[offset : offset + len(rest)] = rest
+        bundled |= set(bundle.features)
+        if own:
+            out.append(Stored(f"e{j}", own))
+    return [*(Stored(f"b{f.index}", {f.index: np.arange(f.num_bin)}) for f in features if f.index not in bundled), *out]
+
+
+def _plan(leaf: _Leaf, columns: list[Stored], features: dict[int, Feature]) -> Any:
+    """The tree below a leaf as far as it has grown: a key, or (place of the column, whether each of its values goes left, left, right)."""
     if leaf.children is None:
         return leaf.key
     f, r = features[leaf.row["feature"]], leaf.row
@@ -96,7 +123,8 @@ def _plan(leaf: _Leaf, place: dict[int, int], features: dict[int, Feature]) -> A
         left = np.arange(f.num_bin) <= r["threshold"]
         if f.num_bin > 2 and f.missing in ("nan", "zero"):
             left[f.num_bin - 1 if f.missing == "nan" else f.default_bin] = bool(r["default_left"])
-    return place[f.index], left, _plan(leaf.children[0], place, features), _plan(leaf.children[1], place, features)
+    place = next(i for i, c in enumerate(columns) if f.index in c.decode)
+    return place, left[columns[place].decode[f.index]], _plan(leaf.children[0], columns, features), _plan(leaf.children[1], columns, features)
 
 
 def leaves_of_bins(plan: Any, keys: list[int], bins: list[np.ndarray]) -> np.ndarray:
@@ -120,33 +148,39 @@ def leaves_of_bins(plan: Any, keys: list[int], bins: list[np.ndarray]) -> np.nda
 class Grower:
     """Grows one tree. ``df``: b0, b1, ..., grad, hess of the rows in the bag (cached by the caller)."""
 
-    def __init__(self, df: DataFrame, mappers: list[BinMapper], params: GrowParams, features: list[Feature], used: set[int], rng: random.Random, parts: int | None = None) -> None:
-        """``parts``: partitions of ``df``, if they are known."""
+    def __init__(self, df: DataFrame, mappers: list[BinMapper], params: GrowParams, features: list[Feature], used: set[int], rng: random.Random, parts: int | None = None, bundles: list[Bundle] | None = None) -> None:
+        """``parts``: partitions of ``df``, if they are known. ``bundles``: those of its columns e0, e1, ..."""
         self.df, self.mappers, self.p, self.features, self.used, self.rng = df, mappers, params, features, used, rng
         self.bins = [f"b{f.index}" for f in features]
         self.hists: dict[int, Dense] = {}
         self.keys = 0
         self.by_index = {f.index: f for f in features}
         self.jobs, self.parts = 0, parts
+        self.columns = stored_columns(features, bundles or [], mappers)
 
     def _histograms(self, root: _Leaf, keys: list[int]) -> dict[int, Dense]:
         """One aggregation; a leaf's histogram is as large as its features and bins."""
         if self.p.batches:
-            few = self.parts is not None and self.parts * len(keys) * sum(f.num_bin for f in self.features) <= DIRECT_SUMS
-            plan = _plan(root, {f.index: i for i, f in enumerate(self.features)}, self.by_index)
-            found = histogram.by_batches(self.df, self.bins, lambda bins: leaves_of_bins(plan, keys, bins), combine=not few).toArrow()
+            size = sum(len(next(iter(c.decode.values()))) for c in self.columns)
+            few = self.parts is not None and self.parts * len(keys) * size <= DIRECT_SUMS
+            plan = _plan(root, self.columns, self.by_index)
+            found = histogram.by_batches(self.df, [c.name for c in self.columns], lambda bins: leaves_of_bins(plan, keys, bins), combine=not few).toArrow()
+            columns = self.columns
         else:
             rows = self.df.withColumn("leaf", F.expr(_route(root, self.by_index)))
             found = histogram.by_columns(rows.where(F.col("leaf").isin(keys)), self.bins).toArrow()
-        column = {c: np.asarray(found.column(c)) for c in found.column_names}
+            columns = [Stored(f"b{f.index}", {f.index: np.arange(f.num_bin)}) for f in self.features]
+        sums = {c: np.asarray(found.column(c)) for c in found.column_names}
         shape = (len(self.features), max(f.num_bin for f in self.features))
-        out = {}
-        for key in keys:
-            mine = column["leaf"] == key
-            dense = Dense(np.zeros(shape), np.zeros(shape), np.zeros(shape, np.int64))
-            for c in ("g", "h", "n"):
-                np.add.at(getattr(dense, c), (column["feature"][mine], column["bin"][mine]), column[c][mine])
-            out[key] = dense
+        place = {f.index: i for i, f in enumerate(self.features)}
+        out = {key: Dense(np.zeros(shape), np.zeros(shape), np.zeros(shape, np.int64)) for key in keys}
+        for key, dense in out.items():
+            for i, column in enumerate(columns):
+                mine = np.flatnonzero((sums["leaf"] == key) & (sums["feature"] == i))
+                for feature, decode in column.decode.items():
+                    at = decode[sums["bin"][mine]]
+                    for c in ("g", "h", "n"):
+                        np.add.at(getattr(dense, c)[place[feature]], at, sums[c][mine])
         return out
 
     def search(self, root: _Leaf, parents: list[_Leaf]) -> None:

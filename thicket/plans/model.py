@@ -187,6 +187,19 @@ class Model:
     def truncate(self, iterations: int) -> None:
         del self.trees[iterations * self.num_class :]
 
+    def num_trees(self) -> int:
+        return len(self.trees)
+
+    def predict(self, df: DataFrame, mode: str = "prediction", name: str = "prediction", **options: Any) -> DataFrame:
+        from thicket.plans.predict import predict
+
+        return predict(df, self, mode, name, **options)
+
+    def refit(self, data: Any, decay: float | None = None) -> Model:
+        from thicket.plans.boosting import refit
+
+        return refit(self, data, decay=decay)
+
     # --- importances ------------------------------------------------------------------------------------------------
 
     def importance(self, kind: str = "split", iterations: int = -1) -> list[float]:

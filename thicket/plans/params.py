@@ -181,6 +181,14 @@ class Params:
     deterministic: bool = False
     count_mode: str = "exact"
 
+    @staticmethod
+    def known(name: str) -> str:
+        """The parameter that a name or alias means."""
+        key = _CANONICAL.get(name, name)
+        if key not in {f.name for f in fields(Params)}:
+            raise AttributeError(f"unknown parameter {name!r}")
+        return key
+
     @staticmethod
     def of(given: dict[str, Any] | None = None, **more: Any) -> Params:
         """From names or aliases. Of several names of one parameter its own wins, then the shortest, then the first in order."""

@@ -5,17 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table below ``spark.checkpoint.dir`` and reads it back, so that it outlives the executors that made it. Where the
-    setting is absent (tests on one machine) a temporary folder is used."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where it is absent a temporary folder is made and set, but only if everything runs on this machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="thicket-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, so that it outlives the executors that made it. ``written``: a list that
+    notes its folder, for ``remove``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, written: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    written.clear()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thicket.operators import sampling
 from thicket.plans import api
 from thicket.plans.api import TrainSet, predict, train
+from thicket.plans.estimators import BoostedClassifier
 from thicket.plans.model import Model
 from thicket.queries import oracle
 from thicket.queries.base import WITH, query, r6, shared
@@ -166,7 +167,7 @@ def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("py05_classifier", f"{oracle.training(objective='binary', label='yb')} SELECT row_id, CASE WHEN s > 0 THEN 1e0 ELSE 0e0 END AS prediction, round(1 / (1 + exp(-s)), 6) AS probability FROM s3")
 def classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = shared(spark, sf_dir)
-    fitted = api.BoostedClassifier(FEATURES, "yb", row_id="row_id", **BASE).fit(df)
+    fitted = BoostedClassifier(features=FEATURES, labelCol="yb", rowIdCol="row_id", options=BASE).fit(df)
     return fitted.transform(df).select("row_id", "prediction", r6(F.col("probability")[1], "probability"))
 
 
