@@ -144,7 +144,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     copies = materialise(seen.groupBy(*same).agg(*counted).where("least < most").drop("most"), "substring-wholes")
     marked = join_counted(seen, copies, same, "left").withColumn("whole", F.coalesce(F.col("doc") > F.col("least"), F.lit(False)))
     marked = materialise(marked.select("doc", "th", "whole", "anchors"), "substring-copies")
-    anchors = materialise(marked.where("not whole").select("doc", "th", F.explode("anchors").alias("anchor")), "substring-each")
+    anchors = marked.where("not whole").select("doc", "th", F.explode("anchors").alias("anchor"))  # made anew at each use: lists are smaller on disk
     repeated = materialise(anchors.groupBy("anchor").agg(*counted).where("least < most").select("anchor", "n"), "substring-repeated")
     hits = join_counted(anchors, repeated, ["anchor"]).groupBy("doc", "th").agg(F.collect_set("anchor").alias("hits"))
     wholes = marked.where("whole").select("doc", "th", F.array().cast("array<long>").alias("hits"), F.lit(True).alias("whole")).distinct()
