@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from thicket.llm import decontaminate, mixing, neardup, nearest, pii, quality, secrets, substring, tokens, warc
 from thicket.llm.words import ALNUM, LOWER, SPACED, split_words
@@ -167,6 +168,35 @@ def _classes(rows):
     return [rows[root(i)][0] for i in range(len(rows))]
 
 
+def test_very_long_and_hot_near_copies(spark):
+    """Long texts, a third of all rows in one group of copies, and the same classes without signatures."""
+    long = _words(60_000, 77)
+    other = list(long)
+    other[30_000:30_050] = [f"z{i}" for i in range(50)]
+    rows = [(0, " ".join(long)), (1, " ".join(other)), (2, " ".join(_words(60_000, 78)))]
+    rows += [(10 + i, "the very same text of many many copies here") for i in range(40)] + [(100 + i, " ".join(_words(30, 900 + i))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for signed in (True, False):
+        out = {r["doc_id"]: r["class_id"] for r in neardup.near_copies(df, signed=signed).collect()}
+        assert [out[i] for i, _ in rows] == [0, 0, 2, *[10] * 40, *range(100, 140)]
+
+
+def test_recall_of_near_copies_at_the_threshold(spark):
+    """Pairs whose similarity is just over the threshold, which bands find the least surely."""
+    rng, rows = random.Random(8), []
+    for g in range(150):
+        words = [f"g{g}w{i}" for i in range(120)]
+        own = list(words)
+        for at in (1, *rng.sample(range(6, 112), 2)):  # twelve k-mers of 116 change at most: a similarity of 0.8125 at least
+            own[at] = f"n{rng.randrange(10**9)}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(own))]
+    classes = _classes(rows)
+    want = sum(classes[2 * g + 1] == 2 * g for g in range(150))
+    out = {r["doc_id"]: r["class_id"] for r in neardup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want > 100 and all(out[i] in (i, c) for (i, _), c in zip(rows, classes, strict=True))
+    assert sum(out[2 * g + 1] == 2 * g for g in range(150)) >= 0.98 * want
+
+
 def test_near_copies(spark):
     rng = random.Random(3)
     rows = []
@@ -253,6 +283,51 @@ def test_every_regex_vote_varies(spark):
     assert votes == {"email": [0, 1], "ip": [0, 1], "card": [0, 1], "phone": [0, 1], "ssn": [0, 0, 0, 1], "person": [0, 1]}
 
 
+def test_models_of_personal_data_are_those_of_the_formulas(spark):
+    """Expectation-maximisation and naive Bayes against numpy."""
+    rows = [f"her ssn {100 + 7 * i}-45-{6000 + i} on file, call 713-555-{1000 + i}" for i in range(20)] + [f"order {200 + i} 45 {6000 + i} sent, card 4111 1111 1111 111{i}" for i in range(9)] + ["mail me [at] site [dot] org", "Dr. Anna Smith", "Mr. Foo"]
+    cands = pii.candidates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).selectExpr("explode(cands) AS x").select("x.*").cache()
+    kinds, least = pii.reliabilities(cands), float(pii.LEAST[:-1])
+    got = {(r["kind"], p["v1"], p["v2"], p["v3"]): q for r in kinds.collect() for p, q in zip(r["p"], r["q"], strict=True)}
+    all_ = cands.collect()
+    prob = {}
+    for kind in {c["kind"] for c in all_}:
+        count = Counter((c["v1"], c["v2"], c["v3"]) for c in all_ if c["kind"] == kind)
+        votes, c = np.array(list(count)), np.array(list(count.values()), float)
+        q = 0.05 + 0.9 * (votes[:, 0] + votes[:, 1] + np.select([votes[:, 2] == 2, votes[:, 2] == 1], [1.0, 0.0], 0.5)) / 3
+        for _ in range(pii.ROUNDS):
+            side = []
+            for w in (q, 1 - q):
+                n = (c * w).sum()
+                chance = np.full(len(c), n)
+                for v in range(3):
+                    same = votes[:, v][:, None] == votes[:, v][None]
+                    chance = chance * (same * (c * (w + least))[None]).sum(1) / (n + least * c.sum())
+                side.append(chance)
+            q = side[0] / (side[0] + side[1])
+        prob |= {(kind, *map(int, v)): x for v, x in zip(votes, q, strict=True)}
+    assert set(got) == set(prob) and all(got[k] == pytest.approx(prob[k], rel=1e-9, abs=1e-12) for k in prob)
+    model = pii.classifier(cands, kinds).first()
+    mine = lambda c: prob[c["kind"], c["v1"], c["v2"], c["v3"]]
+    for kind in {c["kind"] for c in all_}:
+        own = [c for c in all_ if c["kind"] == kind]
+        yes, no, n = sum(map(mine, own)), sum(1 - mine(c) for c in own), len(own)
+        assert model["prior"][kind] == pytest.approx(np.log((yes + least * n) / (no + least * n)), rel=1e-7)
+        for f in range(pii.FEATURES):
+            for b in {c["f"][f] for c in own}:
+                a, z = sum(mine(c) for c in own if c["f"][f] == b), sum(1 - mine(c) for c in own if c["f"][f] == b)
+                odds = np.log((a + yes / pii.BUCKETS + least * n) / (z + no / pii.BUCKETS + least * n)) - np.log((yes + least * n) / (no + least * n))
+                assert model["w"][(kind * pii.FEATURES + f) * pii.BUCKETS + b] == pytest.approx(odds, rel=1e-6, abs=1e-9)
+
+
+def test_a_text_of_many_addresses(spark):
+    parts = [f"write to a{i}@site{i % 7}.org or 713-555-{i % 10000:04d} or +1 713 555 {i % 10000:04d}" for i in range(8000)]
+    text = " and ".join(parts)
+    (row,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(s["start"], s["end"]) for s in row["base"] if s["kind"] == "email"] == [m.span() for m in re.finditer(r"[a-z0-9]+@[a-z0-9]+\.org", text)]
+    assert sum(s["kind"] == "phone" for s in row["base"]) == 8000
+
+
 def test_secrets(spark, docs, texts):
     patterns = [("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
     ok = lambda k, m: {"assign": lambda: len(m[2]) >= 8, "access": lambda: len(m[0]) >= 16, "hex": lambda: len(m[0]) >= 32}[k]()
@@ -273,6 +348,57 @@ def test_markov_models_tell_random_strings(spark):
     assert all(got[i] == [] for i in range(40))
 
 
+def test_markov_ratio_by_hand(spark):
+    """Every random span is one whose mean log-likelihood ratio, counted by loops, reaches the limit."""
+    rng = random.Random(5)
+    letters = secrets.ALPHABET
+    texts = ["".join(rng.choices(letters[:62], k=24)) + " plain words go here again and again" for _ in range(30)] + [f"name_of_thing_number{i}_and_more_text secret = abcdefgh{i}xyz AKIAABCDEFGHIJKLMNO{i}" for i in range(10)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs, place = np.zeros((2, len(letters) ** 2)), {c: i for i, c in enumerate(letters)}
+    base = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] != "random"] for r in secrets.scan(df).collect()}
+    tokens_ = [(d, m.start(), m.group()) for d, t in enumerate(texts) for m in re.finditer(r"[A-Za-z0-9+/_-]+", t or "")]
+    over = lambda d, at, w: any(a < at + len(w) and at < b for a, b in base[d])
+    for d, at, w in tokens_:
+        if len(w) < 2 or (not over(d, at, w) and len(w) >= 20 and re.search("[0-9]", w)) or (over(d, at, w) and len(w) < 16):
+            continue
+        for a, b in zip(w, w[1:], strict=False):
+            pairs[int(over(d, at, w)), place[a] * len(letters) + place[b]] += 1
+    seeded = secrets.seeded_counts()
+    pairs[1] = pairs[1] * (seeded.sum() / pairs[1].sum()) + seeded
+    grid = pairs.reshape(2, len(letters), len(letters))
+    single = (grid.sum(1) + 0.5) / (grid.sum(1) + 0.5).sum(1, keepdims=True)
+    log = np.log((grid + 5.0 * single[:, None]) / (grid.sum(2, keepdims=True) + 5.0))
+    want = set()
+    for d, at, w in tokens_:
+        codes = [place[c] for c in w]
+        if len(w) >= 20 and not over(d, at, w) and re.search("[0-9]", w) and re.search("[A-Za-z]", w) and np.mean([log[1][a, b] - log[0][a, b] for a, b in zip(codes, codes[1:], strict=False)]) >= 1.0:
+            want.add((d, at, at + len(w)))
+    got = {(r["doc_id"], s["start"], s["end"]) for r in secrets.scan(df).collect() for s in r["spans"] if s["kind"] == "random"}
+    assert got == want and len(got) >= 25
+
+
+def test_files_roll_over(spark, docs):
+    """Small shards and archives give the rows of large ones."""
+    P = pytest.importorskip("public_tokenizers")
+    whole, small = (tokens.encode_documents(docs, P.path("word_bpe_49k.json"), shard_ids=n).select("doc_id", "start", "n_tokens", "ids_crc32", "shard").collect() for n in (10**9, 300))
+    assert sorted(tuple(r)[1:4] for r in small) == sorted(tuple(r)[1:4] for r in whole)
+    assert len({r["shard"] for r in small}) > len({r["shard"] for r in whole})
+    pages = spark.createDataFrame([(i, "u", ("x" * 3000 + str(i % 5)) if i % 2 else f"small {i}", "x") for i in range(200)], "page_id long, url string, html string, file string")
+    one, many = (sorted(map(str, warc.archive(pages, roll=n).collect())) for n in (10**9, 500))
+    assert one == many and sum("revisit" in r for r in one) == 95
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from thicket.llm import shared
+
+    monkeypatch.setattr(shared, "HOT", 0.05)
+    left = shared.materialise(spark.createDataFrame([(i % 7 if i < 300 else i, i) for i in range(500)], "k long, v long"), "test-left")
+    right = shared.materialise(left.where("k % 2 = 0").groupBy("k").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "test-right")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right.drop("n"), ["k"], how).select("k", "v", "m").collect()))
+        assert sorted(map(str, shared.join_counted(left, right, ["k"], how).select("k", "v", "m").collect())) == want
+
+
 def test_warc_revisits(spark):
     big, small = "<p>" + "é" * 800, "<p>small</p>"
     rows = [(1, "http://a", big), (2, "http://b", big), (3, "x\r\ny", small), (4, None, small), (5, "u", None), (6, "u", ""), (None, "n", big), (2, "http://b", big), (7, "v", "z" * 1000)]
@@ -310,6 +436,54 @@ def test_nearest_neighbours(spark):
     assert nearest.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, sf):
+    vectors = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = vectors.select("vec_id", "embedding").toPandas()
+    x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
+    found, hits, n = {}, 0, 0
+    for r in nearest.search(vectors).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in np.flatnonzero(ids % 100 == 0):
+        near = [i for i in np.lexsort((ids, ((x - x[q]) ** 2).sum(1))) if ids[i] != ids[q]][:10]
+        n, hits = n + len(near), hits + len(found[ids[q]] & set(ids[near].tolist()))
+    assert hits >= 0.95 * n
+
+
+def test_clustered_vectors_need_few_lists():
+    rng = np.random.default_rng(1)
+    middle = rng.standard_normal((20, 16)) * 10
+    x = middle[rng.integers(0, 20, 2000)] + rng.standard_normal((2000, 16)) * 0.1
+    c = nearest.centres(x, 20)
+    assert nearest.probes_for(x, c, 10) <= 6 < nearest.probes_for(rng.standard_normal((2000, 16)), c / 10, 10)
+
+
+def votes_by_hand(model, text):
+    """Score of one text by sorting all labelled vectors."""
+    own = model.latent(pa.array([text], pa.string()))[0]
+    cosines = [round(float(k @ own), quality.DIGITS) for k in model.known]
+    near = sorted(range(len(cosines)), key=lambda i: (-cosines[i], i))[: quality.NEIGHBOURS]
+    weight = [max(cosines[i], 1e-3) ** quality.POWER for i in near]
+    return sum(w * model.labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight)
+
+
+def test_quality_votes_by_hand(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(_words(rng.randrange(5, 60), i)) if i % 3 else "Click HERE now!!! " * rng.randrange(1, 9) + str(i)) for i in range(90)]
+    rows += [(200 + i, "one and the same labelled text") for i in range(60)] + [(500, None), (501, ""), (502, "long words " * 100_000), (None, "one and the same labelled text")]
+    df = spark.createDataFrame([(*r, {"a": 1}, 2.0) for r in rows], "doc_id long, text string, predicted map<string, int>, score double")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)] + [(200 + i, int(i < 40)) for i in range(60)], "doc_id long, quality int")
+    model = quality.train(df, labels)
+    got = quality.score(df, model, carry="row").collect()
+    assert len(got) == len(rows) and all(r["row"]["score"] == 2.0 and r["row"]["predicted"] == {"a": 1} for r in got)
+    by_text = {r["row"]["text"]: r["score"] for r in got}
+    off = [abs(by_text[t] - votes_by_hand(model, t)) for _, t in rows]
+    assert np.mean(np.array(off) < 1e-3) > 0.95  # a cosine at the edge of its last place may tip either way
+    # of sixty equal texts the first fifteen that aren't held out vote, all of label 1
+    assert by_text["one and the same labelled text"] == 1.0
+    assert quality.score(df.limit(0), model).count() == 0 and quality.score(df, quality.train(df.limit(0), labels)).where("score <> 0.5").count() == 0
+
+
 def test_quality_is_learnt(spark):
     good = [(i, " ".join(_words(80, i)), 1) for i in range(120)]
     bad = [(1000 + i, "BUY NOW!!! " * 40 + str(i), 0) for i in range(60)]
@@ -341,6 +515,60 @@ def test_mixing_budgets(spark, docs):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def chosen_by_hand(rows, share, epochs, seed=mixing.SEED):
+    """Rows (doc_id, text, lang, source) and epochs that hierarchical budgets take, by recursion and sorting."""
+    domain = lambda s: ["web", "books", "reference"][int((re.search("[0-9]{1,9}", s or "") or ["0"])[0]) % 3]
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    path = lambda r: (domain(r[3]), r[2] or "", r[3] or "")
+    weights = ({**mixing.DOMAINS}, {**mixing.LANGUAGES}, {})
+    cap = Counter()
+    for r in rows:
+        for depth in range(4):
+            cap[path(r)[:depth]] += words(r[1]) * epochs
+    quota = {}
+
+    def fill(node, budget):
+        if len(node) == 3:
+            quota[node] = budget
+            return
+        children = sorted({p[: len(node) + 1] for p in map(path, rows) if p[: len(node)] == node})
+        weigh = lambda c: weights[len(node)].get(c[-1], mixing.DEFAULT)
+        left, open_ = budget, sorted(children, key=lambda c: (cap[c] / weigh(c), c[-1]))
+        while open_ and cap[open_[0]] * sum(map(weigh, open_)) <= weigh(open_[0]) * left:
+            left -= cap[open_[0]]
+            fill(open_[0], cap[open_[0]])
+            open_ = open_[1:]
+        for c in open_:
+            fill(c, weigh(c) * left // sum(map(weigh, open_)))
+
+    fill((), int(sum(words(r[1]) for r in rows) * share))
+    out = []
+    for leaf, budget in quota.items():
+        own = [r for r in rows if path(r) == leaf]
+        total = sum(words(r[1]) for r in own)
+        whole = budget // total if total else 0
+        rest = budget - whole * total
+        out += [(r, e) for e in range(whole) for r in own]
+        if whole < epochs:
+            key = lambda r: hashlib.md5(f"{seed}:{whole}:{'null' if r[0] is None else r[0]}".encode()).hexdigest()  # noqa: B023, E731
+            out += [(r, whole) for r in own if sum(words(x[1]) for x in own if key(x) <= key(r)) <= rest]
+    return sorted(out, key=str)
+
+
+def test_mixing_by_hand_whatever_the_columns(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(70) if i % 9 else None, " ".join(["w"] * rng.randrange(0, 30)) if i % 7 else None, rng.choice(["en", "de", "xx", None]), rng.choice(["src1", "src2", "src3", "s4", "", None])) for i in range(150)]
+    rows.append((1000, "long " * 200_000, "en", "src9"))
+    clash = "end long, WHOLE long, epoch string, row long, tokens long, key string, bucket string, `at` long, _mix_row long, _mix_domain long, upto long"
+    df = spark.createDataFrame([(*r, *[7, 7, "x", 7, 7, "x", "x", 7, 7, 7, 7]) for r in rows], f"doc_id long, text string, lang string, source string, {clash}")
+    for share, epochs in ((0.01, 2), (0.8, 2), (1.7, 2), (0.3, 1)):
+        out = mixing.mix(df, share=share, epochs=epochs)
+        assert out.columns == [*df.columns, "epoch_", "_mix_domain_", "_mix_lang", "_mix_source"]
+        got = [((r["doc_id"], r["text"], r["lang"], r["source"]), r["epoch_"]) for r in out.collect()]
+        assert sorted(got, key=str) == chosen_by_hand(rows, share, epochs)
+        assert out.where("end <> 7 OR WHOLE <> 7 OR epoch <> 'x' OR _mix_domain <> 7").count() == 0
+
+
 def test_shortages_go_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "en", "s1", 10), ("a", "en", "s2", 1000), ("b", "en", "s3", 1000)], "_mix_domain string, _mix_lang string, _mix_source string, tokens long")
     rows = {r["_mix_source"]: r["quota"] for r in mixing.budgets(leaves, 0.2, 1, {"a": 1, "b": 1}, {}, {}, 1).collect()}

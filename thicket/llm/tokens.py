@@ -286,7 +286,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = SH
             publish(fs, f"{base}/{name}.{context.taskAttemptId()}.tmp", f"{base}/{name}.s8b")
             return f"{name}.s8b"
 
-        for batch in chunks(batches, "text", 6 << 20):
+        for batch in chunks(batches, "text", min(6 << 20, 4 * shard_ids)):
             ids, n = coder.encode([t or "" for t in batch.column(1).to_pylist()])
             if held and held + len(ids) > shard_ids:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([close()])})
