@@ -518,7 +518,8 @@ def test_mixing_budgets(spark, docs):
 def chosen_by_hand(rows, share, epochs, seed=mixing.SEED):
     """Rows (doc_id, text, lang, source) and epochs that hierarchical budgets take, by recursion and sorting."""
     domain = lambda s: ["web", "books", "reference"][int((re.search("[0-9]{1,9}", s or "") or ["0"])[0]) % 3]
-    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    counted = {t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in rows}
+    words = counted.__getitem__
     path = lambda r: (domain(r[3]), r[2] or "", r[3] or "")
     weights = ({**mixing.DOMAINS}, {**mixing.LANGUAGES}, {})
     cap = Counter()
