@@ -75,12 +75,14 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 class _Items:
     """Item windows of one size, sorted for look-ups."""
 
-    def __init__(self, size: int, rows: list[tuple[str, int, int, bytes]]) -> None:
-        rows = sorted(rows, key=lambda r: (np.uint64(r[2] & (1 << 64) - 1), r[3]))
-        self.size, self.item = size, np.array([r[0] for r in rows], object)
-        self.h = np.array([r[2] for r in rows], np.int64).view(np.uint64)
-        self.each = np.frombuffer(b"".join(r[3] for r in rows), "<u8").reshape(len(rows), size)
-        self.finger = np.unique(np.array([r[1] for r in rows], np.int64).view(np.uint64))
+    def __init__(self, size: int, rows: pa.Table) -> None:
+        h = np.asarray(rows.column("h")).view(np.uint64)
+        rows = rows.take(pa.array(np.argsort(h, kind="stable"))).combine_chunks()
+        each = rows.column("each").chunk(0) if len(rows) else pa.array([], pa.binary())
+        self.size, self.item = size, np.array(rows.column("item").to_pylist(), object)
+        self.h = np.asarray(rows.column("h")).view(np.uint64)
+        self.each = np.frombuffer(b"".join(x.as_buffer() for x in each), "<u8").reshape(len(rows), size)
+        self.finger = np.unique(np.asarray(rows.column("finger")).view(np.uint64))
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (position, item window) of equal windows."""
@@ -122,10 +124,9 @@ def _result(counts: np.ndarray, hits: list[tuple[np.ndarray, np.ndarray, int, li
 
 
 def _broadcast_way(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    rows: dict[int, list] = {}
-    for r in windows.collect():
-        rows.setdefault(r["size"], []).append((r["item"], r["finger"], r["h"], bytes(r["each"])))
-    shared = docs.sparkSession.sparkContext.broadcast([_Items(size, found) for size, found in sorted(rows.items())])
+    rows = windows.toArrow()  # ``broadcast_windows`` rows at most, as Arrow columns
+    sizes = np.asarray(rows.column("size"))
+    shared = docs.sparkSession.sparkContext.broadcast([_Items(int(size), rows.filter(pa.array(sizes == size))) for size in np.unique(sizes)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
