@@ -93,12 +93,14 @@ def _numeric(hist: Dense, features: list[Feature], at: list[int], p: SplitParams
     # reverse: what is known above the threshold goes right, all else left; forward: what is known up to it goes left
     right0 = [k.sum(1, keepdims=True) - b for k, b in zip(known, below, strict=True)]
     sides = [([t - r for t, r in zip(total, right0, strict=True)], right0), (below, [t - b for t, b in zip(total, below, strict=True)])]
+    # a leaf without missing values is parted alike from both directions: the first is enough
+    two_ways = (nan | zero) & (total[2] > below[2][:, -1:])
     best = None
     shift = leaf_gain(total[0], total[1], p, total[2], parent) + p.min_gain_to_split
     mono = np.array([f.monotone for f in own])[:, None]
     for way, (left, right) in enumerate(sides):
         last = num - 1 - nan  # the last bin that is no missing bin
-        fits = (bins < last) if way == 0 else ((bins < last) | (nan & (bins == last))) & (nan | zero)
+        fits = (bins < last) if way == 0 else ((bins < last) | (nan & (bins == last))) & two_ways
         skipped = zero & (bins == (default - 1 if way == 0 else default))
         fits = fits & ~skipped & (left[2] > 0) & (right[2] > 0)
         fits &= (left[2] >= p.min_data_in_leaf) & (right[2] >= p.min_data_in_leaf) & (left[1] >= p.min_sum_hessian_in_leaf) & (right[1] >= p.min_sum_hessian_in_leaf)

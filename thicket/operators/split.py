@@ -137,7 +137,7 @@ def numeric_candidates(hist: DataFrame, features: list[Feature], p: SplitParams)
         threshold = F.col("bin") - 1 if kind == 0 else F.col("bin")
         arms.append(F.struct(F.lit(kind).alias("dir"), threshold.alias("threshold"), *(s[c][i].alias(f"{'lr'[i]}{c}") for i in (0, 1) for c in ("g", "h", "n"))))
     # without missing values the two directions agree: one is enough
-    both = F.when(F.col("missing").isin(NAN, ZERO_MISSING), F.array(*arms)).otherwise(F.array(arms[0]))
+    both = F.when(F.col("missing").isin(NAN, ZERO_MISSING) & (F.col("sn") > F.col("tn")), F.array(*arms)).otherwise(F.array(arms[0]))
     out = rows.where(~F.col("gone")).withColumn("e", F.explode(both)).where((F.col("e.threshold") >= 0) & (F.col("e.ln") > 0) & (F.col("e.rn") > 0))
     kept = ["leaf", "feature", "sg", "sh", "sn", "small_nan", "monotone", "contri", "penalty"]
     return out.select(*kept, "e.*").withColumn("cats", F.lit(None).cast("array<int>"))

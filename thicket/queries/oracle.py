@@ -71,12 +71,14 @@ def _step(now: str, then: str, k: int, least: int, depth: int, groups: tuple[tup
     missing = "coalesce(sum(CASE WHEN v IS NULL THEN {0} END) OVER (PARTITION BY leaf, feature), 0)"
     x = f"x{now} AS MATERIALIZED (SELECT leaf, feature, v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM ({melted}) GROUP BY leaf, feature, v)"
     columns = ", ".join(f"{sums.format(c)} AS t{c}, {upto.format(c)} AS u{c}, {missing.format(c)} AS m{c}" for c in "ghn")
-    w = f"w{now} AS MATERIALIZED (SELECT leaf, feature, v, {columns} FROM x{now})"
-    # missing values left (0), right (1); and left alone, which no value's prefix is
+    w = f"w{now} AS MATERIALIZED (SELECT leaf, feature, v, lead(v) OVER (PARTITION BY leaf, feature ORDER BY v NULLS LAST) AS above, {columns} FROM x{now})"
+    # missing values left (0), right (1). Of bounds that part a leaf alike the first way takes the highest, so that values the leaf lacks go
+    # left up to the next that it has; the second takes the lowest. Missing values alone may go left where a leaf lacks the least values
     ways = " UNION ALL ".join(
         [
-            f"SELECT leaf, feature, 0 AS way, v, ug + mg AS lg, uh + mh AS lh, un + mn AS ln, tg, th, tn FROM w{now} WHERE v IS NOT NULL",
-            f"SELECT leaf, feature, 1, v, ug, uh, un, tg, th, tn FROM w{now} WHERE v IS NOT NULL AND feature = 0",
+            f"SELECT leaf, feature, 0 AS way, v, above, ug + mg AS lg, uh + mh AS lh, un + mn AS ln, tg, th, tn FROM w{now} WHERE v IS NOT NULL",
+            f"SELECT leaf, feature, 0, -1e300, min(v), max(mg), max(mh), max(mn), max(tg), max(th), max(tn) FROM w{now} WHERE feature = 0 GROUP BY leaf, feature HAVING min(v) > (SELECT min(f0) FROM d WHERE own)",
+            f"SELECT leaf, feature, 1, v, NULL, ug, uh, un, tg, th, tn FROM w{now} WHERE v IS NOT NULL AND feature = 0",
         ]
     )
     gain = "lg * lg / lh + (tg - lg) * (tg - lg) / (th - lh) - tg * tg / th"
@@ -90,9 +92,9 @@ def _step(now: str, then: str, k: int, least: int, depth: int, groups: tuple[tup
         fits, allowed = f"c.leaf = {forced[0]} AND feature = {forced[1]} AND v <= {forced[2]}", "TRUE"
     c = f"c{now} AS MATERIALIZED (SELECT c.*, {gain} AS gain, l.depth, l.grp FROM ({ways}) c JOIN l{now} l ON c.leaf = l.leaf WHERE {fits} AND {allowed} AND {deep})"
     order = "v DESC" if forced else "round(gain, 9) DESC, leaf, feature, way, v"
-    b = f"b{now} AS MATERIALIZED (SELECT leaf, feature, way, v, gain, depth, grp, tn AS n FROM c{now} WHERE gain > 0 ORDER BY {order} LIMIT 1)"
+    b = f"b{now} AS MATERIALIZED (SELECT leaf, feature, way, v, {'CAST(NULL AS DOUBLE) AS above' if forced else 'above'}, gain, depth, grp, tn AS n FROM c{now} WHERE gain > 0 ORDER BY {order} LIMIT 1)"
     value = "CASE b.feature " + " ".join(f"WHEN {i} THEN a.{f}" for i, f in enumerate(FEATURES)) + " END"
-    right = f"coalesce(b.leaf = a.leaf AND NOT CASE WHEN {value} IS NULL THEN b.way = 0 ELSE {value} <= b.v END, FALSE)"
+    right = f"coalesce(b.leaf = a.leaf AND NOT CASE WHEN {value} IS NULL THEN b.way = 0 WHEN b.above IS NOT NULL THEN {value} < b.above ELSE {value} <= b.v END, FALSE)"
     a = f"a{then} AS MATERIALIZED (SELECT a.* REPLACE (CASE WHEN {right} THEN {k + 1} ELSE a.leaf END AS leaf) FROM a{now} a LEFT JOIN b{now} b ON TRUE)"
     group = "CASE b.feature " + " ".join(f"WHEN {f} THEN {i}" for i, s in enumerate(groups) for f in s) + " END" if groups else "-1"
     below = f"SELECT {{0}} AS leaf, b.depth + 1 AS depth, {group} AS grp FROM b{now} b"
