@@ -193,8 +193,8 @@ class _Known(dict):
 class Encoder:
     """A tokenizer file, and the ids of words that it has met.
 
-    The library alone encodes about 1.3 MB a second and core (measured), under half of what this class does. For
-    tokenizers that lower-case, drop white space and cut at ``_CUT`` encode each word of a Latin-1 text by
+    The library alone encodes about 1.3 MB a second and core (measured), under half of what this class does.
+    Tokenizers that lower-case, drop white space and cut at ``_CUT`` encode each word of a Latin-1 text by
     itself: of such texts the words go to the library's BPE model once each. Every other text (or tokenizer)
     takes the library's whole way. At most ``keep`` words are remembered.
     """
