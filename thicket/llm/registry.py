@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import decontaminate, mixing, nearest, neardup, pii, quality, secrets, substring, tokens, warc
+from thicket.llm import decontaminate, filter_audit, merkle, mixing, nearest, neardup, pii, quality, secrets, substring, tokens, warc
 from thicket.llm.shared import table
 
 
@@ -22,6 +22,8 @@ SQL = {
                CASE WHEN o.original <> h.page_id THEN o.original END AS refers_to
         FROM h LEFT JOIN o ON h.digest = o.digest AND h.n >= 1000
     """,
+    "op11_merkle_manifest": merkle.sql(),
+    "op12_filter_audit": filter_audit.sql(),
 }
 
 
@@ -84,8 +86,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.tampering(table(spark, sf_dir, "documents"))).drop("group", "proof")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.failures(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.cells(masks, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weak_supervision_pii, op2_simple8b, op3_knn_quality, op4_order_minhash, op5_markov_secrets, op6_hierarchical_mixing, op7_warc_revisits, op8_winnowing, op9_adaptive_scan, op10_substring_dedup)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_weak_supervision_pii, op2_simple8b, op3_knn_quality, op4_order_minhash, op5_markov_secrets, op6_hierarchical_mixing, op7_warc_revisits, op8_winnowing, op9_adaptive_scan, op10_substring_dedup,
+            op11_merkle_manifest, op12_filter_audit,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
