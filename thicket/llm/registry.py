@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import decontaminate, filter_audit, merkle, mixing, nearest, neardup, pii, quality, secrets, substring, tokens, warc
+from thicket.llm import decontaminate, filter_audit, merkle, mixing, nearest, neardup, pii, quality, secrets, substring, tokens, toxicity, warc
 from thicket.llm.shared import table
 
 
@@ -95,12 +95,17 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.cells(masks, table(spark, sf_dir, "labels")))
 
 
+def op13_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_weak_supervision_pii, op2_simple8b, op3_knn_quality, op4_order_minhash, op5_markov_secrets, op6_hierarchical_mixing, op7_warc_revisits, op8_winnowing, op9_adaptive_scan, op10_substring_dedup,
-            op11_merkle_manifest, op12_filter_audit,
+            op11_merkle_manifest, op12_filter_audit, op13_counterfactual_toxicity,
         )
     }
 

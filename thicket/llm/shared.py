@@ -40,6 +40,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def least_hashes(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The ``most`` rows of the least hashes of ``keys``, all if there are fewer. ``rows`` is a written table. What passes a threshold that the count
+    sets is ordered, hardly more than ``most`` rows in all, so no task gets as many from each partition; of rows whose keys are equal any may be meant."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    unit = (F.xxhash64(*keys, F.lit(17)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).alias("_unit")
+    # ten standard deviations more than wanted; only where equal rows hash together fewer may pass, and then all are ordered
+    near = rows.select("*", unit).where(F.col("_unit") < (most + 10 * most**0.5 + 100) / n)
+    if near.count() < most:
+        near = rows.select("*", unit)
+    return near.orderBy("_unit", *keys).limit(most).drop("_unit")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, name: str) -> DataFrame:
+    """text and label of ``most`` labelled texts at most, of ``docs`` (doc_id, text) and ``labels`` (doc_id, unique and not null; label): those of the least
+    hashes of the text, so that ids say which label a text has and nothing else. Rows of equal doc_id and text count once."""
+    text = F.col("text").cast("string").alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(text).alias("hash"))
+    found = materialise(rows.select("doc_id", "hash").distinct().join(labels, "doc_id"), f"{name}-labels")
+    chosen = materialise(least_hashes(found, ["hash", "label"], most), f"{name}-chosen")
+    own = rows.join(F.broadcast(chosen), ["doc_id", "hash"])  # `most` rows at most
+    return materialise(own.groupBy("doc_id", "hash").agg(F.first("text").alias("text"), F.first("label").alias("label")).select("text", "label"), f"{name}-sample")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
