@@ -19,7 +19,7 @@ from __future__ import annotations
 from itertools import permutations
 from math import factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.shared import join_counted, materialise
@@ -30,22 +30,25 @@ _SPACE = " \t\n\x0b\f\r"
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
 
 
-def own_failures(text: Column) -> Column:
-    """Bits of the filters that need the text alone."""
-    trimmed = F.btrim(text, F.lit(_SPACE))
-    words = F.split(trimmed, f"[{_SPACE}]+")
-    n = F.when(trimmed == "", 0).otherwise(F.size(words))
-    distinct = F.when(trimmed == "", 0).otherwise(F.size(F.array_distinct(words)))
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
-    fails = (n < LEAST_WORDS, 100 * distinct < DISTINCT * n, 100 * capitals.cast("long") > CAPITALS * F.length(text).cast("long"), text.rlike(MARKS))
-    return sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0))
+def own_failures(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, not null, ...) with ``mask``, the bits of the filters that need the text alone, in place of the text. Words are split once: a
+    projection of their own holds them."""
+    others = [c for c in rows.columns if c != "text"]
+    words = F.split(F.btrim("text", F.lit(_SPACE)), f"[{_SPACE}]+")
+    capitals, length = F.length(F.regexp_replace("text", "[^A-Z]+", "")), F.length("text")
+    rows = rows.select(*others, words.alias("words"), (100 * capitals.cast("long") > CAPITALS * length.cast("long")).alias("capital"), F.col("text").rlike(MARKS).alias("marked"))
+    # a text without words splits into one empty word
+    blank = F.element_at("words", 1) == ""
+    rows = rows.select(*others, F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("distinct"), blank.alias("blank"), "capital", "marked")
+    fails = (F.col("blank") | (F.col("n") < LEAST_WORDS), ~F.col("blank") & (100 * F.col("distinct") < DISTINCT * F.col("n")), F.col("capital"), F.col("marked"))
+    return rows.select(*others, sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0)).alias("mask"))
 
 
 def failures(docs: DataFrame) -> DataFrame:
     """doc_id, part and mask of each row of ``docs`` (doc_id, lang, text). Texts aren't shuffled, their hashes are."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    rows = materialise(rows.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("sha"), own_failures(F.col("text")).alias("mask")), "audit-rows")
+    rows = materialise(own_failures(rows.select("*", F.unhex(F.sha2("text", 256)).alias("sha"))), "audit-rows")
     copies = rows.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     both = join_counted(rows, materialise(copies, "audit-copies"), ["sha"], "left")
     copied = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
