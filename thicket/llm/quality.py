@@ -9,9 +9,9 @@ documents at a time; its ``NEIGHBOURS`` nearest vote with their similarity as we
 The sample is bounded by its documented size, whatever the input; frequencies count all documents.
 
 Defined cases: null and empty texts have no trigrams but a shape, so they are scored by it. Rows that repeat are
-each scored. Of labelled texts that are equally near the one of the smaller doc_id votes first: cosines count to ``DIGITS`` places. Texts of any
-length are whole terms, in batches of their own. An empty table gives no rows. With no labels at all every score is 0.5. Labels that are null don't count; a document with several labels has
-the least. Other columns aren't read, but for ``carry``, which returns every row as one struct, whatever its columns are named.
+each scored. Cosines count to ``DIGITS`` places; of labelled texts that are equally near where the last votes are given, all share these votes, so no id and no order
+decides. The sample goes by hashes of texts, and the model by the sample's content. Texts of any length are whole terms, in batches of their own. An empty table gives no rows. With no
+labels at all every score is 0.5. Labels that are null don't count; a document with several labels has the least; rows of equal doc_id and text are one neighbour. Other columns aren't read, but for ``carry``, which returns every row as one struct, whatever its columns are named.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thicket.llm.shared import materialise
+from thicket.llm.shared import labelled_sample
 from thicket.llm.words import SPACED, byte_class, chunks, split_words
 
 BUCKETS, RANK, SAMPLE, NEIGHBOURS, POWER, DIGITS = 1024, 64, 4000, 15, 4, 5
@@ -145,10 +145,10 @@ class Model:
         for at in range(0, len(own), 256):
             cosines = np.round(own[at : at + 256] @ self.known.T, DIGITS)
             least = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
-            # all that are nearer than the k-th, and of its equals the first
+            # all that are nearer than the k-th, and its equals, which share the places that are left
             nearer, equal = cosines > least, cosines == least
-            equal &= np.cumsum(equal, axis=1) <= k - nearer.sum(1, keepdims=True)
-            weight = np.where(nearer | equal, np.maximum(cosines, 1e-3), 0.0).astype(np.float64) ** POWER
+            share = (k - nearer.sum(1, keepdims=True)) / equal.sum(1, keepdims=True)
+            weight = np.maximum(cosines, 1e-3).astype(np.float64) ** POWER * (nearer + equal * share)
             out[at : at + 256] = weight @ self.labels / weight.sum(1)
         return np.round(np.clip(out, 0, 1), 6)
 
@@ -161,23 +161,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), from at most ``sample`` rows that aren't held out."""
     n, df = document_frequencies(docs.select(F.col("text").cast("string").alias("text")))
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where("id is not null and quality in (0, 1)")
-    own = own.where(~held_out("id")).groupBy("id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    own = F.broadcast(materialise(own, "quality-labels"))  # `sample` rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(own, "id")
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    texts = labelled_sample(docs, own.where(~held_out()).groupBy("doc_id").agg(F.min("label").alias("label")), sample, "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             counts, shape = terms(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("quality"), pa.array([row.astype("<u4").tobytes() for row in counts], pa.binary()), pa.array([row.tobytes() for row in shape], pa.binary())],
-                ["id", "quality", "counts", "shape"],
+                [batch.column("label"), pa.array([row.astype("<u4").tobytes() for row in counts], pa.binary()), pa.array([row.tobytes() for row in shape], pa.binary())],
+                ["label", "counts", "shape"],
             )
 
-    got = texts.mapInArrow(run, "id long, quality int, counts binary, shape binary").orderBy("id", "counts").limit(sample).collect()
+    got = texts.mapInArrow(run, "label int, counts binary, shape binary").orderBy("counts", "shape", "label").collect()  # `sample` rows at most
     counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in got), "<u4").reshape(len(got), BUCKETS)
     shape = np.frombuffer(b"".join(bytes(r["shape"]) for r in got), np.float32).reshape(len(got), TERMS - BUCKETS)
-    return Model(idf, counts, shape, np.array([r["quality"] for r in got]))
+    return Model(idf, counts, shape, np.array([r["label"] for r in got]))
 
 
 def score(docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame:
