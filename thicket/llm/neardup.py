@@ -17,9 +17,11 @@ enough of them aren't compared, nor are pairs whose signatures (``SIGN_BITS`` bi
 which settles clouds of copies that differ too much from each other. For the rest, round by round, 64, 1024, ... drawn members outside of a bucket's largest class are compared with those of other classes and leave, until no bucket holds two
 classes. The same rounds then run over the buckets themselves, for pairs that agree in a single band. No bucket is capped; buckets of one class cost nothing more.
 
+Rows are numbered first and everything goes by these numbers; ids come back at the end only.
+
 Defined cases: a null or blank text is equal to others of that kind only, and has no words. Texts of fewer than K words are one
-k-mer. Exact copies (equal words) are one node, so groups of any size cost one row each. Null doc_ids count as one document
-id above all others. Other columns aren't read.
+k-mer. Exact copies (equal words) are one node, so groups of any size cost one row each. Rows that share a doc_id, the null one included, are judged each by
+its own text. The class of rows without any doc_id has the null id. Very long texts are compared as wholes. An empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -39,7 +41,6 @@ K, KEEP, ROWS, BANDS, THRESHOLD = 5, 2, 2, 16, 0.8
 #: Bits of a signature, and standard deviations that a pair at the threshold may fall short of its expected agreement (three
 #: in a million fall shorter).
 SIGN_BITS, SIGN_SLACK = 512, 4.5
-_LAST = (1 << 63) - 1
 
 
 def labelled(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +129,7 @@ def _increasing(x: np.ndarray) -> int:
 
 
 def _sketch_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc, two hashes of the word sequence, n_words, a key for each band (none for texts without words)."""
+    """doc, doc_id, two hashes of the word sequence, n_words, a key for each band (none for texts without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
@@ -142,9 +143,9 @@ def _sketch_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             one = ranges_hash(words.hash, a, b, _WORD_BASE)
             two = ranges_hash(mix(words.hash ^ np.uint64(77)), a, b, _WORD_BASE)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(words.counts, pa.int64()), lists], ["doc", "one", "two", "n_words", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(words.counts, pa.int64()), lists], ["doc", "doc_id", "one", "two", "n_words", "keys"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, one long, two long, n_words long, keys array<long>")
+    return docs.select("doc", "doc_id", "text").mapInArrow(run, "doc long, doc_id long, one long, two long, n_words long, keys array<long>")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -226,18 +227,20 @@ def classes(links: DataFrame) -> DataFrame:
         label = jumped.select("v", "c")
 
 
-def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, signed: bool = True) -> DataFrame:
+def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, signed: bool = True, numbered: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id (the least doc_id of its class of near copies), n_links
     (different texts that it was compared with and found near to; once two are in one class, their own link isn't looked for). ``class_id``
     is doc_id where nothing is near. ``signed``: pairs that signatures put too far apart aren't compared; without it every pair that
-    may share enough k-mers is, which is exact among candidates and slower in clouds of copies."""
+    may share enough k-mers is, which is exact among candidates and slower in clouds of copies. ``numbered``: ``docs`` is a written table whose doc_ids are unique."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
+    if numbered:
+        docs = docs.withColumn("doc", F.col("doc_id"))
+    else:
+        docs = materialise(docs.withColumn("doc", F.monotonically_increasing_id()), "neardup-rows")
     sketch = materialise(_sketch_table(docs, k, bands, rows), "neardup-sketches")
     same = ["one", "two", "n_words"]
-    nodes = materialise(sketch.groupBy(*same).agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("n")), "neardup-nodes")
-    member = materialise(join_counted(sketch.select("doc", *same), nodes, same).select("doc", "node").distinct(), "neardup-members")
-    head = sketch.join(member.where("doc = node").select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    nodes = materialise(sketch.groupBy(*same).agg(F.min("doc").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "neardup-nodes")
+    head = sketch.join(nodes.select(F.col("node").alias("doc")), "doc", "left_semi")
 
     entries = materialise(head.select("doc", F.posexplode("keys").alias("band", "key")).select(F.col("key").alias("x"), F.col("band").cast("long").alias("y"), "doc"), "neardup-entries")
     stars = materialise(_stars(entries), "neardup-stars")
@@ -245,7 +248,7 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
     near = materialise(near, "neardup-candidates")
     ends = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     # by shuffle at every size: the documents to compare grow with the input, so they are no table to broadcast
-    texts = materialise(docs.select("doc", "text").join(ends.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]), "neardup-texts")
+    texts = materialise(docs.select("doc", "text").join(ends.hint("merge"), "doc", "left_semi"), "neardup-texts")
     known = materialise(_checked(near, texts, k, threshold), "neardup-pairs")
     class_of = classes(known.where("near"))
 
@@ -290,7 +293,9 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
             rest, heads = live.where("not drawn").select("x", "y", "doc"), heads * 16
     found = known.where("near").select("a", "b")
     degree = found.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
-    node = class_of.join(degree, "doc").select(F.col("doc").alias("node"), "class", "n_links")
-    full = member.join(node, "node", "left").select("doc", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = docs.select("doc_id", "doc").join(full, "doc")
-    return out.select("doc_id", F.when(F.col("class") < _LAST, F.col("class")).alias("class_id"), "n_links")
+    linked = class_of.join(degree, "doc").select(F.col("doc").alias("node"), "class", "n_links")
+    full = nodes.join(linked, "node", "left").withColumns({"class": F.coalesce("class", "node"), "n_links": F.coalesce("n_links", F.lit(0))})
+    full = materialise(full.withColumnRenamed("n", "copies"), "neardup-full")
+    least = materialise(full.groupBy("class").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n")), "neardup-least")
+    named = materialise(join_counted(full, least, ["class"]).select(*same, "class_id", "n_links", F.col("copies").alias("n")), "neardup-named")
+    return join_counted(sketch.select("doc_id", *same), named, same).select("doc_id", "class_id", "n_links")
