@@ -45,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each class of near copies one row: that of the least doc_id, nulls last; of equal doc_ids the first as read. Null, empty and blank
     texts are copies of each other. Very long texts are compared as wholes."""
     rows = numbered(docs, "pipeline-near-rows")
-    found = neardup.near_copies(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("number"), "class_id")
+    found = neardup.near_copies(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), numbered=True).select(F.col("doc_id").alias("number"), "class_id")
     several = found.where(F.col("number") != F.col("class_id")).select("class_id").distinct()
     ids = rows.select("number", F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"))
     members = materialise(found.join(several, "class_id", "left_semi").join(ids, "number"), "pipeline-near-members")
