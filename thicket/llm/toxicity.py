@@ -37,7 +37,7 @@ from thicket.llm.words import _BYTE_BASE, ALNUM, Words, chunks, mix, ranges_hash
 
 FEATURES, SAMPLE, PAIRS, LEAST = 4096, 30_000, 20_000, 5
 PREFIXES = (4, 5, 6)
-BALANCE, RIDGE, STEPS, THRESHOLD = 1.0, 1e-4, 300, 0.5
+BALANCE, RIDGE, STEPS, THRESHOLD = 1.0, 1e-4, 500, 0.5
 #: Terms that can stand for each other in a sentence; swaps stay within a language and kind.
 IDENTITY = (
     ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("female", "male", "transgender", "nonbinary"),
