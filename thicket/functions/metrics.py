@@ -94,16 +94,18 @@ def parse(names: str | list[str] | None, objective: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def pointwise(df: DataFrame, name: str, score: str = "score", label: str = "label", weight: str | None = None, **options: Any) -> DataFrame:
-    """One row: metric, value."""
+def _mean_loss(name: str, score: str = "score", label: str = "label", weight: str | None = None, **options: Any) -> Column:
     w = F.col(weight) if weight else F.lit(1.0)
     loss = F.sum(LOSSES[name](F.col(score), F.col(label).cast("double"), **options) * w)
     if name == "gamma_deviance":
-        value = 2.0 * loss
-    else:
-        value = loss / F.sum(w)
-        value = F.sqrt(value) if name == "rmse" else value
-    return df.agg(value.alias("value")).select(F.lit(name).alias("metric"), "value")
+        return 2.0 * loss
+    value = loss / F.sum(w)
+    return F.sqrt(value) if name == "rmse" else value
+
+
+def pointwise(df: DataFrame, name: str, score: str = "score", label: str = "label", weight: str | None = None, **options: Any) -> DataFrame:
+    """One row: metric, value."""
+    return df.agg(_mean_loss(name, score, label, weight, **options).alias("value")).select(F.lit(name).alias("metric"), "value")
 
 
 def _by_score(df: DataFrame, score: str, label: str, weight: str | None) -> DataFrame:
@@ -189,3 +191,20 @@ def evaluate(df: DataFrame, name: str, num_class: int = 1, eval_at: tuple[int, .
     else:
         found = pointwise(df, m.name, column, weight=weight, **options)
     return [(m.name, found.first()["value"], m.higher_is_better)]
+
+
+#: Metrics that need rows in an order, by queries or scores.
+ORDERED = ("ndcg", "map", "auc", "average_precision", "auc_mu")
+
+
+def evaluate_all(df: DataFrame, names: list[str], num_class: int = 1, eval_at: tuple[int, ...] = EVAL_AT, weight: str | None = None, raw: str = "raw", score: str = "score", by: str | None = None, **options: Any) -> list[Any]:
+    """``evaluate`` of several metrics, in their order: all that are means over rows come from one aggregation. ``by``: a column of whole numbers from 0
+    on; then a list of such lists, one for each of its values, point-wise metrics of all values from the same aggregation."""
+    found = [m for n in names if (m := find(n))]
+    plain = {m.name: _mean_loss(m.name, raw if m.raw else score, "label", weight, **options) for m in found if m.name not in ORDERED}
+    rows = df.groupBy(*([by] if by else [])).agg(F.count(F.lit(1)).alias("_n"), *(c.alias(n) for n, c in plain.items())).collect() if plain or by else [{}]
+    out = []
+    for row in sorted(rows, key=lambda r: r[by] if by else 0):
+        own = df.where(F.col(by) == row[by]) if by else df
+        out.append([x for m in found for x in ([(m.name, row[m.name], m.higher_is_better)] if m.name in plain else evaluate(own, m.name, num_class, eval_at, weight, raw, score, **options))])
+    return out if by else out[0]

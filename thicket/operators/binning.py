@@ -1,8 +1,9 @@
 """Feature binning: distinct values are counted in Spark for all features at once; bounds are found from these counts.
 
 ``distinct_counts`` melts the features and counts, combining before the shuffle. What comes to the driver is bounded: ``MAX_DISTINCT`` values a
-feature, ``MAX_VALUES`` in all. Of a numeric feature with more, Spark cuts the sorted values into that many runs of about equal counts
-first, which moves bounds by less than a run; of a categorical one the most frequent codes come, as many as it may have bins.
+feature, and as many features at a time as have ``MAX_VALUES`` together, so what a feature's bins are doesn't hang on how many features there are. Of a
+numeric feature with more, Spark cuts the sorted values into that many runs of about equal counts first; a run keeps its least and its largest value, so bounds
+lie between runs and counts of bins are exact. Of a categorical one the most frequent codes come, as many as it may have bins.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.ordered import running
+from thicket.plans.tables import scratch
 
 ZERO = 1e-35
 NONE, ZERO_MISSING, NAN = "none", "zero", "nan"
-#: Distinct values of a feature that come to the driver, and of all features.
+#: Distinct values of a feature that come to the driver, and of the features that come together.
 MAX_DISTINCT, MAX_VALUES = 200_000, 4_000_000
 
 
@@ -91,10 +93,16 @@ def melt(df: DataFrame, features: list[str], keep: list[str] | None = None) -> D
 
 
 def row_sample(df: DataFrame, rows: int, key: str, seed: int = 1, known: int | None = None) -> DataFrame:
-    """All rows if there are at most ``rows`` (``known``: their number), else those of the ``rows`` least hashes of ``key``."""
-    if (df.limit(rows + 1).count() if known is None else known) <= rows:
+    """All rows if there are at most ``rows`` (``known``: their number), else those of the ``rows`` least hashes of ``key``. A threshold that the count sets lets hardly
+    more than ``rows`` pass, so what is ordered is no larger however many partitions there are. Rows of equal keys pass together, so many of these may
+    leave too few, or too many to be ordered cheaply."""
+    n = df.count() if known is None else known
+    if n <= rows:
         return df
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rows)
+    hashed = F.xxhash64(key, F.lit(seed))
+    unit = hashed.bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    near = df.where(unit < (rows + 10 * rows**0.5 + 100) / n)  # ten standard deviations more than wanted
+    return near.orderBy(unit, hashed, key).limit(rows)
 
 
 def distinct_counts(df: DataFrame, features: list[str]) -> DataFrame:
@@ -104,38 +112,41 @@ def distinct_counts(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def compress(counts: DataFrame, most: int) -> DataFrame:
-    """Of counts (feature, value, n) at most about ``most`` a feature: runs of neighbours of equal counts stand for their largest value."""
+    """Of counts (feature, value, n) at most about ``most`` a feature: runs of neighbours of equal counts stand for their largest value, ``low`` being the least."""
     runs = running(counts, "value", ["n"], by=["feature"])
     run = F.floor(F.col("before_n") * F.lit(float(most)) / F.col("all_n"))
-    return runs.groupBy("feature", run.alias("_run")).agg(F.max("value").alias("value"), F.sum("n").alias("n")).drop("_run")
+    return runs.groupBy("feature", run.alias("_run")).agg(F.max("value").alias("value"), F.sum("n").alias("n"), F.min("value").alias("low")).drop("_run")
 
 
 def top_codes(counts: DataFrame, most: int) -> DataFrame:
-    """Of counts of codes (feature, value, n) the ``most`` most frequent of each feature; one row more, of code -1, holds the rest."""
+    """Of counts of codes (feature, value, n) the ``most`` most frequent of each feature; one row more, of code -1, holds the rest. Ranks are running counts over
+    ranges, so no task sorts a whole feature."""
     codes = counts.groupBy("feature", F.when(F.col("value") < 0, -1.0).otherwise(F.floor("value").cast("double")).alias("value")).agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("feature").orderBy((F.col("value") < 0).cast("int"), F.desc("n"), "value")
-    ranked = codes.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
-    held = ranked.groupBy("feature").agg(F.sum("n").alias("held"))
-    rest = codes.groupBy("feature").agg(F.sum("n").alias("n")).join(held, "feature").select("feature", F.lit(-1.0).alias("value"), (F.col("n") - F.col("held")).alias("n"))
-    return ranked.unionByName(rest.where("n > 0"))
+    order = F.struct((F.col("value") < 0).cast("int").alias("other"), (-F.col("n")).alias("n"), "value")
+    ranked = running(codes.withColumns({"_order": order, "_one": F.lit(1)}), "_order", ["_one", "n"], by=["feature"])
+    held = (F.col("before__one") < most).alias("held")
+    kept = ranked.select("feature", "value", "n", held).where("held").drop("held")
+    rest = ranked.select("feature", "n", held).where("not held").groupBy("feature").agg(F.sum("n").alias("n"))
+    return kept.unionByName(rest.select("feature", F.lit(-1.0).alias("value"), "n"))
 
 
 # --- bounds on the driver ---------------------------------------------------------------------------------------------
 
 
-def merge_close(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values with the next double as their neighbour count as the larger. ``values`` ascend."""
+def merge_close(values: np.ndarray, counts: np.ndarray, lows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values with the next double as their neighbour count as the larger, and ``lows`` of them as the least. ``values`` ascend."""
+    lows = values if lows is None else lows
     if not len(values):
-        return values, counts
-    heads = np.flatnonzero(np.r_[True, np.diff(values) > np.abs(values[1:]) * np.finfo(float).eps])
-    return values[np.r_[heads[1:], len(values)] - 1], np.add.reduceat(counts, heads)
+        return values, counts, lows
+    heads = np.flatnonzero(np.r_[True, lows[1:] - values[:-1] > np.abs(lows[1:]) * np.finfo(float).eps])
+    return values[np.r_[heads[1:], len(values)] - 1], np.add.reduceat(counts, heads), lows[heads]
 
 
-def _between(values: np.ndarray, ends: Iterator[int]) -> list[float]:
-    """Bounds after some values, each halfway to the next, and infinity. Bounds that wouldn't differ are left out."""
+def _between(values: np.ndarray, ends: Iterator[int], lows: np.ndarray) -> list[float]:
+    """Bounds after some values, each halfway to the next one's low, and infinity. Bounds that wouldn't differ are left out."""
     bounds: list[float] = []
     for i in ends:
-        bound = next_up((values[i] + values[i + 1]) / 2)
+        bound = next_up((values[i] + lows[i + 1]) / 2)
         if not bounds or bound > next_up(bounds[-1]):
             bounds.append(float(bound))
     return [*bounds, math.inf]
@@ -177,34 +188,38 @@ def _dealt(counts: np.ndarray, max_bin: int) -> Iterator[int]:
         before, at = int(sums[stop]), stop + 1
 
 
-def even_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data_in_bin: int) -> list[float]:
-    """Upper bounds of at most ``max_bin`` bins: every value has its own if there are few, as far as its rows suffice."""
+def even_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data_in_bin: int, lows: np.ndarray | None = None) -> list[float]:
+    """Upper bounds of at most ``max_bin`` bins: every value has its own if there are few, as far as its rows suffice. ``lows``: the least values of what
+    ``values`` stand for, where these are the largest of runs."""
+    lows = values if lows is None else lows
     if len(values) <= max_bin:
-        return _between(values, _filled(np.cumsum(counts), max(1, min_data_in_bin)))
+        return _between(values, _filled(np.cumsum(counts), max(1, min_data_in_bin)), lows)
     if min_data_in_bin > 0:
         max_bin = max(1, min(max_bin, int(counts.sum()) // min_data_in_bin))
-    return _between(values, _dealt(counts, max_bin))
+    return _between(values, _dealt(counts, max_bin), lows)
 
 
-def zero_bin_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data_in_bin: int, forced: list[float] | None = None) -> list[float]:
+def zero_bin_bounds(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data_in_bin: int, forced: list[float] | None = None, lows: np.ndarray | None = None) -> list[float]:
     """Bounds with a bin of its own for zero; the bins on either side are shared by row counts. ``forced`` bounds come first."""
+    lows = values if lows is None else lows
     if forced:
-        return bounds_around(values, counts, max_bin, min_data_in_bin, forced)
+        return bounds_around(values, counts, max_bin, min_data_in_bin, forced, lows)
     low, high = int(np.searchsorted(values, -ZERO, "right")), int(np.searchsorted(values, ZERO, "right"))
     rows = int(counts[:low].sum()), int(counts[high:].sum())
     bounds: list[float] = []
     if low and max_bin > 1:
         room = max(1, int(rows[0] / sum(rows) * (max_bin - 1)))
-        bounds = [*even_bounds(values[:low], counts[:low], room, min_data_in_bin)[:-1], -ZERO]
+        bounds = [*even_bounds(values[:low], counts[:low], room, min_data_in_bin, lows[:low])[:-1], -ZERO]
     room = max_bin - 1 - len(bounds)
     if high == len(values) or room <= 0:
         return [*bounds, math.inf]
-    return [*bounds, ZERO, *even_bounds(values[high:], counts[high:], room, min_data_in_bin)]
+    return [*bounds, ZERO, *even_bounds(values[high:], counts[high:], room, min_data_in_bin, lows[high:])]
 
 
-def bounds_around(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data_in_bin: int, forced: list[float]) -> list[float]:
+def bounds_around(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data_in_bin: int, forced: list[float], lows: np.ndarray | None = None) -> list[float]:
     """Zero's bounds and the forced ones; the bins that are left go to the stretches between them by row counts, the last stretch taking
     what rounding leaves."""
+    lows = values if lows is None else lows
     own = [b for b, there in ((-ZERO, values[0] <= -ZERO), (ZERO, values[-1] > ZERO)) if there][: max_bin - 1]
     given = [b for b in forced if abs(b) > ZERO]
     fixed = np.unique([*own, *given[: max_bin - 1 - len(own)]])
@@ -214,29 +229,30 @@ def bounds_around(values: np.ndarray, counts: np.ndarray, max_bin: int, min_data
     for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         share = left if i == len(fixed) else min(left, round(int(counts[a:b].sum()) * spare / int(counts.sum())))
         if a < b and share > 0:
-            found = even_bounds(values[a:b], counts[a:b], share + 1, min_data_in_bin)[:-1]
+            found = even_bounds(values[a:b], counts[a:b], share + 1, min_data_in_bin, lows[a:b])[:-1]
             inner += found
             left -= len(found)
     return [*np.unique([*fixed, *inner]).tolist(), math.inf]
 
 
-def numeric_mapper(name: str, values: list[float], counts: list[int], missing_rows: int, max_bin: int = 255, min_data_in_bin: int = 3, use_missing: bool = True, zero_as_missing: bool = False, forced: list[float] | None = None) -> BinMapper:
-    """A mapper from a feature's distinct values (ascending) and counts; ``missing_rows`` are the rows without a value."""
+def numeric_mapper(name: str, values: list[float], counts: list[int], missing_rows: int, max_bin: int = 255, min_data_in_bin: int = 3, use_missing: bool = True, zero_as_missing: bool = False, forced: list[float] | None = None, lows: list[float] | None = None) -> BinMapper:
+    """A mapper from a feature's distinct values (ascending) and counts; ``missing_rows`` are the rows without a value. ``lows``: the least values of runs that
+    ``values`` are the largest of."""
     missing = NONE if not use_missing else ZERO_MISSING if zero_as_missing else NAN if missing_rows else NONE
-    v, n = merge_close(np.asarray(values, float), np.asarray(counts, np.int64))
+    v, n, low = merge_close(np.asarray(values, float), np.asarray(counts, np.int64), None if lows is None else np.asarray(lows, float))
     if missing_rows and missing != NAN:
         at = int(np.searchsorted(v, 0.0))
         if at < len(v) and v[at] == 0.0:
             n = n.copy()
             n[at] += missing_rows
         else:
-            v, n = np.insert(v, at, 0.0), np.insert(n, at, missing_rows)
+            v, n, low = np.insert(v, at, 0.0), np.insert(n, at, missing_rows), np.insert(low, at, 0.0)
     if not len(v):
         return BinMapper(name, [math.inf], missing=missing)
-    upper = zero_bin_bounds(v, n, max_bin - (missing == NAN), min_data_in_bin, forced)
+    upper = zero_bin_bounds(v, n, max_bin - (missing == NAN), min_data_in_bin, forced, low)
     if missing == ZERO_MISSING and len(upper) == 2:
         missing = NONE
-    mapper = BinMapper(name, upper, missing=missing, low=float(v[0]), high=float(v[-1]))
+    mapper = BinMapper(name, upper, missing=missing, low=float(low[0]), high=float(v[-1]))
     held = np.bincount(np.searchsorted(upper, v), n, mapper.num_bin).astype(np.int64)
     if missing == NAN:
         held[-1] = missing_rows
@@ -309,39 +325,56 @@ def fit(
     """Mappers of all features from one counting job. ``sample``: bin from so many rows at most; ``rows``: the number of rows, if known."""
     if sample is not None:
         df = row_sample(df, sample, key, seed, rows)
-    most = max(1, min(max_distinct, MAX_VALUES // len(features)))
     bins = max_bin_by_feature or [max_bin] * len(features)
+    most = max(max_distinct, 4 * max(bins))
     cats = {i for i, f in enumerate(features) if f in (categorical or [])}
-    counts = distinct_counts(df, features).persist()
+    with scratch(df.sparkSession):
+        return _fit(distinct_counts(df, features).persist(), features, cats, bins, min_data_in_bin, use_missing, zero_as_missing, forced or {}, most)
+
+
+def _fit(counts: DataFrame, features: list[str], cats: set[int], bins: list[int], min_data_in_bin: int, use_missing: bool, zero_as_missing: bool, forced: dict[str, list[float]], most: int) -> list[BinMapper]:
     # one row a feature
     sizes = {r["feature"]: r for r in counts.groupBy("feature").agg(F.count("value").alias("distinct"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing")).collect()}
     wide = [i for i, r in sizes.items() if r["distinct"] > most]
-    known = counts.where("value is not null")
+    known = counts.where("value is not null").withColumn("low", F.col("value"))
     parts = [known.where(~F.col("feature").isin(wide)) if wide else known]
     if numbers := [i for i in wide if i not in cats]:
-        parts.append(compress(known.where(F.col("feature").isin(numbers)), most))
+        parts.append(compress(known.where(F.col("feature").isin(numbers)), most).persist())
     if codes_ := [i for i in wide if i in cats]:
-        parts.append(top_codes(known.where(F.col("feature").isin(codes_)), max(bins)))
-    feature, value, n = _columns(parts)
-    counts.unpersist()
-    order = np.lexsort((value, feature))
-    feature, value, n = feature[order], value[order], n[order]
-    edges = np.searchsorted(feature, np.arange(len(features) + 1))
-    out = []
-    for i, name in enumerate(features):
-        v, c = value[edges[i] : edges[i + 1]], n[edges[i] : edges[i + 1]]
-        missing = sizes[i]["missing"] if i in sizes else 0
-        if i in cats:
-            out.append(categorical_mapper(name, v.tolist(), c.tolist(), missing, bins[i], min_data_in_bin))
-        else:
-            out.append(numeric_mapper(name, v, c, missing, bins[i], min_data_in_bin, use_missing, zero_as_missing, (forced or {}).get(name)))
+        parts.append(top_codes(known.where(F.col("feature").isin(codes_)), max(bins)).withColumn("low", F.col("value")).persist())
+    out, at = [], 0
+    while at < len(features):
+        # as many features as have MAX_VALUES together, one at least
+        upto, held = at + 1, _come(sizes, at, most)
+        while upto < len(features) and held + _come(sizes, upto, most) <= MAX_VALUES:
+            held, upto = held + _come(sizes, upto, most), upto + 1
+        own = parts if upto - at == len(features) else [p.where(F.col("feature").between(at, upto - 1)) for p in parts]
+        feature, value, n, low = _columns(own)
+        order = np.lexsort((value, feature))
+        feature, value, n, low = feature[order], value[order], n[order], low[order]
+        edges = np.searchsorted(feature, np.arange(at, upto + 1))
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True), at):
+            missing = sizes[i]["missing"] if i in sizes else 0
+            if i in cats:
+                out.append(categorical_mapper(features[i], value[a:b].tolist(), n[a:b].tolist(), missing, bins[i], min_data_in_bin))
+            else:
+                out.append(numeric_mapper(features[i], value[a:b], n[a:b], missing, bins[i], min_data_in_bin, use_missing, zero_as_missing, forced.get(features[i]), low[a:b]))
+        at = upto
+    for x in (counts, *parts[1:]):
+        x.unpersist()
     return out
 
 
+def _come(sizes: dict, feature: int, most: int) -> int:
+    """How many of a feature's values come to the driver."""
+    return min(sizes[feature]["distinct"], most + 1) if feature in sizes else 0
+
+
 def _columns(parts: list[DataFrame]) -> list[np.ndarray]:
-    """feature, value and n of tables of bounded size."""
-    tables = [p.select("feature", "value", "n").toArrow() for p in parts]
-    return [np.concatenate([np.asarray(t.column(c)) for t in tables]) for c in ("feature", "value", "n")]
+    """feature, value, n and low of tables of bounded size."""
+    names = ("feature", "value", "n", "low")
+    tables = [p.select(*names).toArrow() for p in parts]
+    return [np.concatenate([np.asarray(t.column(c)) for t in tables]) for c in names]
 
 
 # --- applying in Spark ------------------------------------------------------------------------------------------------

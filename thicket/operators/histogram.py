@@ -106,12 +106,23 @@ def quantise(df: DataFrame, bins: int = 4, hessian_one: bool = False, stochastic
     gs = (top["g"] or 0.0) / (bins / 2) or 1.0
     hs = (top["h"] or 0.0) / (1 if hessian_one else bins) or 1.0
     g, h = F.col(grad) / gs, F.col(hess) / hs
-    if stochastic:
-        from thicket.functions.objectives import uniform
-
-        u, v = uniform(stochastic, F.lit(seed), F.lit("g")), uniform(stochastic, F.lit(seed), F.lit("h"))
-        qg = (F.floor(F.abs(g) + u) * F.when(g < 0, -1).otherwise(1)).cast("long")
-        qh = F.floor(h + v).cast("long")
-    else:
-        qg, qh = _away(g), _away(h)
-    return df.withColumns({"qg": qg, "qh": F.lit(1).cast("long") if hessian_one else qh}), gs, hs
+    return df.withColumns({"qg": _whole(g, stochastic, seed, "g", True), "qh": F.lit(1).cast("long") if hessian_one else _whole(h, stochastic, seed, "h", False)}), gs, hs
+
+
+def _whole(x: Column, stochastic: str | None, seed: int, salt: str, signed: bool) -> Column:
+    if not stochastic:
+        return _away(x)
+    from thicket.functions.objectives import uniform
+
+    up = F.floor(F.abs(x) + uniform(stochastic, F.lit(seed), F.lit(salt)))
+    return (up * F.when(x < 0, -1).otherwise(1)).cast("long") if signed else up.cast("long")
+
+
+def quantise_classes(df: DataFrame, k: int, bins: int = 4, hessian_one: bool = False, stochastic: str | None = None, seed: int = 0) -> tuple[DataFrame, list[float], list[float]]:
+    """``quantise`` of arrays grad and hess of ``k`` classes, each with steps of its own, from one aggregation."""
+    top = df.agg(*(F.max(F.abs(F.col(c)[i])).alias(f"{c}{i}") for c in ("grad", "hess") for i in range(k))).first()
+    gs = [(top[f"grad{i}"] or 0.0) / (bins / 2) or 1.0 for i in range(k)]
+    hs = [(top[f"hess{i}"] or 0.0) / (1 if hessian_one else bins) or 1.0 for i in range(k)]
+    qg = F.array(*(_whole(F.col("grad")[i] / gs[i], stochastic, seed, "g", True) for i in range(k)))
+    qh = F.array(*(F.lit(1).cast("long") if hessian_one else _whole(F.col("hess")[i] / hs[i], stochastic, seed, "h", False) for i in range(k)))
+    return df.withColumns({"qg": qg, "qh": qh}), gs, hs

@@ -57,8 +57,9 @@ def bagging(df: DataFrame, fraction: float, key: str = "row_id", seed: int = 3,
 
 def goss(df: DataFrame, top_rate: float = 0.2, other_rate: float = 0.1, key: str = "row_id", seed: int = 3, iteration: int = 0, grad: str = "grad", hess: str = "hess") -> DataFrame:
     """The rows of the largest |grad * hess|, and a sample of the others whose gradients and hessians are amplified: in_bag
-    rows, with grad and hess adjusted. The cut is exact, found by counting, so no row is ranked one by one."""
-    size = F.abs(F.col(grad) * F.col(hess))
+    rows, with grad and hess adjusted. The cut is exact, found by counting, so no row is ranked one by one. Arrays: several classes, whose sizes add up."""
+    arrays = dict(df.dtypes)[grad].startswith("array")
+    size = F.aggregate(F.zip_with(grad, hess, lambda a, b: F.abs(a * b)), F.lit(0.0), lambda a, x: a + x) if arrays else F.abs(F.col(grad) * F.col(hess))
     n, cut = kth_largest(df, size, top_rate)
     k = max(1, int(n * top_rate))
     top = size >= cut
@@ -66,7 +67,8 @@ def goss(df: DataFrame, top_rate: float = 0.2, other_rate: float = 0.1, key: str
     rate = other / max(1, n - k)
     kept = bernoulli(key, rate, seed, iteration)
     factor = F.when(top, 1.0).otherwise((n - k) / other)
-    return df.withColumn("in_bag", top | kept).withColumns({grad: F.col(grad) * factor, hess: F.col(hess) * factor})
+    by = (lambda c: F.transform(c, lambda v: v * factor)) if arrays else (lambda c: F.col(c) * factor)
+    return df.withColumn("in_bag", top | kept).withColumns({grad: by(grad), hess: by(hess)})
 
 
 #: Buckets of a count, and values that are sorted at the end.

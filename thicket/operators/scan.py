@@ -1,4 +1,4 @@
-"""Split search over one leaf's histogram on the driver: the rules of ``split``, on dense arrays (features x bins).
+"""Split search over one leaf's histogram: the rules of ``split``, on dense arrays (features x bins).
 
 A histogram is as large as its features and bins, whatever the rows; growing a tree looks at dozens of them, so here a search is a
 few array operations instead of a query.
@@ -52,20 +52,28 @@ def leaf_gain(g: Any, h: Any, p: SplitParams, n: Any, parent: float) -> Any:
     return s * s / (h + p.lambda_l2)
 
 
-def best_split(hist: Dense, features: list[Feature], p: SplitParams, parent: float = 0.0, lo: float = -np.inf, hi: float = np.inf, depth: int = 0, thresholds: dict[int, int] | None = None, only: set[int] | None = None) -> dict[str, Any] | None:
-    """The leaf's best split: the columns of ``split.scored``. thresholds: the only threshold of some features; only: the features."""
+def order(row: dict[str, Any]) -> tuple:
+    """Of splits of a leaf the first is taken."""
+    return -row["gain"], row["feature"], row["dir"]
+
+
+def search(hist: Dense, features: list[Feature], p: SplitParams, parent: float = 0.0, lo: float = -np.inf, hi: float = np.inf, depth: int = 0, thresholds: dict[int, int] | None = None, only: set[int] | frozenset[int] | None = None) -> tuple[dict[str, Any] | None, set[int]]:
+    """The leaf's best split, and the numeric features that can't split this leaf or any below it, as no threshold leaves enough rows on both sides."""
     found = []
     numeric = [i for i, f in enumerate(features) if not f.categorical and (only is None or f.index in only)]
+    dead: set[int] = set()
     with np.errstate(divide="ignore", invalid="ignore"):
         if numeric:
-            found.append(_numeric(hist, features, numeric, p, parent, lo, hi, depth, thresholds or {}))
+            found.append(_numeric(hist, features, numeric, p, parent, lo, hi, depth, thresholds or {}, dead))
         for i, f in enumerate(features):
             if f.categorical and (only is None or f.index in only):
                 found += _categorical(hist, i, f, p, parent, lo, hi)
-    found = [x for x in found if x is not None]
-    if not found:
-        return None
-    return min(found, key=lambda x: (-x["gain"], x["feature"], x["dir"]))
+    return min((x for x in found if x is not None), key=order, default=None), dead
+
+
+def best_split(*args: Any, **more: Any) -> dict[str, Any] | None:
+    """The leaf's best split: the columns of ``split.scored``. thresholds: the only threshold of some features; only: the features."""
+    return search(*args, **more)[0]
 
 
 def _finish(gain: float, f: Feature, p: SplitParams, n: float, depth: int) -> float:
@@ -76,7 +84,7 @@ def _finish(gain: float, f: Feature, p: SplitParams, n: float, depth: int) -> fl
     return gain - (p.cegb_tradeoff * p.cegb_penalty_split * n) - f.penalty
 
 
-def _numeric(hist: Dense, features: list[Feature], at: list[int], p: SplitParams, parent: float, lo: float, hi: float, depth: int, thresholds: dict[int, int]) -> dict[str, Any] | None:
+def _numeric(hist: Dense, features: list[Feature], at: list[int], p: SplitParams, parent: float, lo: float, hi: float, depth: int, thresholds: dict[int, int], dead: set[int]) -> dict[str, Any] | None:
     own = [features[i] for i in at]
     g, h, n = hist.g[at], hist.h[at], hist.n[at]
     bins = np.arange(g.shape[1])[None]
@@ -97,13 +105,16 @@ def _numeric(hist: Dense, features: list[Feature], at: list[int], p: SplitParams
     two_ways = (nan | zero) & (total[2] > below[2][:, -1:])
     best = None
     shift = leaf_gain(total[0], total[1], p, total[2], parent) + p.min_gain_to_split
+    alive = np.zeros(len(own), bool)
     mono = np.array([f.monotone for f in own])[:, None]
     for way, (left, right) in enumerate(sides):
         last = num - 1 - nan  # the last bin that is no missing bin
         fits = (bins < last) if way == 0 else ((bins < last) | (nan & (bins == last))) & two_ways
         skipped = zero & (bins == (default - 1 if way == 0 else default))
         fits = fits & ~skipped & (left[2] > 0) & (right[2] > 0)
-        fits &= (left[2] >= p.min_data_in_leaf) & (right[2] >= p.min_data_in_leaf) & (left[1] >= p.min_sum_hessian_in_leaf) & (right[1] >= p.min_sum_hessian_in_leaf)
+        fits &= (left[2] >= p.min_data_in_leaf) & (right[2] >= p.min_data_in_leaf)
+        alive |= fits.any(1)
+        fits &= (left[1] >= p.min_sum_hessian_in_leaf) & (right[1] >= p.min_sum_hessian_in_leaf)
         if thresholds:
             fits &= bins == np.array([thresholds.get(f.index, -1) for f in own])[:, None]
         lo_, hi_ = np.clip(leaf_output(left[0], left[1], p, left[2], parent), lo, hi), np.clip(leaf_output(right[0], right[1], p, right[2], parent), lo, hi)
@@ -128,6 +139,8 @@ def _numeric(hist: Dense, features: list[Feature], at: list[int], p: SplitParams
                     "feature": f.index, "threshold": int(b), "dir": way, "gain": value, "cats": None, "default_left": way == 0 and not (f.missing == "nan" and f.num_bin <= 2), "left_output": float(lo_[i, b]), "right_output": float(hi_[i, b]),
                     "lg": float(left[0][i, b]), "lh": float(left[1][i, b]), "ln": int(left[2][i, b]), "rg": float(right[0][i, b]), "rh": float(right[1][i, b]), "rn": int(right[2][i, b]),
                 }
+    if p.count_mode == "exact":  # estimated counts needn't fall from leaf to leaf
+        dead.update(f.index for f, some in zip(own, alive, strict=True) if not some)
     return best[1] if best else None
 
 

@@ -53,6 +53,7 @@ class Feature:
     contri: float = 1.0
     penalty: float = 0.0
     draws: dict[int, int] = field(default_factory=dict)
+    column: str = ""  # SQL for its bin, if that isn't a column of its own
 
     @staticmethod
     def of(index: int, m: BinMapper, **more: Any) -> Feature:

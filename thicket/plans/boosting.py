@@ -20,10 +20,12 @@ from thicket.operators import binning, bundling, histogram, sampling
 from thicket.operators.binning import BinMapper
 from thicket.operators.split import Feature, SplitParams
 from thicket.plans import linear
-from thicket.plans.grower import Grower, GrowParams
+from thicket.operators.counting import Slot, Table
+from thicket.plans.grower import Grower, GrowParams, Searcher, grow_all, stored_columns
 from thicket.plans.model import Leaf, Model, Tree, tree_sql
 from thicket.plans.params import Params
-from thicket.plans.tables import materialise, remove
+from thicket.plans.predict import add_trees
+from thicket.plans.tables import materialise, remove, scratch
 
 CUT = 10
 Custom = Callable[[Column, Column], tuple[Column, Column]]
@@ -132,6 +134,8 @@ class Booster:
         self.label = objectives.sqrt_label(F.col(data.label).cast("double")) if params.reg_sqrt else F.col(data.label).cast("double")
         df = data.df
         key = F.col(data.row_id) if data.row_id else F.xxhash64(*df.columns)
+        if init_model:
+            df = self._scored(df.withColumn("_begun", self._zero()), init_model.trees, init_model, "_begun")
         keyed = df.withColumn("_row_id", key)
         facts = objectives.LabelFacts.of(df, self.label, data.weight, self.k if self.objective and self.objective.kind == "multiclass" else 0)
         if self.objective:
@@ -153,7 +157,7 @@ class Booster:
         keep = {"_row_id": key, "_label": self.label, "_weight": F.col(data.weight).cast("double") if data.weight else F.lit(1.0)}
         if data.query:
             keep["_query"] = F.col(data.query)
-        table = df.select(*(c.alias(n) for n, c in keep.items()), *((F.col(data.init_score) if data.init_score else F.lit(None)).cast("double").alias("_init"),), *(binning.bin_column(m, m.name).cast("short" if m.num_bin > 127 else "byte").alias(f"b{i}") for i, m in enumerate(self.mappers)), *(F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(data.features) if params.linear_tree or init_model))
+        table = df.select(*(c.alias(n) for n, c in keep.items()), *(self._first(data).alias("_init"),), *([F.col("_begun")] if init_model else []), *(binning.bin_column(m, m.name).cast("short" if m.num_bin > 127 else "byte").alias(f"b{i}") for i, m in enumerate(self.mappers)), *(F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(data.features) if params.linear_tree))
         used = {f.index for f in self.features}
         self.bundles = [b for b in bundling.find_bundles(table, self.mappers) if len(b.features) > 1 and used.issuperset(b.features)] if params.enable_bundle else []
         table = table.withColumns({f"e{j}": bundling.bundle_column(b, self.mappers).cast("short" if b.num_bin > 127 else "byte") for j, b in enumerate(self.bundles)}).drop(*self._bundled())
@@ -165,15 +169,12 @@ class Booster:
         if self.objective and params.boost_from_average and not data.init_score and not init_model:
             flat = df.select(self.label.alias("_label"), *([F.col(data.weight).alias("_weight")] if data.weight else []))
             self.init = objectives.init_scores(flat, params.objective, "_label", "_weight" if data.weight else None, self.k, params.alpha, params.sigmoid, facts)
-        first = [F.lit(float(v)) for v in self.init]
-        base = F.array(*first) if self.k > 1 else F.coalesce("_init", first[0])
+        base = F.coalesce("_init", self._constant())
         self.model = Model(list(data.features), params.objective if self.objective else "custom", self.k, average=params.boosting == "rf", sigmoid=params.sigmoid, squared=params.reg_sqrt, infos=[m.info() for m in self.mappers])
         if init_model:
             self.model.trees += init_model.trees
-            names = [f"_x{i}" for i in range(len(data.features))]
-            sums = [sum((F.expr(tree_sql(t, names)) for t in init_model.trees[c :: self.k]), F.lit(0.0)) for c in range(self.k)]
-            base = F.array(*sums) if self.k > 1 else sums[0]
-        state = table.withColumn("score", base).drop("_init")
+            base = self._sum(F.col("_begun"), base)
+        state = table.withColumn("score", base).drop("_init", "_begun")
         cores = self.spark.sparkContext.defaultParallelism
         self.parts = state.rdd.getNumPartitions()
         if self.parts < cores:  # a small file is one partition; every search would be one task
@@ -223,15 +224,32 @@ class Booster:
 
     # --- one round -----------------------------------------------------------------------------------------------------
 
-    def _valid(self, v: TrainSet) -> DataFrame:
+    def _zero(self) -> Column:
+        return F.array(*[F.lit(0.0)] * self.k) if self.k > 1 else F.lit(0.0)
+
+    def _constant(self) -> Column:
         first = [F.lit(float(x)) for x in self.init]
+        return F.array(*first) if self.k > 1 else first[0]
+
+    def _first(self, data: TrainSet) -> Column:
+        """The start scores of a table: a number, an array for several classes; null without any."""
+        kind = "array<double>" if self.k > 1 else "double"
+        return (F.col(data.init_score) if data.init_score else F.lit(None)).cast(kind)
+
+    def _sum(self, a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: x + y) if self.k > 1 else a + b
+
+    def _scored(self, df: DataFrame, trees: list[Tree], model: Model, column: str, factor: float = 1.0) -> DataFrame:
+        return add_trees(df, model, trees, [i % self.k for i in range(len(trees))], column, factor)
+
+    def _valid(self, v: TrainSet) -> DataFrame:
+        """A validation set's rows with their scores so far: start scores, or else the constant, and what the model begins with."""
         key = F.col(v.row_id) if v.row_id else F.xxhash64(*v.df.columns)
-        rows = v.df.withColumns({"_row_id": key, "_label": self.label, "_weight": F.col(v.weight).cast("double") if v.weight else F.lit(1.0)} | ({"_query": F.col(v.query)} if v.query else {}))
-        base = F.array(*first) if self.k > 1 else first[0]
+        base = F.coalesce(self._first(v), self._zero() if self.begun else self._constant())
+        rows = v.df.withColumns({"_row_id": key, "_label": self.label, "_weight": F.col(v.weight).cast("double") if v.weight else F.lit(1.0), "_score": base} | ({"_query": F.col(v.query)} if v.query else {}))
         if self.begun:
-            sums = [sum((F.expr(tree_sql(t, self.model.features, quote="`")) for t in self.model.trees[c :: self.k]), F.lit(0.0)) for c in range(self.k)]
-            base = F.array(*sums) if self.k > 1 else sums[0]
-        return rows.withColumn("_score", base).cache()
+            rows = self._scored(rows, self.model.trees, self.model, "_score")
+        return rows.cache()
 
     def _gradients(self, state: DataFrame, iteration: int) -> DataFrame:
         s, y, p = F.col("score"), F.col("_label"), self.p
@@ -277,6 +295,9 @@ class Booster:
             return [], state
         return gone, state.withColumn("score", self._add(F.col("score"), gone, -1.0))
 
+    def _counted(self, features: list[Feature]) -> Table:
+        return Table(stored_columns(features, self.bundles, self.mappers), features)
+
     def _add(self, score: Column, iterations: list[int], factor: float) -> Column:
         """score plus ``factor`` times the outputs of some iterations."""
         for c in range(self.k):
@@ -305,21 +326,30 @@ class Booster:
         names = sampling.column_sample([f.index for f in self.features], p.feature_fraction, self.rngs["feature_fraction_seed"]) if p.feature_fraction < 1 else [f.index for f in self.features]
         features = [f for f in self.features if f.index in set(names)]
         any_split = False
-        for c in range(self.k):
-            one = rows if self.k == 1 else rows.withColumns({"grad": F.element_at("grad", c + 1), "hess": F.element_at("hess", c + 1)})
-            bag = self._bag(one, iteration)
-            if p.use_quantized_grad:
-                bag, gs, hs = histogram.quantise(bag, p.num_grad_quant_bins, bool(self.objective and self.objective.hessian_one and not self.weighted), "_row_id" if p.stochastic_rounding else None, p.seed + iteration)
-                plain, bag = bag, bag.withColumns({"grad": F.col("qg") * gs, "hess": F.col("qh") * hs})
-            tree, route, _ = Grower(bag, self.mappers, self.grow_params, features, self.used, self.rngs["extra_seed"], None if self.rank else self.parts, self.bundles).grow()
+        bag, plain = self._bag(rows, iteration), None
+        if p.use_quantized_grad:
+            one = bool(self.objective and self.objective.hessian_one and not self.weighted)
+            key = "_row_id" if p.stochastic_rounding else None
+            if self.k == 1:
+                plain, gs, hs = histogram.quantise(bag, p.num_grad_quant_bins, one, key, p.seed + iteration)
+                bag = plain.withColumns({"grad": F.col("qg") * gs, "hess": F.col("qh") * hs})
+            else:
+                plain, gs, hs = histogram.quantise_classes(bag, self.k, p.num_grad_quant_bins, one, key, p.seed + iteration)
+                bag = plain.withColumns({c: F.zip_with(q, F.array(*map(F.lit, steps)), lambda a, b: a * b) for c, q, steps in (("grad", "qg", gs), ("hess", "qh", hs))})
+        # the trees of all classes grow in step
+        slots = [Slot(gradient=c if self.k > 1 else None) for c in range(self.k)]
+        searcher = Searcher(bag, self._counted(features), slots, self.grow_params.split, p.num_leaves, None if self.rank else self.parts)
+        growers = [Grower(self.mappers, self.grow_params, features, self.used, self.rngs["extra_seed"], c) for c in range(self.k)]
+        for c, (tree, route, _) in enumerate(grow_all(searcher, growers)):
+            own = lambda df, c=c: df if self.k == 1 else df.withColumns({x: F.col(x)[c] for x in ("grad", "hess")} | {"score": F.col("score")[c]})
             any_split |= bool(tree.nodes)
             if tree.nodes:
-                if p.use_quantized_grad and p.quant_train_renew_leaf:
-                    self._newton(plain, route, tree)
+                if plain is not None and p.quant_train_renew_leaf:
+                    self._newton(own(plain), route, tree)
                 if self.objective and self.objective.renew:
-                    self._renew(bag, route, tree)
+                    self._renew(own(bag), route, tree)
                 elif p.linear_tree and (len(self.model.trees) > self.begun or self.begun):
-                    linear.fit(bag, F.expr(route), [f"_x{i}" for i in range(len(self.data.features))], tree, p.linear_lambda)
+                    linear.fit(own(bag), F.expr(route), [f"_x{i}" for i in range(len(self.data.features))], tree, p.linear_lambda)
             else:
                 tree = Tree(leaves=[Leaf(0.0, tree.leaves[0].weight, tree.leaves[0].count)])
             grown.append((tree, route))
@@ -348,11 +378,10 @@ class Booster:
                 self.weights[i] *= factor
         self._advance(score, iteration)
         for name, df in self.valid.items():
-            sums = F.col("_score")
-            for c, (tree, _) in enumerate(grown):
-                more = F.expr(tree_sql(tree, self.model.features, quote="`"))
-                sums = self._into(sums, c, more)
-            fresh = df.withColumn("_score", sums)
+            fresh = self._scored(df, [t for t, _ in grown], self.model, "_score")
+            if p.boosting == "dart" and gone:
+                # these trees have been shrunk by ``factor`` already
+                fresh = self._scored(fresh, [self.model.trees[self.begun + i * self.k + c] for i in gone for c in range(self.k)], self.model, "_score", 1.0 - 1.0 / factor)
             fresh = (materialise(fresh, "valid", self.written) if (iteration + 1) % CUT == 0 else fresh).cache()
             fresh.count()
             df.unpersist()
@@ -362,18 +391,8 @@ class Booster:
             if first or p.boosting == "rf":
                 tree.add_bias(self.init[c])
             self.model.trees.append(tree)
-        if p.boosting == "dart" and gone:
-            self._rescore_valid()
         return True
 
-    def _rescore_valid(self) -> None:
-        """After dropped trees changed, validation scores begin anew."""
-        for name, df in self.valid.items():
-            sums = [sum((F.expr(tree_sql(t, self.model.features, quote="`")) for t in self.model.trees[c :: self.k]), F.lit(0.0)) for c in range(self.k)]
-            fresh = materialise(df.withColumn("_score", F.array(*sums) if self.k > 1 else sums[0]), "valid", self.written).cache()
-            df.unpersist()
-            self.valid[name] = fresh
-
     def _advance(self, score: Column, iteration: int) -> None:
         """The next round's scores. They are cached when its first histogram reads them, so until then the old ones stay."""
         if self.spent is not None:
@@ -387,9 +406,10 @@ class Booster:
         alpha = self.p.alpha if self.objective.name == "quantile" else 0.5
         rows = bag.select(F.expr(route).alias("leaf"), (F.col("_label") - F.col("score")).alias("r"), (F.col("_weight") / (F.greatest(F.lit(1.0), F.abs("_label")) if self.objective.name == "mape" else F.lit(1.0))).alias("w"))
         plain = self.objective.name != "mape" and not self.weighted
-        found = objectives.percentile(rows, "r", alpha, ["leaf"]) if plain else objectives.weighted_percentile(rows, "r", "w", alpha, ["leaf"])
-        for r in found.collect():  # a row a leaf
-            tree.leaves[r["leaf"]].value = r["value"]
+        with scratch(self.spark):
+            found = objectives.percentile(rows, "r", alpha, ["leaf"]) if plain else objectives.weighted_percentile(rows, "r", "w", alpha, ["leaf"])
+            for r in found.collect():  # a row a leaf
+                tree.leaves[r["leaf"]].value = r["value"]
 
     def _newton(self, rows: DataFrame, route: str, tree: Tree) -> None:
         p = self.p
@@ -400,6 +420,10 @@ class Booster:
     # --- evaluation -----------------------------------------------------------------------------------------------------
 
     def evaluate(self, iteration: int) -> list[tuple[str, str, float, bool]]:
+        with scratch(self.spark):
+            return self._evaluate(iteration)
+
+    def _evaluate(self, iteration: int) -> list[tuple[str, str, float, bool]]:
         sets = ({"training": self.state.withColumnRenamed("score", "_score")} if self.p.is_provide_training_metric else {}) | self.valid
         out = []
         for name, df in sets.items():
@@ -409,9 +433,8 @@ class Booster:
                 raw = (F.col("_score") - F.lit(float(self.init[0]))) / (iteration + 1) + F.lit(float(self.init[0]))
             flat = df.select(raw.alias("raw"), F.col("_label").alias("label"), F.col("_row_id").alias("row_id"), F.col("_weight").alias("weight"), *([F.col("_query").alias("query_id")] if "_query" in df.columns else []))
             flat = flat.withColumn("score", objectives.transform(self.p.objective, F.col("raw"), self.p.sigmoid) if self.objective else F.col("raw"))
-            for m in self.p.metric:
-                found = metrics.evaluate(flat, m, self.k, tuple(self.p.eval_at), "weight" if self.weighted else None, alpha=self.p.alpha, fair_c=self.p.fair_c, tweedie_variance_power=self.p.tweedie_variance_power, multi_error_top_k=self.p.multi_error_top_k, auc_mu_weights=self.p.auc_mu_matrix())
-                out += [(name, n, v, h) for n, v, h in found]
+            found = metrics.evaluate_all(flat, self.p.metric, self.k, tuple(self.p.eval_at), "weight" if self.weighted else None, alpha=self.p.alpha, fair_c=self.p.fair_c, tweedie_variance_power=self.p.tweedie_variance_power, multi_error_top_k=self.p.multi_error_top_k, auc_mu_weights=self.p.auc_mu_matrix())
+            out += [(name, n, v, h) for n, v, h in found]
             if self.feval:
                 for n, v, h in self.feval(flat):
                     if v != v or abs(v) == float("inf"):
@@ -482,6 +505,8 @@ def refit(model: Model, data: TrainSet, params: Params | None = None, decay: flo
     base = F.array(*([F.lit(0.0)] * k)) if k > 1 else F.lit(0.0)
     rows = data.df.select(F.col(data.label).cast("double").alias("_label"), *(F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(model.features))).withColumn("score", base)
     names = [f"_x{i}" for i in range(len(model.features))]
+    written: list[str] = []
+    spent: list[DataFrame] = []
     for i in range(model.iterations):
         g, h = o.gradients(F.col("score"), F.col("_label"), num_class=k, **_options(p))
         sums = rows.withColumns({"grad": g, "hess": h})
@@ -497,6 +522,11 @@ def refit(model: Model, data: TrainSet, params: Params | None = None, decay: flo
                     x.value = decay * x.value + (1 - decay) * new * tree.shrinkage
             more = F.expr(tree_sql(tree, names))
             rows = rows.withColumn("score", _into(F.col("score"), k, c, more))
-        if (i + 1) % CUT == 0:
-            rows = materialise(rows, "refit")
+        old, rows = rows, (materialise(rows, "refit", written) if (i + 1) % CUT == 0 else rows).cache()
+        spent.append(old)
+        if len(spent) > 1:
+            spent.pop(0).unpersist()  # the next round reads its successor
+    for x in (*spent, rows):
+        x.unpersist()
+    remove(data.df.sparkSession, written)
     return out

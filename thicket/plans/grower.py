@@ -1,14 +1,18 @@
-"""Leaf-wise tree growth over a binned table.
+"""Leaf-wise growth of trees over a binned table.
 
 The split of one leaf doesn't change what others would gain, so several leaves are searched by one job: when the best leaf's children aren't
 known yet, the children of all leaves that may still be split are. The tree is then picked leaf by leaf, in order of gain, as if
-each had been searched alone; a tree of 31 leaves takes about as many jobs as it has levels. Rows find their leaf by an
-expression over their bins, so nothing is rewritten within a tree. The larger child's histogram is its parent's less its sibling's.
+each had been searched alone; a tree of 31 leaves takes about as many jobs as it has levels. Rows find their leaf by their bins, so nothing is rewritten within a tree.
+
+Several trees (of all classes, of all folds) grow in step: each says what it has to know next, and one job answers all of them. Where a search's sums
+are few, the driver keeps them: the larger child's are its parent's less its sibling's. Where they would be many, both children are counted and searched on
+executors. A feature that can't split a leaf, as it would leave too few rows, isn't searched below it, nor counted where no other leaf needs it.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Generator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -16,18 +20,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.operators import histogram, scan
+from thicket.operators import counting, scan
 from thicket.operators.binning import BinMapper
 from thicket.operators.bundling import Bundle
+from thicket.operators.counting import KEYS, Context, Slot, Stored, Table
 from thicket.operators.scan import Dense
 from thicket.operators.split import Feature, SplitParams
 from thicket.plans.model import Leaf, Node, Tree
 
 
-#: Sums of single tasks that the driver adds up itself; beyond it a shuffle does.
-DIRECT_SUMS = 200_000
-
-
 @dataclass
 class GrowParams:
     num_leaves: int = 31
@@ -40,7 +41,6 @@ class GrowParams:
     forced: dict[str, Any] | None = None
     cegb_coupled: list[float] = field(default_factory=list)
     cegb_tradeoff: float = 1.0
-    batches: bool = True  # count in batches; else rows are melted and counted by SQL functions
 
 
 @dataclass
@@ -58,13 +58,13 @@ class _Leaf:
     path: frozenset[int] = frozenset()
     row: Any = None
     children: tuple[_Leaf, _Leaf] | None = None
-    allowed: frozenset[int] = frozenset()
+    dead: frozenset[int] = frozenset()  # features that can't split it
 
 
 def bin_sql(row: Any, features: dict[int, Feature]) -> str:
     """SQL for whether a row of bins goes left. features: by number."""
     f = features[row["feature"]]
-    b, default = f"b{f.index}", str(bool(row["default_left"])).upper() if row["cats"] is None else ""
+    b, default = f.column or f"b{f.index}", str(bool(row["default_left"])).upper() if row["cats"] is None else ""
     if row["cats"] is not None:
         return f"{b} IN ({', '.join(map(str, row['cats']))})"
     left = f"{b} <= {row['threshold']}"
@@ -79,21 +79,6 @@ def bin_test(row: Any, features: dict[int, Feature]) -> Column:
     return F.expr(bin_sql(row, features))
 
 
-def _route(leaf: _Leaf, features: dict[int, Feature]) -> str:
-    if leaf.children is None:
-        return str(leaf.key)
-    a, b = leaf.children
-    return f"CASE WHEN {bin_sql(leaf.row, features)} THEN {_route(a, features)} ELSE {_route(b, features)} END"
-
-
-@dataclass
-class Stored:
-    """A stored column: a feature's bins, or a bundle of features. decode: by feature, the bin that each value of the column stands for."""
-
-    name: str
-    decode: dict[int, np.ndarray]
-
-
 def stored_columns(features: list[Feature], bundles: list[Bundle], mappers: list[BinMapper]) -> list[Stored]:
     """The columns that hold these features."""
     wanted = {f.index: f for f in features}
@@ -112,7 +97,7 @@ def stored_columns(features: list[Feature], bundles: list[Bundle], mappers: list
     return [*(Stored(f"b{f.index}", {f.index: np.arange(f.num_bin)}) for f in features if f.index not in bundled), *out]
 
 
-def _plan(leaf: _Leaf, columns: list[Stored], features: dict[int, Feature]) -> Any:
+def _plan(leaf: _Leaf, table: Table, features: dict[int, Feature]) -> Any:
     """The tree below a leaf as far as it has grown: a key, or (place of the column, whether each of its values goes left, left, right)."""
     if leaf.children is None:
         return leaf.key
@@ -123,91 +108,141 @@ def _plan(leaf: _Leaf, columns: list[Stored], features: dict[int, Feature]) -> A
         left = np.arange(f.num_bin) <= r["threshold"]
         if f.num_bin > 2 and f.missing in ("nan", "zero"):
             left[f.num_bin - 1 if f.missing == "nan" else f.default_bin] = bool(r["default_left"])
-    place = next(i for i, c in enumerate(columns) if f.index in c.decode)
-    return place, left[columns[place].decode[f.index]], _plan(leaf.children[0], columns, features), _plan(leaf.children[1], columns, features)
+    place = table.place(f.index)
+    return place, left if place < 0 else left[table.columns[place].decode[f.index]], *(_plan(c, table, features) for c in leaf.children)
+
+
+@dataclass
+class Request:
+    """What a tree has to know next: leaves to be searched, of pairs of children the smaller first; parents by pair."""
+
+    plan: Any
+    fresh: list[_Leaf]
+    pairs: list[tuple[_Leaf, _Leaf, _Leaf]]
+    contexts: dict[int, Context]
+    features: list[Feature]
 
 
-def leaves_of_bins(plan: Any, keys: list[int], bins: list[np.ndarray]) -> np.ndarray:
-    """Leaf of each row, -1 outside of ``keys``."""
-    out = np.full(len(bins[0]), -1)
+class Searcher:
+    """Answers the requests of trees over one table by one job. ``df``: the stored columns, grad, hess (arrays, if slots have places in them) and _fold."""
 
-    def go(at: Any, rows: np.ndarray) -> None:
-        if isinstance(at, int):
-            if at in keys:
-                out[rows] = at
+    def __init__(self, df: DataFrame, table: Table, slots: list[Slot], params: SplitParams, leaves: int, parts: int | None = None, wide: bool | None = None) -> None:
+        self.df, self.table, self.slots, self.p, self.parts = df, table, slots, params, parts
+        most = max((f.num_bin for f in table.features), default=1) * len(table.features)
+        self.wide = most * leaves * len(slots) > counting.DRIVER_SUMS if wide is None else wide
+        self.hists: dict[int, Dense] = {}
+        self.jobs = 0
+
+    def answer(self, requests: dict[int, Request]) -> None:
+        """Gives every leaf of the requests its best split, and roots their totals."""
+        slots, contexts = [], {}
+        for i, slot in enumerate(self.slots):
+            r = requests.get(i)
+            wanted = [] if r is None else [x.key for x in (r.fresh if self.wide or not r.pairs else [few for _, few, _ in r.pairs])]
+            skip = frozenset()
+            if r is not None:
+                dead = frozenset.intersection(*(x.dead for x in r.fresh))
+                skip = frozenset(j for j, c in enumerate(self.table.columns) if dead.issuperset(c.decode))
+            slots.append(replace(slot, plan=r.plan if r else 0, wanted=wanted, skip=skip))
+        roots = [i for i, r in requests.items() if not r.pairs]
+        if roots and (self.wide or self.table.sparse):  # all sums' totals are needed first
+            self.jobs += 1
+            for i, sums in zip(roots, counting.leaf_sums(self.df, [self.slots[i] for i in roots]), strict=True):
+                self._total(requests[i], sums)
+        self.jobs += 1
+        totals = {i * KEYS + x.key: (x.g, x.h, x.n) for i, r in requests.items() for x in r.fresh if x.key in slots[i].wanted}
+        if self.wide:
+            contexts = {i * KEYS + k: c for i, r in requests.items() for k, c in r.contexts.items()}
+            # the features that a tree's own state makes dearer are the same for all slots of a round
+            table = replace(self.table, features=next(iter(requests.values())).features)
+            found = counting.best_splits(self.df, table, slots, contexts, self.p)
+            for i, r in requests.items():
+                for x in r.fresh:
+                    if x.key in r.contexts:
+                        x.row, dead = found[i * KEYS + x.key]
+                        x.dead |= dead
             return
-        f, table, a, b = at
-        left = table[bins[f][rows]]
-        go(a, rows[left])
-        go(b, rows[~left])
+        found = counting.histograms(self.df, self.table, slots, totals, self.parts)
+        for i, r in requests.items():
+            base = i * KEYS
+            if not r.pairs:
+                own = self.hists[base] = found[base]
+                if not self.table.sparse:
+                    # every row has a bin of the first feature, so its histogram gives the totals too
+                    self._total(r, (float(own.g[0].sum()), float(own.h[0].sum()), int(own.n[0].sum())))
+            for parent, few, rest in r.pairs:
+                self.hists[base + few.key] = found[base + few.key]
+                self.hists[base + rest.key] = self.hists.pop(base + parent.key).less(found[base + few.key])
+            for x in r.fresh:
+                if (c := r.contexts.get(x.key)) is not None:
+                    x.row, dead = scan.search(self.hists[base + x.key], r.features, self.p, c.output, c.lo, c.hi, c.depth, c.thresholds, c.only)
+                    x.dead |= dead
+
+    def _total(self, request: Request, sums: tuple[float, float, int]) -> None:
+        root = request.fresh[0]
+        root.g, root.h, root.n = sums
+        root.output = output(sums[0], sums[1], self.p)
+        if (c := request.contexts.get(root.key)) is not None:
+            c.totals, c.output = sums, root.output
+
+    def again(self, slot: int, x: _Leaf, features: list[Feature], thresholds: dict[int, int], only: frozenset[int], plan: Any) -> dict[str, Any] | None:
+        """The best split of a leaf that has been searched, of some features and thresholds only."""
+        c = Context((x.g, x.h, x.n), x.output, x.lo, x.hi, x.depth, only, thresholds)
+        if not self.wide:
+            return scan.best_split(self.hists[slot * KEYS + x.key], features, self.p, x.output, x.lo, x.hi, x.depth, thresholds, only)
+        self.jobs += 1
+        slots = [replace(s, plan=plan if i == slot else 0, wanted=[x.key] if i == slot else []) for i, s in enumerate(self.slots)]
+        return counting.best_splits(self.df, replace(self.table, features=features), slots, {slot * KEYS + x.key: c}, self.p)[slot * KEYS + x.key][0]
+
 
-    go(plan, np.arange(len(out)))
-    return out
+def output(g: float, h: float, p: SplitParams) -> float:
+    shrunk = max(abs(g) - p.lambda_l1, 0.0) * (-1 if g < 0 else 1)
+    out = -shrunk / (h + p.lambda_l2) if h + p.lambda_l2 else 0.0
+    return max(-p.max_delta_step, min(p.max_delta_step, out)) if p.max_delta_step > 0 else out
+
+
+def grow_all(searcher: Searcher, growers: list[Grower]) -> list[tuple[Tree, str, _Leaf]]:
+    """Grows all trees in step: each job answers what all that aren't done have to know next."""
+    runs = {i: g.steps(searcher) for i, g in enumerate(growers)}
+    done: dict[int, tuple[Tree, str, _Leaf]] = {}
+    while runs:
+        requests = {}
+        for i, run in list(runs.items()):
+            try:
+                requests[i] = next(run)
+            except StopIteration as end:
+                done[i] = end.value
+                del runs[i]
+        if requests:
+            searcher.answer(requests)
+    return [done[i] for i in range(len(growers))]
 
 
 class Grower:
-    """Grows one tree. ``df``: b0, b1, ..., grad, hess of the rows in the bag (cached by the caller)."""
+    """Grows one tree, that of a searcher's slot."""
 
-    def __init__(self, df: DataFrame, mappers: list[BinMapper], params: GrowParams, features: list[Feature], used: set[int], rng: random.Random, parts: int | None = None, bundles: list[Bundle] | None = None) -> None:
-        """``parts``: partitions of ``df``, if they are known. ``bundles``: those of its columns e0, e1, ..."""
-        self.df, self.mappers, self.p, self.features, self.used, self.rng = df, mappers, params, features, used, rng
-        self.bins = [f"b{f.index}" for f in features]
-        self.hists: dict[int, Dense] = {}
+    def __init__(self, mappers: list[BinMapper], params: GrowParams, features: list[Feature], used: set[int], rng: random.Random, slot: int = 0) -> None:
+        self.mappers, self.p, self.features, self.used, self.rng, self.slot = mappers, params, features, used, rng, slot
         self.keys = 0
         self.by_index = {f.index: f for f in features}
-        self.jobs, self.parts = 0, parts
-        self.columns = stored_columns(features, bundles or [], mappers)
-
-    def _histograms(self, root: _Leaf, keys: list[int]) -> dict[int, Dense]:
-        """One aggregation; a leaf's histogram is as large as its features and bins."""
-        if self.p.batches:
-            size = sum(len(next(iter(c.decode.values()))) for c in self.columns)
-            few = self.parts is not None and self.parts * len(keys) * size <= DIRECT_SUMS
-            plan = _plan(root, self.columns, self.by_index)
-            found = histogram.by_batches(self.df, [c.name for c in self.columns], lambda bins: leaves_of_bins(plan, keys, bins), combine=not few).toArrow()
-            columns = self.columns
-        else:
-            rows = self.df.withColumn("leaf", F.expr(_route(root, self.by_index)))
-            found = histogram.by_columns(rows.where(F.col("leaf").isin(keys)), self.bins).toArrow()
-            columns = [Stored(f"b{f.index}", {f.index: np.arange(f.num_bin)}) for f in self.features]
-        sums = {c: np.asarray(found.column(c)) for c in found.column_names}
-        shape = (len(self.features), max(f.num_bin for f in self.features))
-        place = {f.index: i for i, f in enumerate(self.features)}
-        out = {key: Dense(np.zeros(shape), np.zeros(shape), np.zeros(shape, np.int64)) for key in keys}
-        for key, dense in out.items():
-            for i, column in enumerate(columns):
-                mine = np.flatnonzero((sums["leaf"] == key) & (sums["feature"] == i))
-                for feature, decode in column.decode.items():
-                    at = decode[sums["bin"][mine]]
-                    for c in ("g", "h", "n"):
-                        np.add.at(getattr(dense, c)[place[feature]], at, sums[c][mine])
-        return out
-
-    def search(self, root: _Leaf, parents: list[_Leaf]) -> None:
-        """Makes the parents' children, or begins with the root, and finds their best splits by one job."""
-        if not self.features:
-            return
-        self.jobs += 1
-        if not parents:
-            fresh, self.hists = [root], self._histograms(root, [0])
-            # every row has a bin of the first feature, so its histogram gives the totals too
-            own = self.hists[0]
-            root.g, root.h, root.n = float(own.g[0].sum()), float(own.h[0].sum()), int(own.n[0].sum())
-            root.output = self._output(root.g, root.h)
-        else:
-            fresh, pairs = [], []
-            for leaf in parents:
-                leaf.children = self._children(leaf)
-                a, b = leaf.children
-                fresh += [a, b]
-                pairs.append((leaf, a, b) if a.n < b.n else (leaf, b, a))
-            small = self._histograms(root, [few.key for _, few, _ in pairs])
-            for leaf, few, rest in pairs:
-                self.hists[few.key] = small[few.key]
-                self.hists[rest.key] = self.hists[leaf.key].less(small[few.key])
+
+    def _request(self, searcher: Searcher, root: _Leaf, parents: list[_Leaf]) -> Request:
+        """The parents' children, or the root, to be searched."""
+        pairs: list[tuple[_Leaf, _Leaf, _Leaf]] = []
+        fresh = [] if parents else [root]
+        for leaf in parents:
+            leaf.children = self._children(leaf)
+            a, b = leaf.children
+            fresh += [a, b]
+            pairs.append((leaf, a, b) if a.n < b.n else (leaf, b, a))
+        contexts = {}
         for x in fresh:
-            if self._may_split(x):
-                x.row = self._best(x)
+            if x is root or self._may_split(x):
+                only, thresholds = self._only(x)
+                contexts[x.key] = Context((x.g, x.h, x.n), x.output, x.lo, x.hi, x.depth, only, thresholds)
+        if parents and not contexts:  # no child may split
+            return Request(0, [], [], {}, [])
+        return Request(_plan(root, searcher.table, self.by_index), fresh, pairs, contexts, self._priced())
 
     def _may_split(self, x: _Leaf) -> bool:
         return (self.p.max_depth <= 0 or x.depth < self.p.max_depth) and x.n >= 2 * self.p.split.min_data_in_leaf
@@ -222,16 +257,18 @@ class Grower:
             every = sorted(self.rng.sample(every, k))
         return every
 
-    def _best(self, x: _Leaf, forced: tuple[int, int] | None = None) -> dict[str, Any] | None:
-        features = self.features
-        if self.p.cegb_coupled:
-            features = [replace(f, penalty=0.0 if f.index in self.used else self.p.cegb_tradeoff * self.p.cegb_coupled[f.index]) for f in features]
-        only, thresholds = set(self._allowed(x)), {}
-        if self.p.extra_trees:
-            thresholds = {f.index: self.rng.randrange(max(1, f.num_bin - 1)) for f in features}
-        if forced:
-            only, thresholds = {forced[0]}, {forced[0]: forced[1]}
-        return scan.best_split(self.hists[x.key], features, self.p.split, x.output, x.lo, x.hi, x.depth, thresholds, only)
+    def _priced(self) -> list[Feature]:
+        if not self.p.cegb_coupled:
+            return self.features
+        return [replace(f, penalty=0.0 if f.index in self.used else self.p.cegb_tradeoff * self.p.cegb_coupled[f.index]) for f in self.features]
+
+    def _only(self, x: _Leaf) -> tuple[frozenset[int] | None, dict[int, int]]:
+        """The features that may split a leaf, None for all, and drawn thresholds."""
+        own = self._allowed(x)
+        thresholds = {f.index: self.rng.randrange(max(1, f.num_bin - 1)) for f in self.features} if self.p.extra_trees else {}
+        if len(own) == len(self.features) and not x.dead:
+            return None, thresholds
+        return frozenset(own) - x.dead, thresholds
 
     def _children(self, x: _Leaf) -> tuple[_Leaf, _Leaf]:
         r = x.row
@@ -245,20 +282,21 @@ class Grower:
         out = []
         for side, name, (a, b) in (("l", "left", bounds[0]), ("r", "right", bounds[1])):
             self.keys += 1
-            out.append(_Leaf(self.keys, x.depth + 1, r[f"{side}g"], r[f"{side}h"], r[f"{side}n"], r[f"{name}_output"], a, b, x.path | {f.index}))
+            out.append(_Leaf(self.keys, x.depth + 1, r[f"{side}g"], r[f"{side}h"], r[f"{side}n"], r[f"{name}_output"], a, b, x.path | {f.index}, dead=x.dead))
         return out[0], out[1]
 
-    def grow(self) -> tuple[Tree, str, _Leaf]:
-        """The tree (outputs not yet shrunk), SQL for a row's leaf number, and the root."""
+    def steps(self, searcher: Searcher) -> Generator[Request, None, tuple[Tree, str, _Leaf]]:
+        """Asks for searches; gives the tree (outputs not yet shrunk), SQL for a row's leaf number, and the root."""
         root = _Leaf(0, 0, 0.0, 0.0, 0, 0.0)
         if self.features:
-            self.search(root, [])
+            yield self._request(searcher, root, [])
+            if not self._may_split(root):
+                root.row = None
         else:
-            r = self.df.agg(F.sum("grad").alias("g"), F.sum("hess").alias("h"), F.count(F.lit(1)).alias("n")).first()
-            root.g, root.h, root.n = r["g"] or 0.0, r["h"] or 0.0, r["n"]
-            root.output = self._output(root.g, root.h)
+            root.g, root.h, root.n = counting.leaf_sums(searcher.df, [searcher.slots[self.slot]])[0]
+            root.output = output(root.g, root.h, self.p.split)
         leaves = [root]
-        self._force(root, leaves)
+        yield from self._force(searcher, root, leaves)
         while len(leaves) < self.p.num_leaves:
             ready = [x for x in leaves if x.row is not None]
             if not ready:
@@ -268,7 +306,9 @@ class Grower:
                 # of all leaves, only so many can still be split
                 room = self.p.num_leaves - len(leaves)
                 batch = sorted(ready, key=lambda y: -y.row["gain"])[:room]
-                self.search(root, [y for y in batch if y.children is None])
+                wanted = self._request(searcher, root, [y for y in batch if y.children is None])
+                if wanted.fresh:
+                    yield wanted
             at = leaves.index(x)
             leaves[at] = x.children[0]
             leaves.append(x.children[1])
@@ -276,13 +316,7 @@ class Grower:
         kept = {id(x) for x in leaves}
         return (*self._tree(root, kept), root)
 
-    def _output(self, g: float, h: float) -> float:
-        p = self.p.split
-        shrunk = max(abs(g) - p.lambda_l1, 0.0) * (-1 if g < 0 else 1)
-        out = -shrunk / (h + p.lambda_l2) if h + p.lambda_l2 else 0.0
-        return max(-p.max_delta_step, min(p.max_delta_step, out)) if p.max_delta_step > 0 else out
-
-    def _force(self, root: _Leaf, leaves: list[_Leaf]) -> None:
+    def _force(self, searcher: Searcher, root: _Leaf, leaves: list[_Leaf]) -> Generator[Request, None, None]:
         """Forced splits, breadth first, as long as they may be taken."""
         todo = [(root, self.p.forced)] if self.p.forced else []
         while todo and len(leaves) < self.p.num_leaves:
@@ -291,11 +325,11 @@ class Grower:
             if f is None:
                 continue
             wanted = self.mappers[f.index].bin(float(plan["threshold"]))
-            row = self._best(leaf, (f.index, wanted))
+            row = searcher.again(self.slot, leaf, self._priced(), {f.index: wanted}, frozenset({f.index}), _plan(root, searcher.table, self.by_index))
             if row is None:
                 break
             leaf.row = row
-            self.search(root, [leaf])
+            yield self._request(searcher, root, [leaf])
             leaves[leaves.index(leaf)] = leaf.children[0]
             leaves.append(leaf.children[1])
             todo += [(c, plan[k]) for c, k in zip(leaf.children, ("left", "right"), strict=True) if plan.get(k)]

@@ -135,6 +135,24 @@ def predict(df: DataFrame, model: Model, mode: str = "prediction", name: str = "
     return out.withColumn(name, value).drop("_raw")
 
 
+def add_trees(df: DataFrame, model: Model, trees: list[Tree], classes: list[int], score: str, factor: float = 1.0) -> DataFrame:
+    """``df`` with the outputs of trees, times ``factor``, added to its column ``score`` (an array if there are several classes); ``classes``: of each tree.
+    Few leaves are one expression, many go by batches, so the plan doesn't grow with the trees."""
+    k = model.num_class
+    if sum(len(t.leaves) for t in trees) <= EXPRESSION_LEAVES:
+        sums = [sum((F.expr(tree_sql(t, model.features, quote="`")) for t, c in zip(trees, classes, strict=True) if c == i), F.lit(0.0)) * factor for i in range(k)]
+        total = F.col(score) + sums[0] if k == 1 else F.array(*(F.col(score)[i] + x for i, x in enumerate(sums)))
+        return df.withColumn(score, total)
+    more = "_more_" + score
+
+    def outputs(x: np.ndarray) -> np.ndarray:
+        return factor * np.stack([sum((values_of(t, x) for t, c in zip(trees, classes, strict=True) if c == i), np.zeros(len(x))) for i in range(k)], 1)
+
+    out = _by_batch(df, model, more, "array<double>", outputs)
+    total = F.col(score) + F.col(more)[0] if k == 1 else F.zip_with(score, more, lambda a, b: a + b)
+    return out.withColumn(score, total).drop(more)
+
+
 def _leaf(df: DataFrame, model: Model, trees: list[Tree], name: str, engine: str) -> DataFrame:
     if engine != "batch" and sum(len(t.leaves) for t in trees) <= EXPRESSION_LEAVES:
         return df.withColumn(name, F.array(*(F.expr(tree_sql(t, model.features, "leaf", "`")) for t in trees)).cast("array<int>"))

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written in the innermost ``scratch``.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+#: Folders that a table handed out still reads, and the session that goes with them.
+_left: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where it is absent a temporary folder is made and set, but only if everything runs on this machine (tests)."""
@@ -21,12 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back, so that it outlives the executors that made it. ``written``: a list that
-    notes its folder, for ``remove``."""
+    notes its folder, for ``remove``; without it the table goes at the end of the innermost ``scratch``, or else of the program, as a table that
+    was handed out may be read until then."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    scope = _scope.get()
     if written is not None:
         written.append(path)
+    elif scope is not None:
+        scope.append(path)
+    else:
+        _left.append((spark, path))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -36,3 +51,22 @@ def remove(spark: SparkSession, written: list[str]) -> None:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     written.clear()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end: what is to stay must have been computed by then."""
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        remove(spark, own)
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _left:
+        with contextlib.suppress(Exception):  # the session has stopped
+            remove(spark, [path])
