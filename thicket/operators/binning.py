@@ -115,7 +115,8 @@ def compress(counts: DataFrame, most: int) -> DataFrame:
     """Of counts (feature, value, n) at most about ``most`` a feature: runs of neighbours of equal counts stand for their largest value, ``low`` being the least."""
     runs = running(counts, "value", ["n"], by=["feature"])
     run = F.floor(F.col("before_n") * F.lit(float(most)) / F.col("all_n"))
-    return runs.groupBy("feature", run.alias("_run")).agg(F.max("value").alias("value"), F.sum("n").alias("n"), F.min("value").alias("low")).drop("_run")
+    side = F.when(F.col("value") < -ZERO, -1).when(F.col("value") > ZERO, 1).otherwise(0)  # zero has bounds of its own
+    return runs.groupBy("feature", run.alias("_run"), side.alias("_side")).agg(F.max("value").alias("value"), F.sum("n").alias("n"), F.min("value").alias("low")).drop("_run", "_side")
 
 
 def top_codes(counts: DataFrame, most: int) -> DataFrame:
@@ -329,10 +330,11 @@ def fit(
     most = max(max_distinct, 4 * max(bins))
     cats = {i for i, f in enumerate(features) if f in (categorical or [])}
     with scratch(df.sparkSession):
-        return _fit(distinct_counts(df, features).persist(), features, cats, bins, min_data_in_bin, use_missing, zero_as_missing, forced or {}, most)
+        return fit_counts(distinct_counts(df, features).persist(), features, cats, bins, min_data_in_bin, use_missing, zero_as_missing, forced or {}, most)
 
 
-def _fit(counts: DataFrame, features: list[str], cats: set[int], bins: list[int], min_data_in_bin: int, use_missing: bool, zero_as_missing: bool, forced: dict[str, list[float]], most: int) -> list[BinMapper]:
+def fit_counts(counts: DataFrame, features: list[str], cats: set[int], bins: list[int], min_data_in_bin: int, use_missing: bool, zero_as_missing: bool, forced: dict[str, list[float]], most: int) -> list[BinMapper]:
+    """Mappers from persisted counts (feature, value, n) of all features."""
     # one row a feature
     sizes = {r["feature"]: r for r in counts.groupBy("feature").agg(F.count("value").alias("distinct"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing")).collect()}
     wide = [i for i, r in sizes.items() if r["distinct"] > most]

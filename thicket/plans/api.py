@@ -10,17 +10,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.plans.boosting import Booster, CallbackEnv, Custom, EarlyStopException, Stopper, TrainSet, refit
+from thicket.plans.boosting import Booster, CallbackEnv, Custom, EarlyStopException, Stopper, refit
+from thicket.plans.dataset import Dataset, TrainSet
 from thicket.plans.model import Model
 from thicket.plans.params import Params
 from thicket.plans.predict import predict
 
-__all__ = ["CVBooster", "CallbackEnv", "EarlyStopException", "Model", "Params", "TrainSet", "Training", "cv", "early_stopping", "log_evaluation", "predict", "predict_configured", "record_evaluation", "refit", "reset_parameter", "train"]
+__all__ = ["CVBooster", "CallbackEnv", "Dataset", "EarlyStopException", "Model", "Params", "TrainSet", "Training", "cv", "early_stopping", "log_evaluation", "predict", "predict_configured", "record_evaluation", "refit", "reset_parameter", "train"]
 
 
 def train(
     params: dict[str, Any],
-    train_set: TrainSet,
+    train_set: TrainSet | Dataset,
     num_boost_round: int | None = None,
     valid_sets: list[TrainSet] | None = None,
     valid_names: list[str] | None = None,

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from thicket.functions import metrics, objectives
 from thicket.operators import binning, bundling, histogram, sampling
-from thicket.operators.binning import BinMapper
 from thicket.operators.split import Feature, SplitParams
 from thicket.plans import linear
+from thicket.plans.dataset import Dataset, TrainSet
 from thicket.operators.counting import Slot, Table
+from thicket.operators.sparse import bin_sql
 from thicket.plans.grower import Grower, GrowParams, Searcher, grow_all, stored_columns
 from thicket.plans.model import Leaf, Model, Tree, tree_sql
 from thicket.plans.params import Params
@@ -31,42 +32,6 @@ CUT = 10
 Custom = Callable[[Column, Column], tuple[Column, Column]]
 
 
-@dataclass
-class TrainSet:
-    """Rows to train on. row_id: unique; without it one is hashed from all columns, which equal rows share."""
-
-    df: DataFrame
-    features: list[str]
-    label: str = "label"
-    weight: str | None = None
-    query: str | None = None
-    init_score: str | None = None
-    row_id: str | None = None
-    categorical: list[str] = field(default_factory=list)
-
-    def num_data(self) -> int:
-        return self.df.count()
-
-    def num_feature(self) -> int:
-        return len(self.features)
-
-    def subset(self, condition: Column | str) -> TrainSet:
-        """The rows that meet a condition."""
-        return replace(self, df=self.df.where(condition))
-
-    def like(self, df: DataFrame) -> TrainSet:
-        """Another table of the same columns, as a validation set."""
-        return replace(self, df=df)
-
-    def checked(self) -> TrainSet:
-        gone = [c for c in [*self.features, self.label, self.weight, self.query, self.init_score, self.row_id] if c and c not in self.df.columns]
-        if gone:
-            raise ValueError(f"columns are missing: {', '.join(gone)}")
-        if not self.features:
-            raise ValueError("there are no features")
-        return self
-
-
 @dataclass
 class CallbackEnv:
     model: Model
@@ -123,53 +88,60 @@ def _options(p: Params) -> dict[str, Any]:
 class Booster:
     """Training state and loop."""
 
-    def __init__(self, data: TrainSet, params: Params, valid: dict[str, TrainSet] | None = None, fobj: Custom | None = None, feval: Callable[[DataFrame], list[tuple[str, float, bool]]] | None = None, init_model: Model | None = None) -> None:
-        self.data, self.p, self.fobj, self.feval = data.checked(), params, fobj, feval
-        self.spark = data.df.sparkSession
+    def __init__(self, data: TrainSet | Dataset, params: Params, valid: dict[str, TrainSet] | None = None, fobj: Custom | None = None, feval: Callable[[DataFrame], list[tuple[str, float, bool]]] | None = None, init_model: Model | None = None) -> None:
+        self.p, self.fobj, self.feval = params, fobj, feval
         self.objective = None if fobj else objectives.find(params.objective)
         self.k = params.num_class
         self.rank = self.objective is not None and self.objective.kind == "rank"
-        if self.rank and not data.query:
+        classes = self.k if self.objective and self.objective.kind == "multiclass" else 0
+        self.sparse: tuple[str, str] | None = None
+        begun = init_model is not None
+        if isinstance(data, Dataset):
+            data.check(params)
+            if begun or params.linear_tree and not data.raw:
+                raise ValueError("models are continued, and linear leaves fitted, on the features' own values: train on a TrainSet, or on a data set built with raw=True for linear leaves")
+            facts = objectives.LabelFacts.of(data.df, self._target("_y"), "_weight" if data.weighted else None, classes)
+        else:
+            data.checked()
+            self.sparse = data.sparse
+            facts = objectives.LabelFacts.of(data.df, self._target(data.label), data.weight, classes)
+            if begun:
+                # the key first: it may be a hash of all columns
+                known = data.df.withColumn("_key", data.key()).withColumn("_begun", self._zero())
+                data = replace(data, df=self._scored(known, init_model.trees, init_model, "_begun"), row_id="_key")
+            data = Dataset.prepare(data, params, facts.n, params.linear_tree, ["_begun"] if begun else None)
+        self.data, self.spark, rows = data, data.df.sparkSession, facts.n
+        if self.rank and not data.ranked:
             raise ValueError("ranking objectives need a query column")
-        self.label = objectives.sqrt_label(F.col(data.label).cast("double")) if params.reg_sqrt else F.col(data.label).cast("double")
-        df = data.df
-        key = F.col(data.row_id) if data.row_id else F.xxhash64(*df.columns)
-        if init_model:
-            df = self._scored(df.withColumn("_begun", self._zero()), init_model.trees, init_model, "_begun")
-        keyed = df.withColumn("_row_id", key)
-        facts = objectives.LabelFacts.of(df, self.label, data.weight, self.k if self.objective and self.objective.kind == "multiclass" else 0)
+        if data.sparse and (params.linear_tree or params.enable_bundle or self.rank):
+            raise ValueError("linear leaves, bundles and ranking need columns")
         if self.objective:
-            objectives.check_labels(df, params.objective, data.label, self.k, facts)
-        rows = facts.n
-        cats = [*data.categorical, *params.categorical_feature]
-        self.cats = [data.features[int(c)] if c.isdigit() and c not in data.features else c for c in cats]
-        self.mappers = binning.fit(keyed, data.features, self.cats, params.max_bin, params.min_data_in_bin, params.use_missing, params.zero_as_missing, params.max_bin_by_feature or None, sample=params.bin_construct_sample_cnt, forced=self._forced_bounds(), key="_row_id", seed=params.data_random_seed, rows=rows)
+            objectives.check_labels(data.df, params.objective, "_y", self.k, facts)
+        self.mappers = data.mappers
         least = max(1, int(params.min_data_in_leaf))
         # the mappers count sampled rows, so the least number is scaled alike
         sampled = max((sum(m.counts) for m in self.mappers), default=0)
         least = int(least * sampled / rows) if sampled < rows else least
         mono, contri = params.monotone_constraints, params.feature_contri
         self.features = [
-            Feature.of(i, m, monotone=mono[i] if i < len(mono) else 0, contri=contri[i] if i < len(contri) else 1.0)
+            Feature.of(i, m, monotone=mono[i] if i < len(mono) else 0, contri=contri[i] if i < len(contri) else 1.0, column=bin_sql(i, m) if data.sparse else "")
             for i, m in enumerate(self.mappers)
             if not m.trivial and not (params.feature_pre_filter and binning.needs_filter(m, least))
         ]
-        keep = {"_row_id": key, "_label": self.label, "_weight": F.col(data.weight).cast("double") if data.weight else F.lit(1.0)}
-        if data.query:
-            keep["_query"] = F.col(data.query)
-        table = df.select(*(c.alias(n) for n, c in keep.items()), *(self._first(data).alias("_init"),), *([F.col("_begun")] if init_model else []), *(binning.bin_column(m, m.name).cast("short" if m.num_bin > 127 else "byte").alias(f"b{i}") for i, m in enumerate(self.mappers)), *(F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(data.features) if params.linear_tree))
+        table = data.df.withColumns({"_label": self._target("_y")}).drop("_y")
         used = {f.index for f in self.features}
         self.bundles = [b for b in bundling.find_bundles(table, self.mappers) if len(b.features) > 1 and used.issuperset(b.features)] if params.enable_bundle else []
         table = table.withColumns({f"e{j}": bundling.bundle_column(b, self.mappers).cast("short" if b.num_bin > 127 else "byte") for j, b in enumerate(self.bundles)}).drop(*self._bundled())
-        self.weighted = data.weight is not None
+        self.weighted = data.weighted
         self.pos, self.neg = (1.0, 1.0)
         if self.objective and self.objective.name == "binary":
-            self.pos, self.neg, *_ = objectives.class_weights(df, data.label, params.is_unbalance, params.scale_pos_weight, (facts.positives, facts.n - facts.positives))
+            self.pos, self.neg, *_ = objectives.class_weights(data.df, "_y", params.is_unbalance, params.scale_pos_weight, (facts.positives, facts.n - facts.positives))
         self.init = [0.0] * self.k
-        if self.objective and params.boost_from_average and not data.init_score and not init_model:
-            flat = df.select(self.label.alias("_label"), *([F.col(data.weight).alias("_weight")] if data.weight else []))
-            self.init = objectives.init_scores(flat, params.objective, "_label", "_weight" if data.weight else None, self.k, params.alpha, params.sigmoid, facts)
-        base = F.coalesce("_init", self._constant())
+        if self.objective and params.boost_from_average and not data.started and not init_model:
+            flat = table.select("_label", "_weight")
+            with scratch(self.spark):
+                self.init = objectives.init_scores(flat, params.objective, "_label", "_weight" if data.weighted else None, self.k, params.alpha, params.sigmoid, facts)
+        base = F.coalesce(F.col("_init").cast(self._kind()), self._constant()) if data.started else self._constant()
         self.model = Model(list(data.features), params.objective if self.objective else "custom", self.k, average=params.boosting == "rf", sigmoid=params.sigmoid, squared=params.reg_sqrt, infos=[m.info() for m in self.mappers])
         if init_model:
             self.model.trees += init_model.trees
@@ -205,23 +177,6 @@ class Booster:
         """``df`` with the bins of bundled features, which aren't stored."""
         return df.withColumns({f"b{i}": bundling.unbundle(F.col(f"e{j}"), b, i, self.mappers) for j, b in enumerate(self.bundles) for i in b.features})
 
-    def _forced_bounds(self) -> dict[str, list[float]]:
-        """Bounds by feature from ``forcedbins_filename``: JSON, or a file of it, of {"feature": number, "bin_upper_bound": [...]}."""
-        text = self.p.forcedbins_filename
-        if not text:
-            return {}
-        if not text.lstrip().startswith("["):
-            with open(text) as f:
-                text = f.read()
-        out: dict[str, list[float]] = {}
-        for entry in json.loads(text):
-            i = int(entry["feature"])
-            if not 0 <= i < len(self.data.features):
-                raise ValueError(f"forced bins of a feature that isn't there: {i}")
-            if self.data.features[i] not in self.cats:
-                out[self.data.features[i]] = sorted({float(b) for b in entry["bin_upper_bound"]})
-        return out
-
     # --- one round -----------------------------------------------------------------------------------------------------
 
     def _zero(self) -> Column:
@@ -231,22 +186,29 @@ class Booster:
         first = [F.lit(float(x)) for x in self.init]
         return F.array(*first) if self.k > 1 else first[0]
 
-    def _first(self, data: TrainSet) -> Column:
-        """The start scores of a table: a number, an array for several classes; null without any."""
-        kind = "array<double>" if self.k > 1 else "double"
-        return (F.col(data.init_score) if data.init_score else F.lit(None)).cast(kind)
+    def _kind(self) -> str:
+        return "array<double>" if self.k > 1 else "double"
+
+    def _target(self, label: str) -> Column:
+        y = F.col(label).cast("double")
+        return objectives.sqrt_label(y) if self.p.reg_sqrt else y
 
     def _sum(self, a: Column, b: Column) -> Column:
         return F.zip_with(a, b, lambda x, y: x + y) if self.k > 1 else a + b
 
     def _scored(self, df: DataFrame, trees: list[Tree], model: Model, column: str, factor: float = 1.0) -> DataFrame:
-        return add_trees(df, model, trees, [i % self.k for i in range(len(trees))], column, factor)
+        return add_trees(df, model, trees, [i % self.k for i in range(len(trees))], column, factor, self.sparse)
 
     def _valid(self, v: TrainSet) -> DataFrame:
         """A validation set's rows with their scores so far: start scores, or else the constant, and what the model begins with."""
-        key = F.col(v.row_id) if v.row_id else F.xxhash64(*v.df.columns)
-        base = F.coalesce(self._first(v), self._zero() if self.begun else self._constant())
-        rows = v.df.withColumns({"_row_id": key, "_label": self.label, "_weight": F.col(v.weight).cast("double") if v.weight else F.lit(1.0), "_score": base} | ({"_query": F.col(v.query)} if v.query else {}))
+        if self.data.sparse:
+            self.sparse = v.sparse
+        df = self.data.encode(v.df)
+        base = self._zero() if self.begun else self._constant()
+        if v.init_score:
+            base = F.coalesce(F.col(v.init_score).cast(self._kind()), base)
+        own = {"_row_id": v.key(), "_label": self._target(v.label), "_weight": F.col(v.weight).cast("double") if v.weight else F.lit(1.0), "_score": base}
+        rows = df.withColumns(own | ({"_query": F.col(v.query)} if v.query else {}))
         if self.begun:
             rows = self._scored(rows, self.model.trees, self.model, "_score")
         return rows.cache()
@@ -296,6 +258,8 @@ class Booster:
         return gone, state.withColumn("score", self._add(F.col("score"), gone, -1.0))
 
     def _counted(self, features: list[Feature]) -> Table:
+        if self.data.sparse:
+            return Table([], features, {f.index: (f.num_bin, f.default_bin) for f in features}, ("_sf", "_sb"))
         return Table(stored_columns(features, self.bundles, self.mappers), features)
 
     def _add(self, score: Column, iterations: list[int], factor: float) -> Column:

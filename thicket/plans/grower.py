@@ -138,7 +138,7 @@ class Searcher:
         slots, contexts = [], {}
         for i, slot in enumerate(self.slots):
             r = requests.get(i)
-            wanted = [] if r is None else [x.key for x in (r.fresh if self.wide or not r.pairs else [few for _, few, _ in r.pairs])]
+            wanted = [] if r is None else [x.key for x in r.fresh if x.key in r.contexts] if self.wide or not r.pairs else [few.key for _, few, _ in r.pairs]
             skip = frozenset()
             if r is not None:
                 dead = frozenset.intersection(*(x.dead for x in r.fresh))

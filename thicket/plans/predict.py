@@ -4,6 +4,7 @@ larger ones walk all rows of an Arrow batch through node arrays."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,44 @@ def _matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
     return np.stack(columns, 1) if n else np.zeros((len(batch), 0))
 
 
+def compact(trees: list[Tree]) -> tuple[list[Tree], list[int]]:
+    """Trees whose features are numbered anew, from 0 on, and the old numbers of these."""
+    used = sorted({n.feature for t in trees for n in t.nodes})
+    at = {f: i for i, f in enumerate(used)}
+    if any(t.linear for t in trees):
+        raise ValueError("linear trees need columns")
+    return [replace(t, nodes=[replace(n, feature=at[n.feature]) for n in t.nodes]) for t in trees], used
+
+
+def _by_sparse_batch(df: DataFrame, arrays: tuple[str, str], used: list[int], name: str, element: T.DataType, compute) -> DataFrame:  # noqa: ANN001
+    """As ``_by_batch``, on sparse rows: only features that trees use become a matrix, a portion of rows at a time."""
+    from thicket.operators.sparse import entries
+
+    kept, width = df.columns, len(df.columns)
+    kind = pa.float64() if isinstance(element, T.DoubleType) else pa.int32()
+    lookup = np.full(max(used, default=0) + 2, -1)
+    lookup[used] = np.arange(len(used))
+    rows_at_once = max(1, (1 << 22) // max(1, len(used)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
+        for whole in batches:
+            for start in range(0, len(whole), rows_at_once):
+                batch = whole.slice(start, rows_at_once)
+                row, feature, value = entries(batch, width)
+                at = lookup[np.clip(feature, -1, len(lookup) - 1)]
+                mine = (feature >= 0) & (feature < len(lookup)) & (at >= 0)
+                x = np.zeros((len(batch), len(used)))
+                x[row[mine], at[mine]] = value[mine]
+                values = compute(x)
+                ends = np.arange(0, values.size + 1, max(1, values.shape[1])).astype(np.int32)[: len(batch) + 1]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel(), kind, safe=False))], [*kept, name])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(element))])
+    return df.select(*kept, *(F.col(c).alias(f"_arrays_{i}") for i, c in enumerate(arrays))).mapInArrow(run, schema)
+
+
 def _by_batch(df: DataFrame, model: Model, name: str, kind: str, compute) -> DataFrame:  # noqa: ANN001
     kept, n = df.columns, len(model.features)
     arrow = {"array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}[kind]
@@ -96,15 +135,17 @@ def _by_batch(df: DataFrame, model: Model, name: str, kind: str, compute) -> Dat
     return inputs.mapInArrow(run, schema)
 
 
-def predict(df: DataFrame, model: Model, mode: str = "prediction", name: str = "prediction", start: int = 0, iterations: int = -1, engine: str = "auto", margin: float = 10.0, freq: int = 10) -> DataFrame:
-    """``df`` with one more column.
+def predict(df: DataFrame, model: Model, mode: str = "prediction", name: str = "prediction", start: int = 0, iterations: int = -1, engine: str = "auto", margin: float = 10.0, freq: int = 10, sparse: tuple[str, str] | None = None) -> DataFrame:
+    """``df`` with one more column. ``sparse``: the names of two array columns that hold the numbers and values of each row's features that aren't zero.
 
     mode: ``raw`` and ``prediction`` (a double, an array for several classes), ``leaf`` (an array of leaf numbers, iteration by
     iteration), ``contrib`` (an array of feature contributions and the expected value, class by class), ``early_stop`` (raw
     scores that stop growing once the margin is reached). Works on streams, as it looks at one row at a time.
     """
-    _check_features(df, model)
     trees = model.of_range(start, iterations)
+    if sparse:
+        return _sparse(df, model, trees, mode, name, sparse)
+    _check_features(df, model)
     if mode == "leaf":
         return _leaf(df, model, trees, name, engine)
     if mode == "contrib":
@@ -135,11 +176,30 @@ def predict(df: DataFrame, model: Model, mode: str = "prediction", name: str = "
     return out.withColumn(name, value).drop("_raw")
 
 
-def add_trees(df: DataFrame, model: Model, trees: list[Tree], classes: list[int], score: str, factor: float = 1.0) -> DataFrame:
+def _sparse(df: DataFrame, model: Model, trees: list[Tree], mode: str, name: str, arrays: tuple[str, str]) -> DataFrame:
+    if mode not in ("raw", "prediction", "leaf"):
+        raise ValueError(f"{mode} needs columns")
+    k, n = model.num_class, max(1, len(trees) // model.num_class)
+    own, used = compact(trees)
+    if mode == "leaf":
+        return _by_sparse_batch(df, arrays, used, name, T.IntegerType(), lambda x: np.stack([leaves_of(t, x) for t in own], 1))
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        sums = np.stack([sum((values_of(t, x) for t in own[c::k]), np.zeros(len(x))) for c in range(k)], 1)
+        return sums / n if model.average else sums
+
+    out = _by_sparse_batch(df, arrays, used, "_raw", T.DoubleType(), scores)
+    raw = F.col("_raw")[0] if k == 1 else F.col("_raw")
+    return out.withColumn(name, raw if mode == "raw" else transform(model.objective, raw, model.sigmoid, model.squared)).drop("_raw")
+
+
+def add_trees(df: DataFrame, model: Model, trees: list[Tree], classes: list[int], score: str, factor: float = 1.0, sparse: tuple[str, str] | None = None) -> DataFrame:
     """``df`` with the outputs of trees, times ``factor``, added to its column ``score`` (an array if there are several classes); ``classes``: of each tree.
     Few leaves are one expression, many go by batches, so the plan doesn't grow with the trees."""
     k = model.num_class
-    if sum(len(t.leaves) for t in trees) <= EXPRESSION_LEAVES:
+    if sparse:
+        trees, used = compact(trees)
+    elif sum(len(t.leaves) for t in trees) <= EXPRESSION_LEAVES:
         sums = [sum((F.expr(tree_sql(t, model.features, quote="`")) for t, c in zip(trees, classes, strict=True) if c == i), F.lit(0.0)) * factor for i in range(k)]
         total = F.col(score) + sums[0] if k == 1 else F.array(*(F.col(score)[i] + x for i, x in enumerate(sums)))
         return df.withColumn(score, total)
@@ -148,7 +208,7 @@ def add_trees(df: DataFrame, model: Model, trees: list[Tree], classes: list[int]
     def outputs(x: np.ndarray) -> np.ndarray:
         return factor * np.stack([sum((values_of(t, x) for t, c in zip(trees, classes, strict=True) if c == i), np.zeros(len(x))) for i in range(k)], 1)
 
-    out = _by_batch(df, model, more, "array<double>", outputs)
+    out = _by_sparse_batch(df, sparse, used, more, T.DoubleType(), outputs) if sparse else _by_batch(df, model, more, "array<double>", outputs)
     total = F.col(score) + F.col(more)[0] if k == 1 else F.zip_with(score, more, lambda a, b: a + b)
     return out.withColumn(score, total).drop(more)
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from thicket.functions.ordered import previous, running
 from thicket.operators.binning import codes
-from thicket.plans.boosting import TrainSet
+from thicket.plans.dataset import TrainSet, encode
 from thicket.plans.model import Model
+from thicket.plans.tables import materialise
 
 
 def check_indptr(indptr: list[int], nnz: int) -> None:
@@ -58,6 +59,17 @@ def expand(pointers: DataFrame, entries: DataFrame) -> DataFrame:
     return running(both, "place", ["one"]).where("place.kind = 1").select(F.col("place.at").alias("k"), "index", "val", (F.col("before_one") - 1).alias("major"))
 
 
+def sparse_rows(pointers: DataFrame, entries: DataFrame, by_column: bool = False, height: int | None = None) -> DataFrame:
+    """row_id, indices and values of a CSR matrix in tables (pointers (i, ptr), entries (k, index, val)), or, ``by_column``, of a CSC one of ``height`` rows: what isn't zero,
+    whatever the width. Rows without entries have empty arrays. ``TrainSet(..., sparse=("indices", "values"))`` trains on it."""
+    row, column = ("index", "major") if by_column else ("major", "index")
+    own = expand(pointers, entries).where("val <> 0 or isnan(val)").groupBy(F.col(row).alias("row_id")).agg(F.sort_array(F.collect_list(F.struct(F.col(column).cast("int").alias("i"), F.col("val").alias("v")))).alias("e"))
+    rows = height if by_column else pointers.agg(F.max("i").alias("n")).first()["n"] or 0
+    every = pointers.sparkSession.range(rows).withColumnRenamed("id", "row_id").join(own, "row_id", "left")
+    none = F.expr("array()")
+    return every.select("row_id", F.coalesce(F.col("e.i"), none.cast("array<int>")).alias("indices"), F.coalesce(F.col("e.v"), none.cast("array<double>")).alias("values"))
+
+
 def csr_rows(pointers: DataFrame, entries: DataFrame, width: int, names: list[str] | None = None) -> DataFrame:
     """Wide rows of a CSR matrix in tables: pointers (i, ptr), one more than rows; entries (k, index, val). Rows without entries are all 0."""
     wide = from_entries(expand(pointers, entries).select(F.col("major").alias("row"), F.col("index").alias("col"), "val"), width, names)
@@ -94,17 +106,18 @@ def from_csc(spark: SparkSession, indptr: Any, indices: Any, values: Any, height
 
 
 def from_table(df: DataFrame, label: str, features: list[str] | None = None, categorical: list[str] | None = None, **more: Any) -> TrainSet:
-    """Columns by type: numbers as they are; strings become codes in the order of their values, and are categorical."""
+    """Columns by type: numbers as they are; strings become codes in the order of their values, and are categorical. The codes stay with the set: its ``encode`` codes
+    other tables alike."""
     features = features or [c for c in df.columns if c not in (label, *more.values())]
     kinds = dict(df.dtypes)
-    cats = list(categorical or [])
+    cats, known = list(categorical or []), {}
     for c in features:
         if kinds[c] == "string":
-            df = df.join(codes(df, c).withColumnRenamed("code", f"_code_{c}"), c, "left").withColumn(c, F.col(f"_code_{c}").cast("double")).drop(f"_code_{c}")
+            known[c] = materialise(codes(df, c), "codes")
             cats.append(c)
         elif kinds[c] == "boolean":
             df = df.withColumn(c, F.col(c).cast("int"))
-    return TrainSet(df, features, label, categorical=list(dict.fromkeys(cats)), **more)
+    return TrainSet(encode(df, known), features, label, categorical=list(dict.fromkeys(cats)), codes=known, **more)
 
 
 def read_tsv(spark: SparkSession, path: str) -> TrainSet:
