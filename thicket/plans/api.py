@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.functions.objectives import uniform
+from thicket.plans import folds as together
 from thicket.plans.boosting import Booster, CallbackEnv, Custom, EarlyStopException, Stopper, refit
 from thicket.plans.dataset import Dataset, TrainSet
 from thicket.plans.model import Model
@@ -108,7 +110,7 @@ def early_stopping(rounds: int, first_metric_only: bool = False, min_delta: floa
 
 def folds(df: DataFrame, n: int, row_id: str, label: str | None = None, query: str | None = None, seed: int = 0) -> DataFrame:
     """``df`` with fold, 0 to n - 1. With a label, each class is dealt out in hashed order (stratified); with a query, whole queries go
-    together. Plain folds come from the hash alone."""
+    together. Plain folds come from the hash alone, an MD5 hash, so SQL deals the same ones."""
     if query:
         return df.withColumn("fold", F.pmod(F.xxhash64(query, F.lit(seed)), F.lit(n)).cast("int"))
     if label:
@@ -120,7 +122,7 @@ def folds(df: DataFrame, n: int, row_id: str, label: str | None = None, query: s
         inside = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", row_id)) - 1
         ranked = rows.withColumn("_r", inside).join(counts, [label, "_b"])
         return ranked.withColumn("fold", ((F.col("_r") + F.col("_before")) % n).cast("int")).select(*df.columns, "fold")
-    return df.withColumn("fold", F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(n)).cast("int"))
+    return df.withColumn("fold", F.floor(uniform(F.col(row_id), F.lit(seed)) * n).cast("int"))
 
 
 class CVBooster:
@@ -144,8 +146,9 @@ class CVBooster:
 
 
 def cv(params: dict[str, Any], train_set: TrainSet, num_boost_round: int = 100, nfold: int = 5, stratified: bool = True, seed: int = 0, feval: Any = None, fobj: Custom | None = None, callbacks: list | None = None, eval_train_metric: bool = False, return_cvbooster: bool = False) -> dict[str, Any]:
-    """Mean and standard deviation (of the population) of every metric by round. Each fold trains once. ``return_cvbooster``: the folds' models
-    too, under ``cvbooster``."""
+    """Mean and standard deviation (of the population) of every metric by round. Each fold trains once, all of them together over one binned table where a round
+    needs no rows of its own (``folds.together``) and no function of the caller's, else one after another. ``return_cvbooster``: the folds' models too, under
+    ``cvbooster``."""
     if train_set.row_id is None:
         raise ValueError("cv needs a row_id")
     p = Params.of(params)
@@ -153,7 +156,12 @@ def cv(params: dict[str, Any], train_set: TrainSet, num_boost_round: int = 100,
     dealt = train_set.like(folds(train_set.df, nfold, train_set.row_id, strat, train_set.query, seed))
     more = {"is_provide_training_metric": True} if eval_train_metric else {}
     models, histories = [], []
-    for i in range(nfold):
+    own = Params.of({**params, **more}, num_iterations=num_boost_round)
+    if together.together(own) and not (fobj or feval or callbacks or train_set.query):
+        all_folds = together.Folds(dealt, own, nfold)
+        models = all_folds.train()
+        histories = [{name: [x[name] for x in rounds] for name in (rounds[0] if rounds else {})} for rounds in all_folds.history]
+    for i in range(nfold if not models else 0):
         kept: dict[str, dict[str, list[float]]] = {}
         models.append(train({**params, **more}, dealt.subset(F.col("fold") != i), num_boost_round, [dealt.subset(F.col("fold") == i)], ["valid"], fobj, feval, [record_evaluation(kept), *(callbacks or [])]))
         histories.append({f"{dataset} {metric}": values for dataset, of in kept.items() for metric, values in of.items()})

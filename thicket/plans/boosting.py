@@ -110,14 +110,36 @@ class Booster:
                 known = data.df.withColumn("_key", data.key()).withColumn("_begun", self._zero())
                 data = replace(data, df=self._scored(known, init_model.trees, init_model, "_begun"), row_id="_key")
             data = Dataset.prepare(data, params, facts.n, params.linear_tree, ["_begun"] if begun else None)
-        self.data, self.spark, rows = data, data.df.sparkSession, facts.n
+        self.data, self.spark = data, data.df.sparkSession
         if self.rank and not data.ranked:
             raise ValueError("ranking objectives need a query column")
         if data.sparse and (params.linear_tree or params.enable_bundle or self.rank):
             raise ValueError("linear leaves, bundles and ranking need columns")
+        self.setup(facts, init_model)
+        table = data.df.withColumns({"_label": self._target("_y")}).drop("_y")
+        used = {f.index for f in self.features}
+        self.bundles = [b for b in bundling.find_bundles(table, self.mappers) if len(b.features) > 1 and used.issuperset(b.features)] if params.enable_bundle else []
+        table = table.withColumns({f"e{j}": bundling.bundle_column(b, self.mappers).cast("short" if b.num_bin > 127 else "byte") for j, b in enumerate(self.bundles)}).drop(*self._bundled())
+        base = F.coalesce(F.col("_init").cast(self._kind()), self._constant()) if data.started else self._constant()
+        if init_model:
+            base = self._sum(F.col("_begun"), base)
+        state = table.withColumn("score", base).drop("_init", "_begun")
+        cores = self.spark.sparkContext.defaultParallelism
+        self.parts = state.rdd.getNumPartitions()
+        if self.parts < cores:  # a small file is one partition; every search would be one task
+            self.parts, state = cores, state.repartition(cores)
+        self.state, self.spent = state.cache(), None
+        self.written: list[str] = []  # tables that go when training ends
+        self.largest: int | None = None  # rows of the largest query
+        self.valid = {name: self._valid(v) for name, v in (valid or {}).items()}
+        self.history: list[tuple[int, str, str, float]] = []
+
+    def setup(self, facts: objectives.LabelFacts, init_model: Model | None = None) -> None:
+        """What a training holds besides its table: features, constants, the model as it begins, random draws."""
+        params, data, rows = self.p, self.data, facts.n
         if self.objective:
             objectives.check_labels(data.df, params.objective, "_y", self.k, facts)
-        self.mappers = data.mappers
+        self.mappers, self.weighted, self.bundles = data.mappers, data.weighted, []
         least = max(1, int(params.min_data_in_leaf))
         # the mappers count sampled rows, so the least number is scaled alike
         sampled = max((sum(m.counts) for m in self.mappers), default=0)
@@ -128,38 +150,23 @@ class Booster:
             for i, m in enumerate(self.mappers)
             if not m.trivial and not (params.feature_pre_filter and binning.needs_filter(m, least))
         ]
-        table = data.df.withColumns({"_label": self._target("_y")}).drop("_y")
-        used = {f.index for f in self.features}
-        self.bundles = [b for b in bundling.find_bundles(table, self.mappers) if len(b.features) > 1 and used.issuperset(b.features)] if params.enable_bundle else []
-        table = table.withColumns({f"e{j}": bundling.bundle_column(b, self.mappers).cast("short" if b.num_bin > 127 else "byte") for j, b in enumerate(self.bundles)}).drop(*self._bundled())
-        self.weighted = data.weighted
         self.pos, self.neg = (1.0, 1.0)
         if self.objective and self.objective.name == "binary":
             self.pos, self.neg, *_ = objectives.class_weights(data.df, "_y", params.is_unbalance, params.scale_pos_weight, (facts.positives, facts.n - facts.positives))
         self.init = [0.0] * self.k
         if self.objective and params.boost_from_average and not data.started and not init_model:
-            flat = table.select("_label", "_weight")
+            flat = data.df.select(self._target("_y").alias("_label"), "_weight")
             with scratch(self.spark):
                 self.init = objectives.init_scores(flat, params.objective, "_label", "_weight" if data.weighted else None, self.k, params.alpha, params.sigmoid, facts)
-        base = F.coalesce(F.col("_init").cast(self._kind()), self._constant()) if data.started else self._constant()
         self.model = Model(list(data.features), params.objective if self.objective else "custom", self.k, average=params.boosting == "rf", sigmoid=params.sigmoid, squared=params.reg_sqrt, infos=[m.info() for m in self.mappers])
         if init_model:
             self.model.trees += init_model.trees
-            base = self._sum(F.col("_begun"), base)
-        state = table.withColumn("score", base).drop("_init", "_begun")
-        cores = self.spark.sparkContext.defaultParallelism
-        self.parts = state.rdd.getNumPartitions()
-        if self.parts < cores:  # a small file is one partition; every search would be one task
-            self.parts, state = cores, state.repartition(cores)
-        self.state, self.spent = state.cache(), None
         if params.boosting == "dart" and not init_model and any(self.init):
             # constants of their own, which are never dropped
             self.model.trees += [Tree(leaves=[Leaf(float(v))]) for v in self.init]
         self.begun = len(self.model.trees)
         self.routes: list[str] = []
         self.weights: list[float] = []
-        self.written: list[str] = []  # tables that go when training ends
-        self.largest: int | None = None  # rows of the largest query
         self.used: set[int] = set()
         self.rngs = {n: random.Random(getattr(params, n)) for n in ("feature_fraction_seed", "drop_seed", "extra_seed")}
         forced = None
@@ -167,8 +174,6 @@ class Booster:
             text = params.forcedsplits_filename
             forced = read_forced(text if text.lstrip().startswith("{") else open(text).read(), len(data.features))
         self.grow_params = GrowParams(params.num_leaves, params.max_depth, split_params(params), params.feature_fraction_bynode, [set(g) for g in params.interaction_constraints], params.extra_trees, params.extra_seed, forced, params.cegb_penalty_feature_coupled, params.cegb_tradeoff)
-        self.valid = {name: self._valid(v) for name, v in (valid or {}).items()}
-        self.history: list[tuple[int, str, str, float]] = []
 
     def _bundled(self) -> list[str]:
         return [f"b{i}" for b in self.bundles for i in b.features]

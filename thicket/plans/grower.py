@@ -221,7 +221,9 @@ def grow_all(searcher: Searcher, growers: list[Grower]) -> list[tuple[Tree, str,
 class Grower:
     """Grows one tree, that of a searcher's slot."""
 
-    def __init__(self, mappers: list[BinMapper], params: GrowParams, features: list[Feature], used: set[int], rng: random.Random, slot: int = 0) -> None:
+    def __init__(self, mappers: list[BinMapper], params: GrowParams, features: list[Feature], used: set[int], rng: random.Random, slot: int = 0, drawn: set[int] | None = None) -> None:
+        """``features``: those of the searcher's table, in its order; ``drawn``: those of them that this tree may use."""
+        self.drawn = drawn
         self.mappers, self.p, self.features, self.used, self.rng, self.slot = mappers, params, features, used, rng, slot
         self.keys = 0
         self.by_index = {f.index: f for f in features}
@@ -248,7 +250,7 @@ class Grower:
         return (self.p.max_depth <= 0 or x.depth < self.p.max_depth) and x.n >= 2 * self.p.split.min_data_in_leaf
 
     def _allowed(self, x: _Leaf) -> list[int]:
-        every = [f.index for f in self.features]
+        every = [f.index for f in self.features if self.drawn is None or f.index in self.drawn]
         if self.p.interaction:
             near = set(x.path).union(*(g for g in self.p.interaction if x.path <= g))
             every = [i for i in every if i in near]

@@ -70,7 +70,7 @@ def _enter(name: str, label: str, oracle_: dict[str, Any] | None = None, **param
 _enter("bo01_regression", "y", {})
 _enter("bo01_binary", "yb", {"objective": "binary"}, objective="binary")
 _enter("bo01_l1", "y", {"objective": "regression_l1"}, objective="regression_l1")
-_enter("bo01_multiclass", "yc", objective="multiclass", num_class=3)
+_enter("bo01_multiclass", "yc", {"several": True}, objective="multiclass", num_class=3)
 _enter("bo01_lambdarank", "rel", objective="lambdarank")
 _enter("bo01_categorical", "y", categorical=("f2",))
 _enter("bo04_random_forest", "y", {"forest": True, "bag": 0.6}, boosting="rf", bagging_freq=1, bagging_fraction=0.6)
@@ -157,10 +157,17 @@ def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return even.select(F.col("yb").cast("int").alias("class"), "n")
 
 
-@query("py02_cv")
+_FOLD = f"floor({oracle.draw('row_id', '0')} * 3)"
+_FOLDS = " UNION ALL ".join(
+    f"SELECT * FROM ({oracle.training(rounds=2, rows=f'{_FOLD} <> {f}')} SELECT {f} AS fold, 0 AS r, avg((s - y) * (s - y)) AS v FROM s1 WHERE NOT own UNION ALL SELECT {f}, 1, avg((s - y) * (s - y)) FROM s2 WHERE NOT own)"
+    for f in range(3)
+)
+
+
+@query("py02_cv", f"SELECT 'valid l2-' || n.n AS name, CAST(r AS INTEGER) AS iteration, round(CASE n.n WHEN 'mean' THEN avg(v) ELSE stddev_pop(v) END, 6) AS value FROM ({_FOLDS}), (VALUES ('mean'), ('stdv')) n(n) GROUP BY n.n, r")
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = shared(spark, sf_dir).withColumn("label", F.col("y"))
-    out = api.cv({**BASE, "metric": "l2"}, TrainSet(df, FEATURES, row_id="row_id"), 2, 2)
+    out = api.cv({**BASE, "metric": "l2"}, TrainSet(df, FEATURES, row_id="row_id"), 2, 3)
     return spark.createDataFrame([(k, i, round(v, 6)) for k, vs in out.items() for i, v in enumerate(vs)], "name string, iteration int, value double")
 
 

@@ -63,6 +63,29 @@ def training(
     return f"{WITH}, {', '.join(out)}, trees AS ({' UNION ALL '.join(parts)})"
 
 
+def classes(k: int = 3, rounds: int = 3, leaves: int = 7, rate: float = 0.3, label: str = "yc", least: int = 20) -> str:
+    """The same for a tree a class and round: softmax probabilities of the scores s0, s1, ... less what the label says."""
+    scores = [f"s{c}" for c in range(k)]
+    out = [f"d AS MATERIALIZED (SELECT row_id, {', '.join(FEATURES)}, {label} AS y, TRUE AS own FROM t)"]
+    out.append("i AS MATERIALIZED (SELECT " + ", ".join(f"ln(avg(CASE WHEN y = {c} THEN 1e0 ELSE 0e0 END)) AS c{c}" for c in range(k)) + " FROM d)")
+    out.append("z0 AS MATERIALIZED (SELECT d.*, " + ", ".join(f"c{c} AS s{c}" for c in range(k)) + " FROM d, i)")
+    parts = []
+    for r in range(rounds):
+        total = " + ".join(f"exp({s} - greatest({', '.join(scores)}))" for s in scores)
+        for c in range(k):
+            p = f"exp(s{c} - greatest({', '.join(scores)})) / ({total})"
+            out.append(f"a{r}_{c}_0 AS MATERIALIZED (SELECT row_id, {', '.join(FEATURES)}, y, own, TRUE AS used, p - CASE WHEN y = {c} THEN 1 ELSE 0 END AS g, {k / (k - 1)!r} * p * (1 - p) AS h, 0 AS leaf FROM (SELECT *, {p} AS p FROM z{r}))")
+            out.append(f"l{r}_{c}_0 AS MATERIALIZED (SELECT 0 AS leaf, 0 AS depth, -1 AS grp)")
+            for j in range(leaves - 1):
+                out += _step(f"{r}_{c}_{j}", f"{r}_{c}_{j + 1}", j, least, 0, (), None)
+                parts.append(f"SELECT {r * k + c} AS tree, feature, gain, CAST(NULL AS DOUBLE) AS value, n AS count FROM b{r}_{c}_{j}")
+            out.append(f"v{r}_{c} AS MATERIALIZED (SELECT leaf, -sum(g) / sum(h) * {rate!r} AS value, count(*) AS count FROM a{r}_{c}_{leaves - 1} GROUP BY leaf)")
+            parts.append(f"SELECT {r * k + c}, NULL, NULL, value + {f'i.c{c}' if r == 0 else '0'}, count FROM v{r}_{c}, i")
+        joins = " ".join(f"JOIN a{r}_{c}_{leaves - 1} x{c} ON x{c}.row_id = z.row_id JOIN v{r}_{c} w{c} ON w{c}.leaf = x{c}.leaf" for c in range(k))
+        out.append(f"z{r + 1} AS MATERIALIZED (SELECT z.* REPLACE ({', '.join(f'z.s{c} + w{c}.value AS s{c}' for c in range(k))}) FROM z{r} z {joins})")
+    return f"{WITH}, {', '.join(out)}, trees AS ({' UNION ALL '.join(parts)})"
+
+
 def _step(now: str, then: str, k: int, least: int, depth: int, groups: tuple[tuple[int, ...], ...], forced: tuple[int, int, float] | None) -> list[str]:
     """The best split of all leaves, and rows and leaves after it. Where none gains, nothing changes."""
     melted = " UNION ALL ".join(f"SELECT leaf, {i} AS feature, {f} AS v, g, h FROM a{now} WHERE used" for i, f in enumerate(FEATURES))
@@ -102,6 +125,6 @@ def _step(now: str, then: str, k: int, least: int, depth: int, groups: tuple[tup
     return [x, w, c, b, a, leaves]
 
 
-def trees(**options: object) -> str:
-    """SQL for all splits and leaves."""
-    return f"{training(**options)} SELECT CAST(tree AS INTEGER) AS tree, CAST(feature AS INTEGER) AS feature, round(gain, 4) AS gain, round(value, 6) AS value, CAST(count AS BIGINT) AS count FROM trees"
+def trees(several: bool = False, **options: object) -> str:
+    """SQL for all splits and leaves. ``several``: of several classes."""
+    return f"{classes(**options) if several else training(**options)} SELECT CAST(tree AS INTEGER) AS tree, CAST(feature AS INTEGER) AS feature, round(gain, 4) AS gain, round(value, 6) AS value, CAST(count AS BIGINT) AS count FROM trees"
