@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thicket.operators import binning, counting
-from thicket.plans.api import Dataset, TrainSet, cv, predict, train
+from thicket.plans.api import ByArrays, Dataset, TrainSet, cv, predict, train
 from thicket.plans.boosting import Booster
 from thicket.plans.model import Leaf, Model, Node, Tree
 from thicket.plans.params import Params
@@ -236,3 +236,123 @@ def test_frequent_codes_are_ranked_in_ranges(spark):
     counts = spark.createDataFrame([(f, float(v), 100 - v if v >= 0 else 500) for f in (0, 1) for v in range(-1, 50)], "feature int, value double, n long")
     top = {(r["feature"], r["value"]): r["n"] for r in binning.top_codes(counts, 3).collect()}
     assert top == {(f, v): n for f in (0, 1) for v, n in ((0.0, 100), (1.0, 99), (2.0, 98), (-1.0, 500 + sum(100 - v for v in range(3, 50))))}
+
+
+# --- functions of arrays ----------------------------------------------------------------------------------------------------------
+
+
+def _naive():  # made here, as workers can't import this module
+    def lambdarank(labels, scores, weights, group):
+        """One query's lambdas, pair by pair."""
+        order = np.lexsort((np.arange(len(labels)), -scores))
+        y, s, n = labels[order], scores[order], len(labels)
+        assert group.tolist() == [n]
+        gain, discount = 2.0**y - 1, 1 / np.log2(2.0 + np.arange(n))
+        best = (np.sort(gain)[::-1][:30] * discount[:30]).sum()
+        g, h, total = np.zeros(n), np.zeros(n), 0.0
+        for i in range(min(30, n)):
+            for j in range(i + 1, n):
+                if best <= 0 or y[i] == y[j]:
+                    continue
+                up, low = (i, j) if y[i] > y[j] else (j, i)
+                gap = abs(gain[i] - gain[j]) * abs(discount[i] - discount[j]) / best
+                if s[0] != s[-1]:
+                    gap /= 0.01 + abs(s[up] - s[low])
+                p = 1 / (1 + np.exp(s[up] - s[low]))
+                g[up] -= gap * p
+                g[low] += gap * p
+                h[up] += gap * p * (1 - p)
+                h[low] += gap * p * (1 - p)
+                total += 2 * gap * p
+        if total > 0:
+            g, h = (x * np.log2(1 + total) / total for x in (g, h))
+        out = np.zeros(n), np.zeros(n)
+        out[0][order], out[1][order] = g * weights[order], h * weights[order]
+        return out
+
+    return lambdarank
+
+
+def test_a_function_of_whole_queries_is_the_objective(spark, rows):
+    df = rows.select("*", (F.col("id") % 45).alias("q"), (F.col("id") * 7 % 4).cast("double").alias("rel"), (1.0 + F.col("id") % 3).alias("w"))
+    data = TrainSet(df, NAMES, "rel", weight="w", query="q", row_id="id")
+    want = train({**BASE, "objective": "lambdarank", "metric": "ndcg", "eval_at": [3]}, data)
+    found = train({**BASE, "metric": "none"}, data, fobj=ByArrays(_naive()))
+    assert [[(n.feature, n.count) for n in t.nodes] for t in found.trees] == [[(n.feature, n.count) for n in t.nodes] for t in want.trees]
+    assert [x.value for t in found.trees for x in t.leaves] == pytest.approx([x.value for t in want.trees for x in t.leaves], abs=1e-9)
+    seen = {}
+    from thicket.plans.api import record_evaluation
+
+    def top_label(labels, scores, weights, group):
+        return "top", labels[np.argmax(scores)], True
+
+    train({**BASE, "objective": "lambdarank", "metric": "none"}, data, 1, valid_sets=[data], feval=ByArrays(top_label), callbacks=[record_evaluation(seen)])
+    assert 0 < seen["valid_0"]["top"][0] <= 3
+    with pytest.raises(ValueError, match="query"):
+        train(BASE, _set(rows), 1, fobj=ByArrays(_naive()))
+    with pytest.raises(ValueError, match="argument"):
+        ByArrays(lambda labels: labels)
+
+
+@pytest.mark.parametrize("classes", [1, 3])
+def test_functions_of_rows_are_the_objective(spark, rows, classes):
+    label = "y" if classes == 1 else "k"
+    data = TrainSet(rows.withColumn("w", 1.0 + F.col("id") % 3), NAMES, label, weight="w", row_id="id")
+    more = {"boost_from_average": False} | ({} if classes == 1 else {"objective": "multiclass", "num_class": 3})
+    want = _parts(train({**BASE, **more}, data))
+
+    def square(labels, scores):
+        return scores - labels, np.ones(len(labels))
+
+    def softmax(labels, scores, weights):
+        e = np.exp(scores - scores.max(1, keepdims=True))
+        p = e / e.sum(1, keepdims=True)
+        return (p - np.eye(3)[labels.astype(int)]) * weights[:, None], 1.5 * p * (1 - p) * weights[:, None]
+
+    assert _parts(train({**BASE, **more}, data, fobj=ByArrays(square if classes == 1 else softmax))) == want
+
+
+# --- bundles ----------------------------------------------------------------------------------------------------------------------
+
+
+def test_thousands_of_sparse_features_bundle(spark):
+    """A feature a row holds at most three of, dealt into few bundles by bitmaps of a sample."""
+    from thicket.operators import bundling
+    from thicket.operators.binning import BinMapper
+
+    width, r = 400, random.Random(5)
+    rows = []
+    for _ in range(3000):
+        own = {r.randrange(width // 4) + g * (width // 4) for g in range(3)}
+        rows.append(tuple(int(j in own) for j in range(width)))
+    df = spark.createDataFrame(rows, ", ".join(f"b{j} int" for j in range(width))).repartition(4)
+    mappers = [BinMapper(f"b{j}", [0.5, float("inf")], sparse_rate=0.99, most_frequent=0) for j in range(width)]
+    bits = bundling.presence(df, mappers, list(range(width)))
+    assert np.bitwise_count(bits).sum(1).tolist() == [sum(x[j] for x in rows) for j in range(width)]
+    groups = bundling.find_bundles(df, mappers, rate=0.0)
+    assert sorted(i for g in groups for i in g.features) == list(range(width)) and len(groups) < 40
+    held = np.array(rows)
+    assert all(held[:, g.features].sum(1).max() <= 1 for g in groups)
+    few = bundling.find_bundles(df, mappers, sample=500)
+    assert sorted(i for g in few for i in g.features) == list(range(width))
+
+
+# --- folds ------------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("more", [{"objective": "binary", "metric": "auc,binary_logloss"}, {"objective": "multiclass", "num_class": 3, "metric": "multi_logloss"}, {"metric": "l2", "feature_fraction": 0.6}])
+def test_folds_together_are_folds_one_by_one(spark, rows, monkeypatch, more):
+    from thicket.plans import folds
+
+    label = {"binary": "t", "multiclass": "k"}.get(more.get("objective"), "y")
+    # features of few values, so that binning a fold alone gives the same bins
+    data = _set(rows.withColumn("a", F.floor("a").cast("double")), label)
+    args = ({**BASE, "min_data_in_leaf": 5, **more}, data, 3, 3)
+    one = cv(*args, eval_train_metric=True, return_cvbooster=True)
+    before = _left(spark)
+    monkeypatch.setattr(folds, "together", lambda p: False)
+    two = cv(*args, eval_train_metric=True, return_cvbooster=True)
+    assert _left(spark) == before
+    models = [[[[n.feature for n in t.nodes] for t in m.trees] for m in x.pop("cvbooster").boosters] for x in (one, two)]
+    assert models[0] == models[1] and one.keys() == two.keys()
+    assert all(one[k] == pytest.approx(two[k]) for k in one)

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from thicket.functions.objectives import uniform
 from thicket.plans import folds as together
 from thicket.plans.boosting import Booster, CallbackEnv, Custom, EarlyStopException, Stopper, refit
+from thicket.plans.closures import ByArrays
 from thicket.plans.dataset import Dataset, TrainSet
 from thicket.plans.model import Model
 from thicket.plans.params import Params
 from thicket.plans.predict import predict
 
-__all__ = ["CVBooster", "CallbackEnv", "Dataset", "EarlyStopException", "Model", "Params", "TrainSet", "Training", "cv", "early_stopping", "log_evaluation", "predict", "predict_configured", "record_evaluation", "refit", "reset_parameter", "train"]
+__all__ = ["ByArrays", "CVBooster", "CallbackEnv", "Dataset", "EarlyStopException", "Model", "Params", "TrainSet", "Training", "cv", "early_stopping", "log_evaluation", "predict", "predict_configured", "record_evaluation", "refit", "reset_parameter", "train"]
 
 
 def train(
@@ -33,7 +34,7 @@ def train(
     init_model: Model | None = None,
 ) -> Model:
     """Trains a model. ``fobj`` maps score and label Columns to gradient and hessian Columns; ``feval`` maps a table with raw, score,
-    label to (name, value, higher is better); either may be given without the other."""
+    label to (name, value, higher is better); either may be given without the other, or be ``ByArrays``, a function of arrays that may see weights and whole queries."""
     p = Params.of(params, **({"num_iterations": num_boost_round} if num_boost_round is not None else {}))
     names = valid_names or [f"valid_{i}" for i in range(len(valid_sets or []))]
     booster = Booster(train_set, p, dict(zip(names, valid_sets or [], strict=True)), fobj, feval, init_model)

@@ -19,6 +19,7 @@ from thicket.functions import metrics, objectives
 from thicket.operators import binning, bundling, histogram, sampling
 from thicket.operators.split import Feature, SplitParams
 from thicket.plans import linear
+from thicket.plans.closures import ByArrays
 from thicket.plans.dataset import Dataset, TrainSet
 from thicket.operators.counting import Slot, Table
 from thicket.operators.sparse import bin_sql
@@ -118,7 +119,7 @@ class Booster:
         self.setup(facts, init_model)
         table = data.df.withColumns({"_label": self._target("_y")}).drop("_y")
         used = {f.index for f in self.features}
-        self.bundles = [b for b in bundling.find_bundles(table, self.mappers) if len(b.features) > 1 and used.issuperset(b.features)] if params.enable_bundle else []
+        self.bundles = [b for b in bundling.find_bundles(table, self.mappers, key="_row_id") if len(b.features) > 1 and used.issuperset(b.features)] if params.enable_bundle else []
         table = table.withColumns({f"e{j}": bundling.bundle_column(b, self.mappers).cast("short" if b.num_bin > 127 else "byte") for j, b in enumerate(self.bundles)}).drop(*self._bundled())
         base = F.coalesce(F.col("_init").cast(self._kind()), self._constant()) if data.started else self._constant()
         if init_model:
@@ -220,6 +221,8 @@ class Booster:
 
     def _gradients(self, state: DataFrame, iteration: int) -> DataFrame:
         s, y, p = F.col("score"), F.col("_label"), self.p
+        if isinstance(self.fobj, ByArrays):
+            return self.fobj.gradients(state, self.k, self.weighted)
         if self.fobj:
             g, h = self.fobj(s, y)
         elif self.rank:
@@ -405,7 +408,7 @@ class Booster:
             found = metrics.evaluate_all(flat, self.p.metric, self.k, tuple(self.p.eval_at), "weight" if self.weighted else None, alpha=self.p.alpha, fair_c=self.p.fair_c, tweedie_variance_power=self.p.tweedie_variance_power, multi_error_top_k=self.p.multi_error_top_k, auc_mu_weights=self.p.auc_mu_matrix())
             out += [(name, n, v, h) for n, v, h in found]
             if self.feval:
-                for n, v, h in self.feval(flat):
+                for n, v, h in self.feval.metric(flat) if isinstance(self.feval, ByArrays) else self.feval(flat):
                     if v != v or abs(v) == float("inf"):
                         raise ValueError(f"metric {n} isn't finite")
                     out.append((name, n, v, h))

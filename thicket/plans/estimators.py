@@ -13,6 +13,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultP
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.functions.objectives import transform
 from thicket.plans.api import TrainSet, train
 from thicket.plans.model import Model
 from thicket.plans.predict import predict
@@ -63,10 +64,14 @@ class BoostedModel(MlModel, _Columns, MLWritable, MLReadable):
         return self._probabilities(df, self.getProbabilityCol())
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = predict(dataset, self.booster, "raw", self.getRawPredictionCol())
+        """The model is walked once: probabilities and predictions are functions of the raw scores."""
+        model, raw = self.booster, self.getRawPredictionCol()
+        out = predict(dataset, model, "raw", raw)
+        value = transform(model.objective, F.col(raw), model.sigmoid, model.squared)
         if self.classes_ is None:
-            return predict(out, self.booster, "prediction", self.getPredictionCol())
-        out, p = self._probabilities(out, self.getProbabilityCol()), F.col(self.getProbabilityCol())
+            return out.withColumn(self.getPredictionCol(), value)
+        p = F.col(self.getProbabilityCol())
+        out = out.withColumn(self.getProbabilityCol(), value if model.num_class > 1 else F.array(1.0 - value, value))
         # the first of equals, as by a threshold of over one half
         best = F.array_position(p, F.array_max(p)).cast("int")
         return out.withColumn(self.getPredictionCol(), F.element_at(F.array(*(F.lit(c) for c in self.classes_)), best))
