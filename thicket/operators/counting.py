@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -70,6 +70,10 @@ class Context:
     depth: int
     only: frozenset[int] | None = None
     thresholds: dict[int, int] = field(default_factory=dict)
+    costs: dict[int, float] = field(default_factory=dict)  # of features, besides those that they have everywhere
+
+    def priced(self, features: list[Feature]) -> list[Feature]:
+        return [replace(f, penalty=f.penalty + self.costs[f.index]) if f.index in self.costs else f for f in features] if self.costs else features
 
 
 @dataclass
@@ -288,6 +292,33 @@ def leaf_sums(df: DataFrame, slots: list[Slot]) -> list[tuple[float, float, int]
     return [(r[f"g{i}"] or 0.0, r[f"h{i}"] or 0.0, r[f"n{i}"]) for i in range(len(slots))]
 
 
+def unpaid(df: DataFrame, table: Table, slots: list[Slot], features: list[int]) -> dict[int, np.ndarray]:
+    """Of the wanted leaves, how many rows haven't paid for each of ``features`` yet, by the bits of ``_paid`` (bit i of word i // 63: the i-th of ``features``). A
+    row a leaf and task comes to the driver."""
+    names, width, arrays = [c.name for c in table.columns], len(table.columns), table.arrays
+    if arrays or any(s.fold is not None for s in slots):
+        raise ValueError("costs a row need columns and a training of its own")
+    shared = df.sparkSession.sparkContext.broadcast(slots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+        for batch in batches:
+            rows = Rows(len(batch), [np.asarray(batch.column(1 + i)).astype(np.int64) for i in range(width)])
+            words = np.asarray(batch.column(0).flatten()).reshape(len(batch), -1)
+            free = np.stack([words[:, i // 63] >> (i % 63) & 1 == 0 for i in range(len(features))], 1) if len(batch) else np.zeros((0, len(features)), bool)
+            for s, slot in enumerate(shared.value):
+                leaves = route(slot.plan, slot.wanted, rows)
+                for leaf in np.unique(leaves[leaves >= 0]).tolist():
+                    kept[s * KEYS + leaf] = kept.get(s * KEYS + leaf, 0) + free[leaves == leaf].sum(0)
+        lists = pa.array([x.tolist() for x in kept.values()], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), lists], ["leaf", "n"])
+
+    out = {i * KEYS + k: np.zeros(len(features), np.int64) for i, s in enumerate(slots) for k in s.wanted}
+    for r in df.selectExpr("_paid", *(f"CAST(`{c}` AS INT) AS `{c}`" for c in names)).mapInArrow(run, "leaf int, n array<long>").collect():
+        out[r["leaf"]] += np.array(r["n"], np.int64)
+    return out
+
+
 def best_splits(df: DataFrame, table: Table, slots: list[Slot], contexts: dict[int, Context], params: SplitParams) -> dict[int, tuple[dict[str, Any] | None, frozenset[int]]]:
     """Of each leaf in ``contexts`` the best split and the features that can't split it, searched on executors: sums meet by (leaf, block of columns), a group
     holds a block's cells, and a row a leaf and block comes to the driver."""
@@ -310,7 +341,7 @@ def best_splits(df: DataFrame, table: Table, slots: list[Slot], contexts: dict[i
             columns = [c if i // BLOCK == block else Stored("", {}) for i, c in enumerate(table.columns)]
             own = Table(columns, features, {f: v for f, v in table.sparse.items() if f in inside})
             dense = assemble(np.asarray(group.column("leaf")), place, np.asarray(group.column("bin")), [np.asarray(group.column(c)).astype(float) for c in "ghn"], own, features, {leaf: x.totals})[leaf]
-            row, dead = scan.search(dense, features, params, x.output, x.lo, x.hi, x.depth, x.thresholds, x.only)
+            row, dead = scan.search(dense, x.priced(features), params, x.output, x.lo, x.hi, x.depth, x.thresholds, x.only)
         return pa.table([pa.array([leaf], pa.int32()), pa.array([pickle.dumps((row, sorted(dead)))], pa.binary())], ["leaf", "found"])
 
     rows = sums.groupBy("leaf", "block").applyInArrow(search, "leaf int, found binary").collect()  # a row a leaf and block

@@ -44,6 +44,14 @@ class Lcg:
         return out
 
 
+def lcg_short(seed: Column, low: int, high: int, turn: int = 0) -> Column:
+    """``Lcg(seed).next_short(low, high)`` of every row's seed, after ``turn`` draws."""
+    x = seed.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    for _ in range(turn + 1):
+        x = (F.lit(214013) * x + F.lit(2531011)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return (F.shiftright(x, 16).bitwiseAND(F.lit(0x7FFF)) % (high - low) + low).cast("int")
+
+
 def bernoulli(key: Column | str, fraction: float | Column, seed: int, iteration: int) -> Column:
     return uniform(key, F.lit(seed), F.lit(iteration)) < fraction
 

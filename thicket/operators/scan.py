@@ -68,7 +68,8 @@ def search(hist: Dense, features: list[Feature], p: SplitParams, parent: float =
         for i, f in enumerate(features):
             if f.categorical and (only is None or f.index in only):
                 found += _categorical(hist, i, f, p, parent, lo, hi)
-    return min((x for x in found if x is not None), key=order, default=None), dead
+    # what costs more than it gains isn't taken
+    return min((x for x in found if x is not None and x["gain"] > 0), key=order, default=None), dead
 
 
 def best_split(*args: Any, **more: Any) -> dict[str, Any] | None:

@@ -125,6 +125,10 @@ class Booster:
         if init_model:
             base = self._sum(F.col("_begun"), base)
         state = table.withColumn("score", base).drop("_init", "_begun")
+        if self.grow_params.cegb_lazy:
+            if data.sparse or self.rank:
+                raise ValueError("costs a row need columns, and an objective that judges rows by themselves")
+            state = state.withColumn("_paid", F.array(*[F.lit(0).cast("long")] * -(-len(self.grow_params.cegb_lazy) // 63)))
         cores = self.spark.sparkContext.defaultParallelism
         self.parts = state.rdd.getNumPartitions()
         if self.parts < cores:  # a small file is one partition; every search would be one task
@@ -174,7 +178,7 @@ class Booster:
         if params.forcedsplits_filename:
             text = params.forcedsplits_filename
             forced = read_forced(text if text.lstrip().startswith("{") else open(text).read(), len(data.features))
-        self.grow_params = GrowParams(params.num_leaves, params.max_depth, split_params(params), params.feature_fraction_bynode, [set(g) for g in params.interaction_constraints], params.extra_trees, params.extra_seed, forced, params.cegb_penalty_feature_coupled, params.cegb_tradeoff)
+        self.grow_params = GrowParams(params.num_leaves, params.max_depth, split_params(params), params.feature_fraction_bynode, [set(g) for g in params.interaction_constraints], params.extra_trees, params.extra_seed, forced, params.cegb_penalty_feature_coupled, params.cegb_tradeoff, {i: params.cegb_tradeoff * c for i, c in enumerate(params.cegb_penalty_feature_lazy) if c > 0})
 
     def _bundled(self) -> list[str]:
         return [f"b{i}" for b in self.bundles for i in b.features]
@@ -310,7 +314,7 @@ class Booster:
                 bag = plain.withColumns({c: F.zip_with(q, F.array(*map(F.lit, steps)), lambda a, b: a * b) for c, q, steps in (("grad", "qg", gs), ("hess", "qh", hs))})
         # the trees of all classes grow in step
         slots = [Slot(gradient=c if self.k > 1 else None) for c in range(self.k)]
-        searcher = Searcher(bag, self._counted(features), slots, self.grow_params.split, p.num_leaves, None if self.rank else self.parts)
+        searcher = Searcher(bag, self._counted(features), slots, self.grow_params.split, p.num_leaves, None if self.rank else self.parts, lazy=self.grow_params.cegb_lazy)
         growers = [Grower(self.mappers, self.grow_params, features, self.used, self.rngs["extra_seed"], c) for c in range(self.k)]
         for c, (tree, route, _) in enumerate(grow_all(searcher, growers)):
             own = lambda df, c=c: df if self.k == 1 else df.withColumns({x: F.col(x)[c] for x in ("grad", "hess")} | {"score": F.col("score")[c]})
@@ -348,7 +352,7 @@ class Booster:
                 for c in range(self.k):
                     self.model.trees[self.begun + i * self.k + c].shrink(factor)
                 self.weights[i] *= factor
-        self._advance(score, iteration)
+        self._advance(score, iteration, grown)
         for name, df in self.valid.items():
             fresh = self._scored(df, [t for t, _ in grown], self.model, "_score")
             if p.boosting == "dart" and gone:
@@ -365,14 +369,27 @@ class Booster:
             self.model.trees.append(tree)
         return True
 
-    def _advance(self, score: Column, iteration: int) -> None:
+    def _advance(self, score: Column, iteration: int, grown: list[tuple[Tree, str]]) -> None:
         """The next round's scores. They are cached when its first histogram reads them, so until then the old ones stay."""
         if self.spent is not None:
             self.spent.unpersist()
-        fresh = self._opened(self.state).withColumn("score", score).drop(*self._bundled())
+        fresh = self._opened(self.state).withColumns({"score": score} | ({"_paid": self._paid(grown)} if self.grow_params.cegb_lazy else {})).drop(*self._bundled())
         fresh = (materialise(fresh, "train", self.written) if (iteration + 1) % CUT == 0 else fresh).cache()
         self.spent, self.state = self.state, fresh
 
+    def _paid(self, grown: list[tuple[Tree, str]]) -> Column:
+        """The bits of what each row has paid for: also what its leaves' paths asked of it."""
+        bit = {f: i for i, f in enumerate(self.grow_params.cegb_lazy)}
+        words = -(-len(bit) // 63)
+        out = [F.col("_paid")[w] for w in range(words)]
+        for tree, route in grown:
+            paths = linear.path_features(tree, every=True)
+            for w in range(words):
+                masks = [sum(1 << bit[f] % 63 for f in own if f in bit and bit[f] // 63 == w) for own in paths]
+                if any(masks):
+                    out[w] = out[w].bitwiseOR(F.expr(f"array({', '.join(f'{m}L' for m in masks)})[{route}]"))
+        return F.array(*out)
+
     def _renew(self, bag: DataFrame, route: str, tree: Tree) -> None:
         """Leaf values from percentiles of the residuals."""
         alpha = self.p.alpha if self.objective.name == "quantile" else 0.5

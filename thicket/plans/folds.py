@@ -26,7 +26,7 @@ def together(p: Params) -> bool:
     """Whether folds of these parameters can be trained together: what a round draws, drops or solves on rows of its own is done fold by fold instead."""
     bagged = p.bagging_freq > 0 and (p.bagging_fraction < 1 or p.pos_bagging_fraction < 1 or p.neg_bagging_fraction < 1)
     o = objectives.find(p.objective)
-    return p.boosting == "gbdt" and p.data_sample_strategy != "goss" and not bagged and not p.use_quantized_grad and not p.linear_tree and not p.enable_bundle and not p.cegb_penalty_feature_coupled and o.kind != "rank" and not o.renew
+    return p.boosting == "gbdt" and p.data_sample_strategy != "goss" and not bagged and not p.use_quantized_grad and not p.linear_tree and not p.enable_bundle and not p.cegb_penalty_feature_coupled and not any(p.cegb_penalty_feature_lazy) and o.kind != "rank" and not o.renew
 
 
 class Folds:

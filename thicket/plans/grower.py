@@ -41,6 +41,7 @@ class GrowParams:
     forced: dict[str, Any] | None = None
     cegb_coupled: list[float] = field(default_factory=list)
     cegb_tradeoff: float = 1.0
+    cegb_lazy: dict[int, float] = field(default_factory=dict)  # cost a row of features that the row hasn't been asked for before
 
 
 @dataclass
@@ -126,7 +127,9 @@ class Request:
 class Searcher:
     """Answers the requests of trees over one table by one job. ``df``: the stored columns, grad, hess (arrays, if slots have places in them) and _fold."""
 
-    def __init__(self, df: DataFrame, table: Table, slots: list[Slot], params: SplitParams, leaves: int, parts: int | None = None, wide: bool | None = None) -> None:
+    def __init__(self, df: DataFrame, table: Table, slots: list[Slot], params: SplitParams, leaves: int, parts: int | None = None, wide: bool | None = None, lazy: dict[int, float] | None = None) -> None:
+        """``lazy``: costs a row of features, to be paid once a row; ``df`` has the bits of what is paid in _paid."""
+        self.lazy = lazy or {}
         self.df, self.table, self.slots, self.p, self.parts = df, table, slots, params, parts
         most = max((f.num_bin for f in table.features), default=1) * len(table.features)
         self.wide = most * leaves * len(slots) > counting.DRIVER_SUMS if wide is None else wide
@@ -149,6 +152,8 @@ class Searcher:
             self.jobs += 1
             for i, sums in zip(roots, counting.leaf_sums(self.df, [self.slots[i] for i in roots]), strict=True):
                 self._total(requests[i], sums)
+        if self.lazy:
+            self._costs(requests)
         self.jobs += 1
         totals = {i * KEYS + x.key: (x.g, x.h, x.n) for i, r in requests.items() for x in r.fresh if x.key in slots[i].wanted}
         if self.wide:
@@ -175,9 +180,19 @@ class Searcher:
                 self.hists[base + rest.key] = self.hists.pop(base + parent.key).less(found[base + few.key])
             for x in r.fresh:
                 if (c := r.contexts.get(x.key)) is not None:
-                    x.row, dead = scan.search(self.hists[base + x.key], r.features, self.p, c.output, c.lo, c.hi, c.depth, c.thresholds, c.only)
+                    x.row, dead = scan.search(self.hists[base + x.key], c.priced(r.features), self.p, c.output, c.lo, c.hi, c.depth, c.thresholds, c.only)
                     x.dead |= dead
 
+    def _costs(self, requests: dict[int, Request]) -> None:
+        """What features cost in each leaf: its rows that haven't paid for them, neither in trees before nor on the way to the leaf."""
+        self.jobs += 1
+        slots = [replace(s, plan=requests[i].plan, wanted=[x.key for x in requests[i].fresh if x.key in requests[i].contexts]) if i in requests else replace(s, wanted=[]) for i, s in enumerate(self.slots)]
+        rows = counting.unpaid(self.df, self.table, slots, list(self.lazy))
+        for i, r in requests.items():
+            for x in r.fresh:
+                if (c := r.contexts.get(x.key)) is not None:
+                    c.costs = {f: cost * int(n) for (f, cost), n in zip(self.lazy.items(), rows[i * KEYS + x.key], strict=True) if f not in x.path}
+
     def _total(self, request: Request, sums: tuple[float, float, int]) -> None:
         root = request.fresh[0]
         root.g, root.h, root.n = sums

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from thicket.plans.model import Tree
 
 
-def path_features(tree: Tree) -> list[list[int]]:
-    """Numeric features on the path to each leaf, in order of number."""
+def path_features(tree: Tree, every: bool = False) -> list[list[int]]:
+    """Numeric features on the path to each leaf, or ``every`` one, in order of number."""
     out: list[list[int]] = [[] for _ in tree.leaves]
 
     def walk(at: int, seen: set[int]) -> None:
@@ -18,7 +18,7 @@ def path_features(tree: Tree) -> list[list[int]]:
             out[~at] = sorted(seen)
         else:
             n = tree.nodes[at]
-            own = seen | ({n.feature} if n.cats is None else set())
+            own = seen | ({n.feature} if every or n.cats is None else set())
             walk(n.left, own)
             walk(n.right, own)
 

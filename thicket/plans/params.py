@@ -45,7 +45,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "feature_contri": ("feature_contrib", "fc", "fp", "feature_penalty"),
     "forcedsplits_filename": ("fs", "forced_splits_filename", "forced_splits_file", "forced_splits"),
     "forcedbins_filename": (), "refit_decay_rate": (), "path_smooth": (), "interaction_constraints": (), "cegb_tradeoff": (), "cegb_penalty_split": (),
-    "cegb_penalty_feature_coupled": (),
+    "cegb_penalty_feature_coupled": (), "cegb_penalty_feature_lazy": (),
     "verbosity": ("verbose",),
     "linear_tree": ("linear_trees",),
     "max_bin": ("max_bins",),
@@ -125,6 +125,7 @@ class Params:
     cegb_tradeoff: float = 1.0
     cegb_penalty_split: float = 0.0
     cegb_penalty_feature_coupled: list[float] = field(default_factory=list)
+    cegb_penalty_feature_lazy: list[float] = field(default_factory=list)
     path_smooth: float = 0.0
     interaction_constraints: list[list[int]] = field(default_factory=list)
     linear_tree: bool = False

@@ -65,6 +65,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         remove(spark, own)
 
 
+@contextlib.contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A path in the shared folder that is removed at the end."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove(spark, [path])
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _left:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from thicket.operators import sampling
 from thicket.plans import api
-from thicket.plans.api import TrainSet, predict, train
+from thicket.plans.api import ByArrays, Dataset, TrainSet, predict, train
 from thicket.plans.estimators import BoostedClassifier
 from thicket.plans.model import Model
+from thicket.plans.tables import scratch_folder
 from thicket.queries import oracle
 from thicket.queries.base import WITH, query, r6, shared
 
@@ -64,7 +65,7 @@ def _enter(name: str, label: str, oracle_: dict[str, Any] | None = None, **param
     if oracle_ is None:
         query(name)(lambda spark, sf_dir: _train(spark, sf_dir, label, **params))
     else:
-        query(name, oracle.trees(label=label, **oracle_))(lambda spark, sf_dir: _parts(_model(spark, sf_dir, label, **params), spark))
+        query(name, oracle.trees(**{"label": label, **oracle_}))(lambda spark, sf_dir: _parts(_model(spark, sf_dir, label, **params), spark))
 
 
 _enter("bo01_regression", "y", {})
@@ -82,6 +83,7 @@ _enter("tr22_interaction", "y", {"groups": ((0, 1), (2,))}, interaction_constrai
 _enter("tr23_extra_trees", "y", extra_trees=True)
 _enter("tr24_forced_splits", "y", {"forced": ((0, 1, 3.0), (0, 2, 2.0))}, forcedsplits_filename='{"feature": 1, "threshold": 3.0, "left": {"feature": 2, "threshold": 2.0}}')
 _enter("tr25_coupled_costs", "y", cegb_penalty_feature_coupled=[0.0, 50.0, 0.0])
+_enter("tr25_lazy_costs", "rs", {"lazy": (0.002, 0.05, 0.004)}, cegb_penalty_feature_lazy=[0.002, 0.05, 0.004])
 _enter("tr26_leaf_wise", "y", {"leaves": 15, "depth": 4}, num_leaves=15, max_depth=4)
 _enter("tr31_linear_tree", "y", linear_tree=True)
 _enter("tr32_quantised", "y", {"quantised": True}, use_quantized_grad=True, quant_train_renew_leaf=True)
@@ -131,6 +133,43 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "iteration int, dataset string, metric string, value double")
 
 
+_STARTED = oracle.training(objective="given", rows=_OWN, start="t.s * 9 + t.rs")
+
+
+@query("bo12_init_score", f"{_STARTED} {' UNION ALL '.join(f'SELECT {r} AS iteration, round(avg((s - y) * (s - y)), 6) AS value FROM s{r + 1} WHERE NOT own' for r in range(3))}")
+def start_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss of a validation set round by round, where each row of both sets starts from a score of its own."""
+    df = shared(spark, sf_dir).withColumns({"label": F.col("y"), "start": F.col("s") * 9 + F.col("rs")})
+    kept: dict[str, dict[str, list[float]]] = {}
+    own, other = (TrainSet(df.where(c), FEATURES, row_id="row_id", init_score="start") for c in (_OWN, f"NOT {_OWN}"))
+    train({**BASE, "metric": "l2"}, own, valid_sets=[other], callbacks=[api.record_evaluation(kept)])
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(kept["valid_0"]["l2"])], "iteration int, value double")
+
+
+@query("io02_sparse_training", oracle.trees())
+def sparse_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of rows that hold only what isn't zero: those of the same columns."""
+    some = F.filter(F.transform(F.array(*(F.struct(F.lit(i).alias("i"), F.coalesce(F.col(c), F.lit(float("nan"))).alias("v")) for i, c in enumerate(FEATURES))), lambda e: e), lambda e: e["v"] != 0)
+    df = shared(spark, sf_dir).select("row_id", F.col("y").alias("label"), some.alias("e")).select("row_id", "label", F.col("e.i").alias("indices"), F.col("e.v").alias("values"))
+    return _parts(train(BASE, TrainSet(df, FEATURES, row_id="row_id", sparse=("indices", "values"))), spark)
+
+
+@query("io12_data_set", oracle.trees(rounds=2))
+def data_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of a table that was binned and written before."""
+    data = TrainSet(shared(spark, sf_dir).withColumn("label", F.col("y")), FEATURES, row_id="row_id")
+    with scratch_folder(spark, "data-set") as path:
+        Dataset.build(data, BASE, path)
+        return _parts(train(BASE, Dataset.load(spark, path), 2), spark)
+
+
+@query("py06_by_arrays", oracle.trees(objective="given"))
+def by_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of an objective that is a function of arrays."""
+    data = TrainSet(shared(spark, sf_dir).withColumn("label", F.col("y")), FEATURES, row_id="row_id")
+    return _parts(train(BASE, data, fobj=ByArrays(lambda labels, scores: (scores - labels, scores * 0 + 1))), spark)
+
+
 @query("bo13_refit", f"{WITH} SELECT leaf, round(mean, 6) AS value FROM (SELECT CASE WHEN f1 <= 3 THEN 0 ELSE 1 END AS leaf, 5e-1 * CASE WHEN f1 <= 3 THEN 5e-1 ELSE -5e-1 END + 5e-1 * avg(y) AS mean FROM t GROUP BY f1 <= 3)")
 def refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thicket.plans.model import Leaf, Node, Tree
@@ -178,14 +217,21 @@ def classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.transform(df).select("row_id", "prediction", r6(F.col("probability")[1], "probability"))
 
 
-_LCG = """WITH RECURSIVE g(place, x) AS (SELECT -1, CAST(1 AS BIGINT) UNION ALL SELECT place + 1, (214013 * x + 2531011) & 4294967295 FROM g WHERE place < 19)
-    SELECT CAST(place AS INTEGER) AS place, CAST(((x >> 16) & 32767) % 32767 AS INTEGER) AS value FROM g WHERE place >= 0"""
+_DRAW = "(214013 * {} + 2531011) & 4294967295"
 
 
-@query("sm10_random_numbers", _LCG)
+@query("sm10_random_numbers", f"{WITH}, a AS (SELECT row_id, {_DRAW.format('(row_id & 4294967295)')} AS x FROM t), b AS (SELECT row_id, x, {_DRAW.format('x')} AS z FROM a) SELECT row_id, CAST(((x >> 16) & 32767) % 32767 AS INTEGER) AS first, CAST(((z >> 16) & 32767) % 100 + 5 AS INTEGER) AS second FROM b")
 def random_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = sampling.Lcg(1)
-    return spark.createDataFrame([(i, g.next_short(0, 32767)) for i in range(20)], "place int, value int")
+    """Two numbers of the generator that each row's id seeds."""
+    seed = F.col("row_id")
+    return shared(spark, sf_dir).select("row_id", sampling.lcg_short(seed, 0, 32767).alias("first"), sampling.lcg_short(seed, 5, 105, 1).alias("second"))
+
+
+@query("io13_model_text", f"{oracle.training()} SELECT row_id, round(s, 6) AS prediction FROM s3")
+def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of a trained model that has been text in between."""
+    model = _model(spark, sf_dir, "y")
+    return predict(shared(spark, sf_dir), Model.from_text(model.to_text())).select("row_id", r6("prediction", "prediction"))
 
 
 @query("st01_batch_loss", "SELECT date_trunc('hour', ts) AS start, round(avg((value - 1e1) * (value - 1e1)), 2) AS loss, count(*) AS n FROM events GROUP BY 1")

@@ -21,23 +21,27 @@ def draw(*parts: str) -> str:
 OBJECTIVES = {
     "regression": ("s - y", "1e0", "avg(y)"),
     "regression_l1": ("sign(s - y)", "1e0", "median(y)"),
+    "given": ("s - y", "1e0", "max(0e0)"),  # squares, from 0 on
     "binary": ("1 / (1 + exp(-s)) - y", "(1 / (1 + exp(-s))) * (1 - 1 / (1 + exp(-s)))", "ln(avg(y) / (1 - avg(y)))"),
 }
 
 
 def training(
     rounds: int = 3, leaves: int = 7, rate: float = 0.3, objective: str = "regression", label: str = "y", least: int = 20, depth: int = 0, groups: tuple[tuple[int, ...], ...] = (),
-    forced: tuple[tuple[int, int, float], ...] = (), bag: float = 0.0, goss: bool = False, forest: bool = False, quantised: bool = False, rows: str = "TRUE",
+    forced: tuple[tuple[int, int, float], ...] = (), bag: float = 0.0, goss: bool = False, forest: bool = False, quantised: bool = False, rows: str = "TRUE", start: str = "", lazy: tuple[float, ...] = (),
 ) -> str:
     """CTEs up to ``trees`` (tree, feature, gain, value, count) and s0, s1, ... (row_id, y, s, own): scores after each round. ``rows``: those that train.
-    forced: (leaf, feature, threshold) of the first splits."""
+    forced: (leaf, feature, threshold) of the first splits. start: SQL for each row's start score, in place of a constant. lazy: what a feature costs
+    each row that no split has asked for it before; q0, q1, ... say whether one has."""
     g, h, first = OBJECTIVES[objective]
-    out = [f"d AS MATERIALIZED (SELECT row_id, {', '.join(FEATURES)}, {label} AS y, {rows} AS own FROM t)", f"i AS MATERIALIZED (SELECT {first} AS c FROM d WHERE own)", "s0 AS MATERIALIZED (SELECT d.*, c AS s FROM d, i)"]
+    paid = "".join(f", q{i}" for i in range(len(lazy)))
+    none = "".join(f", FALSE AS q{i}" for i in range(len(lazy)))
+    out = [f"d AS MATERIALIZED (SELECT row_id, {', '.join(FEATURES)}, {label} AS y, {rows} AS own{none} FROM t)", f"i AS MATERIALIZED (SELECT {first} AS c FROM d WHERE own)", "s0 AS MATERIALIZED (SELECT d.*, c AS s FROM d, i)" if not start else f"s0 AS MATERIALIZED (SELECT d.*, {start} AS s FROM d JOIN t USING (row_id))"]
     parts = []
     for r in range(rounds):
         begin = "i.c AS s" if forest else "s AS s"
         used = f"own AND {draw('row_id', '3', str(r))} < {bag}" if bag else "own"
-        out.append(f"p{r} AS MATERIALIZED (SELECT row_id, {', '.join(FEATURES)}, y, own, s, {g} AS g, {h} AS h, {used} AS used FROM (SELECT * REPLACE ({begin}) FROM s{r}, i))")
+        out.append(f"p{r} AS MATERIALIZED (SELECT row_id, {', '.join(FEATURES)}, y, own{paid}, s, {g} AS g, {h} AS h, {used} AS used FROM (SELECT * REPLACE ({begin}) FROM s{r}, i))")
         source = f"p{r}"
         if goss and r >= int(1 / rate):
             out.append(f"k{r} AS MATERIALIZED (SELECT count(*) AS n, CAST(floor(count(*) * 2e-1) AS BIGINT) AS k, CAST(floor(count(*) * 1e-1) AS BIGINT) AS other FROM p{r})")
@@ -52,14 +56,14 @@ def training(
         out.append(f"a{r}_0 AS MATERIALIZED (SELECT *, 0 AS leaf FROM {source})")
         out.append(f"l{r}_0 AS MATERIALIZED (SELECT 0 AS leaf, 0 AS depth, -1 AS grp)")
         for k in range(leaves - 1):
-            out += _step(f"{r}_{k}", f"{r}_{k + 1}", k, least, depth, groups, forced[k] if k < len(forced) else None)
+            out += _step(f"{r}_{k}", f"{r}_{k + 1}", k, least, depth, groups, forced[k] if k < len(forced) else None, lazy)
             parts.append(f"SELECT {r} AS tree, feature, gain, CAST(NULL AS DOUBLE) AS value, n AS count FROM b{r}_{k}")
         last = f"a{r}_{leaves - 1}"
         value = "median(y - s)" if objective == "regression_l1" else "-sum(whole) / sum(h)" if quantised else "-sum(g) / sum(h)"
         shrink, bias = ("1e0", "i.c") if forest else (repr(float(rate)), "i.c" if r == 0 else "0")
         out.append(f"v{r} AS MATERIALIZED (SELECT leaf, {value} * {shrink} AS value, count(*) AS count FROM {last} WHERE used GROUP BY leaf)")
         parts.append(f"SELECT {r}, NULL, NULL, value + {bias}, count FROM v{r}, i")
-        out.append(f"s{r + 1} AS MATERIALIZED (SELECT a.row_id, {', '.join('a.' + f for f in FEATURES)}, a.y, a.own, a.s + v.value AS s FROM {last} a JOIN v{r} v ON a.leaf = v.leaf)")
+        out.append(f"s{r + 1} AS MATERIALIZED (SELECT a.row_id, {', '.join('a.' + f for f in FEATURES)}, a.y, a.own{paid}, a.s + v.value AS s FROM {last} a JOIN v{r} v ON a.leaf = v.leaf)")
     return f"{WITH}, {', '.join(out)}, trees AS ({' UNION ALL '.join(parts)})"
 
 
@@ -86,25 +90,28 @@ def classes(k: int = 3, rounds: int = 3, leaves: int = 7, rate: float = 0.3, lab
     return f"{WITH}, {', '.join(out)}, trees AS ({' UNION ALL '.join(parts)})"
 
 
-def _step(now: str, then: str, k: int, least: int, depth: int, groups: tuple[tuple[int, ...], ...], forced: tuple[int, int, float] | None) -> list[str]:
+def _step(now: str, then: str, k: int, least: int, depth: int, groups: tuple[tuple[int, ...], ...], forced: tuple[int, int, float] | None, lazy: tuple[float, ...] = ()) -> list[str]:
     """The best split of all leaves, and rows and leaves after it. Where none gains, nothing changes."""
-    melted = " UNION ALL ".join(f"SELECT leaf, {i} AS feature, {f} AS v, g, h FROM a{now} WHERE used" for i, f in enumerate(FEATURES))
+    unpaid = [f"CASE WHEN q{i} THEN 0 ELSE 1 END" for i in range(len(lazy))] or ["0"] * len(FEATURES)
+    melted = " UNION ALL ".join(f"SELECT leaf, {i} AS feature, {f} AS v, g, h, {unpaid[i]} AS o FROM a{now} WHERE used" for i, f in enumerate(FEATURES))
     sums = "sum({0}) OVER (PARTITION BY leaf, feature)"
     upto = "coalesce(sum({0}) OVER (PARTITION BY leaf, feature ORDER BY v NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)"
     missing = "coalesce(sum(CASE WHEN v IS NULL THEN {0} END) OVER (PARTITION BY leaf, feature), 0)"
-    x = f"x{now} AS MATERIALIZED (SELECT leaf, feature, v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM ({melted}) GROUP BY leaf, feature, v)"
-    columns = ", ".join(f"{sums.format(c)} AS t{c}, {upto.format(c)} AS u{c}, {missing.format(c)} AS m{c}" for c in "ghn")
+    x = f"x{now} AS MATERIALIZED (SELECT leaf, feature, v, sum(g) AS g, sum(h) AS h, count(*) AS n, sum(o) AS o FROM ({melted}) GROUP BY leaf, feature, v)"
+    columns = ", ".join(f"{sums.format(c)} AS t{c}, {upto.format(c)} AS u{c}, {missing.format(c)} AS m{c}" for c in "ghn") + f", {sums.format('o')} AS owed"
     w = f"w{now} AS MATERIALIZED (SELECT leaf, feature, v, lead(v) OVER (PARTITION BY leaf, feature ORDER BY v NULLS LAST) AS above, {columns} FROM x{now})"
     # missing values left (0), right (1). Of bounds that part a leaf alike the first way takes the highest, so that values the leaf lacks go
     # left up to the next that it has; the second takes the lowest. Missing values alone may go left where a leaf lacks the least values
     ways = " UNION ALL ".join(
         [
-            f"SELECT leaf, feature, 0 AS way, v, above, ug + mg AS lg, uh + mh AS lh, un + mn AS ln, tg, th, tn FROM w{now} WHERE v IS NOT NULL",
-            f"SELECT leaf, feature, 0, -1e300, min(v), max(mg), max(mh), max(mn), max(tg), max(th), max(tn) FROM w{now} WHERE feature = 0 GROUP BY leaf, feature HAVING min(v) > (SELECT min(f0) FROM d WHERE own)",
-            f"SELECT leaf, feature, 1, v, NULL, ug, uh, un, tg, th, tn FROM w{now} WHERE v IS NOT NULL AND feature = 0",
+            f"SELECT leaf, feature, 0 AS way, v, above, ug + mg AS lg, uh + mh AS lh, un + mn AS ln, tg, th, tn, owed FROM w{now} WHERE v IS NOT NULL",
+            f"SELECT leaf, feature, 0, -1e300, min(v), max(mg), max(mh), max(mn), max(tg), max(th), max(tn), max(owed) FROM w{now} WHERE feature = 0 GROUP BY leaf, feature HAVING min(v) > (SELECT min(f0) FROM d WHERE own)",
+            f"SELECT leaf, feature, 1, v, NULL, ug, uh, un, tg, th, tn, owed FROM w{now} WHERE v IS NOT NULL AND feature = 0",
         ]
     )
     gain = "lg * lg / lh + (tg - lg) * (tg - lg) / (th - lh) - tg * tg / th"
+    if lazy:
+        gain += " - owed * CASE feature " + " ".join(f"WHEN {i} THEN {c!r}" for i, c in enumerate(lazy)) + " END"
     allowed = "TRUE"
     if groups:
         place = "CASE " + " ".join(f"WHEN feature IN ({', '.join(map(str, s))}) THEN {i}" for i, s in enumerate(groups)) + " END"
@@ -118,7 +125,8 @@ def _step(now: str, then: str, k: int, least: int, depth: int, groups: tuple[tup
     b = f"b{now} AS MATERIALIZED (SELECT leaf, feature, way, v, {'CAST(NULL AS DOUBLE) AS above' if forced else 'above'}, gain, depth, grp, tn AS n FROM c{now} WHERE gain > 0 ORDER BY {order} LIMIT 1)"
     value = "CASE b.feature " + " ".join(f"WHEN {i} THEN a.{f}" for i, f in enumerate(FEATURES)) + " END"
     right = f"coalesce(b.leaf = a.leaf AND NOT CASE WHEN {value} IS NULL THEN b.way = 0 WHEN b.above IS NOT NULL THEN {value} < b.above ELSE {value} <= b.v END, FALSE)"
-    a = f"a{then} AS MATERIALIZED (SELECT a.* REPLACE (CASE WHEN {right} THEN {k + 1} ELSE a.leaf END AS leaf) FROM a{now} a LEFT JOIN b{now} b ON TRUE)"
+    asked = "".join(f", a.q{i} OR coalesce(b.leaf = a.leaf AND b.feature = {i}, FALSE) AS q{i}" for i in range(len(lazy)))
+    a = f"a{then} AS MATERIALIZED (SELECT a.* REPLACE (CASE WHEN {right} THEN {k + 1} ELSE a.leaf END AS leaf{asked}) FROM a{now} a LEFT JOIN b{now} b ON TRUE)"
     group = "CASE b.feature " + " ".join(f"WHEN {f} THEN {i}" for i, s in enumerate(groups) for f in s) + " END" if groups else "-1"
     below = f"SELECT {{0}} AS leaf, b.depth + 1 AS depth, {group} AS grp FROM b{now} b"
     leaves = f"l{then} AS MATERIALIZED (SELECT l.* FROM l{now} l WHERE l.leaf NOT IN (SELECT leaf FROM b{now}) UNION ALL {below.format('b.leaf')} UNION ALL {below.format(k + 1)})"

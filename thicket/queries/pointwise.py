@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions import metrics, objectives
+from thicket.plans.closures import ByArrays
 from thicket.queries.oracle import draw
 from thicket.queries.base import QUERIES, SQL, WITH, WITH_SCORES, query, r6, shared, with_scores
 
@@ -271,15 +272,20 @@ def mean_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mean_average_precision(shared(spark, sf_dir), (1, 3, 5), label="rel", score="rs").select("k", r6("value", "value"))
 
 
-@query("me23_metric_names")
+@query("me23_metric_names", f"{WITH}, m AS (SELECT avg((s - y) * (s - y)) AS l2, avg(abs(s - y)) AS l1 FROM t) SELECT 'l2' AS metric, round(l2, 6) AS value, FALSE AS higher_is_better FROM m UNION ALL SELECT 'l1', round(l1, 6), FALSE FROM m UNION ALL SELECT 'rmse', round(sqrt(l2), 6), FALSE FROM m")
 def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(a, m, metrics.METRICS[m].higher_is_better) for a, m in metrics.ALIASES.items()], "alias string, metric string, higher_is_better boolean")
+    """The metrics of a list of aliases: repeats and unknown names are dropped, the order stays."""
+    names = metrics.parse("mse, mae,unheard_of,mean_squared_error,l2_root,regression_l1", "regression")
+    flat = shared(spark, sf_dir).select(F.col("s").alias("raw"), F.col("s").alias("score"), F.col("y").alias("label"))
+    return spark.createDataFrame([(n, round(v, 6), h) for n, v, h in metrics.evaluate_all(flat, names)], "metric string, value double, higher_is_better boolean")
 
 
-@query("me24_custom_metric", f"{WITH} SELECT 'mean_gap' AS metric, round(avg(s - y), 6) AS value FROM t")
+@query("me24_custom_metric", f"{WITH}, q AS (SELECT query_id, sum(w * (s - y)) / sum(w) AS gap FROM t GROUP BY query_id) SELECT 'mean_gap' AS metric, round(avg(gap), 6) AS value FROM q")
 def custom_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lambda df: [("mean_gap", df.agg(F.avg(F.col("s") - F.col("y")).alias("v")).first()["v"], False)]
-    return spark.createDataFrame([(n, round(v, 6)) for n, v, _ in own(shared(spark, sf_dir))], "metric string, value double")
+    """A metric of the caller's, a function of each query's arrays."""
+    own = ByArrays(lambda labels, scores, weights, group: ("mean_gap", (weights * (scores - labels)).sum() / weights.sum(), False))
+    flat = shared(spark, sf_dir).select(F.col("s").alias("score"), F.col("y").alias("label"), F.col("w").alias("weight"), "query_id")
+    return spark.createDataFrame([(n, round(v, 6)) for n, v, _ in own.metric(flat)], "metric string, value double")
 
 
 @query("me25_weighted_l2", f"{WITH} SELECT 'l2' AS metric, round(sum(w * (s - y) * (s - y)) / sum(w), 6) AS value FROM t")

@@ -20,7 +20,8 @@ from thicket.sources import matrix
 
 @query("io01_dense", f"{WITH} SELECT row_id, f1 AS \"Column_0\", f2 AS \"Column_1\", y AS label FROM t")
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir).select("row_id", F.col("f1").alias("Column_0"), F.col("f2").alias("Column_1"), F.col("y").alias("label"))
+    rows = shared(spark, sf_dir).select("row_id", F.array("f1", "f2").alias("row"), F.col("y").alias("label"))
+    return matrix.from_row_arrays(rows, "row", 2).df.select("row_id", "Column_0", "Column_1", "label")
 
 
 @query("io02_sparse_rows", f"{WITH} SELECT row_id, CASE WHEN b1 = 0 THEN f1 ELSE 0e0 END AS \"Column_0\", CASE WHEN b1 = 1 THEN f1 ELSE 0e0 END AS \"Column_1\", CASE WHEN b1 = 2 THEN f1 ELSE 0e0 END AS \"Column_2\" FROM t WHERE b1 < 3")
@@ -486,12 +487,6 @@ def linear_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(shared(spark, sf_dir), Model(["f0", "f1"], "regression", 1, [_linear()]), "raw").select("row_id", r6("prediction", "prediction"))
 
 
-@query("io13_model_text")
-def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = Model.from_text(_MODEL.to_text()).to_text()
-    return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "place int, line string")
-
-
 @query("io16_model_sql", f"{WITH} SELECT count(*) AS n, round(avg({_RAW}), 6) AS mean FROM t")
 def model_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, sf_dir).select(F.expr(_MODEL.to_sql()[0]).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean"))

@@ -44,6 +44,14 @@ def from_dense(spark: SparkSession, rows: Any, names: list[str] | None = None, l
     return TrainSet(spark.createDataFrame(pa.table(columns, ["row_id", "label", *names])), names, row_id="row_id")
 
 
+def from_row_arrays(df: DataFrame, column: str, width: int, names: list[str] | None = None, label: str = "label", row_id: str | None = "row_id") -> TrainSet:
+    """A table whose rows are arrays of ``width`` numbers, as a column a place. A row of another length is an error when it is read."""
+    names = names or [f"Column_{i}" for i in range(width)]
+    checked = F.when(F.size(column) == width, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"a row has not {width} values but "), F.size(column).cast("string"))))
+    rows = df.withColumn(column, checked.cast("array<double>"))
+    return TrainSet(rows.select(*(F.col(c) for c in df.columns if c != column), *(F.col(column)[i].alias(n) for i, n in enumerate(names))), names, label, row_id=row_id)
+
+
 def from_entries(entries: DataFrame, width: int, names: list[str] | None = None) -> DataFrame:
     """Wide rows from (row, col, val): absent entries are 0. One aggregation for any width."""
     names = names or [f"Column_{i}" for i in range(width)]
