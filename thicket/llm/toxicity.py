@@ -2,7 +2,7 @@
 
 Features of a text are the words it holds (lower case) and their beginnings of ``PREFIXES`` bytes; each counts once a text, so one insult in a long
 text weighs as much as in a short one. The model knows the ``FEATURES`` features that tell labelled texts apart most (the likelihood ratio of
-their presence); a word is known by its 64-bit hash, so other words never pass for it.
+their presence, ``GAIN`` at least); a word is known by its 64-bit hash, so other words never pass for it.
 
 *Counterfactuals*: in every labelled sentence that names a group (``IDENTITY``: sets of terms that can stand for each other), the term is swapped for each
 other term of its set. Training minimises the log loss of texts plus ``BALANCE`` times the mean squared difference of the scores (log odds) of a sentence
@@ -35,9 +35,11 @@ from thicket.llm.quality import held_out
 from thicket.llm.shared import labelled_sample, least_hashes, materialise
 from thicket.llm.words import _BYTE_BASE, ALNUM, Words, chunks, mix, ranges_hash, split_words
 
-FEATURES, SAMPLE, PAIRS, LEAST = 4096, 30_000, 20_000, 5
+FEATURES, SAMPLE, PAIRS, LEAST = 4096, 30_000, 20_000, 4
+#: Log-likelihood ratio under which a feature tells nothing: chance alone gives one in 50,000 as much.
+GAIN = 9.0
 PREFIXES = (4, 5, 6)
-BALANCE, RIDGE, STEPS, THRESHOLD = 1.0, 1e-4, 500, 0.5
+BALANCE, RIDGE, STEPS, THRESHOLD = 1.0, 1e-5, 500, 0.5
 #: Terms that can stand for each other in a sentence; swaps stay within a language and kind.
 IDENTITY = (
     ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("female", "male", "transgender", "nonbinary"),
@@ -131,13 +133,13 @@ def _candidates(texts: DataFrame, least: int) -> DataFrame:
 
 
 def _telling(counts: DataFrame, rows: int, toxic: int, most: int) -> DataFrame:
-    """The ``most`` features of the greatest likelihood ratio."""
+    """The ``most`` features of the greatest likelihood ratio, of those that have more of it than chance gives."""
     part = lambda k, n: k * F.log((k + 0.5) / (n + 1.0))
     n, t = F.col("n"), F.col("toxic")
     clean = rows - toxic
     split = part(t, F.lit(toxic)) + part(toxic - t, F.lit(toxic)) + part(n - t, F.lit(clean)) + part(clean - n + t, F.lit(clean))
     whole = part(n, F.lit(rows)) + part(rows - n, F.lit(rows))
-    return counts.withColumn("gain", F.round(split - whole, 6)).orderBy(F.desc("gain"), "key").limit(most).select("key")
+    return counts.withColumn("gain", F.round(split - whole, 6)).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "key").limit(most).select("key")
 
 
 def _bits(doc: np.ndarray, at: np.ndarray, rows: int) -> list[bytes]:
