@@ -513,6 +513,47 @@ def test_ids_decide_no_score(spark):
     assert len({s for s in scores[0]}) > 5
 
 
+def test_scores_dont_hang_on_places_in_a_batch():
+    """A text has the same vector and score alone, at any place of a batch, and beside any others."""
+    rng = np.random.default_rng(5)
+    known = [" ".join(_words(40, i)) for i in range(300)]
+    model = quality.Model(np.ones(quality.BUCKETS), *quality.terms(pa.array(known)), rng.integers(0, 2, 300))
+    texts = [" ".join(_words(5 + i % 50, 1000 + i)) for i in range(300)]
+    whole = model.latent(pa.array(texts))
+    for i in (0, 1, 87, 255, 256, 299):
+        assert np.abs(whole[i] - model.latent(pa.array(texts[i : i + 1]))[0]).max() < 1e-12
+    assert model.score(pa.array(texts)).tolist() == [model.score(pa.array([t]))[0] for t in texts]
+
+
+def test_quality_sends_texts_alone_to_python(spark):
+    """A carried row stays in Spark: a column that Arrow can't hold comes back."""
+    df = spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string").withColumn("gap", F.expr("make_interval(doc_id)"))
+    model = quality.train(df.select("doc_id", "text"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    got = quality.score(df, model, carry="row").select("doc_id", F.col("row.gap").cast("string").alias("gap")).collect()
+    assert sorted((r["doc_id"], r["gap"]) for r in got) == [(1, "1 years"), (2, "2 years")]
+
+
+def test_words_in_few_bytes_and_let_go(spark):
+    import public_tokenizers
+
+    coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    coder.encode(["the cat's hat, the hat. " * 3, "hat's the cat"])
+    assert coder.known.pieces and {type(v) for v in coder.known.pieces.values()} == {int}
+    df = spark.createDataFrame([(i, f"word{i}") for i in range(200)], "doc_id long, text string")
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")  # more tasks than workers
+        assert tokens.encode_documents(df).count() == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keep)
+
+    def held(frames):
+        for frame in frames:
+            yield frame.assign(id=len(tokens._encoders))
+
+    assert {r["id"] for r in spark.range(0, 12, 1, 12).mapInPandas(held, "id long").collect()} == {0}
+
+
 def test_quality_is_learnt(spark):
     good = [(i, " ".join(_words(80, i)), 1) for i in range(120)]
     bad = [(1000 + i, "BUY NOW!!! " * 40 + str(i), 0) for i in range(60)]

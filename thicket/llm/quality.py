@@ -20,10 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from thicket.llm.shared import labelled_sample
 from thicket.llm.words import SPACED, byte_class, chunks, split_words
@@ -125,7 +123,8 @@ class Model:
         self.mean = x.mean(0) if len(x) else np.zeros(TERMS, np.float32)
         x = x - self.mean
         _, base = np.linalg.eigh(x.T.astype(np.float64) @ x)
-        self.base = base[:, ::-1][:, :RANK].astype(np.float32)
+        # in double precision, as single products hang on where a text lies in its block, and may tip a cosine's last place
+        self.base = np.ascontiguousarray(base[:, ::-1][:, :RANK])
         self.known = self.unit(x @ self.base)
 
     @staticmethod
@@ -143,7 +142,7 @@ class Model:
         own = self.latent(column)
         k, out = min(NEIGHBOURS, len(self.labels)), np.zeros(len(column))
         for at in range(0, len(own), 256):
-            cosines = np.round(own[at : at + 256] @ self.known.T, DIGITS)
+            cosines = np.round(own[at : at + 256] @ self.known.T, DIGITS).astype(np.float32)
             least = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
             # all that are nearer than the k-th, and its equals, which share the places that are left
             nearer, equal = cosines > least, cosines == least
@@ -180,22 +179,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs`` (doc_id, text); ``carry``: the name of a struct column that
-    holds the whole row."""
+    holds the whole row. Only texts go to the Python workers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if carry else ["doc_id", "text"])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(0)
-            fields = [f.name for f in rows.type]
-            text = pc.struct_field(rows, [fields.index("text")]).cast(pa.string())
-            for part in chunks(iter([pa.RecordBatch.from_arrays([rows, text], ["row", "text"])]), "text"):
-                kept = part.column(0) if carry else pc.struct_field(part.column(0), [0])
-                yield pa.RecordBatch.from_arrays([kept, pa.array(shared.value.score(part.column(1)), pa.float64())], ["kept", "score"])
-
-    inputs = docs.select(row.alias("row"))
-    kind = inputs.schema["row"].dataType if carry else docs.schema["doc_id"].dataType
-    found = inputs.mapInArrow(run, T.StructType([T.StructField("kept", kind), T.StructField("score", T.DoubleType())]))
-    doc_id = F.col("kept").getField("doc_id") if carry else F.col("kept")
-    found = found.select(doc_id.alias("doc_id"), "score", *([F.col("kept").alias(carry)] if carry else []))
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = chunks(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text")
+            yield pa.array(np.concatenate([np.zeros(0), *(shared.value.score(p.column(0)) for p in parts)]), pa.float64())
+
+    # called non-deterministic so that a filter by the score doesn't compute it again
+    of_text = F.arrow_udf(run, "double").asNondeterministic()(F.col("text").cast("string"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(carry)] if carry else []
+    found = docs.select("doc_id", of_text.alias("score"), *row)
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *([carry] if carry else []))

@@ -171,7 +171,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Index of each known word; a new one is encoded when it is looked up."""
+    """Index of each known word; a new one is encoded when it is looked up. ``pieces``: where the ids of a word's part first lie in ``flat``, and how many they are."""
 
     def __init__(self, model: object) -> None:
         super().__init__()
@@ -180,10 +180,13 @@ class _Known(dict):
 
     def __missing__(self, word: str) -> int:
         for piece in _LATIN_CUT.findall(word):
-            ids = self.pieces.get(piece)
-            if ids is None:
+            place = self.pieces.get(piece)
+            if place is None:
                 seen = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
-                ids = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(seen)])
+                ids = [t.id for t in self.model.tokenize(seen)]
+                self.pieces[piece] = len(self.flat) << 32 | len(ids)
+            else:
+                ids = self.flat[place >> 32 : (place >> 32) + (place & 0xFFFFFFFF)]
             self.flat.extend(ids)
         self.first.append(len(self.flat))
         self[word] = n = len(self.first) - 2
@@ -255,12 +258,17 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per Python worker."""
+    """One per Python worker, until the worker reads shards."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def let_go() -> None:
+    """Once all is encoded: remembered words shouldn't fill a worker that goes on to other work. A function, as tasks get copies of the globals that they name themselves."""
+    _encoders.clear()
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) into shards of ranges of doc_id, in ascending order, below ``path``: shard, their names in that
     order.
@@ -308,6 +316,7 @@ def read_shards(shards: DataFrame, path: str) -> DataFrame:
     width = shuffle_width(shards.sparkSession)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         fs, base = filesystem(path)
         for frame in frames:
             for name in frame["shard"]:
