@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thicket.llm import decontaminate, mixing, neardup, nearest, pii, quality, secrets, substring, tokens, warc
+from thicket.llm.shared import few
 from thicket.llm.words import ALNUM, LOWER, SPACED, split_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kind string, h long"
@@ -533,6 +534,22 @@ def test_quality_sends_texts_alone_to_python(spark):
     assert sorted((r["doc_id"], r["gap"]) for r in got) == [(1, "1 years"), (2, "2 years")]
 
 
+def test_small_tables_arent_dealt_over_all_partitions(spark):
+    """Few links go through few tasks at any number of shuffle partitions; many rows through as many as they are worth."""
+    links = spark.createDataFrame([(i // 4 * 4, i) for i in range(400)], "a long, b long")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = neardup.classes(links)
+        assert len(found.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+        assert {(r["doc"], r["class"]) for r in found.collect()} == {(i, i // 4 * 4) for i in range(400)}
+        assert few(spark.range(0, 10, 1, 40), 10**6, 50_000).rdd.getNumPartitions() == 20
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_words_in_few_bytes_and_let_go(spark):
     import public_tokenizers
 

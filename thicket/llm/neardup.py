@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.shared import join_counted, materialise
+from thicket.llm.shared import SMALL, few, if_small, join_counted, materialise
 from thicket.llm.words import LOWER, SPACED, Words, _WORD_BASE, chunks, mix, ranges_hash, split_words
 
 K, KEEP, ROWS, BANDS, THRESHOLD = 5, 2, 2, 16, 0.8
@@ -149,9 +149,12 @@ def _sketch_table(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) and whether their texts are near."""
-    right = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+    """The pairs (a, b; a written table) and whether their texts are near. Few pairs go to the texts, and only the texts that they need are shuffled."""
+    left, wanted = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), if_small(pairs)
+    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")).join(wanted, "b")
+    if wanted is not pairs:
+        left = left.join(F.broadcast(few(pairs.select("a").distinct(), SMALL)), "a", "left_semi")
+    both = few(right.join(left, "a"), pairs.count(), 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None  # sorted by a, so that its k-mers are made once
@@ -170,13 +173,14 @@ def _checked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
 def _stars(entries: DataFrame) -> DataFrame:
     """Of entries (bucket x, y; doc) those that share a bucket, with the bucket's head: the member whose buckets hold most, which in
     a cloud of copies is the text that they come from."""
-    sizes = materialise(entries.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "neardup-sizes")
+    sizes = materialise(few(entries.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), entries.count()), "neardup-sizes")
     # written first, here and below: a join of plain tables is one whose hot keys Spark can split
-    shared = materialise(entries.join(sizes, ["x", "y"]), "neardup-shared")
-    fame = shared.groupBy("doc").agg(F.sum("n").alias("fame"))
+    shared = materialise(entries.join(if_small(sizes), ["x", "y"]), "neardup-shared")
+    n = shared.count()
+    fame = if_small(materialise(few(shared.groupBy("doc").agg(F.sum("n").alias("fame")), n), "neardup-fame"))
     order = F.struct((-F.col("fame")).alias("f"), F.xxhash64("doc", "x").alias("h"), F.col("doc").alias("doc"))
     heads = shared.select("x", "y", "doc").join(fame, "doc").groupBy("x", "y").agg(F.min(order).alias("head")).select("x", "y", F.col("head.doc").alias("head"))
-    return shared.select("x", "y", "doc").join(materialise(heads, "neardup-heads"), ["x", "y"])
+    return shared.select("x", "y", "doc").join(if_small(materialise(few(heads, n), "neardup-heads")), ["x", "y"])
 
 
 def _common(texts: DataFrame, k: int) -> DataFrame:
@@ -193,35 +197,39 @@ def _common(texts: DataFrame, k: int) -> DataFrame:
     lists = materialise(texts.select("doc", "text").mapInArrow(run, "doc long, grams array<long>, sign array<long>"), "neardup-grams")
     rows = lists.select("doc", F.explode("grams").alias("gram"))
     repeated = materialise(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "neardup-repeated")
-    counts = rows.join(repeated, "gram").groupBy("doc").agg(F.count(F.lit(1)).alias("common"))
+    counts = rows.join(if_small(repeated), "gram").groupBy("doc").agg(F.count(F.lit(1)).alias("common"))
+    counts = if_small(materialise(few(counts, lists.count()), "neardup-counts"))
     return lists.select("doc", F.size("grams").cast("long").alias("size"), "sign").join(counts, "doc")
 
 
-def _mixed(entries: DataFrame) -> DataFrame:
-    """Buckets (x, y) of entries (x, y, doc, class) that hold several classes: the class that most are of, and how many aren't."""
-    sizes = entries.groupBy("x", "y", "class").agg(F.count(F.lit(1)).alias("c"))
+def _mixed(entries: DataFrame, rows: int) -> DataFrame:
+    """Buckets (x, y) of entries (x, y, doc, class; ``rows`` at most) that hold several classes: the class that most are of, and how many aren't."""
+    sizes = few(entries.groupBy("x", "y", "class").agg(F.count(F.lit(1)).alias("c")), rows)
     found = sizes.groupBy("x", "y").agg(F.max(F.struct("c", "class")).alias("top"), F.sum("c").alias("n")).where("n > top.c")
-    return materialise(found.select("x", "y", F.col("top.class").alias("major"), (F.col("n") - F.col("top.c")).alias("minor")), "neardup-mixed")
+    return materialise(few(found.select("x", "y", F.col("top.class").alias("major"), (F.col("n") - F.col("top.c")).alias("minor")), rows), "neardup-mixed")
 
 
 def _classed(entries: DataFrame, class_of: DataFrame) -> DataFrame:
-    out = entries.join(class_of, "doc", "left")
+    out = entries.join(if_small(class_of), "doc", "left")
     return out.select("x", "y", "doc", F.coalesce("class", "doc").alias("class"), (F.xxhash64("doc", "x", "y").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)).alias("u"))
 
 
 def classes(links: DataFrame) -> DataFrame:
     """Connected components: (doc, class), class the least doc, of links (a, b). Hook to the least neighbour, then to its
     parent, until nothing changes; each round cuts the lineage by a written table."""
-    edges = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    edges = materialise(few(edges, links.count()), "links")
     both = edges.union(edges.select("b", "a")).toDF("v", "u")
+    n = 2 * edges.count()
     label = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("c"))
-    label = materialise(label, "classes")
+    label = materialise(few(label, n), "classes")
     while True:
-        near = both.join(label.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").groupBy("v").agg(F.min("cu").alias("m"))
-        hooked = label.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+        known = if_small(label)
+        near = few(both.join(known.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").groupBy("v").agg(F.min("cu").alias("m")), n)
+        hooked = near.join(known, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         # the parent's label: long chains shorten by half in each round
-        jumped = hooked.join(label.select(F.col("v").alias("c"), F.col("c").alias("up")), "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c"))
-        jumped = materialise(jumped, "classes")
+        jumped = hooked.join(known.select(F.col("v").alias("c"), F.col("c").alias("up")), "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c"))
+        jumped = materialise(few(jumped, n), "classes")
         if jumped.where("old <> c").limit(1).count() == 0:
             return jumped.select(F.col("v").alias("doc"), F.col("c").alias("class"))
         label = jumped.select("v", "c")
@@ -239,53 +247,61 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
         docs = materialise(docs.withColumn("doc", F.monotonically_increasing_id()), "neardup-rows")
     sketch = materialise(_sketch_table(docs, k, bands, rows), "neardup-sketches")
     same = ["one", "two", "n_words"]
-    nodes = materialise(sketch.groupBy(*same).agg(F.min("doc").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "neardup-nodes")
-    head = sketch.join(nodes.select(F.col("node").alias("doc")), "doc", "left_semi")
+    n = sketch.count()
+    nodes = materialise(few(sketch.groupBy(*same).agg(F.min("doc").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), n), "neardup-nodes")
+    head = sketch.join(if_small(nodes.select(F.col("node").alias("doc"))), "doc", "left_semi")
 
     entries = materialise(head.select("doc", F.posexplode("keys").alias("band", "key")).select(F.col("key").alias("x"), F.col("band").cast("long").alias("y"), "doc"), "neardup-entries")
     stars = materialise(_stars(entries), "neardup-stars")
     near = stars.where("doc <> head").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
-    near = materialise(near, "neardup-candidates")
-    ends = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    # by shuffle at every size: the documents to compare grow with the input, so they are no table to broadcast
-    texts = materialise(docs.select("doc", "text").join(ends.hint("merge"), "doc", "left_semi"), "neardup-texts")
+    near = materialise(few(near, stars.count()), "neardup-candidates")
+    ends = materialise(few(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), 2 * near.count()), "neardup-ends")
+    # beyond few documents by shuffle: those to compare grow with the input, so they are no table to broadcast
+    few_ends = if_small(ends)
+    texts = materialise(docs.select("doc", "text").join(few_ends if few_ends is not ends else ends.hint("merge"), "doc", "left_semi"), "neardup-texts")
     known = materialise(_checked(near, texts, k, threshold), "neardup-pairs")
     class_of = classes(known.where("near"))
 
     # members of buckets that hold several classes meet again where they agree in two bands
     again = _classed(stars.select("x", "y", "doc"), class_of)
-    again = materialise(again.join(_mixed(again).select("x", "y"), ["x", "y"]).select("x", "y", "doc"), "neardup-again")
-    two = materialise(again.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("y", "x"))).alias("k")), "neardup-two")  # BANDS entries at most
+    again = materialise(again.join(if_small(_mixed(again, stars.count())).select("x", "y"), ["x", "y"]).select("x", "y", "doc"), "neardup-again")
+    two = materialise(few(again.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("y", "x"))).alias("k")), again.count(), 20_000), "neardup-two")  # BANDS entries at most
     finer = F.explode(F.expr("flatten(transform(k, p -> transform(filter(k, q -> q.y > p.y), q -> struct(p.x AS p, q.x AS q, p.y * 1000 + q.y AS y))))"))
     finer = two.select("doc", finer.alias("e")).select(F.xxhash64("e.p", "e.q").alias("x"), "e.y", "doc")
     # documents whose other k-mers are their own alone can't be near to any
-    common = materialise(_common(texts.join(two.select("doc"), "doc", "left_semi"), k), "neardup-common")
+    common = materialise(_common(texts.join(if_small(two.select("doc")), "doc", "left_semi"), k), "neardup-common")
     possible = common.where(F.col("common") >= threshold * F.col("size") - 1e-9)
     slots = F.map_from_entries(F.transform("k", lambda e: F.struct(e["y"], e["x"])))
     slotted = two.select("doc", slots.alias("m")).select("doc", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.try_element_at("m", b.cast("long"))).alias("slots"))
-    possible = materialise(possible.join(slotted, "doc"), "neardup-possible")
+    # small ones are broadcast: of some 300 bytes a document
+    possible = materialise(possible.join(if_small(slotted, SMALL // 4), "doc"), "neardup-possible")
+    some = if_small(possible, SMALL // 4)
     least, agree = threshold / (1 + threshold), (1 + threshold) / 2
     apart = int(SIGN_BITS * (1 - agree) + SIGN_SLACK * math.sqrt(SIGN_BITS * agree * (1 - agree)))
     # a pair may share many buckets: it is compared in the first that two bands give, or else in that of its only band
     agreeing = "(" + " + ".join(f"if(slots[{b}] = h_slots[{b}], {1 << b}L, 0L)" for b in range(bands)) + ")"
     in_two = f"({agreeing} & (shiftleft(2L, int(y % 1000)) - 1L)) = shiftleft(1L, int(y div 1000)) + shiftleft(1L, int(y % 1000))"
     for entries, here in ((finer, in_two), (again, f"{agreeing} = shiftleft(1L, int(y))")):
-        heads, rest = 64, materialise(entries.join(possible.select("doc"), "doc", "left_semi"), "neardup-rest")
+        heads, rest = 64, materialise(entries.join(if_small(possible.select("doc")), "doc", "left_semi"), "neardup-rest")
+        n = rest.count()
         while True:
             # of any two classes one isn't the bucket's largest: ever more drawn members of such classes are compared with all
             # of other classes, and leave
             rest = _classed(rest, class_of)
-            mixed = _mixed(rest)
+            mixed = _mixed(rest, n)
             if mixed.limit(1).count() == 0:
                 break
-            live = materialise(rest.join(mixed, ["x", "y"]).join(possible, "doc").withColumn("drawn", (F.col("class") != F.col("major")) & (F.col("u") <= F.lit(float(heads)) / F.col("minor"))), "neardup-live")
+            live = materialise(rest.join(if_small(mixed), ["x", "y"]).join(some, "doc").withColumn("drawn", (F.col("class") != F.col("major")) & (F.col("u") <= F.lit(float(heads)) / F.col("minor"))), "neardup-live")
             drawn = live.where("drawn").select("x", "y", *(F.col(c).alias(f"h_{c}") for c in ("doc", "class", "size", "common", "sign", "slots")))
             enough = F.least("common", "h_common") >= least * (F.col("size") + F.col("h_size")) - 1e-9
             # written out, so that it is compiled
             close = F.expr(" + ".join(f"bit_count(sign[{i}] ^ h_sign[{i}])" for i in range(SIGN_BITS // 64)) + f" <= {apart}")
-            pairs = live.join(drawn, ["x", "y"]).where((F.col("class") != F.col("h_class")) & enough & (close if signed else F.lit(True)) & F.expr(here))
+            some_drawn = if_small(drawn, SMALL // 4)
+            # a broadcast leaves the comparing to the tasks that read, so these rows are dealt out evenly
+            spread = live if some_drawn is drawn else live.repartition(max(4 * live.sparkSession.sparkContext.defaultParallelism, live.count() // 5000))
+            pairs = spread.join(some_drawn, ["x", "y"]).where((F.col("class") != F.col("h_class")) & enough & (close if signed else F.lit(True)) & F.expr(here))
             pairs = pairs.select(F.least("doc", "h_doc").alias("a"), F.greatest("doc", "h_doc").alias("b")).distinct()
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = materialise(pairs.join(if_small(known.select("a", "b")), ["a", "b"], "left_anti"), "neardup-candidates")
             new = materialise(_checked(pairs, texts, k, threshold), "neardup-pairs")
             known = known.unionByName(new)
             if new.where("near").limit(1).count():
@@ -293,9 +309,9 @@ def near_copies(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
             rest, heads = live.where("not drawn").select("x", "y", "doc"), heads * 16
     found = known.where("near").select("a", "b")
     degree = found.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = class_of.join(degree, "doc").select(F.col("doc").alias("node"), "class", "n_links")
-    full = nodes.join(linked, "node", "left").withColumns({"class": F.coalesce("class", "node"), "n_links": F.coalesce("n_links", F.lit(0))})
+    linked = few(degree, 2 * known.count()).join(if_small(class_of), "doc").select(F.col("doc").alias("node"), "class", "n_links")
+    full = nodes.join(if_small(materialise(linked, "neardup-linked")), "node", "left").withColumns({"class": F.coalesce("class", "node"), "n_links": F.coalesce("n_links", F.lit(0))})
     full = materialise(full.withColumnRenamed("n", "copies"), "neardup-full")
-    least = materialise(full.groupBy("class").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n")), "neardup-least")
+    least = materialise(few(full.groupBy("class").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n")), full.count()), "neardup-least")
     named = materialise(join_counted(full, least, ["class"]).select(*same, "class_id", "n_links", F.col("copies").alias("n")), "neardup-named")
     return join_counted(sketch.select("doc_id", *same), named, same).select("doc_id", "class_id", "n_links")

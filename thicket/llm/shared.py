@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Keys with more rows than this share of a table are joined apart; there are fewer of them than its inverse.
 HOT = 1e-4
+#: Rows of a few numbers that are broadcast without asking: some MB.
+SMALL = 100_000
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -90,6 +92,17 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return near.unionByName(far)
 
 
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df``, of ``rows`` rows at most, in as many tasks as these are worth (``each`` a task; twice the cores at least): a small table isn't
+    dealt over every shuffle partition. Not for joins with hot keys, whose parts would come together again."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
+def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """The written table ``df``, to be broadcast in joins if it has ``most`` rows at most; else Spark chooses, as for any table that grows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 # --- files ----------------------------------------------------------------------------------------------------------------
 
 
