@@ -77,6 +77,18 @@ def test_features_that_cannot_split_are_left_out(spark, rows):
     assert _parts(model) == _parts(train({**BASE, "num_iterations": 1, "feature_contri": [1.0, 1.0, 1.0, 0.0]}, _set(wide)))
 
 
+def test_rounds_go_on_after_one_that_cannot_split(spark, rows):
+    draws = {"feature_fraction": 0.3, "feature_fraction_seed": 4}  # b, c, a, d
+    model = train({**BASE, **draws, "num_iterations": 4, "cegb_penalty_feature_coupled": [0.0, 1e9, 1e9, 1e9]}, _set(rows))
+    assert [bool(t.nodes) for t in model.trees] == [False, False, True, False]
+    assert all(sum(x.count for x in t.leaves) == 900 for t in model.trees)
+
+
+def test_a_root_of_too_little_hessian_holds_nothing(spark, rows):
+    model = train(BASE, _set(rows), fobj=lambda s, y: (s - y, F.lit(1e-9)))
+    assert [[(x.value, x.count) for x in t.leaves] for t in model.trees] == [[(0.0, 900)]] * 3
+
+
 # --- sparse -------------------------------------------------------------------------------------------------------------------
 
 

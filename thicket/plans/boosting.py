@@ -86,6 +86,11 @@ def _options(p: Params) -> dict[str, Any]:
     return {k: getattr(p, k) for k in ("alpha", "fair_c", "poisson_max_delta_step", "tweedie_variance_power", "sigmoid")}
 
 
+def steady(tree: Tree, p: Params) -> bool:
+    """Whether outputs are bounded by the least hessian: splits see to it that each leaf has as much; a root that can't split, and lacks it, has to hold 0."""
+    return bool(tree.nodes) or tree.leaves[0].weight >= p.min_sum_hessian_in_leaf
+
+
 class Booster:
     """Training state and loop."""
 
@@ -291,8 +296,8 @@ class Booster:
             return F.expr(tree_sql(tree, [f"_x{i}" for i in range(len(self.data.features))]))
         return F.expr(f"array({', '.join(f'{float(x.value)!r}D' for x in tree.leaves)})[{route}]")
 
-    def round(self, iteration: int) -> bool:
-        """Trains one iteration; False if no tree could split."""
+    def round(self, iteration: int) -> None:
+        """Trains one iteration. A tree that can't split is one leaf; a later round may split again, by other draws or scores."""
         p = self.p
         gone, state = self._dropped(iteration)
         if p.boosting == "rf":
@@ -301,7 +306,6 @@ class Booster:
         grown: list[tuple[Tree, str]] = []
         names = sampling.column_sample([f.index for f in self.features], p.feature_fraction, self.rngs["feature_fraction_seed"]) if p.feature_fraction < 1 else [f.index for f in self.features]
         features = [f for f in self.features if f.index in set(names)]
-        any_split = False
         bag, plain = self._bag(rows, iteration), None
         if p.use_quantized_grad:
             one = bool(self.objective and self.objective.hessian_one and not self.weighted)
@@ -318,24 +322,21 @@ class Booster:
         growers = [Grower(self.mappers, self.grow_params, features, self.used, self.rngs["extra_seed"], c) for c in range(self.k)]
         for c, (tree, route, _) in enumerate(grow_all(searcher, growers)):
             own = lambda df, c=c: df if self.k == 1 else df.withColumns({x: F.col(x)[c] for x in ("grad", "hess")} | {"score": F.col("score")[c]})
-            any_split |= bool(tree.nodes)
-            if tree.nodes:
+            if steady(tree, p):
                 if plain is not None and p.quant_train_renew_leaf:
                     self._newton(own(plain), route, tree)
                 if self.objective and self.objective.renew:
                     self._renew(own(bag), route, tree)
-                elif p.linear_tree and (len(self.model.trees) > self.begun or self.begun):
+                elif p.linear_tree and tree.nodes and (len(self.model.trees) > self.begun or self.begun):
                     linear.fit(own(bag), F.expr(route), [f"_x{i}" for i in range(len(self.data.features))], tree, p.linear_lambda)
             else:
-                tree = Tree(leaves=[Leaf(0.0, tree.leaves[0].weight, tree.leaves[0].count)])
+                tree.leaves[0].value = 0.0
             grown.append((tree, route))
         if self.rank:
             rows.unpersist()
         if self.spent is not None:  # the first histogram has filled the next round's cache
             self.spent.unpersist()
             self.spent = None
-        if not any_split:
-            return False
         rate = 1.0 if p.boosting == "rf" else p.learning_rate
         if p.boosting == "dart":
             rate, factor = sampling.dart_factors(len(gone), p.learning_rate, p.xgboost_dart_mode)
@@ -367,7 +368,6 @@ class Booster:
             if first or p.boosting == "rf":
                 tree.add_bias(self.init[c])
             self.model.trees.append(tree)
-        return True
 
     def _advance(self, score: Column, iteration: int, grown: list[tuple[Tree, str]]) -> None:
         """The next round's scores. They are cached when its first histogram reads them, so until then the old ones stay."""
@@ -444,8 +444,7 @@ class Booster:
                 for c in hooks:
                     if getattr(c, "before_iteration", False):
                         c(env(i, []))
-                if not self.round(i):
-                    break
+                self.round(i)
                 if (i + 1) % p.metric_freq == 0 or i == p.num_iterations - 1:
                     results = self.evaluate(i)
                     self.history += [(i, s, m, v) for s, m, v, _ in results]
@@ -467,7 +466,7 @@ class Booster:
             for df in self.valid.values():
                 df.unpersist()
             remove(self.spark, self.written)
-        if not self.model.trees:  # nothing to split: constants
+        if not self.model.trees:  # no rounds: constants
             self.model.trees = [Tree(leaves=[Leaf(float(v))]) for v in self.init]
         return self.model
 

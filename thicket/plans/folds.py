@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from thicket.functions import metrics, objectives
 from thicket.operators import sampling
 from thicket.operators.counting import Slot
-from thicket.plans.boosting import CUT, Booster, Stopper, _options
+from thicket.plans.boosting import CUT, Booster, Stopper, _options, steady
 from thicket.plans.dataset import Dataset, TrainSet
 from thicket.plans.grower import Grower, Searcher, grow_all
 from thicket.plans.model import Leaf, Model, Tree
@@ -83,12 +83,9 @@ class Folds:
         scores = [F.col("score")[f] for f in range(self.n)]
         for i, f in enumerate(folds):
             own, b = grown[i * self.k : (i + 1) * self.k], self.boosters[f]
-            if not any(t.nodes for t, _, _ in own):
-                self.live.discard(f)
-                continue
             for c, (tree, route, _) in enumerate(own):
-                if not tree.nodes:
-                    tree = Tree(leaves=[Leaf(0.0, tree.leaves[0].weight, tree.leaves[0].count)])
+                if not steady(tree, p):
+                    tree.leaves[0].value = 0.0
                 tree.shrink(p.learning_rate)
                 scores[f] = b._into(scores[f], c, b._output(route, tree))
                 if not b.model.trees[c :: self.k]:
